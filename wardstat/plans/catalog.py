@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
 
 from wardstat.sources.views import Fixtures, with_views
 
@@ -39,11 +39,14 @@ def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Round every top-level double column to 6 places."""
+    """Round every top-level double column to 6 places and widen small integers
+    to BIGINT (DuckDB's type for counts, row numbers and date parts)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             cols.append(F.round(F.col(f.name), 6).alias(f.name))
+        elif isinstance(f.dataType, (IntegerType, ShortType, ByteType)):
+            cols.append(F.col(f.name).cast("long").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(cols)
@@ -51,4 +54,4 @@ def r6(df: DataFrame) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from wardstat.plans import queries_core  # noqa: F401
+    from wardstat.plans import queries_core, queries_model  # noqa: F401

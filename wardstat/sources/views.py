@@ -151,4 +151,7 @@ select * from (values ('error', 'High'), ('purchase', 'Medium'), ('click', 'Low'
 def with_views(body: str) -> str:
     """Prefix an oracle query with every fixture view as a CTE."""
     ctes = ",\n".join(f"{name} as ({sql.strip()})" for name, sql in VIEW_SQL.items())
-    return f"with {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].lower() == "with ":
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"
