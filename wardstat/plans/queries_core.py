@@ -1,7 +1,7 @@
 """Registered queries: scalar families, cleaning, lookups, aggregates, ordering, gates.
 
 Oracles are DuckDB SQL over the same fixture views (prefixed as CTEs by
-``register``). ``TITLE(x)`` in an oracle is expanded to the DuckDB form of R1.
+``register``); ``title_sql``/``parse_sql`` give the DuckDB forms of R1 and R3.
 """
 
 from __future__ import annotations
@@ -620,13 +620,13 @@ def g5_months_per_district(spark, sf_dir):
 with g as (
   select 'required_columns' as check, 'error' as severity, true as ok
   union all select 'min_rows', 'error', (select count(*) >= 100 from ({_CLEAN_SQL}) c)
-  union all select check, severity, ok from ({_G3_SQL}) g3
+  union all select g3."check", severity, ok from ({_G3_SQL}) g3
   union all select 'date_span', 'warning',
          (select datediff('day', min(cast(ts as date)), max(cast(ts as date))) >= 365 from ({_CLEAN_SQL}) c)
 )
 select count(*) filter (where not ok and severity = 'error') = 0 as valid,
-       coalesce(string_agg(check, ',' order by check) filter (where not ok and severity = 'error'), '') as errors,
-       coalesce(string_agg(check, ',' order by check) filter (where not ok and severity = 'warning'), '') as warnings
+       coalesce(string_agg("check", ',' order by "check") filter (where not ok and severity = 'error'), '') as errors,
+       coalesce(string_agg("check", ',' order by "check") filter (where not ok and severity = 'warning'), '') as warnings
 from g""",
 )
 def g6_validation_report(spark, sf_dir):
