@@ -12,7 +12,8 @@ with the original payload, but hold:
 M1/M2 fit every district in one ``groupBy('district')`` aggregate (no Python
 per series, no per-district loop); forecasts are generated by
 ``explode(sequence(1, H))`` per district. Input frames carry per-district
-``T`` (last fitted point) and ``H`` (steps to produce).
+``t_fit`` (last fitted point) and ``h_steps`` (steps to produce). (Spark column
+names are case-insensitive, so these must not be ``T``/``H`` next to ``t``.)
 """
 
 from __future__ import annotations
@@ -47,11 +48,12 @@ def guarded_fit(y, x):
 
 def _steps(fit: DataFrame) -> DataFrame:
     """One row per forecast step ``k = 1..H`` of every district."""
-    return fit.where(F.col("H") >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("H"))))
+    st = fit.where(F.col("h_steps") >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("h_steps").cast("int"))))
+    return st.withColumn("t_fit", F.col("t_fit").cast("int"))
 
 
 def _fit_common():
-    return [F.max("T").alias("T"), F.max("H").alias("H"), F.max_by("month", "t").alias("m_T")]
+    return [F.max("t_fit").alias("t_fit"), F.max("h_steps").alias("h_steps"), F.max_by("month", "t").alias("m_end")]
 
 
 def _finish(steps: DataFrame, model: str, yhat) -> DataFrame:
@@ -59,8 +61,8 @@ def _finish(steps: DataFrame, model: str, yhat) -> DataFrame:
         "district",
         F.lit(model).alias("model"),
         "k",
-        (F.col("T") + F.col("k")).alias("t"),
-        F.add_months(F.col("m_T"), F.col("k")).alias("month"),
+        (F.col("t_fit") + F.col("k")).alias("t"),
+        F.add_months(F.col("m_end"), F.col("k")).alias("month"),
         yhat.alias("yhat"),
     )
 
@@ -75,15 +77,15 @@ def forecast_ar_diff(s: DataFrame, d: int = 1, model: str = "arima") -> DataFram
     w = _w()
     x = s.withColumn("y1", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("y1"))
     x = x.withColumn("dy1", F.lag("dy").over(w))
-    fit_rows = x.where(F.col("t") <= F.col("T"))
+    fit_rows = x.where(F.col("t") <= F.col("t_fit"))
     if d == 1:
         phi, c = guarded_fit("dy", "dy1")
         fit = fit_rows.groupBy("district").agg(
-            phi.alias("phi"), c.alias("c"), F.max_by("y", "t").alias("y_T"), F.max_by("dy", "t").alias("dy_T"), *_fit_common()
+            phi.alias("phi"), c.alias("c"), F.max_by("y", "t").alias("y_end"), F.max_by("dy", "t").alias("dy_end"), *_fit_common()
         )
     elif d == 0:
         phi, c = guarded_fit("y", "y1")
-        fit = fit_rows.groupBy("district").agg(phi.alias("phi"), c.alias("c"), F.max_by("y", "t").alias("y_T"), *_fit_common())
+        fit = fit_rows.groupBy("district").agg(phi.alias("phi"), c.alias("c"), F.max_by("y", "t").alias("y_end"), *_fit_common())
     else:
         raise ValueError("d must be 0 or 1")
     st = _steps(fit)
@@ -91,16 +93,16 @@ def forecast_ar_diff(s: DataFrame, d: int = 1, model: str = "arima") -> DataFram
     near = F.abs(F.lit(1.0) - phi_c) < _NEAR_ONE
     mu = c_c / (F.lit(1.0) - phi_c)
     if d == 1:
-        yhat = F.when(near, F.col("y_T") + k * F.col("dy_T") + c_c * k * (k + 1) / 2.0).otherwise(
-            F.col("y_T") + mu * k + (F.col("dy_T") - mu) * phi_c * (F.lit(1.0) - F.pow(phi_c, k)) / (F.lit(1.0) - phi_c)
+        yhat = F.when(near, F.col("y_end") + k * F.col("dy_end") + c_c * k * (k + 1) / 2.0).otherwise(
+            F.col("y_end") + mu * k + (F.col("dy_end") - mu) * phi_c * (F.lit(1.0) - F.pow(phi_c, k)) / (F.lit(1.0) - phi_c)
         )
     else:
-        yhat = F.when(near, F.col("y_T") + c_c * k).otherwise(mu + F.pow(phi_c, k) * (F.col("y_T") - mu))
+        yhat = F.when(near, F.col("y_end") + c_c * k).otherwise(mu + F.pow(phi_c, k) * (F.col("y_end") - mu))
     return _finish(st, model, yhat)
 
 
 def forecast_seasonal(s: DataFrame, period: int = 12, model: str = "sarima") -> DataFrame:
-    """M2: AR(1) on ``z = y - y[-period]``; ``z(k) = mu + phi^k (z_T - mu)`` and, with
+    """M2: AR(1) on ``z = y - y[-period]``; ``z(k) = mu + phi^k (z_end - mu)`` and, with
     ``j = ceil(k / period)``, ``yhat(k) = y[T + k - period j] + sum_{i<j} z(k - period i)``.
 
     The base value comes from the last ``period`` fitted points, kept per district
@@ -109,25 +111,25 @@ def forecast_seasonal(s: DataFrame, period: int = 12, model: str = "sarima") ->
     x = s.withColumn("z", F.col("y") - F.lag("y", period).over(w))
     x = x.withColumn("z1", F.lag("z").over(w))
     phi, c = guarded_fit("z", "z1")
-    recent = F.when(F.col("t") > F.col("T") - period, F.struct(F.col("t"), F.col("y")))
+    recent = F.when(F.col("t") > F.col("t_fit") - period, F.struct(F.col("t"), F.col("y")))
     fit = (
-        x.where(F.col("t") <= F.col("T"))
+        x.where(F.col("t") <= F.col("t_fit"))
         .groupBy("district")
         .agg(
             phi.alias("phi"),
             c.alias("c"),
-            F.max_by("z", "t").alias("z_T"),
+            F.max_by("z", "t").alias("z_end"),
             F.sort_array(F.collect_list(recent)).alias("last_p"),
             *_fit_common(),
         )
     )
     st = _steps(fit)
-    k, phi_c, c_c, z_T = F.col("k"), F.col("phi"), F.col("c"), F.col("z_T")
+    k, phi_c, c_c, z_end = F.col("k"), F.col("phi"), F.col("c"), F.col("z_end")
     near = F.abs(F.lit(1.0) - phi_c) < _NEAR_ONE
     mu = c_c / (F.lit(1.0) - phi_c)
 
     def z_at(m):
-        return F.when(near, z_T + c_c * m).otherwise(mu + F.pow(phi_c, m) * (z_T - mu))
+        return F.when(near, z_end + c_c * m).otherwise(mu + F.pow(phi_c, m) * (z_end - mu))
 
     j = F.ceil(k / float(period)).cast("int")
     base = F.element_at(F.col("last_p"), k - j * period + period).getField("y")
@@ -156,9 +158,9 @@ def forecast_lag_gbt(
     from pyspark.ml.regression import GBTRegressor
 
     lags = [f"l{i}" for i in range(1, look_back + 1)]
-    sc = scale(s, "y", fit_rows=F.col("t") <= F.col("T"))
+    sc = scale(s, "y", fit_rows=F.col("t") <= F.col("t_fit"))
     lagged = lag_features(sc, look_back, col="y_s")
-    train = lagged.where((F.col("t") <= F.col("T")) & F.col(lags[-1]).isNotNull())
+    train = lagged.where((F.col("t") <= F.col("t_fit")) & F.col(lags[-1]).isNotNull())
     pipe = Pipeline(
         stages=[
             VectorAssembler(inputCols=lags, outputCol="features"),
@@ -167,35 +169,35 @@ def forecast_lag_gbt(
     )
     fitted = pipe.fit(train)
     # State at t = T: the window that predicts T + 1 (l1 = most recent value).
-    state = lagged.where((F.col("t") == F.col("T")) & F.col(lags[-2]).isNotNull() & (F.col("H") >= 1))
+    state = lagged.where((F.col("t") == F.col("t_fit")) & F.col(lags[-2]).isNotNull() & (F.col("h_steps") >= 1))
     state = state.select(
-        "district", "T", "H", "month", "y_min", "y_max",
+        "district", "t_fit", "h_steps", "month", "y_min", "y_max",
         F.col("y_s").alias("l1"), *[F.col(f"l{i}").alias(f"l{i + 1}") for i in range(1, look_back)],
     )
-    h_max = state.agg(F.max("H")).first()[0] or 0
+    h_max = state.agg(F.max("h_steps")).first()[0] or 0
     outs = []
     if h_max and checkpoint_every:
         checkpoint_dir(s.sparkSession)
     for k in range(1, h_max + 1):
-        pred = fitted.transform(state.where(F.col("H") >= k)).withColumn("k", F.lit(k))
+        pred = fitted.transform(state.where(F.col("h_steps") >= k)).withColumn("k", F.lit(k))
         outs.append(
             pred.select(
                 "district",
                 F.lit(model).alias("model"),
                 "k",
-                (F.col("T") + F.lit(k)).alias("t"),
+                (F.col("t_fit") + F.lit(k)).alias("t"),
                 F.add_months("month", k).alias("month"),
                 (F.col("prediction") * (F.col("y_max") - F.col("y_min")) + F.col("y_min")).alias("yhat"),
             )
         )
         state = pred.select(
-            "district", "T", "H", "month", "y_min", "y_max",
+            "district", "t_fit", "h_steps", "month", "y_min", "y_max",
             F.col("prediction").alias("l1"), *[F.col(f"l{i}").alias(f"l{i + 1}") for i in range(1, look_back)],
         )
         if checkpoint_every and k % checkpoint_every == 0:
             state = state.checkpoint(eager=True)
     if not outs:
-        return _finish(s.limit(0).withColumn("k", F.lit(0)).withColumn("m_T", F.col("month")), model, F.lit(None).cast("double"))
+        return _finish(s.limit(0).withColumn("k", F.lit(0)).withColumn("m_end", F.col("month")), model, F.lit(None).cast("double"))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -206,13 +208,13 @@ def forecast_lag_gbt(
 def backtest_frame(series: DataFrame, min_points: int = K.MIN_MONTHS, frac: float = K.TRAIN_FRACTION) -> DataFrame:
     """W2 + W1: eligible series with ``T`` = train size and ``H`` = test size."""
     s = split_series(eligible_series(series, min_points), frac)
-    return s.withColumns({"T": F.col("n_train"), "H": F.col("n") - F.col("n_train")})
+    return s.withColumns({"t_fit": F.col("n_train"), "h_steps": F.col("n") - F.col("n_train")})
 
 
 def horizon_frame(series: DataFrame, months_ahead: int, min_points: int = K.MIN_MONTHS) -> DataFrame:
     """Eligible series fitted on every point, ``H`` = months ahead."""
     s = eligible_series(series, min_points)
-    return s.withColumns({"T": F.col("n"), "H": F.lit(months_ahead)})
+    return s.withColumns({"t_fit": F.col("n"), "h_steps": F.lit(months_ahead)})
 
 
 def run_models(frame: DataFrame, models=("arima", "sarima")) -> DataFrame:
@@ -329,16 +331,16 @@ def select_order(series: DataFrame, frac: float = K.TRAIN_FRACTION) -> DataFrame
     Both AR(1) fits use the first ``frac`` of the training part; each is scored by
     one-step-ahead MAE on the rest of the training part; ties keep d = 0."""
     s = backtest_frame(series)
-    s = s.withColumn("T_fit", F.floor(F.col("n_train") * frac).cast("int"))
+    s = s.withColumn("t_sel", F.floor(F.col("n_train") * frac).cast("int"))
     w = _w()
     x = s.withColumn("y1", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("y1"))
     x = x.withColumn("dy1", F.lag("dy").over(w))
     phi0, c0 = guarded_fit("y", "y1")
     phi1, c1 = guarded_fit("dy", "dy1")
-    fit = x.where(F.col("t") <= F.col("T_fit")).groupBy("district").agg(
+    fit = x.where(F.col("t") <= F.col("t_sel")).groupBy("district").agg(
         phi0.alias("phi0"), c0.alias("c0"), phi1.alias("phi1"), c1.alias("c1")
     )
-    ev = x.where((F.col("t") > F.col("T_fit")) & (F.col("t") <= F.col("n_train"))).join(fit, "district")
+    ev = x.where((F.col("t") > F.col("t_sel")) & (F.col("t") <= F.col("n_train"))).join(fit, "district")
     p0 = F.col("c0") + F.col("phi0") * F.col("y1")
     p1 = F.col("y1") + F.col("c1") + F.col("phi1") * F.col("dy1")
     sc = ev.groupBy("district").agg(

@@ -1 +1,598 @@
 """Registered queries: series, forecasts, risk, hotspots, charts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wardstat.functions.calendar import with_calendar
+from wardstat.operators import charts as CH
+from wardstat.operators import forecast as FC
+from wardstat.operators import hotspot as HS
+from wardstat.operators import risk as RK
+from wardstat.operators import series as S
+from wardstat.operators.aggregates import type_by_district
+from wardstat.operators.ordering import head_per_district
+from wardstat.plans import flows
+from wardstat.plans.catalog import fixtures, r6, register
+from wardstat.sources.views import CLASS_MAP
+
+# ------------------------------------------------------------ SQL fragments ---
+# Dense monthly series of the order-backed view, with n, train size tt, test size hh.
+_SERIES = """
+mc as (select district, cast(date_trunc('month', ts) as date) as month, count(*) as crime_count
+       from incidents_monthly where ts is not null and district is not null group by 1, 2),
+bounds as (select district, min(month) as m0, max(month) as m1 from mc group by 1),
+cal as (select district, cast(m as date) as month
+        from (select district, unnest(generate_series(cast(m0 as timestamp), cast(m1 as timestamp), interval 1 month)) as m
+              from bounds) b),
+ser as (select c.district, c.month, cast(coalesce(mc.crime_count, 0) as double) as y,
+               row_number() over (partition by c.district order by c.month) as t
+        from cal c left join mc on c.district = mc.district and c.month = mc.month),
+len as (select *, count(*) over (partition by district) as n from ser),
+bt as (select *, cast(floor(n * 0.8e0) as bigint) as tt, n - cast(floor(n * 0.8e0) as bigint) as hh
+       from len where n >= 24)"""
+
+
+def _fit_sql(y: str, x: str) -> str:
+    return (
+        f"case when regr_sxx({y}, {x}) > 0 then regr_slope({y}, {x}) else 0e0 end as phi, "
+        f"case when regr_sxx({y}, {x}) > 0 then regr_intercept({y}, {x}) "
+        f"else avg(case when {x} is not null then {y} end) end as c"
+    )
+
+
+# M1 (d = 1) forecasts over a frame `{frame}` with columns district, t, y, month, tt (fit end), hh (steps).
+# CTE names carry the prefix `{p}` so the backtest and the horizon run can share one query.
+_M1_BODY = """
+{p}a1 as (select *, y - lag(y) over (partition by district order by t) as dy from {frame}),
+{p}a2 as (select *, lag(dy) over (partition by district order by t) as dy1 from {p}a1),
+{p}afit as (select district, {fit}, max_by(y, t) as y_T, max_by(dy, t) as dy_T,
+                max(tt) as tt, max(hh) as hh, max_by(month, t) as m_T
+         from {p}a2 where t <= tt group by district),
+{p}ast as (select *, unnest(generate_series(1, hh)) as k from {p}afit where hh >= 1),
+{p}arima as (select district, 'arima' as model, k, tt + k as t, cast(m_T + to_months(cast(k as integer)) as date) as month,
+       case when abs(1 - phi) < 1e-9 then y_T + k * dy_T + c * k * (k + 1) / 2e0
+            else y_T + (c / (1 - phi)) * k + (dy_T - c / (1 - phi)) * phi * (1 - pow(phi, k)) / (1 - phi) end as yhat
+from {p}ast)"""
+
+# M2 seasonal forecasts over the same frame.
+_M2_BODY = """
+{p}s1 as (select *, y - lag(y, 12) over (partition by district order by t) as z from {frame}),
+{p}s2 as (select *, lag(z) over (partition by district order by t) as z1 from {p}s1),
+{p}sfit as (select district, {fit}, max_by(z, t) as z_T, max(tt) as tt, max(hh) as hh, max_by(month, t) as m_T,
+                count(*) filter (where t > tt - 12) as nlast
+         from {p}s2 where t <= tt group by district),
+{p}sst as (select *, unnest(generate_series(1, hh)) as k from {p}sfit where hh >= 1 and nlast = 12),
+{p}sj as (select *, cast(ceil(k / 12e0) as bigint) as j from {p}sst),
+{p}sterm as (select {p}sj.*, unnest(generate_series(0, j - 1)) as i from {p}sj),
+{p}szs as (select district, k, tt, m_T, j,
+               sum(case when abs(1 - phi) < 1e-9 then z_T + c * (k - 12 * i)
+                        else c / (1 - phi) + pow(phi, k - 12 * i) * (z_T - c / (1 - phi)) end) as zsum
+        from {p}sterm group by district, k, tt, m_T, j),
+{p}sarima as (select z.district, 'sarima' as model, z.k, z.tt + z.k as t,
+                  cast(z.m_T + to_months(cast(z.k as integer)) as date) as month, b.y + z.zsum as yhat
+           from {p}szs z join {frame} b on b.district = z.district and b.t = z.tt + z.k - 12 * z.j)"""
+
+
+def _models_sql(frame: str, p: str = "") -> str:
+    return (
+        _M1_BODY.format(frame=frame, p=p, fit=_fit_sql("dy", "dy1"))
+        + ","
+        + _M2_BODY.format(frame=frame, p=p, fit=_fit_sql("z", "z1"))
+    )
+
+
+_BACKTEST_CTES = "with " + _SERIES + "," + _models_sql("bt") + """,
+fc as (select * from arima union all select * from sarima),
+aligned as (select fc.*, bt.y as actual from fc join bt on fc.district = bt.district and fc.t = bt.t),
+scores as (select district, model, avg(abs(actual - yhat)) as mae, avg((actual - yhat) * (actual - yhat)) as mse,
+                  count(*) as n_test, sqrt(avg((actual - yhat) * (actual - yhat))) as rmse
+           from aligned group by district, model),
+ranked as (select *, case model when 'arima' then 0 when 'sarima' then 1 else 2 end as model_rank from scores),
+best as (select district, arg_min(model, (mae, model_rank)) as best_model, min(mae) as best_mae
+         from ranked where mae is not null and not isnan(mae) group by district)
+"""
+
+# Horizon frame: fitted on all n points, 6 months ahead; CTE names prefixed with h.
+_HORIZON_CTES = "hz as (select *, n as tt, 6 as hh from len where n >= 24)," + _models_sql("hz", "h")
+
+
+def _monthly_series(spark, sf_dir):
+    return S.densify(S.monthly_counts(fixtures(spark, sf_dir).incidents_monthly))
+
+
+# ------------------------------------------------------------------ series ---
+
+
+@register(
+    "a6_monthly_series",
+    """
+select case when grouping(district) = 0 then district else 'all' end as district, month, count(*) as crime_count
+from (select district, cast(date_trunc('month', ts) as date) as month from incidents_monthly where ts is not null) d
+group by grouping sets ((district, month), (month))
+having grouping(district) = 1 or district is not null""",
+)
+def a6_monthly_series(spark, sf_dir):
+    return r6(S.monthly_series(fixtures(spark, sf_dir).incidents_monthly))
+
+
+@register("w7_densify", "with " + _SERIES + "\nselect district, month, t, y from ser")
+def w7_densify(spark, sf_dir):
+    return r6(_monthly_series(spark, sf_dir).select("district", "month", "t", "y"))
+
+
+@register("w2_eligible_series", "with " + _SERIES + "\nselect distinct district, n from bt")
+def w2_eligible_series(spark, sf_dir):
+    return r6(S.eligible_series(_monthly_series(spark, sf_dir)).select("district", "n").distinct())
+
+
+@register(
+    "w1_split_series",
+    "with " + _SERIES + "\nselect district, t, tt as n_train, case when t <= tt then 'train' else 'test' end as split from bt",
+)
+def w1_split_series(spark, sf_dir):
+    s = S.split_series(S.eligible_series(_monthly_series(spark, sf_dir)))
+    return r6(s.select("district", "t", "n_train", "split"))
+
+
+@register(
+    "w3_lag_features",
+    "with "
+    + _SERIES
+    + "\nselect district, t, "
+    + ", ".join(f"lag(y, {i}) over (partition by district order by t) as l{i}" for i in range(1, 13))
+    + " from ser",
+)
+def w3_lag_features(spark, sf_dir):
+    s = S.lag_features(_monthly_series(spark, sf_dir), 12)
+    return r6(s.select("district", "t", *[f"l{i}" for i in range(1, 13)]))
+
+
+@register(
+    "w5_scale",
+    "with "
+    + _SERIES
+    + """,
+mm as (select district, min(y) filter (where t <= tt) as y_min, max(y) filter (where t <= tt) as y_max from bt group by 1)
+select bt.district, bt.t, mm.y_min, mm.y_max,
+       case when mm.y_max - mm.y_min > 0 then (bt.y - mm.y_min) / (mm.y_max - mm.y_min) else 0e0 end as y_s
+from bt join mm on bt.district = mm.district""",
+)
+def w5_scale(spark, sf_dir):
+    s = S.scale(S.split_series(S.eligible_series(_monthly_series(spark, sf_dir))))
+    return r6(s.select("district", "t", "y_min", "y_max", "y_s"))
+
+
+@register(
+    "w8_differences",
+    "with "
+    + _SERIES
+    + """
+select district, t, y - lag(y) over (partition by district order by t) as dy,
+       y - lag(y, 12) over (partition by district order by t) as sy from ser""",
+)
+def w8_differences(spark, sf_dir):
+    return r6(S.differences(_monthly_series(spark, sf_dir)).select("district", "t", "dy", "sy"))
+
+
+# --------------------------------------------------------------- forecasts ---
+_FC_COLS = "district, model, k, t, month, round(yhat, 6) as yhat"
+
+
+@register("m1_forecast_ar_diff", "with " + _SERIES + "," + _models_sql("bt") + f"\nselect {_FC_COLS} from arima")
+def m1_forecast_ar_diff(spark, sf_dir):
+    return r6(FC.forecast_ar_diff(FC.backtest_frame(_monthly_series(spark, sf_dir)), 1))
+
+
+@register("m2_forecast_seasonal", "with " + _SERIES + "," + _models_sql("bt") + f"\nselect {_FC_COLS} from sarima")
+def m2_forecast_seasonal(spark, sf_dir):
+    return r6(FC.forecast_seasonal(FC.backtest_frame(_monthly_series(spark, sf_dir))))
+
+
+@register(
+    "j3_align",
+    _BACKTEST_CTES + "select district, model, k, t, month, round(yhat, 6) as yhat, actual from aligned",
+)
+def j3_align(spark, sf_dir):
+    frame = FC.backtest_frame(_monthly_series(spark, sf_dir))
+    fc = FC.run_models(frame)
+    return r6(FC.align(frame.where(F.col("split") == "test"), fc))
+
+
+@register(
+    "m5_backtest",
+    _BACKTEST_CTES + "select district, model, round(mae, 6) as mae, round(mse, 6) as mse, round(rmse, 6) as rmse, n_test from scores",
+)
+def m5_backtest(spark, sf_dir):
+    """M5 with A18 (MAE) and A19 (MSE, RMSE) per district and model."""
+    return r6(FC.backtest(_monthly_series(spark, sf_dir)))
+
+
+@register("a20_best_model", _BACKTEST_CTES + "select district, best_model, round(best_mae, 6) as best_mae from best")
+def a20_best_model(spark, sf_dir):
+    return r6(FC.best_model(FC.backtest(_monthly_series(spark, sf_dir))))
+
+
+@register(
+    "a21_model_leaderboard",
+    _BACKTEST_CTES
+    + """, lb as (select model, avg(mae) as avg_mae, count(*) as districts,
+                     case model when 'arima' then 0 when 'sarima' then 1 else 2 end as model_rank from scores group by model)
+select model, round(avg_mae, 6) as avg_mae, districts,
+       model = (select arg_min(model, (avg_mae, model_rank)) from lb) as is_best from lb""",
+)
+def a21_model_leaderboard(spark, sf_dir):
+    return r6(FC.model_leaderboard(FC.backtest(_monthly_series(spark, sf_dir))))
+
+
+@register(
+    "m7_model_selection",
+    _BACKTEST_CTES
+    + """
+select b.district, 'Lowest Mean Absolute Error (MAE)' as criteria, b.best_model, round(b.best_mae, 6) as best_model_mae,
+       round(a.mae, 6) as arima_mae, round(s.mae, 6) as sarima_mae,
+       printf('%s selected with MAE of %.2f', upper(b.best_model), b.best_mae) as selection_note
+from best b join scores a on a.district = b.district and a.model = 'arima'
+            join scores s on s.district = b.district and s.model = 'sarima'""",
+)
+def m7_model_selection(spark, sf_dir):
+    sel = FC.model_selection(FC.backtest(_monthly_series(spark, sf_dir)))
+    return r6(
+        sel.select(
+            "district", "criteria", "best_model", "best_model_mae",
+            F.col("all_models_mae")["arima"].alias("arima_mae"),
+            F.col("all_models_mae")["sarima"].alias("sarima_mae"),
+            "selection_note",
+        )
+    )
+
+
+_FORECAST_SQL = (
+    _BACKTEST_CTES
+    + ","
+    + _HORIZON_CTES
+    + """,
+wide as (select a.district, a.k, a.month, greatest(0e0, a.yhat) as arima, greatest(0e0, s.yhat) as sarima
+         from harima a join hsarima s on a.district = s.district and a.k = s.k)
+"""
+)
+
+
+@register(
+    "m6_forecast",
+    _FORECAST_SQL
+    + """
+select w.district, w.k, w.month, strftime(w.month, '%Y-%m-%d') as date, round(w.arima, 6) as arima,
+       round(w.sarima, 6) as sarima, b.best_model,
+       round(case b.best_model when 'arima' then w.arima when 'sarima' then w.sarima end, 6) as best_value
+from wide w left join best b on w.district = b.district""",
+)
+def m6_forecast(spark, sf_dir):
+    """M6 with M4 (clamp at zero): 6 months ahead for every eligible district."""
+    return r6(FC.forecast_table(_monthly_series(spark, sf_dir), 6))
+
+
+@register(
+    "j4_best_prediction",
+    _FORECAST_SQL
+    + """, hfc as (select * from harima union all select * from hsarima)
+select f.district, f.k, f.month, f.model as best_model, round(f.yhat, 6) as best_value
+from hfc f join best b on f.district = b.district and f.model = b.best_model""",
+)
+def j4_best_prediction(spark, sf_dir):
+    series = _monthly_series(spark, sf_dir)
+    fc = FC.run_models(FC.horizon_frame(series, 6))
+    return r6(FC.best_prediction(fc, FC.best_model(FC.backtest(series))))
+
+
+@register(
+    "l6_head_per_district",
+    _FORECAST_SQL + "select district, k, month, round(arima, 6) as arima, round(sarima, 6) as sarima from wide where k <= 3",
+)
+def l6_head_per_district(spark, sf_dir):
+    wide = FC.forecast_table(_monthly_series(spark, sf_dir), 6).select("district", "k", "month", "arima", "sarima")
+    return r6(head_per_district(wide, 3))
+
+
+@register(
+    "m17_select_order",
+    "with "
+    + _SERIES
+    + """,
+o1 as (select *, cast(floor(tt * 0.8e0) as bigint) as tf, lag(y) over (partition by district order by t) as y1 from bt),
+o2 as (select *, y - y1 as dy from o1),
+o3 as (select *, lag(dy) over (partition by district order by t) as dy1 from o2),
+ofit as (select district,
+           case when regr_sxx(y, y1) > 0 then regr_slope(y, y1) else 0e0 end as phi0,
+           case when regr_sxx(y, y1) > 0 then regr_intercept(y, y1) else avg(case when y1 is not null then y end) end as c0,
+           case when regr_sxx(dy, dy1) > 0 then regr_slope(dy, dy1) else 0e0 end as phi1,
+           case when regr_sxx(dy, dy1) > 0 then regr_intercept(dy, dy1) else avg(case when dy1 is not null then dy end) end as c1
+         from o3 where t <= tf group by district),
+ev as (select o3.district, avg(abs(y - (c0 + phi0 * y1))) as mae_d0, avg(abs(y - (y1 + c1 + phi1 * dy1))) as mae_d1
+       from o3 join ofit on o3.district = ofit.district where t > tf and t <= tt group by o3.district)
+select district, round(mae_d0, 6) as mae_d0, round(mae_d1, 6) as mae_d1, case when mae_d1 < mae_d0 then 1 else 0 end as d from ev""",
+)
+def m17_select_order(spark, sf_dir):
+    return r6(FC.select_order(_monthly_series(spark, sf_dir)))
+
+
+@register("m3_forecast_lag_gbt")
+def m3_forecast_lag_gbt(spark, sf_dir):
+    """M3 (rows-only): hold-out scores of the pooled lag-GBT model per district."""
+    return FC.backtest(_monthly_series(spark, sf_dir), models=("lstm",))
+
+
+# -------------------------------------------------------------------- risk ---
+_FEATURES_SQL = """
+feat as (
+  select h.district, count(*) as total_crimes,
+         count(*) filter (where crime_type in ('error')) as violent_crimes,
+         count(*) filter (where crime_type in ('purchase')) as property_crimes,
+         count(*) filter (where crime_type in ('signup')) as drug_crimes,
+         count(*) filter (where hour(ts) > 18) * 100e0 / count(*) as evening_crimes_pct,
+         count(*) filter (where hour(ts) <= 6) * 100e0 / count(*) as night_crimes_pct,
+         count(*) filter (where isodow(ts) in (6, 7)) * 100e0 / count(*) as weekend_crimes_pct
+  from incidents_hourly h where h.district is not null group by h.district),
+featr as (select f.*, case when d.population > 0 then f.total_crimes * 1000e0 / d.population end as crime_rate
+          from feat f left join district_dim d on f.district = d.district),
+fd as (select district, cast(total_crimes as double) as total_crimes, coalesce(crime_rate, 10e0) as crime_rate,
+              cast(violent_crimes as double) as violent_crimes, cast(property_crimes as double) as property_crimes,
+              cast(drug_crimes as double) as drug_crimes, evening_crimes_pct, night_crimes_pct, weekend_crimes_pct from featr),
+sc as (select *, case when total_crimes > 0 then
+          least(crime_rate / 20e0, 1e0) * 0.3e0 + least(total_crimes / 200e0, 1e0) * 0.25e0
+          + least(violent_crimes / total_crimes, 0.5e0) * 0.2e0 + least(evening_crimes_pct / 50e0, 1e0) * 0.15e0
+          + least(night_crimes_pct / 30e0, 1e0) * 0.1e0 end as risk_score from fd),
+lv as (select *, case when risk_score > 0.7e0 then 'High' when risk_score > 0.4e0 then 'Medium'
+                      when risk_score is not null then 'Low' end as risk_level from sc)"""
+
+_FEATURE_COLS = [
+    "total_crimes", "crime_rate", "violent_crimes", "property_crimes", "drug_crimes",
+    "evening_crimes_pct", "night_crimes_pct", "weekend_crimes_pct",
+]
+
+
+def _features(spark, sf_dir, with_dim=True):
+    fx = fixtures(spark, sf_dir)
+    return RK.risk_features(fx.incidents_hourly, fx.district_dim if with_dim else None, CLASS_MAP)
+
+
+@register(
+    "a22_risk_features",
+    "with "
+    + _FEATURES_SQL
+    + "\nselect district, total_crimes, violent_crimes, property_crimes, drug_crimes, round(evening_crimes_pct, 6) as evening_crimes_pct, "
+    "round(night_crimes_pct, 6) as night_crimes_pct, round(weekend_crimes_pct, 6) as weekend_crimes_pct, round(crime_rate, 6) as crime_rate from featr",
+)
+def a22_risk_features(spark, sf_dir):
+    return r6(_features(spark, sf_dir))
+
+
+@register(
+    "p13_feature_defaults",
+    "with "
+    + _FEATURES_SQL
+    + "\nselect district, cast(total_crimes as double) as total_crimes, 10e0 as crime_rate, cast(violent_crimes as double) as violent_crimes, "
+    "cast(property_crimes as double) as property_crimes, cast(drug_crimes as double) as drug_crimes, round(evening_crimes_pct, 6) as evening_crimes_pct, "
+    "round(night_crimes_pct, 6) as night_crimes_pct, round(weekend_crimes_pct, 6) as weekend_crimes_pct from feat",
+)
+def p13_feature_defaults(spark, sf_dir):
+    return r6(RK.with_feature_defaults(_features(spark, sf_dir, with_dim=False)))
+
+
+@register(
+    "p14_feature_long",
+    "with "
+    + _FEATURES_SQL
+    + "\nselect district, parameter, round(value, 6) as value from (unpivot (select district, "
+    + ", ".join(f"cast({c} as double) as {c}" for c in _FEATURE_COLS)
+    + " from featr) on "
+    + ", ".join(_FEATURE_COLS)
+    + " into name parameter value value) u",
+)
+def p14_feature_long(spark, sf_dir):
+    return r6(RK.feature_long(_features(spark, sf_dir)))
+
+
+@register(
+    "a23_class_distribution",
+    "with "
+    + _FEATURES_SQL
+    + "\nselect district, crime_class, crimes from (unpivot (select district, total_crimes, violent_crimes, property_crimes, drug_crimes from feat) "
+    "on total_crimes, violent_crimes, property_crimes, drug_crimes into name crime_class value crimes) u",
+)
+def a23_class_distribution(spark, sf_dir):
+    return r6(RK.class_distribution(_features(spark, sf_dir)))
+
+
+@register(
+    "a24_time_pattern",
+    "with "
+    + _FEATURES_SQL
+    + "\nselect district, pattern, round(pct, 6) as pct from (unpivot (select district, evening_crimes_pct, night_crimes_pct, weekend_crimes_pct from feat) "
+    "on evening_crimes_pct, night_crimes_pct, weekend_crimes_pct into name pattern value pct) u",
+)
+def a24_time_pattern(spark, sf_dir):
+    return r6(RK.time_pattern(_features(spark, sf_dir)))
+
+
+@register(
+    "a30_normalise",
+    """
+select district, crime_type, round(count * 1e0 / sum(count) over (partition by district), 6) as share
+from (select district, crime_type, count(*) as count from incidents_hourly
+      where district is not null and crime_type is not null group by 1, 2) t""",
+)
+def a30_normalise(spark, sf_dir):
+    t = type_by_district(fixtures(spark, sf_dir).incidents_hourly)
+    return r6(RK.normalise(t, "district", "count", "share").drop("count"))
+
+
+@register(
+    "m8_risk_score",
+    "with " + _FEATURES_SQL + "\nselect district, round(risk_score, 6) as risk_score, "
+    "case when total_crimes > 0 then null else 'total_crimes must be positive' end as reject_reason from sc",
+)
+def m8_risk_score(spark, sf_dir):
+    s = RK.risk_score(RK.with_feature_defaults(_features(spark, sf_dir)))
+    return r6(s.select("district", "risk_score", "reject_reason"))
+
+
+@register(
+    "m9_m11_rule_risk",
+    "with "
+    + _FEATURES_SQL
+    + """
+select district, round(risk_score, 6) as risk_score, risk_level,
+       case risk_level when 'High' then 0.9e0 when 'Medium' then 0.84e0 when 'Low' then 0.86e0 end as confidence,
+       round(case risk_level when 'High' then 0.8e0 / 1.1e0 when 'Medium' then 0.3e0 / 1.1e0 when 'Low' then 0.1e0 / 1.1e0 end, 6) as p_high,
+       round(case risk_level when 'High' then 0.2e0 / 1.1e0 when 'Medium' then 0.6e0 / 1.1e0 when 'Low' then 0.2e0 / 1.1e0 end, 6) as p_medium,
+       round(case risk_level when 'High' then 0.1e0 / 1.1e0 when 'Medium' then 0.2e0 / 1.1e0 when 'Low' then 0.8e0 / 1.1e0 end, 6) as p_low,
+       case risk_level when 'High' then 'red' when 'Medium' then 'orange' else 'green' end as colour
+from lv""",
+)
+def m9_m11_rule_risk(spark, sf_dir):
+    """M9 level, M10 probabilities, M11 confidence, R28 colour for every district."""
+    from wardstat.functions.numeric import risk_colour
+
+    r = RK.rule_risk(_features(spark, sf_dir))
+    p = F.col("probabilities")
+    return r6(
+        r.select(
+            "district", "risk_score", "risk_level", "confidence",
+            p["High"].alias("p_high"), p["Medium"].alias("p_medium"), p["Low"].alias("p_low"),
+            risk_colour("risk_level").alias("colour"),
+        )
+    )
+
+
+@register("m12_risk_forest")
+def m12_risk_forest(spark, sf_dir):
+    """M12 (rows-only): forest trained on every district's features, then scored."""
+    feats = _features(spark, sf_dir)
+    model = RK.train_risk(feats)
+    return RK.predict_risk(model, feats)
+
+
+@register("m13_feature_importance")
+def m13_feature_importance(spark, sf_dir):
+    """M13/L8 (rows-only): normalised forest importances, largest first."""
+    return RK.feature_importance(spark, RK.train_risk(_features(spark, sf_dir)))
+
+
+@register("m14_cross_validate_risk")
+def m14_cross_validate_risk(spark, sf_dir):
+    """M14 (rows-only): 3-fold cross-validated accuracy."""
+    return RK.cross_validate_risk(spark, _features(spark, sf_dir), folds=3)
+
+
+@register("a25_classification_metrics")
+def a25_classification_metrics(spark, sf_dir):
+    """A25 (rows-only): accuracy/precision/recall/F1 of the forest against the rule label."""
+    feats = _features(spark, sf_dir)
+    model = RK.train_risk(feats)
+    pred = model.transform(RK.labelled(feats).select("district", *RK.FEATURES, "risk_level"))
+    return RK.classification_metrics(pred)
+
+
+@register("m15_retrain")
+def m15_retrain(spark, sf_dir):
+    """M15 (rows-only): gates -> backtest -> risk forest -> one-row training summary."""
+    fx = fixtures(spark, sf_dir)
+    return flows.retrain(fx.incidents_monthly, kind="all", dim=None, class_map=CLASS_MAP, include_lstm=False)
+
+
+# ---------------------------------------------------------------- hotspots ---
+
+
+@register(
+    "a27_hotspots",
+    """
+select district as name, round(avg(latitude), 6) as lat, round(avg(longitude), 6) as lng, count(*) as crimes,
+       case when count(*) >= 150 then 'High' when count(*) >= 95 then 'Medium' else 'Low' end as risk,
+       case when count(*) >= 150 then 'red' when count(*) >= 95 then 'orange' else 'green' end as colour,
+       count(*) * 20 as radius
+from incidents_hourly where district is not null group by district""",
+)
+def a27_hotspots(spark, sf_dir):
+    return r6(HS.hotspots(fixtures(spark, sf_dir).incidents_hourly))
+
+
+@register(
+    "a28_heat_grid",
+    """
+select cell_y, cell_x, count(*) as crimes, round((cell_y + 0.5e0) * 0.01e0, 6) as lat, round((cell_x + 0.5e0) * 0.01e0, 6) as lng
+from (select cast(floor(latitude / 0.01e0) as bigint) as cell_y, cast(floor(longitude / 0.01e0) as bigint) as cell_x
+      from incidents_hourly where latitude is not null and longitude is not null) g
+group by 1, 2""",
+)
+def a28_heat_grid(spark, sf_dir):
+    return r6(HS.heat_grid(fixtures(spark, sf_dir).incidents_hourly, 0.01))
+
+
+@register(
+    "a29_region_totals",
+    """
+select state, district, count(*) as crimes,
+       case grouping(state, district) when 0 then 'district' when 1 then 'state' else 'all' end as level
+from incidents_hourly group by rollup (state, district)""",
+)
+def a29_region_totals(spark, sf_dir):
+    return r6(HS.region_totals(fixtures(spark, sf_dir).incidents_hourly))
+
+
+# ------------------------------------------------------------------ charts ---
+
+
+@register(
+    "m16_chart_model_performance",
+    _BACKTEST_CTES
+    + """
+select s.district, s.model, round(s.mae, 6) as mae, printf('%.1f', s.mae) as mae_label, s.model = b.best_model as is_best
+from scores s left join best b on s.district = b.district""",
+)
+def m16_chart_model_performance(spark, sf_dir):
+    scores = FC.backtest(_monthly_series(spark, sf_dir))
+    return r6(CH.model_performance_rows(scores, FC.best_model(scores)))
+
+
+@register(
+    "m16_chart_forecast_trend",
+    _FORECAST_SQL
+    + """, hfc as (select * from harima union all select * from hsarima)
+select f.district, f.month, upper(f.model) as series, round(greatest(0e0, f.yhat), 6) as value, f.model = b.best_model as is_best
+from hfc f left join best b on f.district = b.district""",
+)
+def m16_chart_forecast_trend(spark, sf_dir):
+    series = _monthly_series(spark, sf_dir)
+    fc = FC.run_models(FC.horizon_frame(series, 6))
+    return r6(CH.forecast_trend_rows(fc, FC.best_model(FC.backtest(series))))
+
+
+@register(
+    "m16_chart_parameters",
+    "with "
+    + _FEATURES_SQL
+    + "\nselect district, case parameter "
+    + " ".join(
+        f"when '{c}' then '{lbl}'"
+        for c, lbl in zip(_FEATURE_COLS, ["Total Crimes", "Crime Rate", "Violent Crimes", "Property Crimes", "Drug Crimes", "Evening Crimes %", "Night Crimes %", "Weekend Crimes %"])
+    )
+    + " end as parameter, round(value, 6) as value from (unpivot (select district, "
+    + ", ".join(f"cast({c} as double) as {c}" for c in _FEATURE_COLS)
+    + " from featr) on "
+    + ", ".join(_FEATURE_COLS)
+    + " into name parameter value value) u",
+)
+def m16_chart_parameters(spark, sf_dir):
+    return r6(CH.parameter_rows(_features(spark, sf_dir)))
+
+
+@register(
+    "a26_training_info",
+    """
+select count(*) as total_records, count(distinct district) as districts, count(distinct crime_type) as crime_types,
+       datediff('day', min(cast(ts as date)), max(cast(ts as date))) as span_days, 'arima,sarima,lstm' as models
+from incidents_monthly""",
+)
+def a26_training_info(spark, sf_dir):
+    return r6(flows.training_info(fixtures(spark, sf_dir).incidents_monthly))
