@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wardstat import constants as K
 from wardstat.functions.payload import map_of, selection_note
 from wardstat.operators.series import eligible_series, lag_features, scale, split_series
-from wardstat.session import checkpoint_dir
+from wardstat.session import checkpoint_dir, materialize
 
 _NEAR_ONE = 1e-9
 _RANK = {m: i for i, m in enumerate(K.MODELS)}
@@ -159,7 +159,7 @@ def forecast_lag_gbt(
 
     lags = [f"l{i}" for i in range(1, look_back + 1)]
     sc = scale(s, "y", fit_rows=F.col("t") <= F.col("t_fit"))
-    lagged = lag_features(sc, look_back, col="y_s")
+    lagged = materialize(lag_features(sc, look_back, col="y_s"))  # read by every boosting pass and the roll-forward
     train = lagged.where((F.col("t") <= F.col("t_fit")) & F.col(lags[-1]).isNotNull())
     pipe = Pipeline(
         stages=[
@@ -251,8 +251,11 @@ def error_metrics(aligned: DataFrame) -> DataFrame:
 
 
 def backtest(series: DataFrame, models=("arima", "sarima")) -> DataFrame:
-    """M5: hold-out scores of every model for every eligible district."""
-    frame = backtest_frame(series)
+    """M5: hold-out scores of every model for every eligible district.
+
+    The frame (districts x months rows) feeds every model and the alignment, so
+    it is materialized once rather than recomputed from the incident scan per use."""
+    frame = materialize(backtest_frame(series))
     fc = run_models(frame, models)
     return error_metrics(align(frame.where(F.col("split") == "test"), fc))
 
@@ -316,6 +319,7 @@ def forecast_table(
     at zero, M4), the best model from the backtest and its value."""
     if district is not None and district != "all":
         series = series.where(F.col("district") == district)
+    series = materialize(series)  # used by the horizon run and by the backtest
     fc = run_models(horizon_frame(series, months_ahead), models)
     fc = fc.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))  # M4
     wide = fc.groupBy("district", "k", "month").pivot("model", list(models)).agg(F.first("yhat"))
@@ -330,7 +334,7 @@ def select_order(series: DataFrame, frac: float = K.TRAIN_FRACTION) -> DataFrame
 
     Both AR(1) fits use the first ``frac`` of the training part; each is scored by
     one-step-ahead MAE on the rest of the training part; ties keep d = 0."""
-    s = backtest_frame(series)
+    s = materialize(backtest_frame(series))
     s = s.withColumn("t_sel", F.floor(F.col("n_train") * frac).cast("int"))
     w = _w()
     x = s.withColumn("y1", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("y1"))

@@ -14,6 +14,7 @@ from wardstat import constants as K
 from wardstat.functions.calendar import is_weekend
 from wardstat.functions.numeric import clamp
 from wardstat.operators.lookups import small_side_join
+from wardstat.session import materialize
 
 FEATURES = [name for name, _ in K.RISK_FEATURES]
 EVENING_AFTER = 18  # R11: evening is hour > 18
@@ -165,7 +166,9 @@ def train_risk(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42)
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    data = labelled(features).select("district", *FEATURES, "risk_level")
+    # One row per district; MLlib makes several passes (indexer, splits, bagging),
+    # so the table is materialized once instead of re-aggregating incidents per pass.
+    data = materialize(labelled(features).select("district", *FEATURES, "risk_level"))
     stages = [
         StringIndexer(inputCol="risk_level", outputCol="label", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
@@ -230,7 +233,7 @@ def cross_validate_risk(spark, features: DataFrame, folds: int = 3, num_trees: i
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = labelled(features).select("district", *FEATURES, "risk_level")
+    data = materialize(labelled(features).select("district", *FEATURES, "risk_level"))
     rf = RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label", featuresCol="features")
     pipe = Pipeline(
         stages=[

@@ -23,6 +23,7 @@ from wardstat.operators import forecast as FC
 from wardstat.operators import quality as G
 from wardstat.operators import risk as RK
 from wardstat.operators import series as S
+from wardstat.session import materialize
 
 
 def preprocess(raw: DataFrame, ts_col: str = "ts", cache: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -55,7 +56,7 @@ def monthly_series_for(df: DataFrame, district: str = "all", ts_col: str = "ts")
 def forecast_request(df: DataFrame, district: str = "all", months_ahead: int = 6, models=("arima", "sarima", "lstm")):
     """(b) forecast rows, model scores and the selection record for one district
     (or ``all``). Returns three DataFrames."""
-    series = monthly_series_for(df, district)
+    series = materialize(monthly_series_for(df, district))
     scores = FC.backtest(series, models)
     table = FC.forecast_table(series, months_ahead, models)
     return table, scores, FC.model_selection(scores)
@@ -109,7 +110,7 @@ def retrain(
     else:
         out = out.withColumns({"forecast_districts": F.lit(None).cast("long"), "avg_best_mae": F.lit(None).cast("double")})
     if kind in ("risk", "all"):
-        feats = RK.risk_features(df, dim, class_map, ts_col)
+        feats = materialize(RK.risk_features(df, dim, class_map, ts_col))
         model = RK.train_risk(feats)
         pred = model.transform(RK.labelled(feats).select("district", *RK.FEATURES, "risk_level"))
         acc = RK.classification_metrics(pred).select(F.col("accuracy").alias("risk_accuracy"))

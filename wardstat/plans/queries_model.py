@@ -14,6 +14,7 @@ from wardstat.operators.aggregates import type_by_district
 from wardstat.operators.ordering import head_per_district
 from wardstat.plans import flows
 from wardstat.plans.catalog import fixtures, r6, register
+from wardstat.session import materialize
 from wardstat.sources.views import CLASS_MAP
 
 # ------------------------------------------------------------ SQL fragments ---
@@ -98,7 +99,8 @@ _HORIZON_CTES = "hz as (select *, n as tt, 6 as hh from len where n >= 24)," + _
 
 
 def _monthly_series(spark, sf_dir):
-    return S.densify(S.monthly_counts(fixtures(spark, sf_dir).incidents_monthly))
+    """Dense series, materialized: every forecast query reads it more than once."""
+    return materialize(S.densify(S.monthly_counts(fixtures(spark, sf_dir).incidents_monthly)))
 
 
 # ------------------------------------------------------------------ series ---
@@ -468,7 +470,7 @@ def m9_m11_rule_risk(spark, sf_dir):
 @register("m12_risk_forest")
 def m12_risk_forest(spark, sf_dir):
     """M12 (rows-only): forest trained on every district's features, then scored."""
-    feats = _features(spark, sf_dir)
+    feats = materialize(_features(spark, sf_dir))
     model = RK.train_risk(feats)
     return RK.predict_risk(model, feats)
 
@@ -488,7 +490,7 @@ def m14_cross_validate_risk(spark, sf_dir):
 @register("a25_classification_metrics")
 def a25_classification_metrics(spark, sf_dir):
     """A25 (rows-only): accuracy/precision/recall/F1 of the forest against the rule label."""
-    feats = _features(spark, sf_dir)
+    feats = materialize(_features(spark, sf_dir))
     model = RK.train_risk(feats)
     pred = model.transform(RK.labelled(feats).select("district", *RK.FEATURES, "risk_level"))
     return RK.classification_metrics(pred)

@@ -72,3 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Write a small, reused intermediate (a series, a feature table) to the shared
+    checkpoint folder and continue from it.
+
+    Later plans start from the written rows instead of re-running the scan and
+    aggregate that produced them once per use, and a lost executor re-reads the
+    files instead of recomputing the lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
