@@ -157,6 +157,17 @@ def r_parse(spark, sf_dir):
     )
 
 
+@register(
+    "r4_strict_parse",
+    """select case_no, cast(strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp) as ts_strict from incidents_hourly""",
+)
+def r4_strict_parse(spark, sf_dir):
+    """R4 after gate G3: every text is well-formed, so the strict cast is safe."""
+    h = fixtures(spark, sf_dir).incidents_hourly
+    t = h.select("case_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("txt"))
+    return r6(t.select("case_no", C.parse_datetime_strict("txt").alias("ts_strict")))
+
+
 @register(
     "r_numeric",
     """

@@ -1,0 +1,9 @@
+"""Structured Streaming forms of the calendar counts (A3, A5) for a live feed.
+
+The original application has no streaming operator ("real-time" there means the
+page refetching); these are the same aggregates kept up to date incrementally.
+"""
+
+from wardstat.streaming.incremental import daily_counts_stream, monthly_counts_stream, read_incident_stream, start_sink
+
+__all__ = ["read_incident_stream", "daily_counts_stream", "monthly_counts_stream", "start_sink"]
