@@ -105,8 +105,13 @@ def dedup(df: DataFrame) -> DataFrame:
 
 
 def new_values(new: DataFrame, old: DataFrame, col: str) -> DataFrame:
-    """Distinct values of ``col`` in ``new`` that ``old`` lacks (``EXCEPT``)."""
-    return new.select(col).where(F.col(col).isNotNull()).subtract(old.select(col))
+    """Distinct values of ``col`` in ``new`` that ``old`` lacks (``EXCEPT``).
+
+    Both sides are reduced to their distinct values first (partial aggregation
+    before the exchange), so the anti join shuffles distinct values, not rows."""
+    n = new.select(col).where(F.col(col).isNotNull()).distinct()
+    o = old.select(col).where(F.col(col).isNotNull()).distinct()
+    return n.join(o, col, "left_anti")
 
 
 def clean_incidents(

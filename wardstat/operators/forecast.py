@@ -101,6 +101,16 @@ def forecast_ar_diff(s: DataFrame, d: int = 1, model: str = "arima") -> DataFram
     return _finish(st, model, yhat)
 
 
+def forecast_ar_selected(s: DataFrame, orders: DataFrame, model: str = "arima") -> DataFrame:
+    """M1 with the difference order chosen per district by M17 (``orders``: district, d).
+
+    Both orders are projected in closed form and the chosen one is kept by an
+    equi-join on (district, d); ``d`` is part of the output."""
+    f0 = forecast_ar_diff(s, 0, model).withColumn("d", F.lit(0))
+    f1 = forecast_ar_diff(s, 1, model).withColumn("d", F.lit(1))
+    return f0.unionByName(f1).join(orders.select("district", "d"), ["district", "d"], "inner")
+
+
 def forecast_seasonal(s: DataFrame, period: int = 12, model: str = "sarima") -> DataFrame:
     """M2: AR(1) on ``z = y - y[-period]``; ``z(k) = mu + phi^k (z_end - mu)`` and, with
     ``j = ceil(k / period)``, ``yhat(k) = y[T + k - period j] + sum_{i<j} z(k - period i)``.
@@ -250,12 +260,13 @@ def error_metrics(aligned: DataFrame) -> DataFrame:
     )
 
 
-def backtest(series: DataFrame, models=("arima", "sarima")) -> DataFrame:
+def backtest(series: DataFrame, models=("arima", "sarima"), materialize_input: bool = True) -> DataFrame:
     """M5: hold-out scores of every model for every eligible district.
 
-    The frame (districts x months rows) feeds every model and the alignment, so
-    it is materialized once rather than recomputed from the incident scan per use."""
-    frame = materialize(backtest_frame(series))
+    The series (districts x months rows) feeds every model and the alignment, so
+    it is materialized once rather than recomputed from the incident scan per use;
+    pass ``materialize_input=False`` when the caller already did."""
+    frame = backtest_frame(materialize(series) if materialize_input else series)
     fc = run_models(frame, models)
     return error_metrics(align(frame.where(F.col("split") == "test"), fc))
 
@@ -313,28 +324,33 @@ def best_prediction(forecast: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def forecast_table(
-    series: DataFrame, months_ahead: int = 6, models=("arima", "sarima"), district: str | None = None
+    series: DataFrame,
+    months_ahead: int = 6,
+    models=("arima", "sarima"),
+    district: str | None = None,
+    materialize_input: bool = True,
 ) -> DataFrame:
     """M6: one row per (district, month ahead) with a column per model (clamped
     at zero, M4), the best model from the backtest and its value."""
     if district is not None and district != "all":
         series = series.where(F.col("district") == district)
-    series = materialize(series)  # used by the horizon run and by the backtest
+    if materialize_input:
+        series = materialize(series)  # used by the horizon run and by the backtest
     fc = run_models(horizon_frame(series, months_ahead), models)
     fc = fc.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))  # M4
     wide = fc.groupBy("district", "k", "month").pivot("model", list(models)).agg(F.first("yhat"))
-    best = best_model(backtest(series, models))
+    best = best_model(backtest(series, models, materialize_input=False))
     out = wide.join(best.select("district", "best_model"), "district", "left")
     pick = F.coalesce(*[F.when(F.col("best_model") == m, F.col(m)) for m in models])
     return out.withColumn("best_value", pick).withColumn("date", F.date_format("month", "yyyy-MM-dd"))
 
 
-def select_order(series: DataFrame, frac: float = K.TRAIN_FRACTION) -> DataFrame:
+def select_order(series: DataFrame, frac: float = K.TRAIN_FRACTION, materialize_input: bool = True) -> DataFrame:
     """Choose the difference order d in (0, 1) per district.
 
     Both AR(1) fits use the first ``frac`` of the training part; each is scored by
     one-step-ahead MAE on the rest of the training part; ties keep d = 0."""
-    s = materialize(backtest_frame(series))
+    s = backtest_frame(materialize(series) if materialize_input else series)
     s = s.withColumn("t_sel", F.floor(F.col("n_train") * frac).cast("int"))
     w = _w()
     x = s.withColumn("y1", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("y1"))

@@ -160,7 +160,7 @@ def labelled(features: DataFrame) -> DataFrame:
     return rule_risk(features).where(F.col("risk_level").isNotNull())
 
 
-def train_risk(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42):
+def train_risk(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42, materialize_input: bool = True):
     """StringIndexer + VectorAssembler + RandomForestClassifier(100 trees)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -168,7 +168,8 @@ def train_risk(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42)
 
     # One row per district; MLlib makes several passes (indexer, splits, bagging),
     # so the table is materialized once instead of re-aggregating incidents per pass.
-    data = materialize(labelled(features).select("district", *FEATURES, "risk_level"))
+    data = labelled(features).select("district", *FEATURES, "risk_level")
+    data = materialize(data) if materialize_input else data
     stages = [
         StringIndexer(inputCol="risk_level", outputCol="label", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=FEATURES, outputCol="features"),

@@ -57,8 +57,8 @@ def forecast_request(df: DataFrame, district: str = "all", months_ahead: int = 6
     """(b) forecast rows, model scores and the selection record for one district
     (or ``all``). Returns three DataFrames."""
     series = materialize(monthly_series_for(df, district))
-    scores = FC.backtest(series, models)
-    table = FC.forecast_table(series, months_ahead, models)
+    scores = FC.backtest(series, models, materialize_input=False)
+    table = FC.forecast_table(series, months_ahead, models, materialize_input=False)
     return table, scores, FC.model_selection(scores)
 
 
@@ -111,7 +111,7 @@ def retrain(
         out = out.withColumns({"forecast_districts": F.lit(None).cast("long"), "avg_best_mae": F.lit(None).cast("double")})
     if kind in ("risk", "all"):
         feats = materialize(RK.risk_features(df, dim, class_map, ts_col))
-        model = RK.train_risk(feats)
+        model = RK.train_risk(feats, materialize_input=False)
         pred = model.transform(RK.labelled(feats).select("district", *RK.FEATURES, "risk_level"))
         acc = RK.classification_metrics(pred).select(F.col("accuracy").alias("risk_accuracy"))
         out = _attach(out, acc)

@@ -192,15 +192,21 @@ def r_numeric(spark, sf_dir):
     )
 
 
-@register("r_payload")
+@register(
+    "r_payload",
+    """
+select state, to_json(struct_pack(state := state,
+         counts := map_from_entries(list(struct_pack(k := district, v := n) order by district)),
+         points := list(struct_pack(district := district, n := n) order by district))) as payload
+from (select state, district, count(*) as n from incidents_hourly group by 1, 2) t group by state""",
+)
 def r_payload(spark, sf_dir):
-    """R24-R26 (rows-only): per state, a map of district counts, the ordered list of
-    (district, count) points and the JSON payload of both."""
+    """Per state, a map of district counts (R24) and the ordered list of
+    (district, count) points (R25), serialised as one JSON payload (R26)."""
     h = fixtures(spark, sf_dir).incidents_hourly
-    per = A.type_by_district(h).groupBy("district").agg(F.sum("count").alias("n"))
-    st = h.select("district", "state").distinct().join(per, "district")
-    g = st.groupBy("state").agg(map_of("district", "n").alias("counts"), ordered_points("district", "n").alias("points"))
-    return g.withColumn("payload", as_json("state", "counts", "points"))
+    per = h.groupBy("state", "district").agg(F.count(F.lit(1)).alias("n"))
+    g = per.groupBy("state").agg(map_of("district", "n").alias("counts"), ordered_points("district", "n").alias("points"))
+    return g.select("state", as_json("state", "counts", "points").alias("payload"))
 
 
 # ----------------------------------------------------------------- sources ---

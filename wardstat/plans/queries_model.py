@@ -207,12 +207,12 @@ def j3_align(spark, sf_dir):
 )
 def m5_backtest(spark, sf_dir):
     """M5 with A18 (MAE) and A19 (MSE, RMSE) per district and model."""
-    return r6(FC.backtest(_monthly_series(spark, sf_dir)))
+    return r6(FC.backtest(_monthly_series(spark, sf_dir), materialize_input=False))
 
 
 @register("a20_best_model", _BACKTEST_CTES + "select district, best_model, round(best_mae, 6) as best_mae from best")
 def a20_best_model(spark, sf_dir):
-    return r6(FC.best_model(FC.backtest(_monthly_series(spark, sf_dir))))
+    return r6(FC.best_model(FC.backtest(_monthly_series(spark, sf_dir), materialize_input=False)))
 
 
 @register(
@@ -224,7 +224,7 @@ select model, round(avg_mae, 6) as avg_mae, districts,
        model = (select arg_min(model, (avg_mae, model_rank)) from lb) as is_best from lb""",
 )
 def a21_model_leaderboard(spark, sf_dir):
-    return r6(FC.model_leaderboard(FC.backtest(_monthly_series(spark, sf_dir))))
+    return r6(FC.model_leaderboard(FC.backtest(_monthly_series(spark, sf_dir), materialize_input=False)))
 
 
 @register(
@@ -238,7 +238,7 @@ from best b join scores a on a.district = b.district and a.model = 'arima'
             join scores s on s.district = b.district and s.model = 'sarima'""",
 )
 def m7_model_selection(spark, sf_dir):
-    sel = FC.model_selection(FC.backtest(_monthly_series(spark, sf_dir)))
+    sel = FC.model_selection(FC.backtest(_monthly_series(spark, sf_dir), materialize_input=False))
     return r6(
         sel.select(
             "district", "criteria", "best_model", "best_model_mae",
@@ -271,7 +271,7 @@ from wide w left join best b on w.district = b.district""",
 )
 def m6_forecast(spark, sf_dir):
     """M6 with M4 (clamp at zero): 6 months ahead for every eligible district."""
-    return r6(FC.forecast_table(_monthly_series(spark, sf_dir), 6))
+    return r6(FC.forecast_table(_monthly_series(spark, sf_dir), 6, materialize_input=False))
 
 
 @register(
@@ -284,7 +284,7 @@ from hfc f join best b on f.district = b.district and f.model = b.best_model""",
 def j4_best_prediction(spark, sf_dir):
     series = _monthly_series(spark, sf_dir)
     fc = FC.run_models(FC.horizon_frame(series, 6))
-    return r6(FC.best_prediction(fc, FC.best_model(FC.backtest(series))))
+    return r6(FC.best_prediction(fc, FC.best_model(FC.backtest(series, materialize_input=False))))
 
 
 @register(
@@ -292,15 +292,11 @@ def j4_best_prediction(spark, sf_dir):
     _FORECAST_SQL + "select district, k, month, round(arima, 6) as arima, round(sarima, 6) as sarima from wide where k <= 3",
 )
 def l6_head_per_district(spark, sf_dir):
-    wide = FC.forecast_table(_monthly_series(spark, sf_dir), 6).select("district", "k", "month", "arima", "sarima")
+    wide = FC.forecast_table(_monthly_series(spark, sf_dir), 6, materialize_input=False).select("district", "k", "month", "arima", "sarima")
     return r6(head_per_district(wide, 3))
 
 
-@register(
-    "m17_select_order",
-    "with "
-    + _SERIES
-    + """,
+_M17_CTES = """
 o1 as (select *, cast(floor(tt * 0.8e0) as bigint) as tf, lag(y) over (partition by district order by t) as y1 from bt),
 o2 as (select *, y - y1 as dy from o1),
 o3 as (select *, lag(dy) over (partition by district order by t) as dy1 from o2),
@@ -311,17 +307,58 @@ ofit as (select district,
            case when regr_sxx(dy, dy1) > 0 then regr_intercept(dy, dy1) else avg(case when dy1 is not null then dy end) end as c1
          from o3 where t <= tf group by district),
 ev as (select o3.district, avg(abs(y - (c0 + phi0 * y1))) as mae_d0, avg(abs(y - (y1 + c1 + phi1 * dy1))) as mae_d1
-       from o3 join ofit on o3.district = ofit.district where t > tf and t <= tt group by o3.district)
+       from o3 join ofit on o3.district = ofit.district where t > tf and t <= tt group by o3.district)"""
+
+# AR(1) on levels (d = 0) over a frame, CTE names prefixed with {p}.
+_M1_D0_BODY = """
+{p}b1 as (select *, lag(y) over (partition by district order by t) as y1 from {frame}),
+{p}bfit as (select district, {fit}, max_by(y, t) as y_T, max(tt) as tt, max(hh) as hh, max_by(month, t) as m_T
+            from {p}b1 where t <= tt group by district),
+{p}bst as (select *, unnest(generate_series(1, hh)) as k from {p}bfit where hh >= 1),
+{p}ar0 as (select district, 'arima' as model, k, tt + k as t, cast(m_T + to_months(cast(k as integer)) as date) as month,
+       case when abs(1 - phi) < 1e-9 then y_T + c * k else c / (1 - phi) + pow(phi, k) * (y_T - c / (1 - phi)) end as yhat
+from {p}bst)"""
+
+
+@register(
+    "m17_select_order",
+    "with "
+    + _SERIES
+    + ","
+    + _M17_CTES
+    + """
 select district, round(mae_d0, 6) as mae_d0, round(mae_d1, 6) as mae_d1, case when mae_d1 < mae_d0 then 1 else 0 end as d from ev""",
 )
 def m17_select_order(spark, sf_dir):
-    return r6(FC.select_order(_monthly_series(spark, sf_dir)))
+    return r6(FC.select_order(_monthly_series(spark, sf_dir), materialize_input=False))
+
+
+@register(
+    "m1_forecast_selected_order",
+    "with "
+    + _SERIES
+    + ","
+    + _M17_CTES
+    + ","
+    + _models_sql("bt")
+    + ","
+    + _M1_D0_BODY.format(frame="bt", p="", fit=_fit_sql("y", "y1"))
+    + """,
+sel as (select district, case when mae_d1 < mae_d0 then 1 else 0 end as d from ev)
+select f.district, s.d, f.model, f.k, f.t, f.month, round(f.yhat, 6) as yhat
+from (select *, 0 as d from ar0 union all select *, 1 as d from arima) f join sel s on f.district = s.district and f.d = s.d""",
+)
+def m1_forecast_selected_order(spark, sf_dir):
+    """M1 with M17's per-district difference order, over the hold-out horizon."""
+    series = _monthly_series(spark, sf_dir)
+    orders = FC.select_order(series, materialize_input=False)
+    return r6(FC.forecast_ar_selected(FC.backtest_frame(series), orders))
 
 
 @register("m3_forecast_lag_gbt")
 def m3_forecast_lag_gbt(spark, sf_dir):
     """M3 (rows-only): hold-out scores of the pooled lag-GBT model per district."""
-    return FC.backtest(_monthly_series(spark, sf_dir), models=("lstm",))
+    return FC.backtest(_monthly_series(spark, sf_dir), models=("lstm",), materialize_input=False)
 
 
 # -------------------------------------------------------------------- risk ---
@@ -471,7 +508,7 @@ def m9_m11_rule_risk(spark, sf_dir):
 def m12_risk_forest(spark, sf_dir):
     """M12 (rows-only): forest trained on every district's features, then scored."""
     feats = materialize(_features(spark, sf_dir))
-    model = RK.train_risk(feats)
+    model = RK.train_risk(feats, materialize_input=False)
     return RK.predict_risk(model, feats)
 
 
@@ -491,7 +528,7 @@ def m14_cross_validate_risk(spark, sf_dir):
 def a25_classification_metrics(spark, sf_dir):
     """A25 (rows-only): accuracy/precision/recall/F1 of the forest against the rule label."""
     feats = materialize(_features(spark, sf_dir))
-    model = RK.train_risk(feats)
+    model = RK.train_risk(feats, materialize_input=False)
     pred = model.transform(RK.labelled(feats).select("district", *RK.FEATURES, "risk_level"))
     return RK.classification_metrics(pred)
 
@@ -553,7 +590,7 @@ select s.district, s.model, round(s.mae, 6) as mae, printf('%.1f', s.mae) as mae
 from scores s left join best b on s.district = b.district""",
 )
 def m16_chart_model_performance(spark, sf_dir):
-    scores = FC.backtest(_monthly_series(spark, sf_dir))
+    scores = FC.backtest(_monthly_series(spark, sf_dir), materialize_input=False)
     return r6(CH.model_performance_rows(scores, FC.best_model(scores)))
 
 
@@ -567,7 +604,7 @@ from hfc f left join best b on f.district = b.district""",
 def m16_chart_forecast_trend(spark, sf_dir):
     series = _monthly_series(spark, sf_dir)
     fc = FC.run_models(FC.horizon_frame(series, 6))
-    return r6(CH.forecast_trend_rows(fc, FC.best_model(FC.backtest(series))))
+    return r6(CH.forecast_trend_rows(fc, FC.best_model(FC.backtest(series, materialize_input=False))))
 
 
 @register(
