@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from wardstat.operators import forecast as FC
 from wardstat.operators import series as S

@@ -1,7 +1,6 @@
 """Every registered query with an oracle matches DuckDB at sf0.001; rows-only
 queries run and keep their schema. Also checks the driver contract."""
 
-import duckdb
 import pytest
 
 import __spark_entry__ as E

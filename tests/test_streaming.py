@@ -1,6 +1,5 @@
 """Streaming counts equal the batch aggregates once the whole feed is processed."""
 
-from pyspark.sql import functions as F
 
 from wardstat.operators import aggregates as A
 from wardstat.operators.series import monthly_counts

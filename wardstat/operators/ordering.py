@@ -39,17 +39,13 @@ def preview(df: DataFrame, n: int = 5, key: str = "case_no") -> DataFrame:
 
 
 def sample_values(df: DataFrame, cols: Iterable[str], n: int = 10, key: str = "case_no") -> DataFrame:
-    """First n values of each column (as text) in key order; one top-n per column."""
-    parts = [
-        df.orderBy(key).limit(n).select(
-            F.lit(c).alias("column_name"), F.col(key), F.col(c).cast("string").alias("value")
-        )
-        for c in cols
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """First n values of each column (as text) in key order.
+
+    The first n rows are the same for every column, so this is one top-n
+    (``TakeOrderedAndProject``, one scan) followed by an unpivot of n rows."""
+    cols = list(cols)
+    head = df.orderBy(key).limit(n).select(F.col(key), *[F.col(c).cast("string").alias(c) for c in cols])
+    return head.unpivot([key], cols, "column_name", "value")
 
 
 def head_per_district(fc: DataFrame, n: int = 3, order: str = "k") -> DataFrame:

@@ -52,6 +52,24 @@ def span_warning(df: DataFrame, ts_col: str = "ts", days: int = K.SHORT_SPAN_DAY
     return df.agg(span.alias("_s")).select(*_gate("date_span", "*", F.col("_s") >= days, F.col("_s"), days, "warning"))
 
 
+def min_rows_and_span(df: DataFrame, ts_col: str = "ts", n: int = K.MIN_ROWS, days: int = K.SHORT_SPAN_DAYS) -> DataFrame:
+    """G2 + G4 on an already-typed table in one aggregate pass (two gate rows)."""
+    span = F.datediff(F.max(F.to_date(ts_col)), F.min(F.to_date(ts_col)))
+    one = df.agg(F.count(F.lit(1)).alias("_n"), span.alias("_s"))
+    rows = []
+    for check, ok, obs, thr, sev in (
+        ("min_rows", F.col("_n") >= n, F.col("_n"), n, "error"),
+        ("date_span", F.col("_s") >= days, F.col("_s"), days, "warning"),
+    ):
+        rows.append(
+            F.struct(
+                F.lit(check).alias("check"), F.lit("*").alias("subject"), ok.alias("ok"),
+                obs.cast("double").alias("observed"), F.lit(float(thr)).alias("threshold"), F.lit(sev).alias("severity"),
+            )
+        )
+    return one.select(F.inline(F.array(*rows)))
+
+
 def months_per_district(df: DataFrame, ts_col: str = "ts", n: int = K.MIN_MONTHS) -> DataFrame:
     """Months with data per district, at least ``n`` (one row per district)."""
     g = df.where(F.col("district").isNotNull() & F.col(ts_col).isNotNull()).groupBy("district").agg(
@@ -60,15 +78,36 @@ def months_per_district(df: DataFrame, ts_col: str = "ts", n: int = K.MIN_MONTHS
     return g.select(*_gate("min_months", F.col("district"), F.col("_m") >= n, F.col("_m"), n, "warning"))
 
 
-def table_gates(raw: DataFrame, parsed: DataFrame, date_text_col: str = "date", ts_col: str = "ts") -> DataFrame:
-    """G1-G4 as rows (G1 on the raw schema, G3 on the raw text, G2/G4 on parsed rows)."""
+def table_gates(raw: DataFrame, date_text_col: str = "date", min_n: int = K.MIN_ROWS, span_days: int = K.SHORT_SPAN_DAYS) -> DataFrame:
+    """G1-G4 as gate rows from the loaded table, as the retrainer validates it:
+    G1 on the schema, and G2 (rows), G3 (dates parse) and G4 (span) from ONE
+    aggregate pass over the raw rows, emitted as three rows with ``inline``."""
     spark = raw.sparkSession
-    return (
-        required_columns(spark, raw)
-        .unionByName(min_rows(parsed))
-        .unionByName(dates_parse(raw, date_text_col) if date_text_col in raw.columns else min_rows(parsed).limit(0))
-        .unionByName(span_warning(parsed, ts_col))
+    parsed = parse_datetime(date_text_col)
+    one = raw.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col(date_text_col).isNotNull() & parsed.isNull()).alias("_bad"),
+        F.datediff(F.max(F.to_date(parsed)), F.min(F.to_date(parsed))).alias("_span"),
+    )
+
+    def row(check, ok, observed, threshold, severity):
+        return F.struct(
+            F.lit(check).alias("check"), F.lit("*").alias("subject"), ok.alias("ok"),
+            observed.cast("double").alias("observed"), F.lit(float(threshold)).alias("threshold"),
+            F.lit(severity).alias("severity"),
+        )
+
+    n, bad, span = F.col("_n"), F.col("_bad"), F.col("_span")
+    rows = one.select(
+        F.inline(
+            F.array(
+                row("min_rows", n >= min_n, n, min_n, "error"),
+                row("dates_parse", bad == 0, bad, 0, "error"),
+                row("date_span", span >= span_days, span, span_days, "warning"),
+            )
+        )
     )
+    return required_columns(spark, raw).unionByName(rows)
 
 
 def validation_report(gates: DataFrame) -> DataFrame:

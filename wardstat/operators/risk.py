@@ -7,7 +7,7 @@ that runs on one row per district. MLlib trains on that feature table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat import constants as K
@@ -87,8 +87,14 @@ def time_pattern(features: DataFrame) -> DataFrame:
 
 
 def normalise(df: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
-    """``value / sum(value)`` within each ``key`` group."""
-    return df.withColumn(out or value, F.col(value) / F.sum(value).over(Window.partitionBy(key)))
+    """``value / sum(value)`` within each ``key`` group.
+
+    Group totals come from a partial+final aggregate and are joined back on the
+    key; a hot key is then split by AQE's skew-join handling (or the totals are
+    broadcast when AQE measures them small) instead of landing whole in one
+    window task."""
+    tot = df.groupBy(key).agg(F.sum(value).alias("_group_total"))
+    return df.join(tot, key, "inner").withColumn(out or value, F.col(value) / F.col("_group_total")).drop("_group_total")
 
 
 def risk_score(features: DataFrame) -> DataFrame:

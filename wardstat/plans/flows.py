@@ -87,11 +87,7 @@ def retrain(
     if kind not in ("forecast", "risk", "all"):
         raise ValueError("kind must be forecast, risk or all")
     spark = df.sparkSession
-    gates = (
-        G.required_columns(spark, df, ("ts", "district") if ts_col == "ts" else ("date", "district"))
-        .unionByName(G.min_rows(df))
-        .unionByName(G.span_warning(df, ts_col))
-    )
+    gates = G.required_columns(spark, df, (ts_col, "district")).unionByName(G.min_rows_and_span(df, ts_col))
     report = G.validation_report(gates).first()  # one row
     info = training_info(df, ts_col)
     if not report["valid"]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardstat.functions.calendar import with_calendar
 from wardstat.operators import charts as CH
 from wardstat.operators import forecast as FC
 from wardstat.operators import hotspot as HS
