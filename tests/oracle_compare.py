@@ -78,6 +78,30 @@ def rows_of(cols, rows):
     return sorted(tuple(norm(r[i]) for i in order) for r in rows), [cols[i] for i in order]
 
 
+_SPARK_TO_DUCK = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP WITH TIME ZONE",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_mismatches(sdf, con, sql):
+    """Columns whose Spark type does not map to the oracle's DuckDB type."""
+    duck_types = {r[0]: r[1] for r in con.execute(f"describe {sql}").fetchall()}
+    out = []
+    for name, t in sdf.dtypes:
+        want = _SPARK_TO_DUCK.get(t, t.upper())
+        got = duck_types.get(name)
+        if got is not None and got != want:
+            out.append(f"{name}: spark {t} vs duckdb {got}")
+    return out
+
+
 def compare(spark, name, fn, sql, sf_dir, con):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -109,6 +133,10 @@ def compare(spark, name, fn, sql, sf_dir, con):
         if fs and fd and fs != fd:
             out.update(ok=False, why=f"type {c}: {fs} vs {fd}")
             return out
+    tm = type_mismatches(sdf, con, sql)
+    if tm:
+        out.update(ok=False, why=f"types: {tm}")
+        return out
     out["ok"] = True
     return out
 

@@ -195,9 +195,9 @@ def r_numeric(spark, sf_dir):
 @register(
     "r_payload",
     """
-select state, to_json(struct_pack(state := state,
+select state, cast(to_json(struct_pack(state := state,
          counts := map_from_entries(list(struct_pack(k := district, v := n) order by district)),
-         points := list(struct_pack(district := district, n := n) order by district))) as payload
+         points := list(struct_pack(district := district, n := n) order by district))) as varchar) as payload
 from (select state, district, count(*) as n from incidents_hourly group by 1, 2) t group by state""",
 )
 def r_payload(spark, sf_dir):
@@ -373,7 +373,7 @@ def j1_with_severity(spark, sf_dir):
 
 @register(
     "j2_with_district_dim",
-    """select h.case_no, h.district, d.state, d.lat, d.lon, d.population
+    """select h.case_no, h.district, d.state, d.lat, d.lon, cast(d.population as bigint) as population
 from incidents_hourly h left join district_dim d on h.district = d.district""",
 )
 def j2_with_district_dim(spark, sf_dir):
@@ -658,7 +658,7 @@ def g6_validation_report(spark, sf_dir):
 @register(
     "g7_processing_log",
     f"""
-select * from (values
+select step, rows_out, cast(step_no as bigint) as step_no from (values
   ('loaded', (select count(*) from incidents_raw), 1),
   ('dated', (select count(*) from incidents_raw where {parse_sql('date_text')} is not null), 2),
   ('deduplicated', (select count(*) from ({_CLEAN_SQL}) c), 3)) t(step, rows_out, step_no)""",

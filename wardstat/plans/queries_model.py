@@ -326,7 +326,7 @@ from {p}bst)"""
     + ","
     + _M17_CTES
     + """
-select district, round(mae_d0, 6) as mae_d0, round(mae_d1, 6) as mae_d1, case when mae_d1 < mae_d0 then 1 else 0 end as d from ev""",
+select district, round(mae_d0, 6) as mae_d0, round(mae_d1, 6) as mae_d1, cast(case when mae_d1 < mae_d0 then 1 else 0 end as bigint) as d from ev""",
 )
 def m17_select_order(spark, sf_dir):
     return r6(FC.select_order(_monthly_series(spark, sf_dir), materialize_input=False))
@@ -343,7 +343,7 @@ def m17_select_order(spark, sf_dir):
     + ","
     + _M1_D0_BODY.format(frame="bt", p="", fit=_fit_sql("y", "y1"))
     + """,
-sel as (select district, case when mae_d1 < mae_d0 then 1 else 0 end as d from ev)
+sel as (select district, cast(case when mae_d1 < mae_d0 then 1 else 0 end as bigint) as d from ev)
 select f.district, s.d, f.model, f.k, f.t, f.month, round(f.yhat, 6) as yhat
 from (select *, 0 as d from ar0 union all select *, 1 as d from arima) f join sel s on f.district = s.district and f.d = s.d""",
 )

@@ -53,7 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder when it is unset. A cluster without one is an error,
     because a machine-local folder would not survive a lost executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext here; the server's conf names the folder
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            raise RuntimeError("spark.checkpoint.dir is not set on the Spark Connect server")
+        return current
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
