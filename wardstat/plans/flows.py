@@ -43,13 +43,15 @@ def preprocess(raw: DataFrame, ts_col: str = "ts", cache: bool = True) -> tuple[
     return processed, aggs
 
 
-def monthly_series_for(df: DataFrame, district: str = "all", ts_col: str = "ts") -> DataFrame:
-    """Dense monthly series of one district, of ``all`` districts pooled, or of every
-    district (``district=None``)."""
+def monthly_series_for(df: DataFrame, district: str | None = "all", ts_col: str = "ts") -> DataFrame:
+    """Dense monthly series of one district (filter pushed to the scan), of ``all``
+    districts pooled, or of every district (``district=None``)."""
     if district is None:
         counts = S.monthly_counts(df, ts_col)
+    elif district == S.ALL:
+        counts = S.monthly_counts(df.select(F.lit(S.ALL).alias("district"), F.col(ts_col)), ts_col)
     else:
-        counts = S.monthly_series(df, ts_col).where(F.col("district") == district)
+        counts = S.monthly_counts(CL.for_district(df, district), ts_col)
     return S.densify(counts)
 
 

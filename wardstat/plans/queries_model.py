@@ -18,9 +18,11 @@ from wardstat.sources.views import CLASS_MAP
 
 # ------------------------------------------------------------ SQL fragments ---
 # Dense monthly series of the order-backed view, with n, train size tt, test size hh.
-_SERIES = """
+def _series_sql(src: str = "incidents_monthly") -> str:
+    """Dense monthly series of `src` (district, ts), with n, train size tt, test size hh."""
+    return """
 mc as (select district, cast(date_trunc('month', ts) as date) as month, count(*) as crime_count
-       from incidents_monthly where ts is not null and district is not null group by 1, 2),
+       from {src} where ts is not null and district is not null group by 1, 2),
 bounds as (select district, min(month) as m0, max(month) as m1 from mc group by 1),
 cal as (select district, cast(m as date) as month
         from (select district, unnest(generate_series(cast(m0 as timestamp), cast(m1 as timestamp), interval 1 month)) as m
@@ -30,7 +32,10 @@ ser as (select c.district, c.month, cast(coalesce(mc.crime_count, 0) as double)
         from cal c left join mc on c.district = mc.district and c.month = mc.month),
 len as (select *, count(*) over (partition by district) as n from ser),
 bt as (select *, cast(floor(n * 0.8e0) as bigint) as tt, n - cast(floor(n * 0.8e0) as bigint) as hh
-       from len where n >= 24)"""
+       from len where n >= 24)""".format(src=src)
+
+
+_SERIES = _series_sql()
 
 
 def _fit_sql(y: str, x: str) -> str:
@@ -82,7 +87,8 @@ def _models_sql(frame: str, p: str = "") -> str:
     )
 
 
-_BACKTEST_CTES = "with " + _SERIES + "," + _models_sql("bt") + """,
+def _backtest_ctes(series: str = _SERIES) -> str:
+    return "with " + series + "," + _models_sql("bt") + """,
 fc as (select * from arima union all select * from sarima),
 aligned as (select fc.*, bt.y as actual from fc join bt on fc.district = bt.district and fc.t = bt.t),
 scores as (select district, model, avg(abs(actual - yhat)) as mae, avg((actual - yhat) * (actual - yhat)) as mse,
@@ -93,6 +99,9 @@ best as (select district, arg_min(model, (mae, model_rank)) as best_model, min(m
          from ranked where mae is not null and not isnan(mae) group by district)
 """
 
+
+_BACKTEST_CTES = _backtest_ctes()
+
 # Horizon frame: fitted on all n points, 6 months ahead; CTE names prefixed with h.
 _HORIZON_CTES = "hz as (select *, n as tt, 6 as hh from len where n >= 24)," + _models_sql("hz", "h")
 
@@ -248,31 +257,51 @@ def m7_model_selection(spark, sf_dir):
     )
 
 
-_FORECAST_SQL = (
-    _BACKTEST_CTES
-    + ","
-    + _HORIZON_CTES
-    + """,
+def _forecast_sql(series: str = _SERIES) -> str:
+    return (
+        _backtest_ctes(series)
+        + ","
+        + _HORIZON_CTES
+        + """,
 wide as (select a.district, a.k, a.month, greatest(0e0, a.yhat) as arima, greatest(0e0, s.yhat) as sarima
          from harima a join hsarima s on a.district = s.district and a.k = s.k)
 """
-)
+    )
 
 
-@register(
-    "m6_forecast",
-    _FORECAST_SQL
-    + """
+_FORECAST_SQL = _forecast_sql()
+
+_M6_SELECT = """
 select w.district, w.k, w.month, strftime(w.month, '%Y-%m-%d') as date, round(w.arima, 6) as arima,
        round(w.sarima, 6) as sarima, b.best_model,
        round(case b.best_model when 'arima' then w.arima when 'sarima' then w.sarima end, 6) as best_value
-from wide w left join best b on w.district = b.district""",
-)
+from wide w left join best b on w.district = b.district"""
+
+@register("m6_forecast", _FORECAST_SQL + _M6_SELECT)
 def m6_forecast(spark, sf_dir):
     """M6 with M4 (clamp at zero): 6 months ahead for every eligible district."""
     return r6(FC.forecast_table(_monthly_series(spark, sf_dir), 6, materialize_input=False))
 
 
+@register("m6_forecast_all", _forecast_sql(_series_sql("(select 'all' as district, ts from incidents_monthly)")) + _M6_SELECT)
+def m6_forecast_all(spark, sf_dir):
+    """Forecast request for ``all`` districts pooled (6 months ahead)."""
+    m = fixtures(spark, sf_dir).incidents_monthly
+    series = materialize(flows.monthly_series_for(m, "all"))
+    return r6(FC.forecast_table(series, 6, materialize_input=False))
+
+
+@register(
+    "m6_forecast_district",
+    _forecast_sql(_series_sql("(select district, ts from incidents_monthly where district = 'NATION_7')")) + _M6_SELECT,
+)
+def m6_forecast_district(spark, sf_dir):
+    """Forecast request for one district (P8 filter pushed to the scan, 6 months ahead)."""
+    m = fixtures(spark, sf_dir).incidents_monthly
+    series = materialize(flows.monthly_series_for(m, "NATION_7"))
+    return r6(FC.forecast_table(series, 6, materialize_input=False))
+
+
 @register(
     "j4_best_prediction",
     _FORECAST_SQL
