@@ -36,6 +36,9 @@ def get_spark(
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": driver_memory,
+        # Python call-site capture for error messages costs a JVM round trip per
+        # expression while plans are built; production sessions leave it off.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     conf.update(extra or {})
     for k, v in conf.items():
