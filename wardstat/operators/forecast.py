@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wardstat import constants as K
 from wardstat.functions.payload import map_of, selection_note
 from wardstat.operators.series import eligible_series, lag_features, scale, split_series
-from wardstat.session import checkpoint_dir, materialize
+from wardstat.session import materialize
 
 _NEAR_ONE = 1e-9
 _RANK = {m: i for i, m in enumerate(K.MODELS)}
@@ -34,18 +34,50 @@ def _w() -> Window:
     return Window.partitionBy("district").orderBy("t")
 
 
-def guarded_fit(y, x):
+def guarded_fit(y, x, where=None, over: Window | None = None):
     """AR(1) coefficients ``(phi, c)`` of ``y = c + phi * x`` as aggregate expressions.
 
     A constant regressor has no slope (Spark gives NULL, DuckDB NaN): then
-    ``phi = 0`` and ``c = mean(y)`` over the pairs."""
+    ``phi = 0`` and ``c = mean(y)`` over the pairs. ``where`` keeps only the
+    pairs of matching rows; ``over`` evaluates the aggregates over a window
+    instead of a ``groupBy``."""
     y, x = F.col(y), F.col(x)
-    ok = F.regr_sxx(y, x) > 0
-    phi = F.when(ok, F.regr_slope(y, x)).otherwise(F.lit(0.0))
-    c = F.when(ok, F.regr_intercept(y, x)).otherwise(F.avg(F.when(x.isNotNull(), y)))
+    if where is not None:
+        y = F.when(where, y)  # a pair with a NULL side is skipped by every regr_* aggregate
+
+    def agg(e):
+        return e.over(over) if over is not None else e
+
+    ok = agg(F.regr_sxx(y, x)) > 0
+    phi = F.when(ok, agg(F.regr_slope(y, x))).otherwise(F.lit(0.0))
+    c = F.when(ok, agg(F.regr_intercept(y, x))).otherwise(agg(F.avg(F.when(x.isNotNull(), y))))
     return phi, c
 
 
+def ar_diff_yhat(k, phi, c, y_end, dy_end):
+    """M1 (d = 1) k-step forecast in closed form, from columns."""
+    near = F.abs(F.lit(1.0) - phi) < _NEAR_ONE
+    mu = c / (F.lit(1.0) - phi)
+    return F.when(near, y_end + k * dy_end + c * k * (k + 1) / 2.0).otherwise(
+        y_end + mu * k + (dy_end - mu) * phi * (F.lit(1.0) - F.pow(phi, k)) / (F.lit(1.0) - phi)
+    )
+
+
+def seasonal_yhat(k, phi, c, z_end, last_p, period: int = 12):
+    """M2 k-step forecast in closed form, from columns (``last_p``: the last
+    ``period`` fitted points as a sorted array of ``(t, y)``)."""
+    near = F.abs(F.lit(1.0) - phi) < _NEAR_ONE
+    mu = c / (F.lit(1.0) - phi)
+
+    def z_at(m):
+        return F.when(near, z_end + c * m).otherwise(mu + F.pow(phi, m) * (z_end - mu))
+
+    j = F.ceil(k / float(period)).cast("int")
+    base = F.element_at(last_p, k - j * period + period).getField("y")
+    zsum = F.aggregate(F.sequence(F.lit(0), j - 1), F.lit(0.0), lambda acc, i: acc + z_at(k - i * period))
+    return base + zsum
+
+
 def _steps(fit: DataFrame) -> DataFrame:
     """One row per forecast step ``k = 1..H`` of every district."""
     st = fit.where(F.col("h_steps") >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("h_steps").cast("int"))))
@@ -93,9 +125,7 @@ def forecast_ar_diff(s: DataFrame, d: int = 1, model: str = "arima") -> DataFram
     near = F.abs(F.lit(1.0) - phi_c) < _NEAR_ONE
     mu = c_c / (F.lit(1.0) - phi_c)
     if d == 1:
-        yhat = F.when(near, F.col("y_end") + k * F.col("dy_end") + c_c * k * (k + 1) / 2.0).otherwise(
-            F.col("y_end") + mu * k + (F.col("dy_end") - mu) * phi_c * (F.lit(1.0) - F.pow(phi_c, k)) / (F.lit(1.0) - phi_c)
-        )
+        yhat = ar_diff_yhat(k, phi_c, c_c, F.col("y_end"), F.col("dy_end"))
     else:
         yhat = F.when(near, F.col("y_end") + c_c * k).otherwise(mu + F.pow(phi_c, k) * (F.col("y_end") - mu))
     return _finish(st, model, yhat)
@@ -133,19 +163,9 @@ def forecast_seasonal(s: DataFrame, period: int = 12, model: str = "sarima") ->
             *_fit_common(),
         )
     )
-    st = _steps(fit)
-    k, phi_c, c_c, z_end = F.col("k"), F.col("phi"), F.col("c"), F.col("z_end")
-    near = F.abs(F.lit(1.0) - phi_c) < _NEAR_ONE
-    mu = c_c / (F.lit(1.0) - phi_c)
-
-    def z_at(m):
-        return F.when(near, z_end + c_c * m).otherwise(mu + F.pow(phi_c, m) * (z_end - mu))
-
-    j = F.ceil(k / float(period)).cast("int")
-    base = F.element_at(F.col("last_p"), k - j * period + period).getField("y")
-    zsum = F.aggregate(F.sequence(F.lit(0), j - 1), F.lit(0.0), lambda acc, i: acc + z_at(k - i * period))
-    st = st.where(F.size("last_p") == period)  # needs a full season before T
-    return _finish(st, model, base + zsum)
+    st = _steps(fit).where(F.size("last_p") == period)  # needs a full season before T
+    yhat = seasonal_yhat(F.col("k"), F.col("phi"), F.col("c"), F.col("z_end"), F.col("last_p"), period)
+    return _finish(st, model, yhat)
 
 
 def forecast_lag_gbt(
@@ -169,7 +189,7 @@ def forecast_lag_gbt(
 
     lags = [f"l{i}" for i in range(1, look_back + 1)]
     sc = scale(s, "y", fit_rows=F.col("t") <= F.col("t_fit"))
-    lagged = materialize(lag_features(sc, look_back, col="y_s"))  # read by every boosting pass and the roll-forward
+    lagged = materialize(lag_features(sc, look_back, col="y_s"), "gbt-lags")  # read by every boosting pass and the roll-forward
     train = lagged.where((F.col("t") <= F.col("t_fit")) & F.col(lags[-1]).isNotNull())
     pipe = Pipeline(
         stages=[
@@ -186,8 +206,6 @@ def forecast_lag_gbt(
     )
     h_max = state.agg(F.max("h_steps")).first()[0] or 0
     outs = []
-    if h_max and checkpoint_every:
-        checkpoint_dir(s.sparkSession)
     for k in range(1, h_max + 1):
         pred = fitted.transform(state.where(F.col("h_steps") >= k)).withColumn("k", F.lit(k))
         outs.append(
@@ -205,7 +223,7 @@ def forecast_lag_gbt(
             F.col("prediction").alias("l1"), *[F.col(f"l{i}").alias(f"l{i + 1}") for i in range(1, look_back)],
         )
         if checkpoint_every and k % checkpoint_every == 0:
-            state = state.checkpoint(eager=True)
+            state = materialize(state, "gbt-state")
     if not outs:
         return _finish(s.limit(0).withColumn("k", F.lit(0)).withColumn("m_end", F.col("month")), model, F.lit(None).cast("double"))
     out = outs[0]
@@ -214,6 +232,93 @@ def forecast_lag_gbt(
     return out
 
 
+_CLOSED = ("arima", "sarima")
+
+
+def _closed_form_inputs(frame: DataFrame, period: int = 12) -> DataFrame:
+    """Differences of M1 (``dy``, ``dy1``) and M2 (``z``, ``z1``) in one window chain.
+
+    Every window is ``partitionBy('district')``, so the chain (and any aggregate or
+    window on ``district`` after it) runs on a single exchange."""
+    w = _w()
+    x = frame.withColumn("y1", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("y1"))
+    x = x.withColumn("z", F.col("y") - F.lag("y", period).over(w))
+    return x.withColumns({"dy1": F.lag("dy").over(w), "z1": F.lag("z").over(w)})
+
+
+def _closed_form_fit_columns(period: int = 12, over: Window | None = None) -> dict:
+    """Both models' fitted parameters over the rows ``t <= t_fit``, as aggregate
+    expressions (``over=None``, for a ``groupBy('district')``) or window ones."""
+    fit = F.col("t") <= F.col("t_fit")
+    phi_a, c_a = guarded_fit("dy", "dy1", fit, over)
+    phi_s, c_s = guarded_fit("z", "z1", fit, over)
+
+    def agg(e):
+        return e.over(over) if over is not None else e
+
+    def at_end(c):  # value at t = t_fit (series are dense, t = 1..n)
+        return agg(F.max(F.when(F.col("t") == F.col("t_fit"), F.col(c))))
+
+    recent = F.when(fit & (F.col("t") > F.col("t_fit") - period), F.struct(F.col("t"), F.col("y")))
+    return {
+        "phi_a": phi_a, "c_a": c_a, "y_end": at_end("y"), "dy_end": at_end("dy"),
+        "phi_s": phi_s, "c_s": c_s, "z_end": at_end("z"),
+        "last_p": F.sort_array(agg(F.collect_list(recent))),  # at most `period` entries
+    }
+
+
+def _closed_form_yhats(k, period: int = 12) -> dict:
+    """``arima`` and ``sarima`` values at step ``k`` from the fitted columns;
+    ``sarima`` is NULL without a full season before ``t_fit``."""
+    c = F.col
+    return {
+        "arima": ar_diff_yhat(k, c("phi_a"), c("c_a"), c("y_end"), c("dy_end")),
+        "sarima": F.when(F.size("last_p") == period, seasonal_yhat(k, c("phi_s"), c("c_s"), c("z_end"), c("last_p"), period)),
+    }
+
+
+def closed_form_scores(frame: DataFrame, models=_CLOSED, period: int = 12) -> DataFrame:
+    """M5 for M1 and M2 (A18/A19): both models fitted as window aggregates over
+    each district's train rows, every test row scored in place, then one
+    aggregate per district. One exchange on ``district`` for the whole plan:
+    no per-model forecast frame and no join back to the actuals."""
+    wp = Window.partitionBy("district")
+    x = _closed_form_inputs(frame, period)
+    x = x.withColumns(_closed_form_fit_columns(period, wp))
+    test = x.where(F.col("t") > F.col("t_fit"))
+    k = (F.col("t") - F.col("t_fit")).cast("int")
+    test = test.select("district", "y", *[e.alias(m) for m, e in _closed_form_yhats(k, period).items()],
+                       (F.size("last_p") == period).alias("_full"))
+    aggs = []
+    for m in _CLOSED:
+        err = F.col("y") - F.col(m)
+        n = F.count(F.lit(1)) if m == "arima" else F.count(F.when(F.col("_full"), F.lit(1)))
+        aggs += [F.avg(F.abs(err)).alias(f"{m}_mae"), F.avg(err * err).alias(f"{m}_mse"), n.alias(f"{m}_n")]
+    per = test.groupBy("district").agg(*aggs)
+    rows = F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(f"{m}_mae").alias("mae"), F.col(f"{m}_mse").alias("mse"), F.col(f"{m}_n").alias("n_test"))
+        for m in _CLOSED if m in models
+    ])
+    out = per.select("district", F.inline(rows)).where(F.col("n_test") > 0)
+    return out.withColumn("rmse", F.sqrt("mse"))
+
+
+def closed_form_horizon(frame: DataFrame, period: int = 12) -> DataFrame:
+    """M1 and M2 forecasts side by side: one ``groupBy('district')`` fits both
+    models, ``k = 1..H`` is exploded once; rows ``district, k, month, arima, sarima``."""
+    x = _closed_form_inputs(frame, period)
+    at_fit = F.col("t") == F.col("t_fit")
+    fit = x.groupBy("district").agg(
+        *[e.alias(n) for n, e in _closed_form_fit_columns(period).items()],
+        F.max("t_fit").alias("t_fit"), F.max("h_steps").alias("h_steps"), F.max(F.when(at_fit, F.col("month"))).alias("m_end"),
+    )
+    st = _steps(fit)
+    return st.select(
+        "district", "k", F.add_months(F.col("m_end"), F.col("k")).alias("month"),
+        *[e.alias(m) for m, e in _closed_form_yhats(F.col("k"), period).items()],
+    )
+
+
 # --------------------------------------------------------------------------
 def backtest_frame(series: DataFrame, min_points: int = K.MIN_MONTHS, frac: float = K.TRAIN_FRACTION) -> DataFrame:
     """W2 + W1: eligible series with ``T`` = train size and ``H`` = test size."""
@@ -267,8 +372,16 @@ def backtest(series: DataFrame, models=("arima", "sarima"), materialize_input: b
     it is materialized once rather than recomputed from the incident scan per use;
     pass ``materialize_input=False`` when the caller already did."""
     frame = backtest_frame(materialize(series) if materialize_input else series)
-    fc = run_models(frame, models)
-    return error_metrics(align(frame.where(F.col("split") == "test"), fc))
+    closed = [m for m in models if m in _CLOSED]
+    other = [m for m in models if m not in _CLOSED]
+    parts = [closed_form_scores(frame, closed)] if closed else []
+    if other:
+        fc = run_models(frame, other)
+        parts.append(error_metrics(align(frame.where(F.col("split") == "test"), fc)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _rank_col(model_col: str = "model"):
@@ -336,9 +449,13 @@ def forecast_table(
         series = series.where(F.col("district") == district)
     if materialize_input:
         series = materialize(series)  # used by the horizon run and by the backtest
-    fc = run_models(horizon_frame(series, months_ahead), models)
-    fc = fc.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))  # M4
-    wide = fc.groupBy("district", "k", "month").pivot("model", list(models)).agg(F.first("yhat"))
+    if all(m in _CLOSED for m in models):
+        hz = closed_form_horizon(horizon_frame(series, months_ahead))
+        wide = hz.select("district", "k", "month", *[F.greatest(F.lit(0.0), F.col(m)).alias(m) for m in models])  # M4
+    else:
+        fc = run_models(horizon_frame(series, months_ahead), models)
+        fc = fc.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))  # M4
+        wide = fc.groupBy("district", "k", "month").pivot("model", list(models)).agg(F.first("yhat"))
     best = best_model(backtest(series, models, materialize_input=False))
     out = wide.join(best.select("district", "best_model"), "district", "left")
     pick = F.coalesce(*[F.when(F.col("best_model") == m, F.col(m)) for m in models])

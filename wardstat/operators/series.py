@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wardstat import constants as K
 from wardstat.functions.calendar import month_start, padded_id
-from wardstat.session import checkpoint_dir
+from wardstat.session import write_table
 
 ALL = "all"
 
@@ -119,15 +119,14 @@ def with_case_id(df: DataFrame, prefix: str = "CASE_", order=("ts", "case_no"),
     A range-partitioned sort on the full key spreads even a hot timestamp over
     many tasks; each task numbers its rows locally, and a per-partition offset
     (one row per partition, so a bounded broadcast) turns local numbers into
-    global ones. The numbered frame is checkpointed to the shared checkpoint
-    folder so a recomputation after a lost executor sees the same partitions.
+    global ones. The numbered frame is written to the shared checkpoint folder,
+    so a recomputation after a lost executor reads the same numbers.
     """
-    checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in order]
     s = df.orderBy(*keys).withColumns(
         {"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}
     )
-    s = s.checkpoint(eager=True)
+    s = write_table(s, "case-id")
     per = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_i0"))
     wo = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -83,12 +84,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
-    """Write a small, reused intermediate (a series, a feature table) to the shared
-    checkpoint folder and continue from it.
+def materialize(df, name: str = "mat"):
+    """Checkpoint a small, reused intermediate (a series, a feature table) to the
+    shared checkpoint folder and continue from it.
 
     Later plans start from the written rows instead of re-running the scan and
     aggregate that produced them once per use, and a lost executor re-reads the
-    files instead of recomputing the lineage."""
+    files instead of recomputing the lineage. Measured at sf0.1 this beats a
+    Parquet write for district-sized frames (no output-commit protocol); use
+    ``write_table`` for table-sized ones. ``localCheckpoint`` is never used."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df, name: str):
+    """Write a table-sized intermediate as Parquet under the shared checkpoint
+    folder and continue from the files: one columnar, compressed write job, and
+    a file scan that keeps column pruning, filter pushdown and size statistics.
+    The schema is passed back, so reading needs no footer-inference job."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
