@@ -143,3 +143,29 @@ def test_lag_gbt_rolls_forward(spark):
     assert len(out) == 2 * (40 - 32)
     assert all(r["yhat"] is not None and math.isfinite(r["yhat"]) for r in out)
     assert {r["k"] for r in out} == set(range(1, 9))
+
+
+def test_window_scores_equal_forecast_join_path(spark):
+    # the one-pass window scoring must give what explicit forecasts + alignment give
+    s = _series(spark, {"a": _wavy(30), "b": _wavy(79, 40.0, -0.2, 3), "c": [5.0] * 26, "d": _wavy(24, seed=2)})
+    frame = FC.backtest_frame(s)
+    fast = {(r["district"], r["model"]): r for r in FC.closed_form_scores(frame).collect()}
+    fc = FC.run_models(frame, ("arima", "sarima"))
+    slow = {(r["district"], r["model"]): r for r in FC.error_metrics(FC.align(frame.where("split = 'test'"), fc)).collect()}
+    assert fast.keys() == slow.keys()
+    for key, r in slow.items():
+        assert fast[key]["n_test"] == r["n_test"]
+        for m in ("mae", "mse", "rmse"):
+            assert fast[key][m] == pytest.approx(r[m], rel=1e-9, abs=1e-9)
+
+
+def test_wide_horizon_equals_long_models(spark):
+    s = _series(spark, {"a": _wavy(30), "b": _wavy(79, 40.0, -0.2, 3)})
+    frame = FC.horizon_frame(s, 7)
+    wide = {(r["district"], r["k"]): r for r in FC.closed_form_horizon(frame).collect()}
+    long_ = FC.run_models(frame, ("arima", "sarima")).collect()
+    assert len(wide) == 14 and len(long_) == 28
+    for r in long_:
+        w = wide[(r["district"], r["k"])]
+        assert w["month"] == r["month"]
+        assert w[r["model"]] == pytest.approx(r["yhat"], rel=1e-9, abs=1e-9)

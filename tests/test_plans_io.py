@@ -60,6 +60,18 @@ def test_window_chain_shares_one_exchange(spark, fx):
     assert p.count("Exchange hashpartitioning(district") == 1
 
 
+
+def test_backtest_plans_one_exchange(spark, fx):
+    # fit, score and per-district aggregate all reuse the window chain's partitioning
+    series = S.densify(S.monthly_counts(fx.incidents_monthly)).checkpoint(eager=True)
+    bt = FC.backtest(series, materialize_input=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = bt._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert p.count("Exchange ") == 1 and "SortMergeJoin" not in p
+
 def test_publish_versions_and_read_current(spark, fx, tmp_path):
     root = str(tmp_path / "published")
     df = fx.incidents_hourly.select("case_no", "district")
