@@ -221,10 +221,16 @@ def s3_probe(spark, sf_dir):
     return r6(IO.probe(fixtures(spark, sf_dir).incidents_raw))
 
 
-@register("s1_read_incidents")
+@register(
+    "s1_read_incidents",
+    """
+select cast(case_no as varchar) as case_no, date_text as "Date", district_text as "DISTRICT", type_text as "Crime Type",
+       cast(latitude as varchar) as "LAT", cast(longitude as varchar) as "LNG"
+from incidents_raw""",
+)
 def s1_read_incidents(spark, sf_dir):
-    """S1 (rows-only): the raw view written as CSV to the shared scratch folder, read back
-    through the incident reader with its original header names."""
+    """The raw view written as CSV to the shared scratch folder, read back
+    through the incident reader with its original header names (all text)."""
     fx = fixtures(spark, sf_dir)
     path = IO.stage_csv(raw_with_headers(fx), "s1_raw_csv")
     return IO.read_incidents(spark, path, fmt="csv")
@@ -565,9 +571,17 @@ def l4_preview(spark, sf_dir):
     return r6(L.preview(fixtures(spark, sf_dir).incidents_hourly, 5))
 
 
-@register("l5_sample_values")
+@register(
+    "l5_sample_values",
+    """
+with h as (select * from incidents_hourly order by case_no limit 10)
+select case_no, 'ts' as column_name, cast(ts as varchar) as value from h
+union all select case_no, 'year_month', cast(cast(date_trunc('month', ts) as date) as varchar) from h
+union all select case_no, 'month', cast(month(ts) as varchar) from h
+union all select case_no, 'year', cast(year(ts) as varchar) from h""",
+)
 def l5_sample_values(spark, sf_dir):
-    """L5 (rows-only): first 10 values of each date-like column."""
+    """First 10 values (as text) of each date-like column, in key order."""
     f = C.with_calendar(fixtures(spark, sf_dir).incidents_hourly)
     return L.sample_values(f, ["ts", "year_month", "month", "year"], 10)
 

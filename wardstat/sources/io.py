@@ -119,7 +119,12 @@ def load_model(path: str):
 
 
 def stage_csv(df: DataFrame, name: str) -> str:
-    """Write a frame as headed CSV under the shared scratch folder; return the path."""
+    """Write a frame as headed CSV under the shared scratch folder; return the path.
+
+    Spark's CSV writer trims field whitespace by default; the staged file keeps
+    every text exactly (as a pandas-written upload would), so padding reaches the
+    cleaner."""
     path = scratch_path(df.sparkSession, f"{name}-{new_version()}")
-    df.write.mode("overwrite").option("header", True).csv(path)
+    w = df.write.mode("overwrite").option("header", True)
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
