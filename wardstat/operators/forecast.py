@@ -365,15 +365,18 @@ def error_metrics(aligned: DataFrame) -> DataFrame:
     )
 
 
-def backtest(series: DataFrame, models=("arima", "sarima"), materialize_input: bool = True) -> DataFrame:
+def backtest(series: DataFrame, models=("arima", "sarima"), materialize_input: bool | None = None) -> DataFrame:
     """M5: hold-out scores of every model for every eligible district.
 
-    The series (districts x months rows) feeds every model and the alignment, so
-    it is materialized once rather than recomputed from the incident scan per use;
-    pass ``materialize_input=False`` when the caller already did."""
-    frame = backtest_frame(materialize(series) if materialize_input else series)
+    M1 and M2 are scored in one pass over the series (``closed_form_scores``).
+    M3 reads the series several times (training passes, roll-forward, alignment),
+    so by default (``None``) the series is materialized only when M3 is asked for;
+    pass ``False`` when the caller already did."""
     closed = [m for m in models if m in _CLOSED]
     other = [m for m in models if m not in _CLOSED]
+    if materialize_input is None:
+        materialize_input = bool(other)
+    frame = backtest_frame(materialize(series) if materialize_input else series)
     parts = [closed_form_scores(frame, closed)] if closed else []
     if other:
         fc = run_models(frame, other)

@@ -52,12 +52,19 @@ def monthly_series(df: DataFrame, ts_col: str = "ts", all_label: str = ALL) -> D
 def densify(counts: DataFrame, value_col: str = "crime_count") -> DataFrame:
     """Gap-free month calendar per district with zero-filled counts.
 
-    Each district runs from its own first to its last month. Adds ``t`` (1..n)."""
-    bounds = counts.groupBy("district").agg(F.min("month").alias("m0"), F.max("month").alias("m1"))
-    cal = bounds.select("district", F.explode(F.sequence("m0", "m1", F.expr("interval 1 month"))).alias("month"))
-    s = cal.join(counts.select("district", "month", value_col), ["district", "month"], "left")
-    s = s.select("district", "month", F.coalesce(F.col(value_col), F.lit(0)).cast("double").alias("y"))
-    return s.withColumn("t", F.row_number().over(_by_district("month")))
+    Each district runs from its own first to its last month. Adds ``t`` (1..n).
+    Rows only, one window partitioning: every observed month is exploded into
+    itself plus the empty months up to the next observed one (``lead``), so no
+    calendar frame is built and joined back."""
+    w = _by_district("month")
+    nxt = F.lead("month").over(w)
+    x = counts.select("district", "month", F.col(value_col).alias("_v"), nxt.alias("_next"))
+    last = F.coalesce(F.add_months(F.col("_next"), -1), F.col("month"))
+    x = x.select("district", "_v", F.col("month").alias("_obs"),
+                 F.explode(F.sequence(F.col("month"), last, F.expr("interval 1 month"))).alias("month"))
+    y = F.when(F.col("month") == F.col("_obs"), F.coalesce(F.col("_v"), F.lit(0))).otherwise(F.lit(0)).cast("double")
+    s = x.select("district", "month", y.alias("y"))
+    return s.withColumn("t", F.row_number().over(w))
 
 
 def with_length(s: DataFrame) -> DataFrame:
