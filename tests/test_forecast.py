@@ -169,3 +169,16 @@ def test_wide_horizon_equals_long_models(spark):
         w = wide[(r["district"], r["k"])]
         assert w["month"] == r["month"]
         assert w[r["model"]] == pytest.approx(r["yhat"], rel=1e-9, abs=1e-9)
+
+
+def test_one_pass_forecast_table_equals_join_path(spark):
+    s = _series(spark, {"a": _wavy(30), "b": _wavy(79, 40.0, -0.2, 3), "c": [5.0] * 26})
+    fast = {(r["district"], r["k"]): r for r in FC.closed_form_forecast_table(s, 6).collect()}
+    wide = {(r["district"], r["k"]): r for r in FC.closed_form_horizon(FC.horizon_frame(s, 6)).collect()}
+    best = {r["district"]: r["best_model"] for r in FC.best_model(FC.backtest(s)).collect()}
+    assert fast.keys() == wide.keys() and len(fast) == 18
+    for key, r in fast.items():
+        assert r["best_model"] == best[key[0]]
+        for m in ("arima", "sarima"):
+            assert r[m] == pytest.approx(max(0.0, wide[key][m]), rel=1e-9, abs=1e-9)
+        assert r["best_value"] == r[r["best_model"]]

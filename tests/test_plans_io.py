@@ -72,6 +72,17 @@ def test_backtest_plans_one_exchange(spark, fx):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert p.count("Exchange ") == 1 and "SortMergeJoin" not in p
 
+
+def test_forecast_table_plans_one_exchange(spark, fx):
+    series = S.densify(S.monthly_counts(fx.incidents_monthly)).checkpoint(eager=True)
+    ft = FC.forecast_table(series, 6, materialize_input=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = ft._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert p.count("Exchange ") == 1 and "Join" not in p
+
 def test_publish_versions_and_read_current(spark, fx, tmp_path):
     root = str(tmp_path / "published")
     df = fx.incidents_hourly.select("case_no", "district")

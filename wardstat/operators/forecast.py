@@ -439,26 +439,74 @@ def best_prediction(forecast: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
+def closed_form_forecast_table(series: DataFrame, months_ahead: int = 6, models=_CLOSED, period: int = 12) -> DataFrame:
+    """M6 for M1/M2 in one pass over the series.
+
+    One window chain on ``district`` carries the hold-out fit (train rows) as
+    window aggregates and scores the test rows in place; a single
+    ``groupBy('district')`` on the same partitioning then fits the full history
+    and averages each model's hold-out error, picks the best model (lowest MAE,
+    ties in arima, sarima order) and ``k = 1..months_ahead`` is exploded. One
+    exchange, no join between a forecast and a backtest plan."""
+    wp = Window.partitionBy("district")
+    x = _closed_form_inputs(backtest_frame(series), period)
+    x = x.withColumns(_closed_form_fit_columns(period, wp))  # hold-out fit: t <= n_train
+    k_test = (F.col("t") - F.col("t_fit")).cast("int")
+    test = F.col("t") > F.col("t_fit")
+    x = x.select(
+        "district", "month", "t", "y", "n", "dy", "dy1", "z", "z1",
+        *[F.when(test, e).alias(f"_bt_{m}") for m, e in _closed_form_yhats(k_test, period).items()],
+        (test & (F.size("last_p") == period)).alias("_bt_full"), test.alias("_bt_test"),
+    )
+    x = x.withColumns({"t_fit": F.col("n"), "h_steps": F.lit(months_ahead)})  # full-history fit
+    at_fit = F.col("t") == F.col("t_fit")
+    maes = {}
+    for m in _CLOSED:
+        n_ok = F.count(F.when(F.col("_bt_test") if m == "arima" else F.col("_bt_full"), F.lit(1)))
+        maes[f"_mae_{m}"] = F.when(n_ok > 0, F.avg(F.abs(F.col("y") - F.col(f"_bt_{m}"))))
+    fit = x.groupBy("district").agg(
+        *[e.alias(n) for n, e in _closed_form_fit_columns(period).items()],
+        *[e.alias(n) for n, e in maes.items()],
+        F.max("t_fit").alias("t_fit"), F.max("h_steps").alias("h_steps"), F.max(F.when(at_fit, F.col("month"))).alias("m_end"),
+    )
+    cands = F.array(*[F.struct(F.col(f"_mae_{m}").alias("mae"), F.lit(_RANK[m]).alias("rank"), F.lit(m).alias("model")) for m in models])
+    valid = F.filter(cands, lambda c: c.getField("mae").isNotNull() & ~F.isnan(c.getField("mae")))
+    fit = fit.withColumn("best_model", F.array_min(valid).getField("model"))
+    st = _steps(fit)
+    yh = _closed_form_yhats(F.col("k"), period)
+    out = st.select(
+        "district", "k", F.add_months(F.col("m_end"), F.col("k")).alias("month"),
+        *[F.greatest(F.lit(0.0), yh[m]).alias(m) for m in models],  # M4
+        "best_model",
+    )
+    pick = F.coalesce(*[F.when(F.col("best_model") == m, F.col(m)) for m in models])
+    return out.withColumn("best_value", pick).withColumn("date", F.date_format("month", "yyyy-MM-dd"))
+
+
 def forecast_table(
     series: DataFrame,
     months_ahead: int = 6,
     models=("arima", "sarima"),
     district: str | None = None,
-    materialize_input: bool = True,
+    materialize_input: bool | None = None,
 ) -> DataFrame:
     """M6: one row per (district, month ahead) with a column per model (clamped
-    at zero, M4), the best model from the backtest and its value."""
+    at zero, M4), the best model from the backtest and its value.
+
+    M1/M2 only: one pass (``closed_form_forecast_table``). With M3 the series is
+    read by the horizon run, the backtest and the training passes, so by default
+    (``None``) it is materialized then."""
     if district is not None and district != "all":
         series = series.where(F.col("district") == district)
-    if materialize_input:
-        series = materialize(series)  # used by the horizon run and by the backtest
     if all(m in _CLOSED for m in models):
-        hz = closed_form_horizon(horizon_frame(series, months_ahead))
-        wide = hz.select("district", "k", "month", *[F.greatest(F.lit(0.0), F.col(m)).alias(m) for m in models])  # M4
-    else:
-        fc = run_models(horizon_frame(series, months_ahead), models)
-        fc = fc.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))  # M4
-        wide = fc.groupBy("district", "k", "month").pivot("model", list(models)).agg(F.first("yhat"))
+        if materialize_input:
+            series = materialize(series)
+        return closed_form_forecast_table(series, months_ahead, models)
+    if materialize_input or materialize_input is None:
+        series = materialize(series)  # used by the horizon run and by the backtest
+    fc = run_models(horizon_frame(series, months_ahead), models)
+    fc = fc.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))  # M4
+    wide = fc.groupBy("district", "k", "month").pivot("model", list(models)).agg(F.first("yhat"))
     best = best_model(backtest(series, models, materialize_input=False))
     out = wide.join(best.select("district", "best_model"), "district", "left")
     pick = F.coalesce(*[F.when(F.col("best_model") == m, F.col(m)) for m in models])

@@ -283,14 +283,14 @@ from wide w left join best b on w.district = b.district"""
 @register("m6_forecast", _FORECAST_SQL + _M6_SELECT)
 def m6_forecast(spark, sf_dir):
     """M6 with M4 (clamp at zero): 6 months ahead for every eligible district."""
-    return r6(FC.forecast_table(_monthly_series(spark, sf_dir), 6, materialize_input=False))
+    return r6(FC.forecast_table(_monthly_series(spark, sf_dir, reused=False), 6, materialize_input=False))
 
 
 @register("m6_forecast_all", _forecast_sql(_series_sql("(select 'all' as district, ts from incidents_monthly)")) + _M6_SELECT)
 def m6_forecast_all(spark, sf_dir):
     """Forecast request for ``all`` districts pooled (6 months ahead)."""
     m = fixtures(spark, sf_dir).incidents_monthly
-    series = materialize(flows.monthly_series_for(m, "all"))
+    series = flows.monthly_series_for(m, "all")
     return r6(FC.forecast_table(series, 6, materialize_input=False))
 
 
@@ -301,7 +301,7 @@ def m6_forecast_all(spark, sf_dir):
 def m6_forecast_district(spark, sf_dir):
     """Forecast request for one district (P8 filter pushed to the scan, 6 months ahead)."""
     m = fixtures(spark, sf_dir).incidents_monthly
-    series = materialize(flows.monthly_series_for(m, "NATION_7"))
+    series = flows.monthly_series_for(m, "NATION_7")
     return r6(FC.forecast_table(series, 6, materialize_input=False))
 
 
@@ -323,7 +323,7 @@ def j4_best_prediction(spark, sf_dir):
     _FORECAST_SQL + "select district, k, month, round(arima, 6) as arima, round(sarima, 6) as sarima from wide where k <= 3",
 )
 def l6_head_per_district(spark, sf_dir):
-    wide = FC.forecast_table(_monthly_series(spark, sf_dir), 6, materialize_input=False).select("district", "k", "month", "arima", "sarima")
+    wide = FC.forecast_table(_monthly_series(spark, sf_dir, reused=False), 6, materialize_input=False).select("district", "k", "month", "arima", "sarima")
     return r6(head_per_district(wide, 3))
 
 
