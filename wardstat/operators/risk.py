@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from wardstat import constants as K
 from wardstat.functions.calendar import is_weekend
 from wardstat.functions.numeric import clamp
-from wardstat.operators.lookups import small_side_join
 from wardstat.session import materialize
 
 FEATURES = [name for name, _ in K.RISK_FEATURES]
@@ -47,7 +46,9 @@ def risk_features(df: DataFrame, dim: DataFrame | None = None, class_map: dict |
         )
     )
     if dim is not None and "population" in dim.columns:
-        feats = small_side_join(feats, dim.select("district", "population"), "district", "left")
+        # Both sides hold one row per district and ``feats`` is already hash-partitioned
+        # on it: a plain equi-join, no broadcast hint and no size-check job.
+        feats = feats.join(dim.select("district", "population"), "district", "left")
         rate = F.when(F.col("population") > 0, F.col("total_crimes") * 1000.0 / F.col("population"))
         feats = feats.withColumn("crime_rate", rate).drop("population")
     else:
