@@ -7,6 +7,7 @@ rows; ``tests/test_views.py`` checks it.
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,6 +25,15 @@ SEVERITY_ROWS = (("error", "High"), ("purchase", "Medium"), ("click", "Low"), ("
 CLASS_MAP = {"violent": ("error",), "property": ("purchase",), "drug": ("signup",)}
 
 
+# Resolved driver tables per live session (weak: a stopped, dropped session frees them).
+_SESSION_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
+def refresh_tables(spark: SparkSession) -> None:
+    """Forget the resolved tables of ``spark`` (new files are listed on next use)."""
+    _SESSION_TABLES.pop(spark, None)
+
+
 @dataclass
 class Fixtures:
     """Lazy fixture views for one scale-factor folder."""
@@ -32,7 +42,14 @@ class Fixtures:
     sf_dir: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The driver table ``name``, resolved once per session (listing and
+        footer schema), as a catalog table would be; later calls reuse the
+        relation. ``refresh_tables`` forgets them when files change."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        tables = _SESSION_TABLES.setdefault(self.spark, {})
+        if path not in tables:
+            tables[path] = self.spark.read.parquet(path)
+        return tables[path]
 
     @cached_property
     def incidents_hourly(self) -> DataFrame:
