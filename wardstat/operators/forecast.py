@@ -513,22 +513,23 @@ def forecast_table(
     return out.withColumn("best_value", pick).withColumn("date", F.date_format("month", "yyyy-MM-dd"))
 
 
-def select_order(series: DataFrame, frac: float = K.TRAIN_FRACTION, materialize_input: bool = True) -> DataFrame:
+def select_order(series: DataFrame, frac: float = K.TRAIN_FRACTION, materialize_input: bool = False) -> DataFrame:
     """Choose the difference order d in (0, 1) per district.
 
     Both AR(1) fits use the first ``frac`` of the training part; each is scored by
-    one-step-ahead MAE on the rest of the training part; ties keep d = 0."""
+    one-step-ahead MAE on the rest of the training part; ties keep d = 0. The
+    fits are window aggregates over each district's selection rows, so fitting,
+    scoring and the per-district average share one exchange (no join back)."""
     s = backtest_frame(materialize(series) if materialize_input else series)
     s = s.withColumn("t_sel", F.floor(F.col("n_train") * frac).cast("int"))
-    w = _w()
+    w, wp = _w(), Window.partitionBy("district")
     x = s.withColumn("y1", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("y1"))
     x = x.withColumn("dy1", F.lag("dy").over(w))
-    phi0, c0 = guarded_fit("y", "y1")
-    phi1, c1 = guarded_fit("dy", "dy1")
-    fit = x.where(F.col("t") <= F.col("t_sel")).groupBy("district").agg(
-        phi0.alias("phi0"), c0.alias("c0"), phi1.alias("phi1"), c1.alias("c1")
-    )
-    ev = x.where((F.col("t") > F.col("t_sel")) & (F.col("t") <= F.col("n_train"))).join(fit, "district")
+    sel = F.col("t") <= F.col("t_sel")
+    phi0, c0 = guarded_fit("y", "y1", sel, wp)
+    phi1, c1 = guarded_fit("dy", "dy1", sel, wp)
+    x = x.withColumns({"phi0": phi0, "c0": c0, "phi1": phi1, "c1": c1})
+    ev = x.where((F.col("t") > F.col("t_sel")) & (F.col("t") <= F.col("n_train")))
     p0 = F.col("c0") + F.col("phi0") * F.col("y1")
     p1 = F.col("y1") + F.col("c1") + F.col("phi1") * F.col("dy1")
     sc = ev.groupBy("district").agg(

@@ -361,7 +361,7 @@ from {p}bst)"""
 select district, round(mae_d0, 6) as mae_d0, round(mae_d1, 6) as mae_d1, cast(case when mae_d1 < mae_d0 then 1 else 0 end as bigint) as d from ev""",
 )
 def m17_select_order(spark, sf_dir):
-    return r6(FC.select_order(_monthly_series(spark, sf_dir), materialize_input=False))
+    return r6(FC.select_order(_monthly_series(spark, sf_dir, reused=False)))
 
 
 @register(
