@@ -32,6 +32,19 @@ def forecast_trend_rows(forecast_long: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
+def trend_rows_from_table(table: DataFrame, models=("arima", "sarima")) -> DataFrame:
+    """``forecast_trend_rows`` from the wide M6 table (values already clamped, best
+    model already on each row): an unpivot, no join."""
+    long_ = table.unpivot(["district", "month", "best_model"], list(models), "model", "value")
+    return long_.select(
+        "district",
+        "month",
+        F.upper("model").alias("series"),
+        F.col("value").cast("double").alias("value"),
+        (F.col("model") == F.col("best_model")).alias("is_best"),
+    )
+
+
 def parameter_rows(features: DataFrame) -> DataFrame:
     """The 8 risk parameters with their display labels."""
     return feature_long(features, labels=True)

@@ -633,9 +633,9 @@ select f.district, f.month, upper(f.model) as series, round(greatest(0e0, f.yhat
 from hfc f left join best b on f.district = b.district""",
 )
 def m16_chart_forecast_trend(spark, sf_dir):
-    series = _monthly_series(spark, sf_dir)
-    fc = FC.run_models(FC.horizon_frame(series, 6))
-    return r6(CH.forecast_trend_rows(fc, FC.best_model(FC.backtest(series, materialize_input=False))))
+    """Trend chart rows from the one-pass forecast table (M6)."""
+    table = FC.forecast_table(_monthly_series(spark, sf_dir, reused=False), 6, materialize_input=False)
+    return r6(CH.trend_rows_from_table(table))
 
 
 @register(
