@@ -94,6 +94,9 @@ def test_publish_versions_and_read_current(spark, fx, tmp_path):
     assert "version" not in cur.columns
     p = cur._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(version" in p
+    # the newest version comes from the small _versions table, hidden from the data read
+    assert sorted(r[0] for r in spark.read.parquet(root + "/_versions").collect()) == [v1, v2]
+    assert sorted(r[0] for r in spark.read.parquet(root).select("version").distinct().collect()) == [v1, v2]
 
 
 def test_writers_and_probe(spark, fx, tmp_path):

@@ -86,17 +86,31 @@ def new_version() -> str:
     return _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
 
 
+def _versions_path(root: str) -> str:
+    # "_"-prefixed folders are hidden from Spark's file listing, so the data read of
+    # ``root`` never sees this table.
+    return f"{root.rstrip('/')}/_versions"
+
+
 def publish(df: DataFrame, root: str, version: str | None = None) -> str:
     """Append the dataset as a new ``version=`` partition; older versions stay
-    as backups and nothing is overwritten."""
+    as backups and nothing is overwritten. After the data is committed, one row is
+    appended to the ``_versions`` table, so a reader never sees an unfinished version."""
     v = version or new_version()
     df.withColumn("version", F.lit(v)).write.mode("append").partitionBy("version").parquet(root)
+    spark = df.sparkSession
+    spark.createDataFrame([(v,)], "version string").write.mode("append").parquet(_versions_path(root))
     return v
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """Newest published version (reads only the partition column)."""
-    row = spark.read.parquet(root).select("version").agg(F.max("version")).first()
+    """Newest published version, from the one-row-per-version ``_versions`` table
+    (a partition-column scan would read the footer of every file of every version)."""
+    try:
+        vs = spark.read.schema("version string").parquet(_versions_path(root))
+    except Exception:  # published before the table existed: fall back to the partitions
+        vs = spark.read.parquet(root).select("version")
+    row = vs.agg(F.max("version")).first()
     return row[0] if row else None
 
 
