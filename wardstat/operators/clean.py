@@ -87,16 +87,32 @@ def type_matches(df: DataFrame, pattern: str, col: str = "crime_type") -> DataFr
     return df.where(F.col(col).rlike(pattern))
 
 
+def column_report(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+    """Rows ``ordinal, column_name, data_type, nullable, non_null`` for ``cols``
+    (default: every column). The names and types come from the schema; the
+    non-null counts from one aggregate pass over the table (partial counts per
+    task, one row after the exchange), unpacked into one row per column."""
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if cols is None or f.name in set(cols)]
+    counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_n{i}") for i, f in fields])
+    rows = F.array(*[
+        F.struct(
+            F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.lit(f.nullable).alias("nullable"), F.col(f"_n{i}").alias("non_null"),
+        )
+        for i, f in fields
+    ])
+    return counts.select(F.inline(rows))
+
+
 def date_like_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Columns whose name mentions date, month or year (metadata rows)."""
-    rows = [(i, c) for i, c in enumerate(df.columns) if any(k in c.lower() for k in ("date", "month", "year"))]
-    return spark.createDataFrame(rows, "ordinal int, column_name string")
+    """Columns whose name mentions date, month or year, with their non-null counts."""
+    names = [c for c in df.columns if any(k in c.lower() for k in ("date", "month", "year"))]
+    return column_report(df, names).select("ordinal", "column_name", "non_null")
 
 
 def describe_schema(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Name, type and position of every column (metadata rows)."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "ordinal int, column_name string, data_type string, nullable boolean")
+    """Name, type, nullability and position of every column, with its non-null count."""
+    return column_report(df)
 
 
 def dedup(df: DataFrame) -> DataFrame:

@@ -319,10 +319,17 @@ def p10_type_matches(spark, sf_dir):
     return r6(CL.type_matches(h, "click|view").groupBy("crime_type").agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("p11_date_like_columns")
+@register(
+    "p11_date_like_columns",
+    """
+select cast(7 as bigint) as ordinal, 'year' as column_name, count(year(ts)) as non_null from incidents_hourly
+union all select 8, 'month', count(month(ts)) from incidents_hourly
+union all select 13, 'month_name', count(monthname(ts)) from incidents_hourly
+union all select 14, 'year_month', count(date_trunc('month', ts)) from incidents_hourly""",
+)
 def p11_date_like_columns(spark, sf_dir):
-    """P11 (rows-only): date-like columns of the processed incident table."""
-    return CL.date_like_columns(spark, C.with_calendar(fixtures(spark, sf_dir).incidents_hourly))
+    """Date-like columns of the processed incident table, with non-null counts."""
+    return r6(CL.date_like_columns(spark, C.with_calendar(fixtures(spark, sf_dir).incidents_hourly)))
 
 
 @register(
@@ -338,10 +345,20 @@ def p12_season(spark, sf_dir):
     return r6(m.select(F.month("ts").alias("month")).distinct().withColumn("season", C.season("month")))
 
 
-@register("p15_describe_schema")
+@register(
+    "p15_describe_schema",
+    """
+select cast(0 as bigint) as ordinal, 'case_no' as column_name, 'bigint' as data_type, true as nullable, count(case_no) as non_null
+from incidents_raw
+union all select 1, 'date_text', 'string', true, count(date_text) from incidents_raw
+union all select 2, 'district_text', 'string', true, count(district_text) from incidents_raw
+union all select 3, 'type_text', 'string', true, count(type_text) from incidents_raw
+union all select 4, 'latitude', 'double', true, count(latitude) from incidents_raw
+union all select 5, 'longitude', 'double', true, count(longitude) from incidents_raw""",
+)
 def p15_describe_schema(spark, sf_dir):
-    """P15 (rows-only): schema report of the raw incident view."""
-    return CL.describe_schema(spark, fixtures(spark, sf_dir).incidents_raw)
+    """Schema report of the raw incident view, with non-null counts."""
+    return r6(CL.describe_schema(spark, fixtures(spark, sf_dir).incidents_raw))
 
 
 @register("e1_dedup", """select distinct * from incidents_raw""")
