@@ -182,3 +182,16 @@ def test_one_pass_forecast_table_equals_join_path(spark):
         for m in ("arima", "sarima"):
             assert r[m] == pytest.approx(max(0.0, wide[key][m]), rel=1e-9, abs=1e-9)
         assert r["best_value"] == r[r["best_model"]]
+
+
+def test_window_scores_short_series_drop_seasonal_like_join_path(spark):
+    # 14 points -> 11 train points: no full season before t_fit, so M2 gives no rows
+    s = _series(spark, {"a": _wavy(14), "b": _wavy(40, seed=4)})
+    frame = FC.backtest_frame(s, min_points=10)
+    fast = {(r["district"], r["model"]): r for r in FC.closed_form_scores(frame).collect()}
+    fc = FC.run_models(frame, ("arima", "sarima"))
+    slow = {(r["district"], r["model"]): r for r in FC.error_metrics(FC.align(frame.where("split = 'test'"), fc)).collect()}
+    assert fast.keys() == slow.keys() and ("a", "sarima") not in fast
+    for key, r in slow.items():
+        assert fast[key]["n_test"] == r["n_test"]
+        assert fast[key]["mae"] == pytest.approx(r["mae"], rel=1e-9, abs=1e-9)
