@@ -147,7 +147,7 @@ def main(argv):
     from wardstat import get_spark
     import __spark_entry__ as E
 
-    spark = get_spark("local[8]")
+    spark = get_spark("local[8]", shuffle_partitions=8, driver_memory="8g")
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0

@@ -13,22 +13,25 @@ _LOCAL_PREFIXES = ("local",)
 
 def get_spark(
     master: str | None = None,
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     app_name: str = "wardstat",
-    driver_memory: str = "8g",
+    driver_memory: str | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
     """Build (or reuse) a session with the settings the library assumes.
 
-    On a cluster, pass ``master=None`` and let ``spark-submit`` decide; the
-    shuffle partition count should then be sized to the data (roughly
-    input bytes / 128 MB), AQE coalesces small ones at run time.
+    Only the settings the library's semantics need are forced (UTC session zone,
+    AQE with coalescing and skew-join splitting). Sizing is left to the cluster:
+    builder options override ``spark-submit``, so the shuffle partition count and
+    driver memory are set only when passed (tests and the local bench do). On a
+    cluster, size ``spark.sql.shuffle.partitions`` to roughly input bytes /
+    128 MB; AQE coalesces the small ones at run time but never splits a
+    partition of an aggregate, so too few partitions cannot be repaired later.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -36,11 +39,14 @@ def get_spark(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": driver_memory,
         # Python call-site capture for error messages costs a JVM round trip per
         # expression while plans are built; production sessions leave it off.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory is not None:
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
