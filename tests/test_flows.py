@@ -33,6 +33,23 @@ def test_preprocess_flow(spark):
         processed.unpersist()
 
 
+
+def test_preprocess_flow_written_table(spark, tmp_path):
+    fx = Fixtures(spark, SF)
+    raw = fx.incidents_raw.withColumnsRenamed({"date_text": "Date", "district_text": "District", "type_text": "Crime_Type"})
+    cached, aggs_c = flows.preprocess(raw)
+    written, aggs_w = flows.preprocess(raw, out_dir=str(tmp_path / "out"))
+    try:
+        assert written.dtypes == cached.dtypes
+        for name in aggs_c:
+            a = sorted(map(tuple, aggs_c[name].collect()))
+            b = sorted(map(tuple, aggs_w[name].collect()))
+            assert a == b, name
+        p = aggs_w["crime_type_district"]._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<district:string,crime_type:string>" in p  # only its columns are read
+    finally:
+        cached.unpersist()
+
 def _check_request(table, scores, selection, months_ahead):
     rows = table.collect()
     assert len(rows) == months_ahead

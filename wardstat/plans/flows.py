@@ -24,16 +24,27 @@ from wardstat.operators import quality as G
 from wardstat.operators import risk as RK
 from wardstat.operators import series as S
 from wardstat.session import materialize
+from wardstat.sources import io as IO
 
 
-def preprocess(raw: DataFrame, ts_col: str = "ts", cache: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
+def preprocess(
+    raw: DataFrame, ts_col: str = "ts", cache: bool = True, out_dir: str | None = None
+) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(a) cleaning flow + features; returns the processed table and the
     ``monthly_district``, ``daily`` and ``crime_type_district`` aggregates.
 
-    The processed table feeds three aggregates, so it is cached once (the scan,
-    parse and dedup run once instead of three times)."""
+    The processed table feeds three aggregates. With ``out_dir`` (a shared folder)
+    it is written there as Parquet partitioned by year (S4, as the original saves
+    it) and the aggregates read the files: each scans only its own columns, and a
+    lost executor costs a re-read, not a re-clean. Without it the table is cached
+    once (``cache=True``), so scan, parse and dedup still run once, not three times."""
     processed = with_calendar(CL.clean_incidents(raw, ts_col=ts_col), ts_col)
-    if cache:
+    if out_dir is not None:
+        path = f"{out_dir.rstrip('/')}/processed"
+        IO.write_processed(processed, path)
+        cols = processed.columns  # the partition column comes back last; keep the original order
+        processed = processed.sparkSession.read.schema(processed.schema).parquet(path).select(*cols)
+    elif cache:
         processed = processed.cache()
     aggs = {
         "monthly_district": A.monthly_district(processed),
