@@ -195,3 +195,15 @@ def test_window_scores_short_series_drop_seasonal_like_join_path(spark):
     for key, r in slow.items():
         assert fast[key]["n_test"] == r["n_test"]
         assert fast[key]["mae"] == pytest.approx(r["mae"], rel=1e-9, abs=1e-9)
+
+
+def test_auto_order_equals_select_then_forecast(spark):
+    s = _series(spark, {"a": _wavy(30), "b": [10.0 + 3 * t for t in range(40)], "c": _wavy(79, 40.0, -0.2, 3)})
+    frame = FC.backtest_frame(s)
+    fast = {(r["district"], r["k"]): r for r in FC.forecast_ar_auto_order(frame).collect()}
+    slow = FC.forecast_ar_selected(frame, FC.select_order(s)).collect()
+    assert len(fast) == len(slow) > 0
+    for r in slow:
+        f = fast[(r["district"], r["k"])]
+        assert (f["d"], f["t"], f["month"]) == (r["d"], r["t"], r["month"])
+        assert f["yhat"] == pytest.approx(r["yhat"], rel=1e-9, abs=1e-9)

@@ -63,6 +63,13 @@ def ar_diff_yhat(k, phi, c, y_end, dy_end):
     )
 
 
+def ar_level_yhat(k, phi, c, y_end):
+    """M1 (d = 0) k-step forecast in closed form, from columns."""
+    near = F.abs(F.lit(1.0) - phi) < _NEAR_ONE
+    mu = c / (F.lit(1.0) - phi)
+    return F.when(near, y_end + c * k).otherwise(mu + F.pow(phi, k) * (y_end - mu))
+
+
 def seasonal_yhat(k, phi, c, z_end, last_p, period: int = 12):
     """M2 k-step forecast in closed form, from columns (``last_p``: the last
     ``period`` fitted points as a sorted array of ``(t, y)``)."""
@@ -127,7 +134,7 @@ def forecast_ar_diff(s: DataFrame, d: int = 1, model: str = "arima") -> DataFram
     if d == 1:
         yhat = ar_diff_yhat(k, phi_c, c_c, F.col("y_end"), F.col("dy_end"))
     else:
-        yhat = F.when(near, F.col("y_end") + c_c * k).otherwise(mu + F.pow(phi_c, k) * (F.col("y_end") - mu))
+        yhat = ar_level_yhat(k, phi_c, c_c, F.col("y_end"))
     return _finish(st, model, yhat)
 
 
@@ -141,6 +148,46 @@ def forecast_ar_selected(s: DataFrame, orders: DataFrame, model: str = "arima")
     return f0.unionByName(f1).join(orders.select("district", "d"), ["district", "d"], "inner")
 
 
+
+def forecast_ar_auto_order(frame: DataFrame, frac: float = K.TRAIN_FRACTION, model: str = "arima") -> DataFrame:
+    """M1 with M17's order choice in one pass; rows ``district, d, model, k, t, month, yhat``.
+
+    The selection fits (first ``frac`` of the fitted points) are window aggregates
+    and score the rest of the fitted points in place; one ``groupBy('district')``
+    then averages both one-step errors, fits both orders on every fitted point and
+    keeps d = 1 only when it is strictly better. Same result as ``select_order``
+    followed by ``forecast_ar_selected``, on one exchange and without a join."""
+    w, wp = _w(), Window.partitionBy("district")
+    x = frame.withColumn("y1", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("y1"))
+    x = x.withColumns({"dy1": F.lag("dy").over(w), "t_sel": F.floor(F.col("t_fit") * frac).cast("int")})
+    sel = F.col("t") <= F.col("t_sel")
+    p0s, c0s = guarded_fit("y", "y1", sel, wp)
+    p1s, c1s = guarded_fit("dy", "dy1", sel, wp)
+    x = x.withColumns({"_p0s": p0s, "_c0s": c0s, "_p1s": p1s, "_c1s": c1s})
+    ev = (F.col("t") > F.col("t_sel")) & (F.col("t") <= F.col("t_fit"))
+    e0 = F.when(ev, F.abs(F.col("y") - (F.col("_c0s") + F.col("_p0s") * F.col("y1"))))
+    e1 = F.when(ev, F.abs(F.col("y") - (F.col("y1") + F.col("_c1s") + F.col("_p1s") * F.col("dy1"))))
+    fit = F.col("t") <= F.col("t_fit")
+    phi0, c0 = guarded_fit("y", "y1", fit)
+    phi1, c1 = guarded_fit("dy", "dy1", fit)
+    at = F.col("t") == F.col("t_fit")
+    g = x.groupBy("district").agg(
+        F.avg(e0).alias("mae_d0"), F.avg(e1).alias("mae_d1"), F.count(F.when(ev, F.lit(1))).alias("n_ev"),
+        phi0.alias("phi0"), c0.alias("c0"), phi1.alias("phi1"), c1.alias("c1"),
+        F.max(F.when(at, F.col("y"))).alias("y_end"), F.max(F.when(at, F.col("dy"))).alias("dy_end"),
+        F.max("t_fit").alias("t_fit"), F.max("h_steps").alias("h_steps"), F.max(F.when(at, F.col("month"))).alias("m_end"),
+    )
+    g = g.where(F.col("n_ev") > 0).withColumn("d", F.when(F.col("mae_d1") < F.col("mae_d0"), 1).otherwise(0))
+    st = _steps(g)
+    k = F.col("k")
+    yhat = F.when(F.col("d") == 1, ar_diff_yhat(k, F.col("phi1"), F.col("c1"), F.col("y_end"), F.col("dy_end"))).otherwise(
+        ar_level_yhat(k, F.col("phi0"), F.col("c0"), F.col("y_end"))
+    )
+    return st.select(
+        "district", "d", F.lit(model).alias("model"), "k", (F.col("t_fit") + k).alias("t"),
+        F.add_months(F.col("m_end"), k).alias("month"), yhat.alias("yhat"),
+    )
+
 def forecast_seasonal(s: DataFrame, period: int = 12, model: str = "sarima") -> DataFrame:
     """M2: AR(1) on ``z = y - y[-period]``; ``z(k) = mu + phi^k (z_end - mu)`` and, with
     ``j = ceil(k / period)``, ``yhat(k) = y[T + k - period j] + sum_{i<j} z(k - period i)``.

@@ -380,10 +380,8 @@ select f.district, s.d, f.model, f.k, f.t, f.month, round(f.yhat, 6) as yhat
 from (select *, 0 as d from ar0 union all select *, 1 as d from arima) f join sel s on f.district = s.district and f.d = s.d""",
 )
 def m1_forecast_selected_order(spark, sf_dir):
-    """M1 with M17's per-district difference order, over the hold-out horizon."""
-    series = _monthly_series(spark, sf_dir)
-    orders = FC.select_order(series, materialize_input=False)
-    return r6(FC.forecast_ar_selected(FC.backtest_frame(series), orders))
+    """M1 with M17's per-district difference order, over the hold-out horizon (one pass)."""
+    return r6(FC.forecast_ar_auto_order(FC.backtest_frame(_monthly_series(spark, sf_dir, reused=False))))
 
 
 @register("m3_forecast_lag_gbt")
