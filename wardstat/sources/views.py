@@ -81,9 +81,12 @@ class Fixtures:
         # and AQE re-checks measured sizes at run time. nation and region pass that
         # check at every scale; customer grows with the data and gets a sort-merge
         # join at scale.
+        # orders-customer first: without column statistics a join's size estimate is
+        # the product of its inputs, so joining customer to nation/region first would
+        # make the customer side look larger than the orders side.
         geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "inner")
-        cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey, "inner")
-        j = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+        j = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
+        j = j.join(geo, j.c_nationkey == geo.n_nationkey, "inner")
         return j.select(
             F.col("o_orderkey").alias("case_no"),
             F.col("o_orderdate").alias("ts"),
