@@ -207,3 +207,18 @@ def test_auto_order_equals_select_then_forecast(spark):
         f = fast[(r["district"], r["k"])]
         assert (f["d"], f["t"], f["month"]) == (r["d"], r["t"], r["month"])
         assert f["yhat"] == pytest.approx(r["yhat"], rel=1e-9, abs=1e-9)
+
+
+def test_best_model_window_equals_aggregate(spark):
+    from wardstat.operators import charts as CH
+
+    rows = [("a", "arima", 2.0), ("a", "sarima", 2.0), ("a", "lstm", 3.0),  # tie -> arima
+            ("b", "arima", float("nan")), ("b", "sarima", 1.5),              # NaN ignored
+            ("c", "arima", None), ("c", "sarima", 4.0), ("c", "lstm", 1.0),  # NULL ignored
+            ("d", "arima", None)]                                           # no valid score
+    scores = spark.createDataFrame(rows, "district string, model string, mae double")
+    agg = {r["district"]: r["best_model"] for r in FC.best_model(scores).collect()}
+    flags = {(r["district"], r["model"]): r["is_best"] for r in CH.model_performance_rows_one_pass(scores).collect()}
+    assert agg == {"a": "arima", "b": "sarima", "c": "lstm"}
+    for (d, m), is_best in flags.items():
+        assert is_best == (None if d == "d" else agg[d] == m)

@@ -20,6 +20,24 @@ def model_performance_rows(scores: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
+def model_performance_rows_one_pass(scores: DataFrame) -> DataFrame:
+    """``model_performance_rows`` with the best model found by a window over each
+    district's score rows (at most one per model) instead of a second pass and a
+    join: the scores come out of a ``district`` aggregate, so no new exchange."""
+    from pyspark.sql import Window
+
+    from wardstat.operators.forecast import best_model_expr
+
+    best = best_model_expr().over(Window.partitionBy("district"))
+    return scores.withColumn("best_model", best).select(
+        "district",
+        "model",
+        "mae",
+        F.format_string("%.1f", F.col("mae")).alias("mae_label"),
+        (F.col("model") == F.col("best_model")).alias("is_best"),
+    )
+
+
 def forecast_trend_rows(forecast_long: DataFrame, best: DataFrame) -> DataFrame:
     """One row per (district, month, model) with the value and a best flag."""
     b = best.select("district", "best_model")

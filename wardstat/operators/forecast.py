@@ -441,6 +441,13 @@ def _rank_col(model_col: str = "model"):
     return expr.otherwise(len(_RANK))
 
 
+def best_model_expr():
+    """A20 as an aggregate expression: the model with the lowest MAE (NULL/NaN
+    scores ignored); ties go to arima, sarima, lstm order."""
+    valid = F.col("mae").isNotNull() & ~F.isnan("mae")
+    return F.min_by(F.when(valid, F.col("model")), F.when(valid, F.struct(F.col("mae"), _rank_col())))
+
+
 def best_model(scores: DataFrame) -> DataFrame:
     """Model with the lowest MAE per district; ties go to arima, sarima, lstm order."""
     return (

@@ -619,8 +619,9 @@ select s.district, s.model, round(s.mae, 6) as mae, printf('%.1f', s.mae) as mae
 from scores s left join best b on s.district = b.district""",
 )
 def m16_chart_model_performance(spark, sf_dir):
-    scores = FC.backtest(_monthly_series(spark, sf_dir), materialize_input=False)
-    return r6(CH.model_performance_rows(scores, FC.best_model(scores)))
+    """Model-performance chart rows: one backtest pass, best model by a district window."""
+    scores = FC.backtest(_monthly_series(spark, sf_dir, reused=False), materialize_input=False)
+    return r6(CH.model_performance_rows_one_pass(scores))
 
 
 @register(
