@@ -148,3 +148,13 @@ def test_case_id_matches_global_row_number(spark, fx):
     ordered = sorted(h.collect(), key=lambda r: (r["ts"], r["case_no"]))
     want = {r["case_no"]: f"CASE_{i + 1:06d}" for i, r in enumerate(ordered)}
     assert got == want
+
+
+def test_session_conf_leaves_sizing_to_the_cluster():
+    from wardstat.session import session_conf
+
+    conf = session_conf()
+    assert "spark.sql.shuffle.partitions" not in conf and "spark.driver.memory" not in conf
+    assert conf["spark.sql.adaptive.enabled"] == "true" and conf["spark.sql.session.timeZone"] == "UTC"
+    sized = session_conf(shuffle_partitions=8, driver_memory="4g")
+    assert sized["spark.sql.shuffle.partitions"] == "8" and sized["spark.driver.memory"] == "4g"

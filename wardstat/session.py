@@ -31,6 +31,18 @@ def get_spark(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    for k, v in session_conf(shuffle_partitions, driver_memory, extra).items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    checkpoint_dir(spark)
+    return spark
+
+
+def session_conf(
+    shuffle_partitions: int | None = None, driver_memory: str | None = None, extra: dict[str, str] | None = None
+) -> dict[str, str]:
+    """The settings ``get_spark`` applies: semantics always, sizing only when passed."""
     conf = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -48,12 +60,7 @@ def get_spark(
     if driver_memory is not None:
         conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
-    for k, v in conf.items():
-        builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
-    return spark
+    return conf
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
