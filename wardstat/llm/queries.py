@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, mixing
+from wardstat.llm import decontaminate, mixing, token_output
 from wardstat.llm.tables import read
+from wardstat.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +60,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     out = mixing.mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_token_output")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document's token ids, read back from the shard files."""
+    path = scratch_path(spark, f"llm-shards-{uuid.uuid4().hex}")
+    token_output.write_shards(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.read_shards(spark, path)
