@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, mixing, token_output
-from wardstat.llm.tables import read
+from wardstat.llm import decontaminate, lang_id, mixing, token_output
+from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"llm-shards-{uuid.uuid4().hex}")
     token_output.write_shards(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.read_shards(spark, path)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document by the byte network."""
+    docs = read(spark, sf_dir, "documents")
+    out = lang_id.identify(docs, lang_id.learned(docs))
+    held = crc_mod("doc_id", lang_id.FOLDS) == lang_id.HELD
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
