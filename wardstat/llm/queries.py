@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, lang_id, mixing, token_output
+from wardstat.llm import decontaminate, lang_id, mixing, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_path
 
@@ -77,3 +77,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lang_id.identify(docs, lang_id.learned(docs))
     held = crc_mod("doc_id", lang_id.FOLDS) == lang_id.HELD
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by compression distance."""
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.learned(docs, read(spark, sf_dir, "labels")))
+    held = crc_mod("doc_id", toxicity.FOLDS) == toxicity.HELD
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
