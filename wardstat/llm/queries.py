@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, lang_id, mixing, token_output, toxicity
+from wardstat.llm import decontaminate, html_extract, lang_id, mixing, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_path
 
@@ -86,3 +86,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs, toxicity.learned(docs, read(spark, sf_dir, "labels")))
     held = crc_mod("doc_id", toxicity.FOLDS) == toxicity.HELD
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read(spark, sf_dir, "pages"))
