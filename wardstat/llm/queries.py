@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, html_extract, lang_id, mixing, token_output, toxicity
+from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, mixing, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_path
 
@@ -92,3 +92,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op9_embedding_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector at cosine 0.9."""
+    return embedding_join.near_duplicates(read(spark, sf_dir, "embeddings"))
