@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, mixing, token_output, toxicity
+from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, mixing, ngram_join, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_path
 
@@ -98,3 +98,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of every vector at cosine 0.9."""
     return embedding_join.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at Jaccard similarity 0.8 of five-word shingles."""
+    return ngram_join.join(read(spark, sf_dir, "documents"))
