@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, mixing, ngram_join, token_output, toxicity
+from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, mixing, ngram_join, suffix_dedup, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_path
 
@@ -104,3 +104,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at Jaccard similarity 0.8 of five-word shingles."""
     return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_array_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 400 bytes that recur."""
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_first=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
