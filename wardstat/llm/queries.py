@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, mixing, ngram_join, suffix_dedup, token_output, toxicity
+from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, suffix_dedup, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_path
 
@@ -111,3 +111,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document in strings of 400 bytes that recur."""
     out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_first=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families named in every document."""
+    docs = read(spark, sf_dir, "documents")
+    out = license_scan.scan(docs, license_scan.train(license_scan.sample(docs)))
+    families = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["family"])))
+    return out.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_licence"), F.array_join(families, ",").alias("families"))
