@@ -243,11 +243,12 @@ def sample(docs: DataFrame, learn, most: int = TRAIN_DOCS) -> list[tuple[bytes,
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns of each row with ``lang_pred`` and ``score``; ``text`` is read."""
     carry = ["doc_id"] if carry is None else carry
+    at = carry.index("text") if "text" in carry else len(carry)
     langs = np.array([*model.langs, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tb.texts(batch.column(batch.num_columns - 1))
+            data, offsets = tb.texts(batch.column(at).cast(pa.string()))
             best, score = np.full(batch.num_rows, len(langs) - 1), np.zeros(batch.num_rows)
             for i, j in tb.blocks(offsets):
                 own, part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -258,13 +259,13 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
                 best[i:j] = np.where(ok, p.argmax(axis=1), len(langs) - 1)
                 score[i:j] = np.where(ok, np.clip(p.max(axis=1), 0, 1), 0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs[best], pa.string()), pa.array(score)], [*[f"c{k}" for k in range(len(carry))], "p", "s"]
+                [*batch.columns[: len(carry)], pa.array(langs[best], pa.string()), pa.array(score)], [*[f"c{k}" for k in range(len(carry))], "p", "s"]
             )
 
     from pyspark.sql.types import StructType
 
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col("text").cast("string").alias("t"))
-    schema = StructType(rows.schema.fields[:-1]).add("p", "string").add("s", "double")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], *([] if at < len(carry) else [F.col("text").cast("string").alias("t")]))
+    schema = StructType(rows.schema.fields[: len(carry)]).add("p", "string").add("s", "double")
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], F.col("p").alias("lang_pred"), F.col("s").alias("score"))
 

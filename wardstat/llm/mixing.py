@@ -101,9 +101,10 @@ def rank_value(size: Column, share: Column, seed: int = SEED) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO, bins: int = BINS, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` per row of ``docs``."""
+    """``doc_id, row, source, size, source_size, target, copies, taken`` per row of
+    ``docs``; ``row`` is a hash of the text."""
     sized = pick(docs, [("doc_id", "long"), ("text", "string"), ("source", "string")]).select(
-        "doc_id", "source", n_words(F.col("text")).alias("size")
+        "doc_id", F.xxhash64("text").alias("row"), "source", n_words(F.col("text")).alias("size")
     )
     sized = written(sized, "mix-sizes")
     targets = source_targets(sized, weights, max_ratio)
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO, bins: int
         "mix-plan",
     )
     joined = sized.alias("d").join(plan.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        "doc_id", "d.source", "size", "source_size", "target", "_whole", "_rest", "_share"
+        "doc_id", "row", "d.source", "size", "source_size", "target", "_whole", "_rest", "_share"
     )
     ranked = joined.withColumn("_x", rank_value(F.col("size"), F.col("_share"), seed))
     coarse = F.least(F.floor(F.col("_x") * bins), F.lit(bins - 1)).cast("int")
@@ -146,7 +147,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO, bins: int
     inside = (F.col("_bin") < F.col("_edge1")) | ((F.col("_bin") == F.col("_edge1")) & (F.col("_sub") < F.col("_edge2")))
     at_edge = (F.col("_bin") == F.col("_edge1")) & (F.col("_sub") == F.col("_edge2"))
     clear = placed.withColumn("_edgerow", F.coalesce(at_edge, F.lit(False)))
-    order = Window.partitionBy("source").orderBy("_x", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("_x", "doc_id", "row")
     last = (
         clear.where("_edgerow")
         .withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -158,7 +159,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO, bins: int
     )
     copies = (F.col("_whole") + F.col("_more")).cast("int")
     return rest.unionByName(last).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "row", "source", "size", "source_size", "target",
         copies.alias("copies"), (F.col("size") * copies).alias("taken"),
     )
 

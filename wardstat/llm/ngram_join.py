@@ -126,13 +126,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0), and the shingles that the task met more than once (kind 1)."""
     often = {"at": np.empty(0, np.uint64), "n": np.empty(0, np.int64)}
 
-    def out(kind, ids, n, k1, k2):
+    def out(kind, ids, n, k1, k2, row):
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n), pa.array(k1), pa.array(k2)], ["kind", "id", "n", "k1", "k2"]
+            [pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n), pa.array(k1), pa.array(k2), row], ["kind", "id", "n", "k1", "k2", "row"]
         )
 
     for batch, prints, counts in _blocks(batches):
-        yield out(0, _ids(batch), counts, *_signatures(prints, counts))
+        yield out(0, _ids(batch), counts, *_signatures(prints, counts), batch.column("row"))
         ordered = np.sort(prints)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
         times = np.diff(np.append(edge, len(ordered)))
@@ -143,7 +143,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often["n"] = np.bincount(back, n, len(often["at"])).astype(np.int64)
     if len(often["at"]):
         zero = np.zeros(len(often["at"]), np.int64)
-        yield out(1, pa.array(often["at"].view(np.int64)), often["n"], zero, zero)
+        yield out(1, pa.array(often["at"].view(np.int64)), often["n"], zero, zero, pa.array(zero))
 
 
 class Order:
@@ -305,11 +305,12 @@ def frequent(counts: DataFrame, most: int = LISTED) -> tuple[np.ndarray, np.ndar
 
 
 def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+    """``doc_id, row, n_shingles, component_id`` for every row of ``docs``; ``row`` is a hash of the text."""
     spark = docs.sparkSession
     docs = documents(docs)
-    measured = written(docs.mapInArrow(_measure, "kind int, id long, n long, k1 long, k2 long"), "ngram-measured")
-    every = measured.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "k1", "k2")
+    measured = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(_measure, "kind int, id long, n long, k1 long, k2 long, row long")
+    measured = written(measured, "ngram-measured")
+    every = measured.where("kind = 0").select(F.col("id").alias("doc_id"), "row", F.col("n").alias("n_shingles"), "k1", "k2")
     shared = _Shared(spark, frequent(measured.where("kind = 1").select("id", "n"), listed))
     prefixes = written(
         docs.where("doc_id is not null").mapInArrow(_prefixes(shared, percent), "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, prefix array<long>"),
@@ -381,7 +382,7 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
         F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.coalesce("component", "rep").alias("component_id")
     )
     out = every.join(names, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _bounds(na: str, pa_: str, nb: str, pb: str, percent: int):

@@ -103,7 +103,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at Jaccard similarity 0.8 of five-word shingles."""
-    return ngram_join.join(read(spark, sf_dir, "documents"))
+    return ngram_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op8_suffix_array_dedup")

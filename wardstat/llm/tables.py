@@ -37,3 +37,16 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 def crc_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n (null id: null)."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc`` (all columns, whatever their names), ``doc_id`` and ``row`` (a hash of the text)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"))
+
+
+def join_rows(docs: DataFrame, marks: DataFrame, how: str, max_rows: int = 1_000_000) -> DataFrame:
+    """``keyed`` rows with the marks of their ``doc_id`` (null equals null) and ``row``; few marks are broadcast."""
+    marks = F.broadcast(marks) if small_enough(marks, max_rows) else marks
+    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.row") == F.col("m.row"))
+    return docs.alias("d").join(marks.alias("m"), on, how)
