@@ -279,15 +279,17 @@ def _shards(path: str, shard_ids: int):
         n_held = 0
 
         def emit():
-            ids, counts, docs = (np.concatenate(x) for x in zip(*held))
+            ids, counts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            docs = pa.concat_arrays([x[2] for x in held])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
             return pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()),
-                 "doc_ids": pa.array([_nullable(docs)], pa.list_(pa.int64())), "payload": pa.array([pack(ids, counts)], pa.binary())}
+                 "doc_ids": lists, "payload": pa.array([pack(ids, counts)], pa.binary())}
             )
 
         for batch in batches:
             data, offsets = tb.texts(batch.column("text"))
-            doc_ids = np.ma.MaskedArray(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
+            doc_ids = batch.column("doc_id")
             for i, j in tb.blocks(offsets):
                 ids, counts = enc.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ends = np.cumsum(counts)
@@ -296,7 +298,7 @@ def _shards(path: str, shard_ids: int):
                     done = ends[a - 1] if a else 0
                     b = max(int(np.searchsorted(ends, done + shard_ids - n_held)) + 1, a + 1)
                     b = min(b, len(counts))
-                    held.append((ids[done : ends[b - 1]], counts[a:b], doc_ids[i + a : i + b]))
+                    held.append((ids[done : ends[b - 1]], counts[a:b], doc_ids.slice(i + a, b - a)))
                     n_held += int(ends[b - 1] - done)
                     a = b
                     if n_held >= shard_ids:
@@ -308,10 +310,6 @@ def _shards(path: str, shard_ids: int):
     return run
 
 
-def _nullable(docs) -> list:
-    return np.ma.asarray(docs).tolist()
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` in ascending doc_id order and write the shard table to ``path``."""
     rows = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
