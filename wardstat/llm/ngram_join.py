@@ -12,8 +12,8 @@ makes fewer candidates.
 Sets with the same size and prefix are collapsed into one group; the
 prefix join works on groups:
 
-* neighbours: in each shingle's list of groups (by size, then at random) a group is
-  paired with the one before it, and in each group a set with the group's first;
+* neighbours: in each shingle's list of groups (by size, then in one of ``ORDERS`` random
+  orders) a group is paired with the one before it, and in each group a set with the group's first;
   pairs that pass the length, positional and bitmap bounds are verified on the
   whole sets. This is linear in the lists, and its links already join most copies.
 * the rest: lists whose groups all lie in one component hold no link between
@@ -47,6 +47,7 @@ SHINGLE = 5
 PERCENT = 80
 LISTED = 1 << 20
 BROADCAST_IDS = 1 << 20
+ORDERS = 4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -211,24 +212,22 @@ def _prefixes(shared, percent: int):
             g1, g2 = _signatures(flat, keep)
             k1, k2 = _signatures(prints, counts)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep)).astype(np.int32)), pa.array(flat.view(np.int64)))
+            bits = pa.array([parity(prints[e - c : e]) for c, e in zip(counts, ends)], pa.binary())
             some = pa.array(counts > 0)
             yield pa.RecordBatch.from_arrays(
-                [_ids(batch), pa.array(counts), pa.array(k1), pa.array(k2), pa.array(g1), pa.array(g2), lists], ["doc_id", "n", "k1", "k2", "g1", "g2", "prefix"]
+                [_ids(batch), pa.array(counts), pa.array(k1), pa.array(k2), pa.array(g1), pa.array(g2), lists, bits], ["doc_id", "n", "k1", "k2", "g1", "g2", "prefix", "bits"]
             ).filter(some)
 
     return run
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets and their parity bitmaps."""
+    """Whole sets."""
     for batch, prints, counts in _blocks(batches):
         ends = np.cumsum(counts)
         k1, k2 = _signatures(prints, counts)
-        sets = [prints[e - c : e] for c, e in zip(counts, ends)]
-        yield pa.RecordBatch.from_arrays(
-            [_ids(batch), pa.array(counts), pa.array(k1), pa.array(k2), pa.array([parity(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["doc_id", "n", "k1", "k2", "bits", "prints"],
-        )
+        sets = pa.array([prints[e - c : e].tobytes() for c, e in zip(counts, ends)], pa.binary())
+        yield pa.RecordBatch.from_arrays([_ids(batch), pa.array(k1), pa.array(k2), sets], ["doc_id", "k1", "k2", "prints"])
 
 
 def parity(prints: np.ndarray) -> bytes:
@@ -274,14 +273,23 @@ def _verify(percent: int):
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` (set names) that link, by bitmaps and then by whole sets."""
+def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` (set names) that link: by their bitmaps first, then by the
+    whole sets of those that are left, made anew from the texts."""
     small = sets.select("rep", "n", "bits")
     one = small.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     two = small.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    near = pairs.join(one, "a").where("na > 0").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     maybe = written(near.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long").distinct(), "ngram-maybe")
-    whole = sets.select("rep", "prints")
+    if not maybe.limit(1).count():
+        return maybe
+    names = maybe.select(F.col("a").alias("rep")).unionByName(maybe.select(F.col("b").alias("rep"))).distinct()
+    wanted = written(sets.join(names, "rep", "left_semi").select("rep", "k1", "k2"), "ngram-wanted")
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    contents = docs.join(ids, "doc_id", "left_semi").mapInArrow(_contents, "doc_id long, k1 long, k2 long, prints binary")
+    whole = contents.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep", "k1", "k2"])
+    whole = written(whole.select("rep", "prints"), "ngram-contents")
     both = maybe.join(whole.select(F.col("rep").alias("a"), F.col("prints").alias("set_a")), "a").join(
         whole.select(F.col("rep").alias("b"), F.col("prints").alias("set_b")), "b"
     )
@@ -313,17 +321,18 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     every = measured.where("kind = 0").select(F.col("id").alias("doc_id"), "row", F.col("n").alias("n_shingles"), "k1", "k2")
     shared = _Shared(spark, frequent(measured.where("kind = 1").select("id", "n"), listed))
     prefixes = written(
-        docs.where("doc_id is not null").mapInArrow(_prefixes(shared, percent), "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, prefix array<long>"),
+        docs.where("doc_id is not null").mapInArrow(_prefixes(shared, percent), "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, prefix array<long>, bits binary"),
         "ngram-prefixes",
     )
     # sets (documents with equal sets) and groups (sets with equal size and prefix), each named by its smallest doc_id
     groups = prefixes.groupBy("g1", "g2", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
     groups = written(groups, "ngram-groups")
-    sets = prefixes.groupBy("k1", "k2", "n", "g1", "g2").agg(F.min("doc_id").alias("rep"))
-    sets = written(sets.join(groups.select("g1", "g2", "n", "gid"), ["g1", "g2", "n"]).select("k1", "k2", "n", "gid", "rep"), "ngram-sets")
+    sets = prefixes.groupBy("k1", "k2", "n", "g1", "g2").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    sets = written(sets.join(groups.select("g1", "g2", "n", "gid"), ["g1", "g2", "n"]).select("k1", "k2", "n", "gid", "rep", "bits"), "ngram-sets")
 
     places = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    listing = Window.partitionBy("token").orderBy("n", F.xxhash64("gid", "token"), "gid")
+    # a few random orders in all, so that lists with the same groups give the same neighbours
+    listing = Window.partitionBy("token").orderBy("n", F.xxhash64("gid", F.pmod("token", F.lit(ORDERS))), "gid")
     postings = places.select(
         "token", "gid", "n", "pos",
         *[F.lag(c).over(listing).alias(f"p_{c}") for c in ("gid", "n", "pos")],
@@ -331,22 +340,12 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     )
     postings = written(postings.where("p_gid is not null or next is not null").drop("next"), "ngram-postings")
 
-    grouped = sets.groupBy("gid").count().where("count > 1").select("gid")
-    live = written(postings.select("gid").unionByName(grouped).distinct().join(sets, "gid").select("gid", "rep", "k1", "k2"), "ngram-live")
-    ids = live.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    contents = docs.join(ids, "doc_id", "left_semi").mapInArrow(_contents, "doc_id long, n long, k1 long, k2 long, bits binary, prints binary")
-    held = written(
-        contents.withColumnRenamed("doc_id", "rep").join(live.select("rep", "k1", "k2").distinct(), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep", "k1", "k2"]).select("rep", "n", "bits", "prints"),
-        "ngram-contents",
-    )
-
     # neighbours
     beside = postings.where("p_gid is not null and p_gid <> gid").where(_bounds("n", "pos", "p_n", "p_pos", percent))
     first = beside.select(F.least("gid", "p_gid").alias("a"), F.greatest("gid", "p_gid").alias("b")).distinct()
     inside = sets.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     tried = written(first.unionByName(inside).distinct(), "ngram-neighbours")
-    links = _checked(tried, held, percent)
+    links = _checked(tried, sets, docs, percent)
 
     # the rest: what lies in different components so far
     part = components(links)
@@ -375,7 +374,7 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    rest = _checked(written(more, "ngram-more"), held, percent)
+    rest = _checked(written(more, "ngram-more"), sets, docs, percent)
     final = components(links.unionByName(rest))
     # an id whose rows have different texts names several sets; each has its own row here
     names = sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
