@@ -41,8 +41,8 @@ from wardstat.llm.tables import documents, small_enough, written
 
 LENGTH = 400
 GRAM = 96
-BATCH_BYTES = 8 << 20
-BROADCAST_TEXTS = 1 << 19
+BATCH_BYTES = 2 << 20
+BROADCAST_KEYS = 1 << 19
 _PLACE_BITS = np.uint64(23)
 _KEYS = ["fp", "kind", "t1", "t2", "start", "n"]
 
@@ -234,7 +234,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         "fp", "place", "place.t1", "place.t2", "place.start", "place.n", (F.lit(keep_first) | (F.col("places") == 1)).alias("emit")
     )
     wanted = written(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("fp", "place", "start", "n", "emit")).alias("want")), "repeats-wanted")
-    distinct = rows.join(_bounded(wanted), ["t1", "t2"]).select("t1", "t2", "text", "want").dropDuplicates(["t1", "t2"])
+    # texts that have some, then each once with its wanted runs
+    chosen = rows.join(_keys(wanted), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    distinct = chosen.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "want")
     kind = "struct<doc_id:bigint,t1:bigint,t2:bigint,start:int,n:int>"
     contexts = distinct.mapInArrow(_contexts(length), f"fp long, place {kind}, t1 long, t2 long, start int, n int, emit boolean, bytes binary")
     ordered = contexts.repartition("fp").sortWithinPartitions("fp", "place").drop("place")
@@ -244,15 +246,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     spans = written(spans, "repeats-spans")
     copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     copies = written(copies.where("copies > 1"), "repeats-copies")
-    joined = rows.join(_bounded(spans), ["t1", "t2"], "left").join(_bounded(copies), ["t1", "t2"], "left")
+    changed = written(spans.select("t1", "t2").unionByName(copies.select("t1", "t2")).distinct(), "repeats-changed")
+    same = rows.join(_keys(changed), ["t1", "t2"], "left_anti")
+    other = rows.join(_keys(changed), ["t1", "t2"], "left_semi")
+    joined = other.join(spans, ["t1", "t2"], "left").join(copies, ["t1", "t2"], "left")
     long_enough = F.octet_length("text") >= length
     copied = F.col("copies").isNotNull() & long_enough
     if keep_first:
         copied = copied & ~F.col("doc_id").eqNullSafe(F.col("low"))
     all_of_it = F.array(F.struct(F.lit(0).alias("first"), F.octet_length("text").alias("last")))
     cut = joined.select("doc_id", "text", F.when(copied, all_of_it).otherwise(F.col("spans")).alias("spans"))
+    none = F.lit(None).cast("array<struct<first:int,last:int>>")
+    cut = cut.unionByName(same.select("doc_id", "text", none.alias("spans")))
     return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_TEXTS) else df
+def _keys(texts: DataFrame) -> DataFrame:
+    """The texts' two-number keys; broadcast when there are at most ``BROADCAST_KEYS``."""
+    keys = texts.select("t1", "t2")
+    return F.broadcast(keys) if small_enough(keys, BROADCAST_KEYS) else keys
