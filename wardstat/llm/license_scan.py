@@ -11,9 +11,10 @@ being licence talk, which at most ``FALSE_SHARE`` of ordinary paragraphs reach a
 all but ``LOST_SHARE`` of the licence paragraphs do, and the
 least probability of a family at which ``PRECISION`` of its claims are right.
 
-A family is confirmed when a template of it shares ``CONFIRM`` of the word
-triples of the shorter of the two; what is not confirmed, or under the
-second threshold, is ``unknown``.
+Of the ``LIKELY`` likeliest families the one with the nearest template is taken,
+and confirmed when that shares ``CONFIRM`` of the word triples of the shorter of the two; what is not confirmed, or under the
+second threshold, is ``unknown`` if ``TALK_PAIRS`` of its word pairs are those of
+licence texts, and nothing otherwise.
 
 Defined cases: null, empty and blank texts have no paragraphs; repeated rows are scanned
 alike; an empty corpus trains on templates alone; a text of one very long line is one paragraph.
@@ -37,6 +38,8 @@ BITS = 14
 NEGATIVES = 6000
 VARIANTS = 40
 CONFIRM = 0.6
+LIKELY = 3
+TALK_PAIRS = 0.3
 PRECISION = 0.98
 FALSE_SHARE = 0.002
 LOST_SHARE = 0.02
@@ -131,12 +134,43 @@ def triples(line: str) -> frozenset[int]:
 _TEMPLATE_TRIPLES: dict[str, list[frozenset[int]]] = {}
 
 
-def confirmed(line: str, family: str, least: float = CONFIRM) -> bool:
-    """Whether a template of the family shares enough word triples with the line."""
+def template_share(own: frozenset[int], family: str) -> float:
+    """The largest share of word triples, of the shorter text's, in common with a template of the family."""
     if not _TEMPLATE_TRIPLES:
         _TEMPLATE_TRIPLES.update({f: [triples(t) for t in ts] for f, ts in TEMPLATES.items()})
+    return max((len(own & t) / max(min(len(own), len(t)), 1) for t in _TEMPLATE_TRIPLES.get(family, ())), default=0.0)
+
+
+def confirmed(line: str, family: str, least: float = CONFIRM) -> bool:
+    """Whether a template of the family shares enough word triples with the line."""
+    return template_share(triples(line), family) >= least
+
+
+def confirm(line: str, names: list[str], p: np.ndarray, sure: float) -> int | None:
+    """Of the likeliest families that are ``sure`` together, the one whose templates are nearest, if near enough."""
+    likely = np.argsort(-p[:-2], kind="stable")[:LIKELY]
+    if p[likely].sum() < sure:
+        return None
     own = triples(line)
-    return any(len(own & t) >= least * max(min(len(own), len(t)), 1) for t in _TEMPLATE_TRIPLES.get(family, ()))
+    best = max(likely.tolist(), key=lambda k: (template_share(own, names[k]), p[k]))
+    return best if template_share(own, names[best]) >= CONFIRM else None
+
+
+_PAIRS: set[int] = set()
+
+
+def licence_talk(line: str, least: float = TALK_PAIRS) -> bool:
+    """Whether enough of the line's word pairs are those of licence texts of any kind."""
+    if not _PAIRS:
+        for text in (*UNKNOWN, *(t for ts in TEMPLATES.values() for t in ts)):
+            _PAIRS.update(_pairs(text))
+    own = _pairs(line)
+    return len(own) > 0 and sum(p in _PAIRS for p in own) >= least * len(own)
+
+
+def _pairs(line: str) -> list[int]:
+    prints, _ = _prints([line])
+    return tb.mix64(prints[:-1] * _ONE + prints[1:] * _TWO).tolist() if len(prints) > 1 else []
 
 
 def train(ordinary: list[str], seed: int = SEED) -> Model:
@@ -246,10 +280,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 nth = np.arange(len(row)) - np.searchsorted(row, row)
                 for k in np.flatnonzero(1 - p[:, -1] >= model.talk):
                     line = own[start[k] : end[k]].tobytes().decode()
-                    best = int(p[k, :-2].argmax())
-                    known = p[k, best] >= model.sure and confirmed(line, model.names[best])
+                    best = confirm(line, model.names, p[k], model.sure)
+                    known = best is not None
+                    if not known and not licence_talk(line):
+                        continue  # unlike ordinary text, and unlike licences too
                     at = part[row[k]]
-                    found[i + row[k]].append((int(nth[k]), int(start[k] - at), int(end[k] - at), model.names[best] if known else "unknown", float(p[k, best] if known else 1 - p[k, -1])))
+                    found[i + row[k]].append((int(nth[k]), int(start[k] - at), int(end[k] - at), model.names[best] if known else "unknown", float(1 - p[k, -1])))
             lists = pa.array([[dict(zip(("paragraph", "start", "end", "family", "score"), f)) for f in fs] for fs in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), lists], ["doc_id", "n_paragraphs", "found"])
 
