@@ -35,6 +35,7 @@ LANES = 2048
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 256
 EPOCHS = 8
+MIN_STEPS = 240
 FOLDS, HELD = 4, 2
 SEED = 20240607
 
@@ -156,7 +157,9 @@ def train(pieces: list[tuple[bytes, str]], hidden: int = HIDDEN, epochs: int = E
     weight /= weight.mean()
     params = [model.x, model.u, model.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    batch, step = 512, 0
+    # few windows: smaller batches and more rounds, so that any sample gets MIN_STEPS steps
+    batch, step = min(512, max(64, len(data) // 8)), 0
+    epochs = max(epochs, -(-MIN_STEPS // -(-len(data) // batch)))
     total = epochs * -(-len(data) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(data))
