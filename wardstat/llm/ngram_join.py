@@ -340,8 +340,15 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     )
     postings = written(postings.where("p_gid is not null or next is not null").drop("next"), "ngram-postings")
 
-    # neighbours
-    beside = postings.where("p_gid is not null and p_gid <> gid").where(_bounds("n", "pos", "p_n", "p_pos", percent))
+    # neighbours, and the centre of each list: the group with the largest share of its prefix in lists
+    shared_ = postings.groupBy("gid").agg((F.count("*") / F.first("n")).alias("shared"))
+    centred = postings.join(shared_, "gid")
+    centre = centred.groupBy("token").agg(F.max_by(F.struct("gid", "n", "pos"), F.struct("shared", "n", "gid")).alias("c")).select(
+        "token", F.col("c.gid").alias("p_gid"), F.col("c.n").alias("p_n"), F.col("c.pos").alias("p_pos")
+    )
+    to_centre = postings.select("token", "gid", "n", "pos").join(centre, "token")
+    pairs_ = postings.where("p_gid is not null").select(to_centre.columns).unionByName(to_centre).where("p_gid <> gid")
+    beside = pairs_.where(_bounds("n", "pos", "p_n", "p_pos", percent))
     first = beside.select(F.least("gid", "p_gid").alias("a"), F.greatest("gid", "p_gid").alias("b")).distinct()
     inside = sets.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     tried = written(first.unionByName(inside).distinct(), "ngram-neighbours")
