@@ -24,14 +24,38 @@ def _by_district(order: str = "t") -> Window:
 
 
 def monthly_counts(df: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """Incidents per (district, month); null districts and dates dropped."""
+    """Incidents per (district, month) and the last date among them (``last_date``);
+    null districts and dates dropped."""
     return (
         df.where(F.col(ts_col).isNotNull() & F.col("district").isNotNull())
         .groupBy("district", month_start(ts_col).alias("month"))
-        .agg(F.count(F.lit(1)).alias("crime_count"))
+        .agg(F.count(F.lit(1)).alias("crime_count"), F.max(F.to_date(ts_col)).alias("last_date"))
     )
 
 
+def _unfinished(counts: DataFrame):
+    """Condition: the row's month is the table's last one and the table ends before it does.
+
+    The table's latest date is a scalar subquery over the monthly counts (one
+    value, no join)."""
+    last = counts.agg(F.max("last_date")).scalar()
+    return (F.col("month") == F.trunc(last, "month")) & (last < F.last_day(last))
+
+
+def complete_months(counts: DataFrame) -> DataFrame:
+    """Monthly counts without an unfinished last month, as a series needs them.
+
+    A table that ends before its last month does would end every series on a
+    false drop, so that month (and no other) is left out; ``unfinished_month``
+    returns what. Counts, cardinalities and spans never go through this step."""
+    return counts.where(~_unfinished(counts)).drop("last_date")
+
+
+def unfinished_month(counts: DataFrame) -> DataFrame:
+    """What ``complete_months`` leaves out: ``district, month, crime_count, last_date``."""
+    return counts.where(_unfinished(counts))
+
+
 def monthly_series(df: DataFrame, ts_col: str = "ts", all_label: str = ALL) -> DataFrame:
     """Per-district and all-district monthly counts in one aggregate.
 
@@ -120,23 +144,31 @@ def unscale(c, y_min="y_min", y_max="y_max"):
     return x * (hi - lo) + lo
 
 
-def with_case_id(df: DataFrame, prefix: str = "CASE_", order=("ts", "case_no"), id_col: str = "case_id") -> DataFrame:
-    """Sequential ids ``CASE_000001`` in time order, without a global window.
+def numbered(df: DataFrame, *order, name: str = "position", path: str | None = None) -> DataFrame:
+    """The place of each row in ``order`` (from 1) as a column, without a global window.
 
     A range-partitioned sort on the full key spreads even a hot timestamp over
     many tasks; each task numbers its rows locally, and a per-partition offset
-    (one row per partition, so a bounded broadcast) turns local numbers into
-    global ones. The numbered frame is written to the shared checkpoint folder,
-    so a recomputation after a lost executor reads the same numbers.
+    (one row per partition) turns local numbers into global ones. The numbered
+    frame is written, so a recomputation after a lost executor reads the same
+    numbers: to ``path`` (a shared folder that the caller owns and deletes), or
+    to the session's scratch folder, which ``session.drop_scratch`` empties.
     """
-    keys = [F.col(c) for c in order]
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
     s = df.orderBy(*keys).withColumns(
         {"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}
     )
-    s = write_table(s, "case-id")
+    s = write_table(s, "numbered", path)
     per = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_i0"))
     wo = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))
-    out = s.join(F.broadcast(per.select("_p", "_i0", "_off")), "_p")
-    n = F.col("_off") + (F.col("_i") - F.col("_i0")) + 1
-    return out.withColumn(id_col, padded_id(prefix, n)).drop("_p", "_i", "_i0", "_off")
+    out = s.join(per.select("_p", "_i0", "_off"), "_p")  # the planner broadcasts it by its size
+    return out.withColumn(name, F.col("_off") + (F.col("_i") - F.col("_i0")) + 1).drop("_p", "_i", "_i0", "_off")
+
+
+def with_case_id(
+    df: DataFrame, prefix: str = "CASE_", order=("ts", "case_no"), id_col: str = "case_id", path: str | None = None
+) -> DataFrame:
+    """Sequential ids ``CASE_000001`` in time order (``numbered``; ``path`` as there)."""
+    n = numbered(df, *order, name="_position", path=path)
+    return n.withColumn(id_col, padded_id(prefix, F.col("_position"))).drop("_position")

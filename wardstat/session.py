@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import SparkSession
 
-_LOCAL_PREFIXES = ("local",)
+# one process: its own folders are shared; local-cluster has several executors
+_LOCAL_MASTER = re.compile(r"local(\[[^\]]*\])?$")
 
 
 def get_spark(
@@ -82,7 +85,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    if not sc.master.startswith(_LOCAL_PREFIXES):
+    if not _LOCAL_MASTER.match(sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)"
         )
@@ -110,12 +113,34 @@ def materialize(df, name: str = "mat"):
     return df.checkpoint(eager=True)
 
 
-def write_table(df, name: str):
-    """Write a table-sized intermediate as Parquet under the shared checkpoint
-    folder and continue from the files: one columnar, compressed write job, and
-    a file scan that keeps column pruning, filter pushdown and size statistics.
-    The schema is passed back, so reading needs no footer-inference job."""
+def write_table(df, name: str, path: str | None = None):
+    """Write a table-sized intermediate as Parquet and continue from the files:
+    one columnar, compressed write job, and a file scan that keeps column
+    pruning, filter pushdown and size statistics. The schema is passed back, so
+    reading needs no footer-inference job. It goes to ``path`` (owned by the
+    caller), or to a folder of its own under the shared checkpoint folder, which
+    ``drop_scratch`` deletes."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    if path is None:
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+        _SCRATCH.setdefault(spark, []).append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SCRATCH: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediates that ``write_table`` wrote in this session; call it
+    once their results are written or collected. Returns the number of folders."""
+    paths = _SCRATCH.pop(spark, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through the file system that Spark reads it by."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
