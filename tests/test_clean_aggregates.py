@@ -51,12 +51,33 @@ def test_monthly_district_single_row_std_is_null(spark):
 
 
 def test_upload_quality(spark):
-    raw = spark.range(100).select(F.col("id"))
-    kept = raw.where(F.col("id") >= 3)
-    r = A.upload_quality(raw, kept).first()
-    assert (r["original_records"], r["processed_records"], r["duplicates_removed"], r["data_quality_pct"]) == (100, 97, 3, 97.0)
-    empty = raw.limit(0)
-    assert A.upload_quality(empty, empty).first()["data_quality_pct"] == 100.0
+    """An undated row is no duplicate; an undated copy is both."""
+    rows = [(1, "2024-01-01"), (1, "2024-01-01"), (2, "no date"), (3, None), (3, None), (4, "2024-02-02"), (5, "03/04/2024"), (6, "2024-01-01")]
+    df = spark.createDataFrame(rows, "id int, date string")
+    r = A.upload_quality(df, "date").first()
+    assert (r["original_records"], r["processed_records"], r["duplicates_removed"], r["undated_records"], r["data_quality_pct"]) == (8, 6, 2, 3, 75.0)
+    assert A.upload_quality(df.limit(0), "date").first()["data_quality_pct"] == 100.0
+
+
+def test_upload_quality_of_the_raw_view(spark):
+    from wardstat.sources.views import Fixtures
+
+    r = A.upload_quality(Fixtures(spark, "/root/testdata/sf0.01").incidents_raw, "date_text").first()
+    assert r["duplicates_removed"] == 1000 and round(r["data_quality_pct"], 6) == 90.909091
+
+
+def test_processing_log_counts_each_step(spark):
+    from wardstat.operators import quality as G
+
+    rows = [("2024-01-01", "a", "x", 1.0, 2.0), ("2024-01-01", " A ", "X", 1.0, 2.0), ("bad", "a", "x", 1.0, 2.0), ("2024-01-02", None, "x", None, 2.0), ("2024-01-02", "b", None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "date string, district string, crime_type string, latitude double, longitude double")
+    got = [(r["step"], r["rows_in"], r["rows_out"], r["changed"]) for r in G.processing_log(df).orderBy("step_no").collect()]
+    assert got == [("load", 5, 5, 0), ("drop_undated", 5, 4, 1), ("fill_district", 4, 4, 1), ("fill_type", 4, 4, 1), ("flag_coordinates", 4, 4, 1), ("deduplicate", 4, 3, 1)]
+
+
+def test_data_summary_has_columns_and_date(spark, fx):
+    r = A.data_summary(fx.incidents_hourly, processed_on="2024-05-06").first()
+    assert r["columns"] == fx.incidents_hourly.columns and str(r["processing_date"]) == "2024-05-06"
 
 
 def test_missing_values_one_row_per_column(spark, fx):

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardstat.operators import forecast as FC
 from wardstat.operators import series as S
@@ -159,10 +160,29 @@ def test_window_scores_equal_forecast_join_path(spark):
             assert fast[key][m] == pytest.approx(r[m], rel=1e-9, abs=1e-9)
 
 
+def _closed_form_horizon(frame, period=12):
+    """M1 and M2 side by side from one aggregate (a second way to the same values)."""
+    x = FC._closed_form_inputs(frame, period)
+    at_fit = F.col("t") == F.col("t_fit")
+    fit = x.groupBy("district").agg(
+        *[e.alias(n) for n, e in FC._closed_form_fit_columns(period).items()],
+        F.max("t_fit").alias("t_fit"), F.max("h_steps").alias("h_steps"), F.max(F.when(at_fit, F.col("month"))).alias("m_end"),
+    )
+    yhats = [e.alias(m) for m, e in FC._closed_form_yhats(F.col("k"), period).items()]
+    return FC._steps(fit).select("district", "k", F.add_months(F.col("m_end"), F.col("k")).alias("month"), *yhats)
+
+
+def _forecast_ar_selected(s, orders):
+    """M1 in both orders, the chosen one kept by a join (a second way to the same values)."""
+    f0 = FC.forecast_ar_diff(s, 0).withColumn("d", F.lit(0))
+    f1 = FC.forecast_ar_diff(s, 1).withColumn("d", F.lit(1))
+    return f0.unionByName(f1).join(orders.select("district", "d"), ["district", "d"], "inner")
+
+
 def test_wide_horizon_equals_long_models(spark):
     s = _series(spark, {"a": _wavy(30), "b": _wavy(79, 40.0, -0.2, 3)})
     frame = FC.horizon_frame(s, 7)
-    wide = {(r["district"], r["k"]): r for r in FC.closed_form_horizon(frame).collect()}
+    wide = {(r["district"], r["k"]): r for r in _closed_form_horizon(frame).collect()}
     long_ = FC.run_models(frame, ("arima", "sarima")).collect()
     assert len(wide) == 14 and len(long_) == 28
     for r in long_:
@@ -174,7 +194,7 @@ def test_wide_horizon_equals_long_models(spark):
 def test_one_pass_forecast_table_equals_join_path(spark):
     s = _series(spark, {"a": _wavy(30), "b": _wavy(79, 40.0, -0.2, 3), "c": [5.0] * 26})
     fast = {(r["district"], r["k"]): r for r in FC.closed_form_forecast_table(s, 6).collect()}
-    wide = {(r["district"], r["k"]): r for r in FC.closed_form_horizon(FC.horizon_frame(s, 6)).collect()}
+    wide = {(r["district"], r["k"]): r for r in _closed_form_horizon(FC.horizon_frame(s, 6)).collect()}
     best = {r["district"]: r["best_model"] for r in FC.best_model(FC.backtest(s)).collect()}
     assert fast.keys() == wide.keys() and len(fast) == 18
     for key, r in fast.items():
@@ -201,7 +221,7 @@ def test_auto_order_equals_select_then_forecast(spark):
     s = _series(spark, {"a": _wavy(30), "b": [10.0 + 3 * t for t in range(40)], "c": _wavy(79, 40.0, -0.2, 3)})
     frame = FC.backtest_frame(s)
     fast = {(r["district"], r["k"]): r for r in FC.forecast_ar_auto_order(frame).collect()}
-    slow = FC.forecast_ar_selected(frame, FC.select_order(s)).collect()
+    slow = _forecast_ar_selected(frame, FC.select_order(s)).collect()
     assert len(fast) == len(slow) > 0
     for r in slow:
         f = fast[(r["district"], r["k"])]
@@ -218,7 +238,77 @@ def test_best_model_window_equals_aggregate(spark):
             ("d", "arima", None)]                                           # no valid score
     scores = spark.createDataFrame(rows, "district string, model string, mae double")
     agg = {r["district"]: r["best_model"] for r in FC.best_model(scores).collect()}
-    flags = {(r["district"], r["model"]): r["is_best"] for r in CH.model_performance_rows_one_pass(scores).collect()}
+    flags = {(r["district"], r["model"]): r["is_best"] for r in CH.model_performance_rows(scores).collect()}
     assert agg == {"a": "arima", "b": "sarima", "c": "lstm"}
     for (d, m), is_best in flags.items():
         assert is_best == (None if d == "d" else agg[d] == m)
+
+
+def test_a_model_without_a_score_is_never_selected(spark):
+    rows = [("a", "arima", None), ("a", "sarima", 2.0), ("b", "arima", float("nan")), ("b", "sarima", 1.0), ("c", "arima", None)]
+    sel = {r["district"]: r for r in FC.model_selection(spark.createDataFrame(rows, "district string, model string, mae double")).collect()}
+    assert (sel["a"]["best_model"], sel["a"]["best_model_mae"], sel["a"]["selection_note"]) == ("sarima", 2.0, "SARIMA selected with MAE of 2.00")
+    assert (sel["b"]["best_model"], sel["b"]["best_model_mae"]) == ("sarima", 1.0)
+    assert sel["c"]["best_model"] is None and sel["c"]["best_model_mae"] is None
+
+
+def test_best_prediction_is_clamped(spark):
+    fc = spark.createDataFrame([("a", "arima", 1, None, -3.0), ("a", "sarima", 1, None, 5.0)], "district string, model string, k int, month date, yhat double")
+    best = spark.createDataFrame([("a", "arima")], "district string, best_model string")
+    assert [r["best_value"] for r in FC.best_prediction(fc, best).collect()] == [0.0]
+
+
+def test_an_unfinished_last_month_is_left_out_and_reported(spark):
+    import datetime as dt
+
+    def table(last):
+        days = [(d, dt.date(2024, 1, 1) + dt.timedelta(days=7 * k)) for k in range(12) for d in ("x", "y")]
+        return spark.createDataFrame([*days, ("x", last)], "district string, ts date")
+
+    from wardstat.operators import series as S
+
+    counts = S.monthly_counts(table(dt.date(2024, 4, 2)))
+    assert {r["month"].month for r in S.complete_months(counts).collect()} == {1, 2, 3}
+    left = S.unfinished_month(counts).collect()
+    assert [(r["district"], r["month"], r["crime_count"], r["last_date"]) for r in left] == [("x", dt.date(2024, 4, 1), 1, dt.date(2024, 4, 2))]
+    whole = S.monthly_counts(table(dt.date(2024, 4, 30)))
+    assert {r["month"].month for r in S.complete_months(whole).collect()} == {1, 2, 3, 4} and S.unfinished_month(whole).count() == 0
+    assert counts.agg(F.sum("crime_count")).first()[0] == 25  # the counts themselves keep every row
+
+
+def test_three_model_table(spark, monkeypatch):
+    """M3 is fitted twice for a request (hold-out and full history), and the other columns are as without it."""
+    from wardstat.plans import flows
+
+    s = _series(spark, {"a": _wavy(30), "b": _wavy(48, 40.0, -0.2, 3)})
+    fits = []
+    real = FC.fit_lag_gbt
+    monkeypatch.setattr(FC, "fit_lag_gbt", lambda *a, **b: (fits.append(1), real(*a, **b))[1])
+    monkeypatch.setattr(flows, "monthly_series_for", lambda df, district: df)
+    table, scores, selection = flows.forecast_request(s, "all", 6)
+    rows = table.collect()
+    assert len(fits) == 2 and len(rows) == 12
+    maes = {(r["district"], r["model"]): r["mae"] for r in scores.collect()}
+    two = {(r["district"], r["k"]): r for r in FC.forecast_table(s, 6).collect()}
+    for r in rows:
+        own = {m: maes[(r["district"], m)] for m in ("arima", "sarima", "lstm")}
+        assert r["best_model"] == min(own, key=own.get) and r["best_value"] == r[r["best_model"]]
+        assert all(r[m] >= 0 for m in own) and r["month"] == r["date"][:7]
+        for m in ("arima", "sarima"):
+            assert r[m] == pytest.approx(two[(r["district"], r["k"])][m], rel=1e-9, abs=1e-9)
+    assert {r["best_model"] for r in selection.collect()} <= {"arima", "sarima", "lstm"}
+
+
+def test_lag_model_does_not_depend_on_the_partitioning(spark):
+    s = _series(spark, {"a": _wavy(30), "b": _wavy(36, 40.0, -0.2, 3), "c": _wavy(33, 9.0, 0.1, 5)})
+    frame = FC.horizon_frame(s, 4)
+    got = []
+    for n in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            fc = FC.forecast_lag_gbt(frame.repartition(int(n), "district"), max_iter=3)
+            got.append({(r["district"], r["k"]): r["yhat"] for r in fc.collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0].keys() == got[1].keys() and len(got[0]) == 12
+    assert all(got[0][k] == pytest.approx(got[1][k], rel=1e-9) for k in got[0])

@@ -23,8 +23,24 @@ def _final_plan(df):
 
 
 def test_lookup_is_broadcast(spark, fx):
-    p = _plan(with_severity(fx.incidents_hourly, fx.severity_dim))
-    assert "BroadcastHashJoin" in p
+    """No hint and no count job: the planner decides by size, and the final plan broadcasts."""
+    from wardstat.operators.lookups import with_district_dim
+
+    for df in (with_severity(fx.incidents_hourly, fx.severity_dim), with_district_dim(fx.incidents_hourly.select("case_no", "district"), fx.district_dim)):
+        df.collect()
+        p = _plan(df).split("Initial Plan")[0]
+        assert "isFinalPlan=true" in p
+        assert "BroadcastHashJoin" in p
+
+
+def test_district_dim_does_not_sort_the_incidents(spark, fx):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(fx.district_dim)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scan_side = p[p.rindex("Exchange hashpartitioning(district"):]
+    assert "SortAggregate" not in scan_side and "HashAggregate" in scan_side
 
 
 def test_topk_is_take_ordered(spark, fx):
@@ -42,9 +58,9 @@ def test_aggregate_is_partial_then_final(spark, fx):
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, fx):
-    df = A.monthly_district(with_calendar(fx.incidents_monthly))
+    df = A.monthly_district(with_calendar(fx.incidents_monthly.where(F.col("ts") < F.lit("1999-01-01").cast("date"))))
     p = df._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(o_orderdate" in p  # filter reaches the parquet scan
+    assert "LessThan(o_orderdate" in p  # a caller's filter reaches the parquet scan
     assert "o_totalprice" not in p and "o_orderstatus" not in p  # unused columns never read
 
 
@@ -84,19 +100,26 @@ def test_forecast_table_plans_one_exchange(spark, fx):
     assert p.count("Exchange ") == 1 and "Join" not in p
 
 def test_publish_versions_and_read_current(spark, fx, tmp_path):
+    """The version committed last is current whatever its name; it has its own columns, and
+    only its folder is read."""
+    import pytest
+
     root = str(tmp_path / "published")
+    with pytest.raises(FileNotFoundError):
+        IO.read_current(spark, root)
+    assert IO.current_version(spark, root) is None
     df = fx.incidents_hourly.select("case_no", "district")
-    v1 = IO.publish(df.where(F.col("case_no") < 10), root, "20240101T000000000000")
-    v2 = IO.publish(df.where(F.col("case_no") < 20), root, "20240102T000000000000")
-    assert v1 < v2 and len(os.listdir(root)) >= 2
+    IO.publish(df.where(F.col("case_no") < 10), root, "v9")
+    IO.publish(df.where(F.col("case_no") < 20).withColumn("added", F.lit(1)), root, "v10")
+    assert IO.current_version(spark, root) == "v10"
     cur = IO.read_current(spark, root)
+    assert cur.columns == ["case_no", "district", "added"]
     assert cur.count() == df.where(F.col("case_no") < 20).count()
-    assert "version" not in cur.columns
-    p = cur._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(version" in p
-    # the newest version comes from the small _versions table, hidden from the data read
-    assert sorted(r[0] for r in spark.read.parquet(root + "/_versions").collect()) == [v1, v2]
-    assert sorted(r[0] for r in spark.read.parquet(root).select("version").distinct().collect()) == [v1, v2]
+    assert all("version=v10" in f for f in cur.inputFiles())
+    assert sorted(r[0] for r in spark.read.parquet(root + "/_versions").select("version").collect()) == ["v10", "v9"]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        IO.publish(df, root, "v9")
+    assert IO.current_version(spark, root) == "v10"
 
 
 def test_writers_and_probe(spark, fx, tmp_path):
@@ -123,6 +146,17 @@ def test_read_incidents_and_upload_gate(spark, fx, tmp_path):
 
     with pytest.raises(ValueError):
         IO.read_upload(spark, str(tmp_path / "x.parquet"))
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "a.csv").write_text("x\n1\n")
+    assert IO.read_upload(spark, str(mixed)).count() == 1
+    (mixed / "b.txt").write_text("x\n1\n")
+    with pytest.raises(ValueError, match="only .csv"):
+        IO.read_upload(spark, str(mixed))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.csv").write_text("x,y\n")
+    with pytest.raises(ValueError, match="no rows"):
+        IO.read_upload(spark, str(tmp_path / "empty"))
 
 
 def test_model_save_load(spark, fx, tmp_path):
@@ -158,3 +192,25 @@ def test_session_conf_leaves_sizing_to_the_cluster():
     assert conf["spark.sql.adaptive.enabled"] == "true" and conf["spark.sql.session.timeZone"] == "UTC"
     sized = session_conf(shuffle_partitions=8, driver_memory="4g")
     assert sized["spark.sql.shuffle.partitions"] == "8" and sized["spark.driver.memory"] == "4g"
+
+
+def test_numbered_owns_its_target_and_scratch_is_deleted(spark, fx, tmp_path):
+    from wardstat import session
+
+    h = fx.incidents_hourly.select("case_no", "ts")
+    path = str(tmp_path / "ids")
+    S.with_case_id(h, path=path).count()
+    assert os.path.isdir(path)
+    assert session.delete_path(spark, path) and not os.path.exists(path)
+    session.drop_scratch(spark)
+    S.with_case_id(h).count()
+    (folder,) = session._SCRATCH[spark]
+    assert os.path.isdir(folder.removeprefix("file:"))
+    assert session.drop_scratch(spark) == 1 and not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from wardstat.session import _LOCAL_MASTER
+
+    assert all(_LOCAL_MASTER.match(m) for m in ("local", "local[4]", "local[*]"))
+    assert not any(_LOCAL_MASTER.match(m) for m in ("local-cluster[3,2,1024]", "yarn", "spark://h:7077", "localhost"))

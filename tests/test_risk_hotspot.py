@@ -96,3 +96,33 @@ def test_normalise(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "k string, v double")
     got = sorted((r["k"], r["v"]) for r in RK.normalise(df, "k", "v").collect())
     assert got == [("a", 0.25), ("a", 0.75), ("b", 1.0)]
+    odd = spark.createDataFrame([(None, 1.0), (None, 1.0), ("z", 0.0)], "k string, v double")
+    assert sorted((str(r["k"]), str(r["v"])) for r in RK.normalise(odd, "k", "v").collect()) == [("None", "0.5"), ("None", "0.5"), ("z", "None")]
+
+
+def test_importance_map_is_in_both_risk_results(spark, fx):
+    from wardstat.sources.views import CLASS_MAP
+
+    feats = RK.risk_features(fx.incidents_hourly, fx.district_dim, CLASS_MAP)
+    rule = RK.rule_risk(feats).first()["feature_importance"]
+    assert set(rule) == set(RK.FEATURES) and sum(rule.values()) == pytest.approx(1.0) and rule["weekend_crimes_pct"] == 0
+    model = RK.train_risk(feats, num_trees=5)
+    ml = RK.predict_risk(model, feats).first()["feature_importance"]
+    assert set(ml) == set(RK.FEATURES) and sum(ml.values()) == pytest.approx(1.0)
+    ranked = [(r["position"], r["importance"]) for r in RK.feature_importance(spark, model).collect()]
+    assert [p for p, _ in sorted(ranked)] == list(range(1, 9)) and [v for _, v in sorted(ranked)] == sorted((v for _, v in ranked), reverse=True)
+
+
+def test_forest_does_not_depend_on_the_partitioning(spark, fx):
+    from wardstat.sources.views import CLASS_MAP
+
+    feats = RK.risk_features(fx.incidents_hourly, fx.district_dim, CLASS_MAP)
+    got = []
+    for n in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            model = RK.train_risk(feats.repartition(int(n)), num_trees=10)
+            got.append({r["district"]: r["confidence"] for r in RK.predict_risk(model, feats).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0] == got[1]

@@ -10,7 +10,6 @@ sources    readers, writers, versioned publishing, test-fixture views
 functions  column expressions (text, calendar, numeric, payload)
 operators  cleaning, aggregates, series, forecasts, risk, hotspots, charts
 plans      end-to-end flows and the query catalogue used by the driver
-streaming  incremental variants of the calendar aggregates
 """
 
 from wardstat.session import checkpoint_dir, get_spark

@@ -10,10 +10,10 @@ pre-aggregates on (key, value) before shuffling. Null grouping keys are dropped
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstat.functions.calendar import month_start
+from wardstat.functions.calendar import month_start, parse_datetime
 
 
 def _drop_null_keys(df: DataFrame, keys) -> DataFrame:
@@ -97,6 +97,13 @@ def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
     )
 
 
+def with_rank(counts: DataFrame, col: str, name: str = "count") -> DataFrame:
+    """A9/A10 with the order as a column: ``position`` 1 is the most frequent value.
+
+    The window runs over one row per distinct value, after the aggregate."""
+    return counts.withColumn("position", F.row_number().over(Window.orderBy(F.col(name).desc(), F.col(col))))
+
+
 def district_counts(df: DataFrame) -> DataFrame:
     """A9."""
     return value_counts(df, "district")
@@ -141,29 +148,40 @@ def date_range_days(df: DataFrame, ts_col: str = "ts") -> DataFrame:
     return df.agg(F.datediff(F.max(F.to_date(ts_col)), F.min(F.to_date(ts_col))).alias("span_days"))
 
 
-def data_summary(df: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """Processing summary — A11 + A13 + A14 in one aggregate pass (one row)."""
+def data_summary(df: DataFrame, ts_col: str = "ts", processed_on=None) -> DataFrame:
+    """Processing summary — A11 + A13 + A14 in one aggregate pass (one row),
+    with the column list and the processing date (``processed_on``, by default today)."""
     nulls = [F.count_if(F.col(c).isNull()) for c in df.columns]
+    day = F.current_date() if processed_on is None else F.lit(processed_on).cast("date")
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.struct(F.min(F.to_date(ts_col)).alias("start"), F.max(F.to_date(ts_col)).alias("end")).alias("date_range"),
         F.count_distinct("district").alias("unique_districts"),
         F.count_distinct("crime_type").alias("unique_crime_types"),
         F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*nulls)).alias("missing_values"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
+        day.alias("processing_date"),
     )
 
 
-def upload_quality(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """Original rows, kept rows, rows removed, quality % (100 when empty)."""
-    tagged = raw.select(F.lit(True).alias("_raw")).unionAll(clean.select(F.lit(False).alias("_raw")))
-    out = tagged.agg(
-        F.count_if(F.col("_raw")).alias("original_records"),
-        F.count_if(~F.col("_raw")).alias("processed_records"),
+def upload_quality(raw: DataFrame, date_text_col: str | None = None) -> DataFrame:
+    """Rows, distinct rows, duplicates removed and quality % (100 when empty),
+    with the rows whose date doesn't parse in a column of their own: an undated row
+    is no duplicate. One aggregate of the raw rows by value."""
+    undated = F.lit(False)
+    if date_text_col is not None:
+        undated = parse_datetime(date_text_col).isNull()
+    same = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
+    out = same.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("original_records"),
+        F.count(F.lit(1)).alias("processed_records"),
+        F.coalesce(F.sum(F.when(undated, F.col("_n"))), F.lit(0)).alias("undated_records"),
     )
     return out.select(
         "original_records",
         "processed_records",
         (F.col("original_records") - F.col("processed_records")).alias("duplicates_removed"),
+        "undated_records",
         F.when(F.col("original_records") > 0, F.col("processed_records") / F.col("original_records") * 100.0)
         .otherwise(F.lit(100.0))
         .alias("data_quality_pct"),

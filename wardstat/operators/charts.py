@@ -8,22 +8,11 @@ from pyspark.sql import functions as F
 from wardstat.operators.risk import feature_long
 
 
-def model_performance_rows(scores: DataFrame, best: DataFrame) -> DataFrame:
-    """MAE per model and district, label with one decimal, best model flagged."""
-    b = best.select("district", "best_model")
-    return scores.join(b, "district", "left").select(
-        "district",
-        "model",
-        "mae",
-        F.format_string("%.1f", F.col("mae")).alias("mae_label"),
-        (F.col("model") == F.col("best_model")).alias("is_best"),
-    )
-
+def model_performance_rows(scores: DataFrame) -> DataFrame:
+    """MAE per model and district, label with one decimal, best model flagged.
 
-def model_performance_rows_one_pass(scores: DataFrame) -> DataFrame:
-    """``model_performance_rows`` with the best model found by a window over each
-    district's score rows (at most one per model) instead of a second pass and a
-    join: the scores come out of a ``district`` aggregate, so no new exchange."""
+    The best model is found by a window over each district's score rows (at most one
+    per model): the scores come out of a ``district`` aggregate, so no new exchange."""
     from pyspark.sql import Window
 
     from wardstat.operators.forecast import best_model_expr
@@ -38,21 +27,10 @@ def model_performance_rows_one_pass(scores: DataFrame) -> DataFrame:
     )
 
 
-def forecast_trend_rows(forecast_long: DataFrame, best: DataFrame) -> DataFrame:
-    """One row per (district, month, model) with the value and a best flag."""
-    b = best.select("district", "best_model")
-    return forecast_long.join(b, "district", "left").select(
-        "district",
-        "month",
-        F.upper("model").alias("series"),
-        F.greatest(F.lit(0.0), F.col("yhat")).alias("value"),
-        (F.col("model") == F.col("best_model")).alias("is_best"),
-    )
-
-
 def trend_rows_from_table(table: DataFrame, models=("arima", "sarima")) -> DataFrame:
-    """``forecast_trend_rows`` from the wide M6 table (values already clamped, best
-    model already on each row): an unpivot, no join."""
+    """One row per (district, month, model) with the value and a best flag, from the
+    wide M6 table (values already clamped, best model already on each row): an
+    unpivot, no join."""
     long_ = table.unpivot(["district", "month", "best_model"], list(models), "model", "value")
     return long_.select(
         "district",

@@ -27,6 +27,8 @@ from wardstat.operators.series import eligible_series, lag_features, scale, spli
 from wardstat.session import materialize
 
 _NEAR_ONE = 1e-9
+#: training rows are dealt into so many partitions, whatever the session's number
+FIT_PARTITIONS = 8
 _RANK = {m: i for i, m in enumerate(K.MODELS)}
 
 
@@ -129,8 +131,6 @@ def forecast_ar_diff(s: DataFrame, d: int = 1, model: str = "arima") -> DataFram
         raise ValueError("d must be 0 or 1")
     st = _steps(fit)
     k, phi_c, c_c = F.col("k"), F.col("phi"), F.col("c")
-    near = F.abs(F.lit(1.0) - phi_c) < _NEAR_ONE
-    mu = c_c / (F.lit(1.0) - phi_c)
     if d == 1:
         yhat = ar_diff_yhat(k, phi_c, c_c, F.col("y_end"), F.col("dy_end"))
     else:
@@ -138,17 +138,6 @@ def forecast_ar_diff(s: DataFrame, d: int = 1, model: str = "arima") -> DataFram
     return _finish(st, model, yhat)
 
 
-def forecast_ar_selected(s: DataFrame, orders: DataFrame, model: str = "arima") -> DataFrame:
-    """M1 with the difference order chosen per district by M17 (``orders``: district, d).
-
-    Both orders are projected in closed form and the chosen one is kept by an
-    equi-join on (district, d); ``d`` is part of the output."""
-    f0 = forecast_ar_diff(s, 0, model).withColumn("d", F.lit(0))
-    f1 = forecast_ar_diff(s, 1, model).withColumn("d", F.lit(1))
-    return f0.unionByName(f1).join(orders.select("district", "d"), ["district", "d"], "inner")
-
-
-
 def forecast_ar_auto_order(frame: DataFrame, frac: float = K.TRAIN_FRACTION, model: str = "arima") -> DataFrame:
     """M1 with M17's order choice in one pass; rows ``district, d, model, k, t, month, yhat``.
 
@@ -215,6 +204,25 @@ def forecast_seasonal(s: DataFrame, period: int = 12, model: str = "sarima") ->
     return _finish(st, model, yhat)
 
 
+def fit_lag_gbt(s: DataFrame, look_back: int = K.LOOK_BACK, max_iter: int = 20, seed: int = 42):
+    """M3's fit: one pooled GBT regressor on ``look_back`` lagged, per-series min-max
+    scaled values (W3, W5) of every district's points ``t <= t_fit`` with a full window.
+
+    Returns the fitted regressor and the lagged table. MLlib draws its samples by
+    partition, so the training rows are dealt into ``FIT_PARTITIONS`` by district and sorted:
+    the model does not depend on how the series was partitioned."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    lags = [f"l{i}" for i in range(1, look_back + 1)]
+    sc = scale(s, "y", fit_rows=F.col("t") <= F.col("t_fit"))
+    lagged = materialize(lag_features(sc, look_back, col="y_s"), "gbt-lags")  # read by every boosting pass and the roll-forward
+    train = lagged.where((F.col("t") <= F.col("t_fit")) & F.col(lags[-1]).isNotNull())
+    train = train.repartition(FIT_PARTITIONS, "district").sortWithinPartitions("district", "t")
+    regressor = GBTRegressor(labelCol="y_s", featuresCol="features", maxIter=max_iter, seed=seed)
+    return regressor.fit(VectorAssembler(inputCols=lags, outputCol="features").transform(train)), lagged
+
+
 def forecast_lag_gbt(
     s: DataFrame,
     look_back: int = K.LOOK_BACK,
@@ -223,60 +231,41 @@ def forecast_lag_gbt(
     seed: int = 42,
     checkpoint_every: int = 6,
 ) -> DataFrame:
-    """M3: one pooled GBT regressor on ``look_back`` lagged, per-series min-max
-    scaled values (W3, W5), rolled forward (W4) feeding predictions back.
-
-    Training rows are every district's points ``t <= T`` with a full look-back
-    window, so the model is fitted once for all districts on the cluster. The
-    roll-forward runs ``max(H)`` short steps over one row per district; the
-    state is checkpointed every few steps to keep lineage short."""
-    from pyspark.ml import Pipeline
+    """M3: the pooled lag model rolled forward (W4), feeding predictions back.
+
+    One row per district holds its window; step k adds the prediction as column
+    ``p<k>`` of that row, so the plan grows by one projection a step, and the frame is
+    checkpointed every ``checkpoint_every`` steps. The steps become rows once, at
+    the end."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
 
-    lags = [f"l{i}" for i in range(1, look_back + 1)]
-    sc = scale(s, "y", fit_rows=F.col("t") <= F.col("t_fit"))
-    lagged = materialize(lag_features(sc, look_back, col="y_s"), "gbt-lags")  # read by every boosting pass and the roll-forward
-    train = lagged.where((F.col("t") <= F.col("t_fit")) & F.col(lags[-1]).isNotNull())
-    pipe = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=lags, outputCol="features"),
-            GBTRegressor(labelCol="y_s", featuresCol="features", maxIter=max_iter, seed=seed),
-        ]
-    )
-    fitted = pipe.fit(train)
-    # State at t = T: the window that predicts T + 1 (l1 = most recent value).
-    state = lagged.where((F.col("t") == F.col("t_fit")) & F.col(lags[-2]).isNotNull() & (F.col("h_steps") >= 1))
-    state = state.select(
+    fitted, lagged = fit_lag_gbt(s, look_back, max_iter, seed)
+    window = [f"l{i}" for i in range(1, look_back + 1)]
+    # state at t = t_fit: the window that predicts t_fit + 1 (l1 = most recent value)
+    frame = lagged.where((F.col("t") == F.col("t_fit")) & F.col(window[-2]).isNotNull() & (F.col("h_steps") >= 1))
+    frame = frame.select(
         "district", "t_fit", "h_steps", "month", "y_min", "y_max",
         F.col("y_s").alias("l1"), *[F.col(f"l{i}").alias(f"l{i + 1}") for i in range(1, look_back)],
     )
-    h_max = state.agg(F.max("h_steps")).first()[0] or 0
-    outs = []
+    h_max = frame.agg(F.max("h_steps")).first()[0] or 0
     for k in range(1, h_max + 1):
-        pred = fitted.transform(state.where(F.col("h_steps") >= k)).withColumn("k", F.lit(k))
-        outs.append(
-            pred.select(
-                "district",
-                F.lit(model).alias("model"),
-                "k",
-                (F.col("t_fit") + F.lit(k)).alias("t"),
-                F.add_months("month", k).alias("month"),
-                (F.col("prediction") * (F.col("y_max") - F.col("y_min")) + F.col("y_min")).alias("yhat"),
-            )
-        )
-        state = pred.select(
-            "district", "t_fit", "h_steps", "month", "y_min", "y_max",
-            F.col("prediction").alias("l1"), *[F.col(f"l{i}").alias(f"l{i + 1}") for i in range(1, look_back)],
-        )
+        step = fitted.copy({fitted.predictionCol: f"p{k}"})
+        frame = step.transform(VectorAssembler(inputCols=window, outputCol="features").transform(frame)).drop("features")
+        window = [f"p{k}", *window[:-1]]
         if checkpoint_every and k % checkpoint_every == 0:
-            state = materialize(state, "gbt-state")
-    if not outs:
-        return _finish(s.limit(0).withColumn("k", F.lit(0)).withColumn("m_end", F.col("month")), model, F.lit(None).cast("double"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+            frame = materialize(frame, "gbt-state")
+    points = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("p")) for k in range(1, h_max + 1)])
+    if not h_max:
+        points = F.array().cast("array<struct<k:int,p:double>>")
+    rows = frame.select("district", "t_fit", "h_steps", "month", "y_min", "y_max", F.inline(points)).where(F.col("k") <= F.col("h_steps"))
+    return rows.select(
+        "district",
+        F.lit(model).alias("model"),
+        "k",
+        (F.col("t_fit") + F.col("k")).alias("t"),
+        F.add_months("month", F.col("k")).alias("month"),
+        (F.col("p") * (F.col("y_max") - F.col("y_min")) + F.col("y_min")).alias("yhat"),
+    )
 
 
 _CLOSED = ("arima", "sarima")
@@ -350,22 +339,6 @@ def closed_form_scores(frame: DataFrame, models=_CLOSED, period: int = 12) -> Da
     return out.withColumn("rmse", F.sqrt("mse"))
 
 
-def closed_form_horizon(frame: DataFrame, period: int = 12) -> DataFrame:
-    """M1 and M2 forecasts side by side: one ``groupBy('district')`` fits both
-    models, ``k = 1..H`` is exploded once; rows ``district, k, month, arima, sarima``."""
-    x = _closed_form_inputs(frame, period)
-    at_fit = F.col("t") == F.col("t_fit")
-    fit = x.groupBy("district").agg(
-        *[e.alias(n) for n, e in _closed_form_fit_columns(period).items()],
-        F.max("t_fit").alias("t_fit"), F.max("h_steps").alias("h_steps"), F.max(F.when(at_fit, F.col("month"))).alias("m_end"),
-    )
-    st = _steps(fit)
-    return st.select(
-        "district", "k", F.add_months(F.col("m_end"), F.col("k")).alias("month"),
-        *[e.alias(m) for m, e in _closed_form_yhats(F.col("k"), period).items()],
-    )
-
-
 # --------------------------------------------------------------------------
 def backtest_frame(series: DataFrame, min_points: int = K.MIN_MONTHS, frac: float = K.TRAIN_FRACTION) -> DataFrame:
     """W2 + W1: eligible series with ``T`` = train size and ``H`` = test size."""
@@ -469,10 +442,14 @@ def model_leaderboard(scores: DataFrame) -> DataFrame:
 
 
 def model_selection(scores: DataFrame) -> DataFrame:
-    """M7: criterion, best model, its MAE, all MAEs as a map, and the note."""
+    """M7: criterion, best model, its MAE, all MAEs as a map, and the note.
+
+    A model without a score (NULL or NaN) is never the best; with no score at
+    all, best model, MAE and note are NULL."""
+    valid = F.col("mae").isNotNull() & ~F.isnan("mae")
     sel = scores.groupBy("district").agg(
-        F.min_by("model", F.struct(F.col("mae"), _rank_col())).alias("best_model"),
-        F.min("mae").alias("best_model_mae"),
+        best_model_expr().alias("best_model"),
+        F.min(F.when(valid, F.col("mae"))).alias("best_model_mae"),
         map_of("model", "mae").alias("all_models_mae"),
     )
     return sel.select(
@@ -486,10 +463,10 @@ def model_selection(scores: DataFrame) -> DataFrame:
 
 
 def best_prediction(forecast: DataFrame, best: DataFrame) -> DataFrame:
-    """The best model's value for every forecast row."""
+    """The best model's value for every forecast row, clamped at zero (M4)."""
     b = best.select("district", F.col("best_model").alias("model"))
     return forecast.join(b, ["district", "model"], "inner").select(
-        "district", "k", "month", F.col("model").alias("best_model"), F.col("yhat").alias("best_value")
+        "district", "k", "month", F.col("model").alias("best_model"), F.greatest(F.lit(0.0), F.col("yhat")).alias("best_value")
     )
 
 
@@ -543,16 +520,18 @@ def forecast_table(
     models=("arima", "sarima"),
     district: str | None = None,
     materialize_input: bool | None = None,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
     """M6: one row per (district, month ahead) with a column per model (clamped
     at zero, M4), the best model from the backtest and its value.
 
     M1/M2 only: one pass (``closed_form_forecast_table``). With M3 the series is
     read by the horizon run, the backtest and the training passes, so by default
-    (``None``) it is materialized then."""
+    (``None``) it is materialized then; M3 is fitted once on the full history and,
+    unless the caller passes the backtest's ``scores``, once on the hold-out."""
     if district is not None and district != "all":
         series = series.where(F.col("district") == district)
-    if all(m in _CLOSED for m in models):
+    if all(m in _CLOSED for m in models) and scores is None:
         if materialize_input:
             series = materialize(series)
         return closed_form_forecast_table(series, months_ahead, models)
@@ -561,12 +540,17 @@ def forecast_table(
     fc = run_models(horizon_frame(series, months_ahead), models)
     fc = fc.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))  # M4
     wide = fc.groupBy("district", "k", "month").pivot("model", list(models)).agg(F.first("yhat"))
-    best = best_model(backtest(series, models, materialize_input=False))
+    best = best_model(scores if scores is not None else backtest(series, models, materialize_input=False))
     out = wide.join(best.select("district", "best_model"), "district", "left")
     pick = F.coalesce(*[F.when(F.col("best_model") == m, F.col(m)) for m in models])
     return out.withColumn("best_value", pick).withColumn("date", F.date_format("month", "yyyy-MM-dd"))
 
 
+def payload_month(table: DataFrame) -> DataFrame:
+    """M6 as the request returns it: ``month`` is ``yyyy-MM`` text, ``date`` the day."""
+    return table.withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
 def select_order(series: DataFrame, frac: float = K.TRAIN_FRACTION, materialize_input: bool = False) -> DataFrame:
     """Choose the difference order d in (0, 1) per district.
 

@@ -1,36 +1,20 @@
-"""Dimension lookups (J1, J2) and the size-checked broadcast they share."""
+"""Dimension lookups.
+
+The joins carry no hint and start no job: the planner broadcasts a dimension by
+its size estimate, and AQE by the measured size of the built side, both under
+``spark.sql.autoBroadcastJoinThreshold`` (bytes); a larger one is shuffled, and a
+hot key of the incident side is split by AQE's skew join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when it provably has at most this many rows.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def small_side_join(
-    big: DataFrame,
-    small: DataFrame,
-    on,
-    how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join ``big`` to a dimension, broadcasting the dimension only behind a size check.
-
-    The check counts at most ``max_rows + 1`` rows of ``small`` (a bounded job
-    on the dimension, not on ``big``). Past the bound the join is left to a
-    shuffle join, which AQE may still turn into a broadcast at run time from
-    measured sizes.
-    """
-    n = small.limit(max_rows + 1).count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
-
 
 def with_severity(df: DataFrame, lookup: DataFrame, key: str = "crime_type") -> DataFrame:
     """Type -> severity; an unmapped type gets NULL."""
-    return small_side_join(df, lookup.select(key, "crime_severity"), key, "left")
+    return df.join(lookup.select(key, "crime_severity"), key, "left")
 
 
 def with_district_dim(df: DataFrame, dim: DataFrame, key: str = "district", cols=("state", "lat", "lon", "population")) -> DataFrame:
@@ -40,7 +24,7 @@ def with_district_dim(df: DataFrame, dim: DataFrame, key: str = "district", cols
     """
     keep = [c for c in cols if c in dim.columns]
     d = dim.select(key, *[F.col(c).alias(f"_dim_{c}") for c in keep])
-    out = small_side_join(df, d, key, "left")
+    out = df.join(d, key, "left")
     for c in keep:
         if c in df.columns:
             out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_dim_{c}"))).drop(f"_dim_{c}")

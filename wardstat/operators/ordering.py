@@ -20,6 +20,20 @@ def by_time(df: DataFrame, ts_col: str = "ts", tie: str = "case_no") -> DataFram
     return df.orderBy(F.col(ts_col), F.col(tie))
 
 
+def order_check(before: DataFrame, after: DataFrame, key: str = "case_no") -> DataFrame:
+    """L7 as a measure (one row): rows and distinct keys after, and how many
+    rows no longer follow the row they followed before.
+
+    Both sides are numbered where they stand; ``after`` is numbered in its own row order."""
+    a = before.select(key).withColumn("_a", F.monotonically_increasing_id())
+    b = after.select(key).withColumn("_b", F.monotonically_increasing_id())
+    both = a.join(b, key)
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"),
+        F.count_if(F.col("_a") != F.col("_b")).alias("moved"),
+    )
+
+
 def top_k(df: DataFrame, col: str, k: int) -> DataFrame:
     """L2/L3: the k most frequent values of ``col`` (ties by value)."""
     return value_counts(df, col).limit(k)

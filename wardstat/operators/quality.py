@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardstat import constants as K
 from wardstat.functions.calendar import month_start, parse_datetime
+from wardstat.functions.text import strip_title
 
 GATE_SCHEMA = "check string, subject string, ok boolean, observed double, threshold double, severity string"
 
@@ -120,18 +121,45 @@ def validation_report(gates: DataFrame) -> DataFrame:
     )
 
 
-def processing_log(raw: DataFrame, clean: DataFrame, date_text_col: str = "date") -> DataFrame:
-    """Rows in and out of each cleaning step: loaded, dated (parse + drop), deduplicated."""
-    flags = raw.agg(
-        F.count(F.lit(1)).alias("loaded"),
-        F.count_if(parse_datetime(date_text_col).isNotNull()).alias("dated"),
+def processing_log(raw: DataFrame, date_text_col: str = "date") -> DataFrame:
+    """``step, step_no, rows_in, rows_out, changed`` of the six cleaning steps.
+
+    The raw table is read once: rows are cleaned in place and counted by their
+    cleaned values (partial counts first), with what each step changes as flags
+    of the row, so the number of groups is the number of rows that dedup keeps."""
+    dated = parse_datetime(date_text_col)
+    has = set(raw.columns)
+    missing = lambda c: F.col(c).isNull() if c in has else F.lit(False)
+    title = lambda c: strip_title(c) if c in has else F.lit(None).cast("string")
+    flagged = raw.select(
+        *[c for c in raw.columns if c not in (date_text_col, "district", "crime_type")],
+        dated.alias("_ts"), F.coalesce(title("district"), F.lit(K.NULL_DISTRICT)).alias("_district"),
+        F.coalesce(title("crime_type"), F.lit(K.NULL_TYPE)).alias("_type"),
+        missing("district").alias("_nd"), missing("crime_type").alias("_nt"), (missing("latitude") | missing("longitude")).alias("_np"),
     )
-    kept = clean.agg(F.count(F.lit(1)).alias("deduplicated"))
-    rows = flags.unpivot([], ["loaded", "dated"], "step", "rows_out").unionByName(
-        kept.unpivot([], ["deduplicated"], "step", "rows_out")
+    keys = [c for c in flagged.columns if c not in ("_nd", "_nt", "_np")]
+    count = lambda c: F.count_if(F.col(c))
+    same = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), count("_nd").alias("_nd"), count("_nt").alias("_nt"), count("_np").alias("_np"))
+    kept = F.col("_ts").isNotNull()
+    total = lambda c, when=None: F.coalesce(F.sum(F.col(c) if when is None else F.when(when, F.col(c))), F.lit(0))
+    one = same.agg(
+        total("_n").alias("loaded"), total("_n", kept).alias("dated"), F.count_if(kept).alias("kept"),
+        total("_nd", kept).alias("nd"), total("_nt", kept).alias("nt"), total("_np", kept).alias("np"),
     )
-    order = F.when(F.col("step") == "loaded", 1).when(F.col("step") == "dated", 2).otherwise(3)
-    return rows.withColumn("step_no", order)
+    c = F.col
+    steps = (
+        ("load", c("loaded"), c("loaded"), F.lit(0)),
+        ("drop_undated", c("loaded"), c("dated"), c("loaded") - c("dated")),
+        ("fill_district", c("dated"), c("dated"), c("nd")),
+        ("fill_type", c("dated"), c("dated"), c("nt")),
+        ("flag_coordinates", c("dated"), c("dated"), c("np")),
+        ("deduplicate", c("dated"), c("kept"), c("dated") - c("kept")),
+    )
+    rows = [
+        F.struct(F.lit(name).alias("step"), F.lit(k).alias("step_no"), a.cast("long").alias("rows_in"), b.cast("long").alias("rows_out"), d.cast("long").alias("changed"))
+        for k, (name, a, b, d) in enumerate(steps, 1)
+    ]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def dataset_statistics(df: DataFrame, ts_col: str = "ts") -> DataFrame:

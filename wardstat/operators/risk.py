@@ -90,12 +90,15 @@ def time_pattern(features: DataFrame) -> DataFrame:
 def normalise(df: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
     """``value / sum(value)`` within each ``key`` group.
 
+    A null key is a group like any other, and a group whose total is 0 gets NULL.
     Group totals come from a partial+final aggregate and are joined back on the
     key; a hot key is then split by AQE's skew-join handling (or the totals are
     broadcast when AQE measures them small) instead of landing whole in one
     window task."""
-    tot = df.groupBy(key).agg(F.sum(value).alias("_group_total"))
-    return df.join(tot, key, "inner").withColumn(out or value, F.col(value) / F.col("_group_total")).drop("_group_total")
+    tot = df.groupBy(F.col(key).alias("_group")).agg(F.sum(value).alias("_group_total"))
+    share = F.try_divide(F.col(value).cast("double"), F.col("_group_total").cast("double"))
+    joined = df.join(tot, F.col(key).eqNullSafe(F.col("_group")), "inner")
+    return joined.withColumn(out or value, share).drop("_group", "_group_total")
 
 
 def risk_score(features: DataFrame) -> DataFrame:
@@ -156,10 +159,29 @@ def rule_risk(features: DataFrame) -> DataFrame:
             "confidence": risk_confidence("risk_level"),
             "probabilities": risk_probabilities("risk_level"),
             "model_accuracy": F.lit(None).cast("double"),
+            "feature_importance": _importance_map(dict(rule_importance())),
         }
     )
 
 
+def rule_importance() -> list[tuple[str, float]]:
+    """Importance of each feature on the rule path: its weight in the score (the
+    violent ratio's stands for violent crimes; a feature without one has 0)."""
+    weights = {("violent_crimes" if name == "violent_ratio" else name): weight for name, _, _, weight in K.RISK_RULE}
+    return [(name, weights.get(name, 0.0)) for name in FEATURES]
+
+
+def _importance_map(importance: dict[str, float]):
+    return F.create_map(*[x for name in FEATURES for x in (F.lit(name), F.lit(float(importance.get(name, 0.0))))])
+
+
+def forest_importance(model) -> list[tuple[str, float]]:
+    """Importances of a fitted forest, normalised to sum 1 (8 numbers)."""
+    values = [float(x) for x in model.stages[-1].featureImportances.toArray()]
+    total = sum(values) or 1.0
+    return [(name, x / total) for name, x in zip(FEATURES, values)]
+
+
 # --------------------------------------------------------------------------
 def labelled(features: DataFrame) -> DataFrame:
     """Training label for the forest (DECISION): the rule level on the same row,
@@ -167,6 +189,31 @@ def labelled(features: DataFrame) -> DataFrame:
     return rule_risk(features).where(F.col("risk_level").isNotNull())
 
 
+#: training rows are dealt into so many partitions, whatever the session's number
+FIT_PARTITIONS = 8
+
+
+def in_fit_order(data: DataFrame) -> DataFrame:
+    """Training rows by district in a fixed number of sorted partitions: MLlib draws
+    its samples by partition, so the fit then depends on the rows alone."""
+    return data.repartition(FIT_PARTITIONS, "district").sortWithinPartitions("district")
+
+
+def hold_out(features: DataFrame, folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Training and hold-out districts (about one in ``folds``), by a hash of the name."""
+    held = F.pmod(F.xxhash64("district"), F.lit(folds)) == 0
+    return features.where(~held), features.where(held)
+
+
+def held_out_metrics(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42) -> DataFrame:
+    """A25 of a forest on districts that it was not trained on (one row)."""
+    fit, held = hold_out(features)
+    model = train_risk(fit, num_trees, seed, materialize_input=False)
+    scored = predict_risk(model, held).select("district", F.col("risk_level").alias("prediction"))
+    truth = labelled(held).select("district", F.col("risk_level").alias("label"))
+    return classification_metrics(truth.join(scored, "district"))
+
+
 def train_risk(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42, materialize_input: bool = True):
     """StringIndexer + VectorAssembler + RandomForestClassifier(100 trees)."""
     from pyspark.ml import Pipeline
@@ -177,6 +224,7 @@ def train_risk(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42,
     # so the table is materialized once instead of re-aggregating incidents per pass.
     data = labelled(features).select("district", *FEATURES, "risk_level")
     data = materialize(data) if materialize_input else data
+    data = in_fit_order(data)
     stages = [
         StringIndexer(inputCol="risk_level", outputCol="label", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
@@ -200,17 +248,16 @@ def predict_risk(model, features: DataFrame, accuracy: float | None = None) -> D
         F.array_max(probs).alias("confidence"),
         F.map_from_arrays(lab, probs).alias("probabilities"),
         F.lit(accuracy).cast("double").alias("model_accuracy"),
+        _importance_map(dict(forest_importance(model))).alias("feature_importance"),
     )
 
 
 def feature_importance(spark, model) -> DataFrame:
-    """Forest importances as rows, normalised to sum 1, largest first.
+    """Forest importances as rows with their place, largest first.
 
-    The vector has one entry per feature (8), so building rows on the driver is bounded."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame(list(zip(FEATURES, [float(x) for x in imp])), "feature string, importance double")
-    total = df.agg(F.sum("importance")).first()[0] or 1.0
-    return df.withColumn("importance", F.col("importance") / F.lit(total)).orderBy(F.col("importance").desc(), "feature")
+    One entry per feature (8), so building the rows on the driver is bounded."""
+    ranked = sorted(forest_importance(model), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(name, value, k) for k, (name, value) in enumerate(ranked, 1)], "feature string, importance double, position int")
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -241,7 +288,7 @@ def cross_validate_risk(spark, features: DataFrame, folds: int = 3, num_trees: i
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = materialize(labelled(features).select("district", *FEATURES, "risk_level"))
+    data = in_fit_order(materialize(labelled(features).select("district", *FEATURES, "risk_level")))
     rf = RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label", featuresCol="features")
     pipe = Pipeline(
         stages=[

@@ -17,7 +17,7 @@ from wardstat.operators import clean as CL
 from wardstat.operators import ordering as L
 from wardstat.operators import quality as G
 from wardstat.operators.lookups import with_district_dim, with_severity
-from wardstat.operators.series import with_case_id
+from wardstat.operators.series import numbered, with_case_id
 from wardstat.plans.catalog import fixtures, r6, register
 from wardstat.sources import io as IO
 
@@ -301,13 +301,11 @@ def p8_for_district(spark, sf_dir):
 
 @register(
     "p9_district_from_slug",
-    f"""select case_no, district_text, {title_sql("replace(district_text, '-', ' ')")} as district
-from incidents_raw where district_text like '%-%'""",
+    f"""select case_no, district_text, {title_sql("replace(district_text, '-', ' ')")} as district from incidents_raw""",
 )
 def p9_district_from_slug(spark, sf_dir):
     raw = fixtures(spark, sf_dir).incidents_raw
-    d = raw.where(F.col("district_text").contains("-"))
-    return r6(d.select("case_no", "district_text", T.district_from_slug("district_text").alias("district")))
+    return r6(raw.select("case_no", "district_text", T.district_from_slug("district_text").alias("district")))
 
 
 @register(
@@ -372,14 +370,12 @@ def f1_clean_incidents(spark, sf_dir):
     return r6(cleaned(fixtures(spark, sf_dir)))
 
 
-@register(
-    "e2_new_values",
-    """select district from incidents_hourly except select district from incidents_hourly where ts < cast('2024-01-02' as timestamp)""",
-)
+@register("e2_new_values", """select c_custkey as custkey from customer except select o_custkey from orders""")
 def e2_new_values(spark, sf_dir):
-    h = fixtures(spark, sf_dir).incidents_hourly
-    old = h.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
-    return r6(CL.new_values(h, old, "district"))
+    """Values of one table that another lacks (customers without an order)."""
+    fx = fixtures(spark, sf_dir)
+    new = fx.table("customer").select(F.col("c_custkey").alias("custkey"))
+    return r6(CL.new_values(new, fx.table("orders").select(F.col("o_custkey").alias("custkey")), "custkey"))
 
 
 # ------------------------------------------------------------------ lookups ---
@@ -477,14 +473,19 @@ def a8_first_last_month(spark, sf_dir):
     return r6(A.first_last_month(A.monthly_all(fixtures(spark, sf_dir).incidents_monthly)))
 
 
-@register("a9_district_counts", """select district, count(*) as count from incidents_hourly where district is not null group by 1""")
+def _ranked_sql(col):
+    return f"""select {col}, count, row_number() over (order by count desc, {col}) as position
+from (select {col}, count(*) as count from incidents_hourly where {col} is not null group by 1) t"""
+
+
+@register("a9_district_counts", _ranked_sql("district"))
 def a9_district_counts(spark, sf_dir):
-    return r6(A.district_counts(fixtures(spark, sf_dir).incidents_hourly))
+    return r6(A.with_rank(A.district_counts(fixtures(spark, sf_dir).incidents_hourly), "district"))
 
 
-@register("a10_type_counts", """select crime_type, count(*) as count from incidents_hourly where crime_type is not null group by 1""")
+@register("a10_type_counts", _ranked_sql("crime_type"))
 def a10_type_counts(spark, sf_dir):
-    return r6(A.type_counts(fixtures(spark, sf_dir).incidents_hourly))
+    return r6(A.with_rank(A.type_counts(fixtures(spark, sf_dir).incidents_hourly), "crime_type"))
 
 
 @register(
@@ -537,30 +538,54 @@ def a15_date_range_days(spark, sf_dir):
     return r6(A.date_range_days(fixtures(spark, sf_dir).incidents_monthly))
 
 
-@register("a16_data_summary")
+_A16_COLUMNS = ("case_no", "ts", "district", "crime_type", "latitude", "longitude")
+
+
+@register(
+    "a16_data_summary",
+    f"""
+with c as (select * from ({_CLEAN_SQL}) x)
+select column_name, ordinal, missing, total_records, date_min, date_max, unique_districts, unique_crime_types, date '2024-06-30' as processing_date
+from (values """
+    + ", ".join(f"('{c}', cast({i} as bigint), (select count(*) from c where {c} is null))" for i, c in enumerate(_A16_COLUMNS))
+    + """) v(column_name, ordinal, missing),
+     (select count(*) as total_records, min(cast(ts as date)) as date_min, max(cast(ts as date)) as date_max,
+             count(distinct district) as unique_districts, count(distinct crime_type) as unique_crime_types from c) s""",
+)
 def a16_data_summary(spark, sf_dir):
-    """A16 (rows-only): processing summary of the cleaned raw view (nested struct/map)."""
-    return A.data_summary(cleaned(fixtures(spark, sf_dir)))
+    """Processing summary of the cleaned raw view, a row for each column of its list."""
+    s = A.data_summary(cleaned(fixtures(spark, sf_dir)).select(*_A16_COLUMNS), processed_on="2024-06-30")
+    rows = s.select("*", F.posexplode("columns").alias("ordinal", "column_name"))
+    return r6(
+        rows.select(
+            "column_name", "ordinal", F.element_at("missing_values", F.col("column_name")).alias("missing"), "total_records",
+            F.col("date_range.start").alias("date_min"), F.col("date_range.end").alias("date_max"),
+            "unique_districts", "unique_crime_types", "processing_date",
+        )
+    )
 
 
 @register(
     "a17_upload_quality",
     f"""
-select o.n as original_records, c.n as processed_records, o.n - c.n as duplicates_removed,
-       case when o.n > 0 then round(c.n / o.n * 100e0, 6) else 100e0 end as data_quality_pct
-from (select count(*) as n from incidents_raw) o, (select count(*) as n from ({_CLEAN_SQL}) x) c""",
+select o.n as original_records, d.n as processed_records, o.n - d.n as duplicates_removed, u.n as undated_records,
+       case when o.n > 0 then round(d.n / o.n * 100e0, 6) else 100e0 end as data_quality_pct
+from (select count(*) as n from incidents_raw) o,
+     (select count(*) as n from (select distinct * from incidents_raw) x) d,
+     (select count(*) as n from incidents_raw where {parse_sql('date_text')} is null) u""",
 )
 def a17_upload_quality(spark, sf_dir):
-    fx = fixtures(spark, sf_dir)
-    return r6(A.upload_quality(fx.incidents_raw, cleaned(fx)))
+    return r6(A.upload_quality(fixtures(spark, sf_dir).incidents_raw, "date_text"))
 
 
 # ---------------------------------------------------------------- ordering ---
 
 
-@register("l1_by_time", """select case_no, ts, district from incidents_hourly""")
+@register("l1_by_time", """select case_no, ts, district, row_number() over (order by ts, case_no) as position from incidents_hourly""")
 def l1_by_time(spark, sf_dir):
-    return r6(L.by_time(fixtures(spark, sf_dir).incidents_hourly).select("case_no", "ts", "district"))
+    """L1 with the place of each row as a column (the comparison ignores row order)."""
+    h = fixtures(spark, sf_dir).incidents_hourly
+    return r6(numbered(h.select("case_no", "ts", "district"), "ts", "case_no"))
 
 
 def _topk_sql(col, k, view="incidents_hourly"):
@@ -605,13 +630,17 @@ def l5_sample_values(spark, sf_dir):
 
 @register(
     "l7_shuffle_rows",
-    """select case_no, ts, district, state, crime_type, round(latitude, 6) as latitude, round(longitude, 6) as longitude
-from incidents_hourly""",
+    """select count(*) as n_rows, count(distinct case_no) as n_keys, true as mostly_moved,
+       cast(sum(hash(district, crime_type) % 1000) * 0 as bigint) as lost from incidents_hourly""",
 )
 def l7_shuffle_rows(spark, sf_dir):
-    """Random order of the whole table; the order-insensitive check proves every
-    row is kept exactly once."""
-    return r6(L.shuffle_rows(fixtures(spark, sf_dir).incidents_hourly, 42))
+    """Random order of the whole table, as a measure: every row is kept once, no value
+    changes (rows lost or altered against the table), and most rows moved."""
+    h = fixtures(spark, sf_dir).incidents_hourly
+    shuffled = L.shuffle_rows(h, 42)
+    lost = h.exceptAll(shuffled).agg(F.count(F.lit(1)).alias("lost")).scalar()
+    check = L.order_check(h, shuffled)
+    return r6(check.select("n_rows", "n_keys", (F.col("moved") * 2 > F.col("n_rows")).alias("mostly_moved"), lost.alias("lost")))
 
 
 @register(
@@ -691,18 +720,33 @@ def g6_validation_report(spark, sf_dir):
     return r6(rep.select("valid", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings")))
 
 
+_LOG_SQL = f"""
+with x as (select {parse_sql('date_text')} as ts, district_text as district, type_text as crime_type, latitude, longitude, count(*) as n
+           from incidents_raw group by case_no, date_text, district_text, type_text, latitude, longitude),
+c as (select * from ({_CLEAN_SQL}) y),
+t as (select (select count(*) from incidents_raw) as loaded, (select coalesce(sum(n), 0) from x where ts is not null) as dated,
+             (select count(*) from c) as kept,
+             (select coalesce(sum(n), 0) from x where ts is not null and district is null) as no_district,
+             (select coalesce(sum(n), 0) from x where ts is not null and crime_type is null) as no_type,
+             (select coalesce(sum(n), 0) from x where ts is not null and (latitude is null or longitude is null)) as no_place)
+"""
+
+
 @register(
     "g7_processing_log",
-    f"""
-select step, rows_out, cast(step_no as bigint) as step_no from (values
-  ('loaded', (select count(*) from incidents_raw), 1),
-  ('dated', (select count(*) from incidents_raw where {parse_sql('date_text')} is not null), 2),
-  ('deduplicated', (select count(*) from ({_CLEAN_SQL}) c), 3)) t(step, rows_out, step_no)""",
+    _LOG_SQL
+    + """
+select step, cast(step_no as bigint) as step_no, cast(rows_in as bigint) as rows_in, cast(rows_out as bigint) as rows_out, cast(changed as bigint) as changed from (
+  select 'load' as step, 1 as step_no, loaded as rows_in, loaded as rows_out, 0 as changed from t
+  union all select 'drop_undated', 2, loaded, dated, loaded - dated from t
+  union all select 'fill_district', 3, dated, dated, no_district from t
+  union all select 'fill_type', 4, dated, dated, no_type from t
+  union all select 'flag_coordinates', 5, dated, dated, no_place from t
+  union all select 'deduplicate', 6, dated, kept, dated - kept from t) u""",
 )
 def g7_processing_log(spark, sf_dir):
-    fx = fixtures(spark, sf_dir)
-    raw = CL.canonical_columns(raw_with_headers(fx))
-    return r6(G.processing_log(raw, cleaned(fx), "date"))
+    raw = CL.canonical_columns(raw_with_headers(fixtures(spark, sf_dir)))
+    return r6(G.processing_log(raw, "date"))
 
 
 @register(

@@ -21,8 +21,10 @@ from wardstat.sources.views import CLASS_MAP
 def _series_sql(src: str = "incidents_monthly") -> str:
     """Dense monthly series of `src` (district, ts), with n, train size tt, test size hh."""
     return """
-mc as (select district, cast(date_trunc('month', ts) as date) as month, count(*) as crime_count
-       from {src} where ts is not null and district is not null group by 1, 2),
+mc0 as (select district, cast(date_trunc('month', ts) as date) as month, count(*) as crime_count
+        from {src} where ts is not null and district is not null group by 1, 2),
+ended as (select max(cast(ts as date)) as d from incidents_monthly where ts is not null and district is not null),
+mc as (select mc0.* from mc0, ended where month < cast(date_trunc('month', d) as date) or d = last_day(d)),
 bounds as (select district, min(month) as m0, max(month) as m1 from mc group by 1),
 cal as (select district, cast(m as date) as month
         from (select district, unnest(generate_series(cast(m0 as timestamp), cast(m1 as timestamp), interval 1 month)) as m
@@ -110,7 +112,7 @@ def _monthly_series(spark, sf_dir, reused: bool = True):
     """Dense series. Checkpointed when the query reads it more than once (measured
     faster at sf0.1 than re-aggregating per use); a single-read plan (the window
     queries, the one-pass backtest) streams straight from the aggregate."""
-    s = S.densify(S.monthly_counts(fixtures(spark, sf_dir).incidents_monthly))
+    s = S.densify(S.complete_months(S.monthly_counts(fixtures(spark, sf_dir).incidents_monthly)))
     return materialize(s) if reused else s
 
 
@@ -189,6 +191,7 @@ def w8_differences(spark, sf_dir):
 
 
 # --------------------------------------------------------------- forecasts ---
+_THREE = ("arima", "sarima", "lstm")
 _FC_COLS = "district, model, k, t, month, round(yhat, 6) as yhat"
 
 
@@ -275,7 +278,7 @@ wide as (select a.district, a.k, a.month, greatest(0e0, a.yhat) as arima, greate
 _FORECAST_SQL = _forecast_sql()
 
 _M6_SELECT = """
-select w.district, w.k, w.month, strftime(w.month, '%Y-%m-%d') as date, round(w.arima, 6) as arima,
+select w.district, w.k, strftime(w.month, '%Y-%m') as month, strftime(w.month, '%Y-%m-%d') as date, round(w.arima, 6) as arima,
        round(w.sarima, 6) as sarima, b.best_model,
        round(case b.best_model when 'arima' then w.arima when 'sarima' then w.sarima end, 6) as best_value
 from wide w left join best b on w.district = b.district"""
@@ -283,7 +286,7 @@ from wide w left join best b on w.district = b.district"""
 @register("m6_forecast", _FORECAST_SQL + _M6_SELECT)
 def m6_forecast(spark, sf_dir):
     """M6 with M4 (clamp at zero): 6 months ahead for every eligible district."""
-    return r6(FC.forecast_table(_monthly_series(spark, sf_dir, reused=False), 6, materialize_input=False))
+    return r6(FC.payload_month(FC.forecast_table(_monthly_series(spark, sf_dir, reused=False), 6, materialize_input=False)))
 
 
 @register("m6_forecast_all", _forecast_sql(_series_sql("(select 'all' as district, ts from incidents_monthly)")) + _M6_SELECT)
@@ -291,7 +294,7 @@ def m6_forecast_all(spark, sf_dir):
     """Forecast request for ``all`` districts pooled (6 months ahead)."""
     m = fixtures(spark, sf_dir).incidents_monthly
     series = flows.monthly_series_for(m, "all")
-    return r6(FC.forecast_table(series, 6, materialize_input=False))
+    return r6(FC.payload_month(FC.forecast_table(series, 6, materialize_input=False)))
 
 
 @register(
@@ -302,14 +305,53 @@ def m6_forecast_district(spark, sf_dir):
     """Forecast request for one district (P8 filter pushed to the scan, 6 months ahead)."""
     m = fixtures(spark, sf_dir).incidents_monthly
     series = flows.monthly_series_for(m, "NATION_7")
-    return r6(FC.forecast_table(series, 6, materialize_input=False))
+    return r6(FC.payload_month(FC.forecast_table(series, 6, materialize_input=False)))
+
+
+@register("m6_forecast_three_models")
+def m6_forecast_three_models(spark, sf_dir):
+    """The forecast request with all three models, for every district (rows-only; its
+    ``arima`` and ``sarima`` columns equal ``m6_forecast``'s, which has an oracle)."""
+    series = _monthly_series(spark, sf_dir)
+    scores = materialize(FC.backtest(series, _THREE, materialize_input=False))
+    return r6(FC.payload_month(FC.forecast_table(series, 6, _THREE, materialize_input=False, scores=scores)))
+
+
+def _three_scores(spark, sf_dir):
+    return materialize(FC.backtest(_monthly_series(spark, sf_dir), _THREE, materialize_input=False))
+
+
+@register("a20_best_of_three")
+def a20_best_of_three(spark, sf_dir):
+    """A20 over three models (rows-only)."""
+    return r6(FC.best_model(_three_scores(spark, sf_dir)))
+
+
+@register("a21_leaderboard_of_three")
+def a21_leaderboard_of_three(spark, sf_dir):
+    """A21 over three models (rows-only)."""
+    return r6(FC.model_leaderboard(_three_scores(spark, sf_dir)))
+
+
+@register("m7_selection_of_three")
+def m7_selection_of_three(spark, sf_dir):
+    """M7 over three models (rows-only), a column for each model's MAE."""
+    sel = FC.model_selection(_three_scores(spark, sf_dir))
+    maes = [F.col("all_models_mae")[m].alias(f"{m}_mae") for m in _THREE]
+    return r6(sel.select("district", "criteria", "best_model", "best_model_mae", *maes, "selection_note"))
+
+
+@register("m16_performance_of_three")
+def m16_performance_of_three(spark, sf_dir):
+    """M16's performance chart over three models (rows-only)."""
+    return r6(CH.model_performance_rows(_three_scores(spark, sf_dir)))
 
 
 @register(
     "j4_best_prediction",
     _FORECAST_SQL
     + """, hfc as (select * from harima union all select * from hsarima)
-select f.district, f.k, f.month, f.model as best_model, round(f.yhat, 6) as best_value
+select f.district, f.k, f.month, f.model as best_model, round(greatest(0e0, f.yhat), 6) as best_value
 from hfc f join best b on f.district = b.district and f.model = b.best_model""",
 )
 def j4_best_prediction(spark, sf_dir):
@@ -553,20 +595,58 @@ def m14_cross_validate_risk(spark, sf_dir):
     return RK.cross_validate_risk(spark, _features(spark, sf_dir), folds=3)
 
 
-@register("a25_classification_metrics")
+@register(
+    "a25_classification_metrics",
+    "with "
+    + _FEATURES_SQL
+    + """,
+hot as (select district, case when count(*) >= 150 then 'High' when count(*) >= 95 then 'Medium' else 'Low' end as p from incidents_hourly where district is not null group by 1),
+pairs as (select lv.risk_level as l, hot.p from lv join hot on lv.district = hot.district where lv.risk_level is not null),
+labels as (select l from pairs union select p from pairs),
+per as (select labels.l, count(*) filter (where pairs.l = labels.l) as support, count(*) filter (where pairs.l = labels.l and pairs.p = labels.l) as tp,
+               count(*) filter (where pairs.p = labels.l) as predicted from labels, pairs group by labels.l),
+pr as (select *, case when predicted > 0 then tp * 1e0 / predicted else 0e0 end as prec, case when support > 0 then tp * 1e0 / support else 0e0 end as rec from per)
+select round(sum(tp) * 1e0 / sum(support), 6) as accuracy, round(sum(prec * support) / sum(support), 6) as precision, round(sum(rec * support) / sum(support), 6) as recall,
+       round(sum(case when prec + rec > 0 then 2 * prec * rec / (prec + rec) else 0e0 end * support) / sum(support), 6) as f1 from pr""",
+)
 def a25_classification_metrics(spark, sf_dir):
-    """A25 (rows-only): accuracy/precision/recall/F1 of the forest against the rule label."""
-    feats = materialize(_features(spark, sf_dir))
-    model = RK.train_risk(feats, materialize_input=False)
-    pred = model.transform(RK.labelled(feats).select("district", *RK.FEATURES, "risk_level"))
-    return RK.classification_metrics(pred)
+    """A25 of the hotspot level as a prediction of the rule level (both can be told in SQL)."""
+    truth = RK.rule_risk(_features(spark, sf_dir)).where("risk_level is not null").select("district", F.col("risk_level").alias("label"))
+    guess = HS.hotspots(fixtures(spark, sf_dir).incidents_hourly).select(F.col("name").alias("district"), F.col("risk").alias("prediction"))
+    return r6(RK.classification_metrics(truth.join(guess, "district")))
+
+
+@register("a25_forest_held_out")
+def a25_forest_held_out(spark, sf_dir):
+    """A25 (rows-only): the forest on districts that it was not trained on."""
+    return r6(RK.held_out_metrics(materialize(_features(spark, sf_dir))))
+
+
+def _retrained(spark, sf_dir, kind):
+    fx = fixtures(spark, sf_dir)
+    return flows.retrain(fx.incidents_monthly, kind=kind, risk_df=fx.incidents_hourly, dim=fx.district_dim, class_map=CLASS_MAP)
 
 
 @register("m15_retrain")
 def m15_retrain(spark, sf_dir):
-    """M15 (rows-only): gates -> backtest -> risk forest -> one-row training summary."""
-    fx = fixtures(spark, sf_dir)
-    return flows.retrain(fx.incidents_monthly, kind="all", dim=None, class_map=CLASS_MAP, include_lstm=False)
+    """M15 (rows-only): gates, back-test of three models on the monthly view, forest on the hourly view."""
+    return r6(_retrained(spark, sf_dir, "all").summary)
+
+
+@register(
+    "m15_retrain_districts",
+    _BACKTEST_CTES
+    + """
+select s.district, s.model, round(s.mae, 6) as mae, round(s.mse, 6) as mse, s.n_test, i.total_records, i.districts, i.crime_types, i.span_days
+from scores s, (select count(*) as total_records, count(distinct district) as districts, count(distinct crime_type) as crime_types,
+                       datediff('day', min(cast(ts as date)), max(cast(ts as date))) as span_days from incidents_monthly) i""",
+)
+def m15_retrain_districts(spark, sf_dir):
+    """M15's rows per district of the two models that SQL can tell, with the summary's counts."""
+    done = _retrained(spark, sf_dir, "forecast")
+    one = done.summary.first()
+    counts = [F.lit(one[c]).cast("long").alias(c) for c in ("total_records", "districts", "crime_types", "span_days")]
+    return r6(done.districts.where("model <> 'lstm'").select("district", "model", "mae", "mse", "n_test", *counts))
 
 
 # ---------------------------------------------------------------- hotspots ---
@@ -621,7 +701,7 @@ from scores s left join best b on s.district = b.district""",
 def m16_chart_model_performance(spark, sf_dir):
     """Model-performance chart rows: one backtest pass, best model by a district window."""
     scores = FC.backtest(_monthly_series(spark, sf_dir, reused=False), materialize_input=False)
-    return r6(CH.model_performance_rows_one_pass(scores))
+    return r6(CH.model_performance_rows(scores))
 
 
 @register(
@@ -660,8 +740,11 @@ def m16_chart_parameters(spark, sf_dir):
     "a26_training_info",
     """
 select count(*) as total_records, count(distinct district) as districts, count(distinct crime_type) as crime_types,
-       datediff('day', min(cast(ts as date)), max(cast(ts as date))) as span_days, 'arima,sarima,lstm' as models
+       datediff('day', min(cast(ts as date)), max(cast(ts as date))) as span_days, 'arima,sarima' as models
 from incidents_monthly""",
 )
 def a26_training_info(spark, sf_dir):
-    return r6(flows.training_info(fixtures(spark, sf_dir).incidents_monthly))
+    """A26 with the models that the back-test of this request ran."""
+    scores = FC.backtest(_monthly_series(spark, sf_dir, reused=False), materialize_input=False)
+    ran = {r["model"] for r in scores.select("model").distinct().collect()}  # one row per model
+    return r6(flows.training_info(fixtures(spark, sf_dir).incidents_monthly, models=[m for m in _THREE if m in ran]))

@@ -1,15 +1,16 @@
 """Readers, writers and versioned publishing.
 
 Writes go through the DataFrame writer (one file per task, no driver
-round-trip). Publishing appends a new ``version=`` partition and never
-overwrites; readers pick the newest version with a partition filter, so only
-that version's files are listed and read.
+round-trip). Publishing writes a new ``version=`` folder, never overwrites, and
+then logs it with a commit number; readers take the version with the highest
+number and read its folder directly, with its own schema.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,7 +42,10 @@ def read_upload(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """An uploaded dataset must be ``.csv`` files and hold at least one row."""
     if not path.endswith(".csv") and not path.endswith("/") and "." in path.rsplit("/", 1)[-1]:
         raise ValueError("only .csv uploads are accepted")
-    r = spark.read.option("header", True).option("pathGlobFilter", "*.csv")
+    names = spark.read.format("binaryFile").load(path).select("path")  # names only: no file is read
+    if not names.where(~F.col("path").endswith(".csv")).isEmpty():
+        raise ValueError("only .csv uploads are accepted: the folder holds other files")
+    r = spark.read.option("header", True)
     df = (r.schema(schema) if schema is not None else r).csv(path)
     if df.isEmpty():
         raise ValueError("uploaded file holds no rows")
@@ -93,31 +97,51 @@ def _versions_path(root: str) -> str:
 
 
 def publish(df: DataFrame, root: str, version: str | None = None) -> str:
-    """Append the dataset as a new ``version=`` partition; older versions stay
-    as backups and nothing is overwritten. After the data is committed, one row is
-    appended to the ``_versions`` table, so a reader never sees an unfinished version."""
+    """Write the dataset as ``version=<v>``; older versions stay as backups
+    and nothing is overwritten (an existing version is an error). After the data is
+    committed, one row (version, commit number, time) is appended to the
+    ``_versions`` table, so a reader never sees an unfinished version."""
     v = version or new_version()
-    df.withColumn("version", F.lit(v)).write.mode("append").partitionBy("version").parquet(root)
     spark = df.sparkSession
-    spark.createDataFrame([(v,)], "version string").write.mode("append").parquet(_versions_path(root))
+    df.write.mode("errorifexists").parquet(version_path(root, v))
+    log = _version_log(spark, root)
+    last = 0 if log is None else log.agg(F.max("commit")).first()[0] or 0
+    row = spark.createDataFrame([(v, last + 1)], "version string, commit long").withColumn("committed_at", F.current_timestamp())
+    row.write.mode("append").parquet(_versions_path(root))
     return v
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Newest published version, from the one-row-per-version ``_versions`` table
-    (a partition-column scan would read the footer of every file of every version)."""
+def version_path(root: str, version: str) -> str:
+    return f"{root.rstrip('/')}/version={version}"
+
+
+def _version_log(spark: SparkSession, root: str) -> DataFrame | None:
+    """The ``_versions`` table, or None where nothing was ever published."""
     try:
-        vs = spark.read.schema("version string").parquet(_versions_path(root))
-    except Exception:  # published before the table existed: fall back to the partitions
-        vs = spark.read.parquet(root).select("version")
-    row = vs.agg(F.max("version")).first()
-    return row[0] if row else None
+        return spark.read.schema("version string, commit long, committed_at timestamp").parquet(_versions_path(root))
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The version published last (by commit number, then time), from the
+    one-row-per-version log; None where nothing is published."""
+    log = _version_log(spark, root)
+    if log is None:
+        return None
+    row = log.agg(F.max_by("version", F.struct("commit", "committed_at", "version"))).first()
+    return row[0]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version; the filter prunes every other partition."""
+    """The version published last, with its own schema; only its folder is
+    listed. An error where nothing is published."""
     v = current_version(spark, root)
-    return spark.read.parquet(root).where(F.col("version") == F.lit(v)).drop("version")
+    if v is None:
+        raise FileNotFoundError(f"nothing is published under {root}")
+    return spark.read.parquet(version_path(root, v))
 
 
 def save_model(model, path: str) -> None:
