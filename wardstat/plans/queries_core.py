@@ -249,6 +249,17 @@ def p1_canonical_columns(spark, sf_dir):
     return r6(CL.canonical_columns(raw_with_headers(fixtures(spark, sf_dir))))
 
 
+@register(
+    "p2_if_has",
+    """select case_no, coalesce(district_text, 'Unknown') as district_text from incidents_raw""",
+)
+def p2_if_has(spark, sf_dir):
+    """A step runs only where its columns exist: the fill does, the drop on an absent column doesn't."""
+    raw = fixtures(spark, sf_dir).incidents_raw.select("case_no", "district_text")
+    filled = CL.if_has(raw, "district_text", lambda d: d.fillna("Unknown", ["district_text"]))
+    return r6(CL.if_has(filled, ["district_text", "absent"], lambda d: d.limit(0)))
+
+
 @register(
     "p3_drop_undated",
     f"""select case_no, ts from (select case_no, {parse_sql('date_text')} as ts from incidents_raw) x where ts is not null""",

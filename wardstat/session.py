@@ -122,12 +122,18 @@ def write_table(df, name: str, path: str | None = None):
     ``drop_scratch`` deletes."""
     spark = df.sparkSession
     if path is None:
-        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-        _SCRATCH.setdefault(spark, []).append(path)
+        path = scratch_folder(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared checkpoint folder, which ``drop_scratch`` deletes."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.setdefault(spark, []).append(path)
+    return path
+
+
 _SCRATCH: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wardstat.session import scratch_path
+from wardstat.session import scratch_folder
 
 CORRUPT_COL = "_corrupt_record"
 
@@ -162,7 +162,7 @@ def stage_csv(df: DataFrame, name: str) -> str:
     Spark's CSV writer trims field whitespace by default; the staged file keeps
     every text exactly (as a pandas-written upload would), so padding reaches the
     cleaner."""
-    path = scratch_path(df.sparkSession, f"{name}-{new_version()}")
+    path = scratch_folder(df.sparkSession, name)
     w = df.write.mode("overwrite").option("header", True)
     w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
