@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import brute
@@ -237,11 +238,11 @@ def test_mixing_plan_has_no_python(docs):
 # ------------------------------------------------------------------ op8 ---
 
 
-@pytest.mark.parametrize("length,gram", [(60, 12), (25, 96), (120, 40)])
-def test_repeats_are_brute_force(docs, corpus, length, gram):
+@pytest.mark.parametrize("length,gram,hot", [(60, 12, 1 << 14), (25, 96, 2), (120, 40, 1 << 14), (60, 20, 1)])
+def test_repeats_are_brute_force(docs, corpus, length, gram, hot):
     small = docs.where("text is null or length(text) < 3000")
     some = [(i, t) for i, t in corpus if t is None or len(t) < 3000]
-    got = rows(suffix_dedup.remove_repeats(small, length, keep_first=False, gram=gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = rows(suffix_dedup.remove_repeats(small, length, keep_first=False, gram=gram, hot_kinds=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = brute.repeats([t for _, t in some], length)
     assert Counter(got) == Counter((i, *w) for (i, _), w in zip(some, want))
 
@@ -254,11 +255,13 @@ def test_repeats_of_long_texts(docs, corpus):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out.values())
 
 
-def test_keep_first_leaves_one_copy(spark):
-    a, b = "".join(chr(97 + (i * i + 3 * i) % 23) for i in range(300)), "".join(chr(97 + (i * i * i + 7 * i) % 19) for i in range(300))
+@pytest.mark.parametrize("hot", [1 << 14, 1])
+def test_keep_first_leaves_one_copy(spark, hot):
+    rng = random.Random(4)
+    a, b = ("".join(rng.choice("abcdefghij") for _ in range(300)) for _ in range(2))
     texts = [(1, "x" * 30 + a), (2, a + b), (3, b[50:]), (4, a + b), (None, None)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    out = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, 60, keep_first=True, gram=20).collect()}
+    out = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, 60, keep_first=True, gram=20, hot_kinds=hot).collect()}
     assert out[1].kept.decode() == texts[0][1]
     assert out[2].kept.decode() == b and out[3].kept == b"" and out[4].kept == b""
     assert out[None].n_bytes == 0

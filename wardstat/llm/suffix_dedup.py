@@ -19,7 +19,9 @@ A string of ``LENGTH`` bytes that begins in two places is found in three steps.
 The bytes covered by removed strings are joined into spans, and cut from the text.
 Texts are compared as UTF-8 bytes, and matches never cross documents.
 
-Equal texts are one text with a count. Anchors are spread by fingerprint, never by document, so
+Equal texts are one text with a count. An anchor with more than ``HOT_KINDS`` kinds of context (a
+passage in very many surroundings) is not put in order in one task: its strings are counted by name
+by a Spark aggregate, with the same result. Anchors are spread by fingerprint, never by document, so
 a long document or a large group of copies does not meet in one task.
 
 Defined cases: null counts as empty; texts under ``LENGTH`` bytes stay whole; repeated rows are
@@ -43,6 +45,8 @@ LENGTH = 400
 GRAM = 96
 BATCH_BYTES = 2 << 20
 BROADCAST_KEYS = 1 << 19
+#: contexts of one anchor that a task puts in suffix order (about 10 MB); beyond, strings are counted by name
+HOT_KINDS = 1 << 14
 _PLACE_BITS = np.uint64(23)
 _KEYS = ["fp", "kind", "t1", "t2", "start", "n"]
 
@@ -127,6 +131,26 @@ def _contexts(length: int):
     return run
 
 
+def _names(length: int):
+    """A row for each start position of a context, with the name of its string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tb.texts(batch.column("bytes"))
+            n = batch.column("n").to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = offsets[row] + step
+            names = tb.fingerprints(tb.running(data), at, at + length) if len(at) else np.empty(0, np.uint64)
+            held = batch.select(["fp", "place", "t1", "t2", "emit"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [*held.columns, pa.array(names.view(np.int64)), pa.array((batch.column("start").to_numpy()[row] + step).astype(np.int32))],
+                ["fp", "place", "t1", "t2", "emit", "name", "at"],
+            )
+
+    return run
+
+
 def previous_factors(data: np.ndarray, at: np.ndarray, length: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes at ``at`` (in corpus order): is there an earlier, a later suffix with the same first ``length`` bytes?"""
     names = tb.mix64(tb.fingerprints(tb.running(data), at, at + length) ^ salt)
@@ -211,7 +235,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int = GRAM, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row; ``kept`` are the bytes left."""
     text = F.coalesce("text", F.lit(""))
     rows = documents(docs).select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
@@ -229,19 +253,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     whole = whole.select("t1", "t2", F.col("start").alias("first"), (F.col("start") + F.col("n") + length - 1).alias("last"))
 
     # one context of each kind of the anchors that have several kinds
-    mixed = kinds.groupBy("fp").count().where("count > 1").select("fp")
-    wanted = kinds.join(mixed, "fp", "left_semi").select(
-        "fp", "place", "place.t1", "place.t2", "place.start", "place.n", (F.lit(keep_first) | (F.col("places") == 1)).alias("emit")
+    mixed = kinds.groupBy("fp").count().where("count > 1").select("fp", (F.col("count") > hot_kinds).alias("hot"))
+    wanted = kinds.join(mixed, "fp").select(
+        "fp", "hot", "place", "place.t1", "place.t2", "place.start", "place.n", (F.lit(keep_first) | (F.col("places") == 1)).alias("emit")
     )
-    wanted = written(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("fp", "place", "start", "n", "emit")).alias("want")), "repeats-wanted")
-    # texts that have some, then each once with its wanted runs
-    chosen = rows.join(_keys(wanted), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    distinct = chosen.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "want")
-    kind = "struct<doc_id:bigint,t1:bigint,t2:bigint,start:int,n:int>"
-    contexts = distinct.mapInArrow(_contexts(length), f"fp long, place {kind}, t1 long, t2 long, start int, n int, emit boolean, bytes binary")
-    ordered = contexts.repartition("fp").sortWithinPartitions("fp", "place").drop("place")
-    partial = ordered.mapInArrow(_factors(length, keep_first), "t1 long, t2 long, first int, last int")
-
+    wanted = written(wanted, "repeats-chosen")
+    any_hot = wanted.where("hot").limit(1).count() > 0
+    partial = _in_order(rows, wanted.where("not hot"), length, keep_first)
+    if any_hot:
+        partial = partial.unionByName(_by_name(rows, wanted.where("hot"), length, keep_first))
     spans = whole.unionByName(partial).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = written(spans, "repeats-spans")
     copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
@@ -261,6 +281,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def _chosen_contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The wanted contexts with their bytes: texts that have some, each once with its wanted runs."""
+    wanted = written(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("fp", "place", "start", "n", "emit")).alias("want")), "repeats-wanted")
+    chosen = rows.join(_keys(wanted), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    distinct = chosen.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "want")
+    kind = "struct<doc_id:bigint,t1:bigint,t2:bigint,start:int,n:int>"
+    return distinct.mapInArrow(_contexts(length), f"fp long, place {kind}, t1 long, t2 long, start int, n int, emit boolean, bytes binary")
+
+
+def _in_order(rows: DataFrame, wanted: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Spans by suffix order: an anchor's contexts (``HOT_KINDS`` at most) meet in one task."""
+    ordered = _chosen_contexts(rows, wanted, length).repartition("fp").sortWithinPartitions("fp", "place").drop("place")
+    return ordered.mapInArrow(_factors(length, keep_first), "t1 long, t2 long, first int, last int")
+
+
+def _by_name(rows: DataFrame, wanted: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """The same for anchors with more contexts than one task should hold: Spark counts the strings
+    by name (partial counts first) and joins the names that recur."""
+    kind = "struct<doc_id:bigint,t1:bigint,t2:bigint,start:int,n:int>"
+    named = _chosen_contexts(rows, wanted, length).mapInArrow(_names(length), f"fp long, place {kind}, t1 long, t2 long, emit boolean, name long, at int")
+    named = written(named, "repeats-named")
+    here = F.struct("place", "at")
+    same = named.groupBy("fp", "name").agg(F.count("*").alias("c"), F.min(here).alias("earliest")).where("c > 1")
+    hits = named.join(same, ["fp", "name"]).where("emit")
+    if keep_first:
+        hits = hits.where(~here.eqNullSafe(F.col("earliest")))
+    return hits.select("t1", "t2", F.col("at").alias("first"), (F.col("at") + length).alias("last"))
+
+
 def _keys(texts: DataFrame) -> DataFrame:
     """The texts' two-number keys; broadcast when there are at most ``BROADCAST_KEYS``."""
     keys = texts.select("t1", "t2")
