@@ -100,9 +100,10 @@ def test_normalise(spark):
     assert sorted((str(r["k"]), str(r["v"])) for r in RK.normalise(odd, "k", "v").collect()) == [("None", "0.5"), ("None", "0.5"), ("z", "None")]
 
 
-def test_importance_map_is_in_both_risk_results(spark, fx):
-    from wardstat.sources.views import CLASS_MAP
+def test_importance_map_is_in_both_risk_results(spark):
+    from wardstat.sources.views import CLASS_MAP, Fixtures
 
+    fx = Fixtures(spark, "/root/testdata/sf0.01")  # several classes: the forest splits
     feats = RK.risk_features(fx.incidents_hourly, fx.district_dim, CLASS_MAP)
     rule = RK.rule_risk(feats).first()["feature_importance"]
     assert set(rule) == set(RK.FEATURES) and sum(rule.values()) == pytest.approx(1.0) and rule["weekend_crimes_pct"] == 0
