@@ -132,7 +132,12 @@ def test_tokens_round_trip(spark, docs, corpus, tmp_path):
     path = str(tmp_path / "shards")
     token_output.write_shards(docs, path, BPE, shard_ids=5000)
     got = token_output.read_shards(spark, path, with_ids=True).orderBy("start").collect()
-    order = sorted(corpus, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode()))
+    texts = defaultdict(list)
+    for i, t in corpus:
+        texts[i].append(t)
+    # rows of one id are equal here, so their order doesn't matter
+    assert all(len(set(t)) == 1 for t in texts.values())
+    order = sorted(corpus, key=lambda r: r[0])
     want = brute.tokens([t for _, t in order], BPE)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == [(i, *w) for (i, _), w in zip(order, want)]
     assert all(len(r.ids) == r.n_tokens and r.ids[-1] == 0 for r in got)
@@ -144,7 +149,9 @@ def test_tokens_of_no_documents_and_null_ids(spark, no_docs, tmp_path):
     df = spark.createDataFrame([(None, "x"), (1, "y"), (None, None)], "doc_id long, text string")
     token_output.write_shards(df, str(tmp_path / "nulls"), BPE)
     got = rows(token_output.read_shards(spark, str(tmp_path / "nulls")), "doc_id", "start", "n_tokens")
-    assert sorted(got, key=lambda r: r[1]) == [(None, 0, 1), (None, 1, 2), (1, 3, 2)]
+    nulls = sorted(got, key=lambda r: r[1])[:2]
+    assert {(i, n) for i, _, n in nulls} == {(None, 1), (None, 2)} and [s for _, s, _ in nulls] == [0, nulls[0][2]]
+    assert (1, 3, 2) in got
 
 
 PIECES = [*"ab'stT.,!7 \n\t\r<|>", "\u00a0", "\u3000", "\u0085", "\u2028", "\x1c", "é", "ß", "漢", "🙂", "<|endoftext|>", " the", "'ll"]
@@ -191,15 +198,14 @@ def test_mixing_targets_and_amounts(spark, docs, corpus):
     for r in out:
         sizes[r.source] += r["size"]
     want = brute.fill_targets(dict(sizes))
-    longest = max(r["size"] for r in out)
     taken = defaultdict(int)
     for r in out:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
         assert r.taken == r["size"] * r.copies <= 3 * r["size"]
         taken[r.source] += r.taken
     assert len(out) == len(corpus)
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= longest
+    for s in sizes:  # no closer document is left: dropping or adding one can't halve the miss of a source
+        assert abs(taken[s] - want[s]) <= max(r["size"] for r in out if r.source == s) / 2 + 1
     by = dict(corpus)
     assert all(r["size"] == len(brute.SPACED.findall(by[r.doc_id] or "")) for r in out)
     again = Counter(rows(mixing.mix(docs.repartition(3)), "doc_id", "size", "source", "copies"))
@@ -216,14 +222,14 @@ def test_mixing_is_close_on_many_documents(spark):
     want = brute.fill_targets({r.source: r["size"] for r in per})
     for r in per:
         assert r.target == pytest.approx(want[r.source])
-        assert abs(r.taken - r.target) <= 37
+        assert abs(r.taken - r.target) <= 1
 
 
 def test_mixing_capped_sources_are_taken_three_times(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, "c " * 500, "y"), (3, "", "z"), (4, None, None)], "doc_id long, text string, source string")
     got = {r.doc_id: (r["size"], r.target, r.taken) for r in mixing.mix(df).collect()}
     assert got[1] == (2, 6.0, 6) and got[3] == (0, 0.0, 0) and got[4] == (0, 0.0, 0)
-    assert got[2][1] == pytest.approx(496) and got[2][2] in (0, 500)
+    assert got[2][1] == pytest.approx(496) and got[2][2] == 500
 
 
 def test_mixing_of_nothing(no_docs):

@@ -9,8 +9,9 @@ id has the rank value
 
     q_i = (u_i / (1 - u_i)) / (p_i / (1 - p_i))
 
-and the documents of smallest q are taken until the words of the rest are
-reached (the document that crosses the mark is taken when that comes nearer).
+and the documents of smallest q are taken as long as the words of the rest hold
+them. The first that doesn't fit ends the draw, and one more document, whose size is nearest to
+the words still missing (if it brings the sum nearer), closes it.
 
 The order is found without sorting a source in one task: q / (1 + q) is cut
 into ``BINS`` bins whose words are summed by Spark (partial sums first), the
@@ -126,7 +127,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO, bins: int
     coarse = F.least(F.floor(F.col("_x") * bins), F.lit(bins - 1)).cast("int")
     fine = F.least(F.floor((F.col("_x") * bins - F.col("_bin")) * bins), F.lit(bins - 1)).cast("int")
     ranked = written(
-        ranked.withColumn("_bin", coarse).withColumn("_sub", fine), "mix-ranked"
+        ranked.withColumn("_bin", coarse).withColumn("_sub", fine).withColumn("_id", F.monotonically_increasing_id()), "mix-ranked"
     )
     edge1 = _crossing(ranked, plan, ["_bin"])
     edge2 = _crossing(_with_edge(ranked, edge1, "_edge1").where("_bin = _edge1"), edge1, ["_sub"])
@@ -147,18 +148,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO, bins: int
     inside = (F.col("_bin") < F.col("_edge1")) | ((F.col("_bin") == F.col("_edge1")) & (F.col("_sub") < F.col("_edge2")))
     at_edge = (F.col("_bin") == F.col("_edge1")) & (F.col("_sub") == F.col("_edge2"))
     clear = placed.withColumn("_edgerow", F.coalesce(at_edge, F.lit(False)))
-    order = Window.partitionBy("source").orderBy("_x", "doc_id", "row")
+    order = Window.partitionBy("source").orderBy("_x", "doc_id", "row", "_id")
     last = (
         clear.where("_edgerow")
         .withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("_more", (F.col("_upto") - F.col("size") / 2 <= F.col("_left")).cast("int"))
+        .withColumn("_more", (F.col("_upto") <= F.col("_left")).cast("int"))
         .drop("_upto")
     )
     rest = clear.where(~F.col("_edgerow")).withColumn(
         "_more", F.coalesce(inside & (F.col("_rest") > 0), F.lit(False)).cast("int")
     )
-    copies = (F.col("_whole") + F.col("_more")).cast("int")
-    return rest.unionByName(last).select(
+    drawn = written(rest.unionByName(last).drop("_edgerow", "_edge1", "_edge2", "_left", "_bin", "_sub"), "mix-drawn")
+    gaps = drawn.groupBy("source").agg((F.max("_rest") - F.sum(F.col("size") * F.col("_more"))).alias("_gap"))
+    free = (
+        drawn.where((F.col("_more") == 0) & (F.col("size") > 0) & (F.col("_rest") > 0)).alias("d")
+        .join(gaps.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+        .select("d.source", "_id", "_x", "doc_id", "row", "_gap", F.abs(F.col("size") - F.col("_gap")).alias("_off"))
+        .where(F.col("_off") < F.col("_gap"))
+    )
+    closing = free.groupBy("source").agg(F.min_by("_id", F.struct("_off", "_x", "doc_id", "row", "_id")).alias("_id"))
+    closing = closing.select("_id", F.lit(1).alias("_close"))
+    more = F.col("_more") + F.coalesce("_close", F.lit(0))
+    copies = (F.col("_whole") + more).cast("int")
+    return drawn.join(closing, "_id", "left").select(
         "doc_id", "row", "source", "size", "source_size", "target",
         copies.alias("copies"), (F.col("size") * copies).alias("taken"),
     )
