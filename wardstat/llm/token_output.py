@@ -1,6 +1,6 @@
 """Operator 5: token ids as grammar-compressed binary shards.
 
-Documents are range-partitioned by doc_id and sorted; each task encodes its
+Documents are range-partitioned by doc_id (and, within an id, by a hash of the text) and sorted; each task encodes its
 texts, appends the end id and cuts the stream into shards of whole documents.
 A shard is compressed by Re-Pair: round by round, the id pairs that
 occur most often are each replaced by a new symbol (a rule), never across a
@@ -21,8 +21,8 @@ a pre-token, as does an ASCII mark or digit that follows an ASCII letter, so a t
 once per worker; pieces' ids are gathered by fingerprint. Texts with white space
 outside ASCII are encoded whole.
 
-Defined cases: null and empty text give the end id alone; repeated ids are ordered by
-text; a null id sorts first; an empty table gives no shards.
+Defined cases: null and empty text give the end id alone; rows of one id are ordered by
+a hash of the text; a null id sorts first; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -312,7 +312,9 @@ def _shards(path: str, shard_ids: int):
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` in ascending doc_id order and write the shard table to ``path``."""
-    rows = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id may be many: they are spread by a hash of the text, and ordered by it
+    tied = documents(docs).withColumn("tie", F.xxhash64("text"))
+    rows = tied.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     rows.mapInArrow(_shards(tokenizer, shard_ids), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
