@@ -382,7 +382,8 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
         .join(tried, ["a", "b"], "left_anti")
     )
     rest = _checked(written(more, "ngram-more"), sets, docs, percent)
-    final = components(links.unionByName(rest))
+    # the components so far are stars: their links to the smallest member are enough
+    final = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b")))
     # an id whose rows have different texts names several sets; each has its own row here
     names = sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.coalesce("component", "rep").alias("component_id")
