@@ -44,6 +44,44 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, s, s + 4), ' ') AS g
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS s FROM d WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, sym.b FROM reach JOIN sym ON reach.y = sym.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING (doc_id)
+"""
+
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+pos AS (SELECT doc_id, p, md5_number(substr(hx, 2 * p + 1, 800)) AS h FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 399)) AS p FROM d WHERE len(hx) >= 800)),
+twice AS (SELECT h FROM pos GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, -1) AS fresh FROM pos WHERE h IN (SELECT h FROM twice)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit) GROUP BY doc_id, k),
+piece AS (SELECT span.doc_id, a, b, substr(hx, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS before
+          FROM span JOIN d USING (doc_id) WINDOW w AS (PARTITION BY span.doc_id ORDER BY a)),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(before, '' ORDER BY a) AS head, max(b) AS upto FROM piece GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+_COSINE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.s > 0 AND b.s > 0 AND list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, link.b FROM reach JOIN link ON reach.y = link.a),
+part AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM part LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM link GROUP BY a) c USING (vec_id)
+"""
+
+
 @query("op4_benchmark_decontamination", _DECON_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contaminated words of every document by benchmark windows of 13 words."""
@@ -94,19 +132,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
-@query("op9_embedding_near_dedup")
+@query("op9_embedding_near_dedup", _COSINE_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of every vector at cosine 0.9."""
     return embedding_join.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", _JACCARD_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at Jaccard similarity 0.8 of five-word shingles."""
     return ngram_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op8_suffix_array_dedup")
+@query("op8_suffix_array_dedup", _REPEATS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document in strings of 400 bytes that recur."""
     out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_first=False)
