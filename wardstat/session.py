@@ -137,13 +137,21 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 _SCRATCH: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediates that ``write_table`` wrote in this session; call it
-    once their results are written or collected. Returns the number of folders."""
-    paths = _SCRATCH.pop(spark, [])
-    for path in paths:
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch folders the session has made so far, for ``drop_scratch``'s ``since``."""
+    return len(_SCRATCH.get(spark, []))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Delete the intermediates that were written in this session (after ``since``, but for
+    ``keep``); call it once the results that read them are written or collected.
+    Returns the number of folders."""
+    made = _SCRATCH.get(spark, [])
+    gone = [path for path in made[since:] if path not in keep]
+    _SCRATCH[spark] = [*made[:since], *(path for path in made[since:] if path in keep)]
+    for path in gone:
         delete_path(spark, path)
-    return len(paths)
+    return len(gone)
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
