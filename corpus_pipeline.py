@@ -7,15 +7,13 @@ doc_id and a hash of its text, so rows of one id with other texts are judged on
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstat.llm import decontaminate, lang_id, mixing, ngram_join, token_output
 from wardstat.llm.tables import join_rows, keyed, read, written
-from wardstat.session import scratch_path
+from wardstat.session import drop_scratch, scratch_folder, scratch_mark
 
 #: below this mean probability no language is told
 MIN_SCORE = 0.3
@@ -62,7 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards, read back: place, number and checksum of each document's ids."""
-    path = scratch_path(spark, f"llm-shards-{uuid.uuid4().hex}")
+    path = scratch_folder(spark, "llm-shards")
     token_output.write_shards(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.read_shards(spark, path)
 
@@ -80,8 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``. A stage's own intermediates, and what the stage
+    before wrote, are deleted once its result is written."""
     docs = read(spark, sf_dir, "documents")
+    mark = scratch_mark(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_folder(spark, f"llm-pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        drop_scratch(spark, mark, keep=(path,))
     return STAGES[-1][1](spark, docs, sf_dir)

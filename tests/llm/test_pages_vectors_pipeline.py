@@ -161,6 +161,22 @@ def test_pipeline_on_odd_rows_and_none(spark, docs, no_docs):
     assert no_docs.count() == 0
 
 
+def test_run_applies_the_stages_and_deletes_what_it_no_longer_reads(spark):
+    from wardstat import session
+
+    mark = session.scratch_mark(spark)
+    other = session.scratch_folder(spark, "other")
+    spark.range(3).write.parquet(other)
+    out = corpus_pipeline.run(spark, SMALL)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and len(rows) > 100
+    assert spark.read.parquet(other).count() == 3  # not this run's
+    left = session._SCRATCH[spark][mark + 1 :]
+    assert len(left) == 2 and sum("source_mixing" in p for p in left) == 1 and sum("shards" in p for p in left) == 1
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 # -------------------------------------------------------------- queries ---
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, suffix_dedup, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
-from wardstat.session import scratch_path
+from wardstat.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,7 +102,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_output")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and checksums of every document's token ids, read back from the shard files."""
-    path = scratch_path(spark, f"llm-shards-{uuid.uuid4().hex}")
+    path = scratch_folder(spark, "llm-shards")
     token_output.write_shards(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.read_shards(spark, path)
 
