@@ -253,6 +253,16 @@ def test_repeats_are_brute_force(docs, corpus, length, gram, hot):
     assert Counter(got) == Counter((i, *w) for (i, _), w in zip(some, want))
 
 
+def test_anchors_are_the_leftmost_smallest_pieces_in_any_segments(monkeypatch):
+    rng = np.random.default_rng(8)
+    pieces = (rng.integers(0, 12, 400).astype(np.uint64) << np.uint64(40)) | rng.integers(0, 1 << 20, 400).astype(np.uint64)
+    for window in (1, 2, 7, 64):
+        want = [i + int(np.argmin(pieces[i : i + window] >> np.uint64(23))) for i in range(len(pieces) - window + 1)]
+        for segment in (1 << 20, 33, 64):
+            monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+            assert suffix_dedup.leftmost_smallest(pieces, window).tolist() == want
+
+
 def test_repeats_of_long_texts(docs, corpus):
     out = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, keep_first=False).collect()}
     by = dict(corpus)

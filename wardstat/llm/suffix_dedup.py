@@ -48,6 +48,7 @@ BROADCAST_KEYS = 1 << 19
 #: contexts of one anchor that a task puts in suffix order (about 10 MB); beyond, strings are counted by name
 HOT_KINDS = 1 << 14
 _PLACE_BITS = np.uint64(23)
+SEGMENT = 1 << 20
 _KEYS = ["fp", "kind", "t1", "t2", "start", "n"]
 
 
@@ -61,18 +62,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     sums = tb.running(data)
     at = np.arange(len(data) - gram + 1)
     pieces = tb.fingerprints(sums, at, at + gram)
-    low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
-    packed = (pieces & ~low) | at.astype(np.uint64) if len(data) <= int(low) else None
-    window = length - gram + 1
-    if packed is None:
-        anchor = _argmin_long(pieces, window)
-    else:
-        least, have = packed, 1
-        while have * 2 <= window:
-            least = np.minimum(least[:-have], least[have:])
-            have *= 2
-        rest = window - have
-        anchor = (np.minimum(least[: len(least) - rest], least[rest:]) & low).astype(np.int64)
+    anchor = leftmost_smallest(pieces, length - gram + 1)
     begin = np.arange(last + 1)
     row = np.searchsorted(offsets, begin, "right") - 1
     whole = begin + length <= offsets[row + 1]
@@ -85,15 +75,23 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return row[edge], start, n, pieces[anchor[edge]], tb.fingerprints(sums, start, start + n + length - 1)
 
 
-def _argmin_long(pieces: np.ndarray, window: int) -> np.ndarray:
-    """Leftmost smallest place of each window of one very long text."""
-    low = (np.uint64(1) << np.uint64(32)) - np.uint64(1)
-    least, have = (pieces & ~low) | np.arange(len(pieces), dtype=np.uint64), 1
-    while have * 2 <= window:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    rest = window - have
-    return (np.minimum(least[: len(least) - rest], least[rest:]) & low).astype(np.int64)
+def leftmost_smallest(pieces: np.ndarray, window: int) -> np.ndarray:
+    """Place of the smallest fingerprint of each window (by its upper bits; the leftmost of equals).
+
+    The place is packed below the fingerprint's upper 41 bits, segment by segment, so that a text of any
+    length gets the same choice and a minimum of pairs of minima (doubling) gives both."""
+    low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+    n = len(pieces) - window + 1
+    out = np.empty(n, np.int64)
+    for s in range(0, n, SEGMENT):
+        part = pieces[s : s + SEGMENT + window - 1]
+        least, have = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while have * 2 <= window:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        rest = window - have
+        out[s : s + SEGMENT] = (np.minimum(least[: len(least) - rest], least[rest:]) & low).astype(np.int64) + s
+    return out
 
 
 def _anchors(length: int, gram: int):
