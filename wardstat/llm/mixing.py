@@ -95,7 +95,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO
 
 def rank_value(size: Column, share: Column, seed: int = SEED) -> Column:
     """q / (1 + q) of Pareto order sampling; ``share`` is p_i per word."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))
+    u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)  # 52 bits of the id's md5
     p = F.greatest(F.least(size * share, F.lit(1 - 1e-9)), F.lit(1e-12))
     q = (u / (1 - u)) / (p / (1 - p))
     return q / (1 + q)

