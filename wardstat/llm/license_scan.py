@@ -5,7 +5,7 @@ multinomial logistic regression (classes: the licence families, ``unknown``
 for licence talk of no family, and ordinary text) is trained in numpy on the driver from
 the templates in ``licence_texts``, altered at random (cut, words changed,
 words of ordinary text added), and from a bounded sample of the corpus's own
-paragraphs (``NEGATIVES`` at most) as ordinary text. Of the altered ones and the
+paragraphs (``NEGATIVES`` in expectation) as ordinary text. Of the altered ones and the
 sample a part is held out, on which two thresholds are calibrated: the least probability of
 being licence talk, which at most ``FALSE_SHARE`` of ordinary paragraphs reach and (up to 0.95)
 all but ``LOST_SHARE`` of the licence paragraphs do, and the
@@ -137,7 +137,7 @@ _TEMPLATE_TRIPLES: dict[str, list[frozenset[int]]] = {}
 def template_share(own: frozenset[int], family: str) -> float:
     """The largest share of word triples, of the shorter text's, in common with a template of the family."""
     if not _TEMPLATE_TRIPLES:
-        _TEMPLATE_TRIPLES.update({f: [triples(t) for t in ts] for f, ts in TEMPLATES.items()})
+        _TEMPLATE_TRIPLES.update({f: [triples(t) for t in ts] for f, ts in (*TEMPLATES.items(), ("unknown", UNKNOWN))})
     return max((len(own & t) / max(min(len(own), len(t)), 1) for t in _TEMPLATE_TRIPLES.get(family, ())), default=0.0)
 
 
@@ -178,7 +178,7 @@ def train(ordinary: list[str], seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
     names = [*families, "unknown", "ordinary"]
-    clean = sorted({p for p in ordinary if p.strip() and not any(confirmed(p, f, 0.5) for f in families)})
+    clean = sorted({p for p in ordinary if p.strip() and not any(confirmed(p, f, 0.5) for f in (*families, "unknown"))})
     filler = " ".join(clean[:2000]).split() or ["text"]
     lines, label = [], []
     for k, name in enumerate(names[:-1]):
@@ -251,10 +251,13 @@ def _calibrate(p: np.ndarray, label: np.ndarray, k: int) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, most: int = NEGATIVES) -> list[str]:
-    """At most ``most`` paragraphs of documents chosen by a hash of the text."""
-    lines = documents(docs).where("text is not null").select(F.xxhash64("text").alias("h"), F.split("text", "\n").alias("ls"))
+    """A paragraph each of about ``most`` documents (twice that at most), chosen by a hash of id and text."""
+    rows = documents(docs).where("text is not null")
+    share = min(1.0, most / max(rows.count(), 1))
+    lines = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.split("text", "\n").alias("ls"))
+    u = F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     pick_ = F.element_at("ls", (F.pmod("h", F.size("ls")) + 1).cast("int"))
-    chosen = lines.select("h", F.substring(pick_, 1, PIECE_CHARS).alias("line")).orderBy("h", "line").limit(most)
+    chosen = lines.where(u < share).select(F.substring(pick_, 1, PIECE_CHARS).alias("line")).limit(2 * most)
     return [r.line for r in chosen.collect()]
 
 
