@@ -38,7 +38,7 @@ from wardstat.llm.tables import written
 THRESHOLD = 0.9
 WIDTH = 16
 LEAF = 16_384
-SAMPLE = 4096
+SAMPLE = 4096  # in expectation
 CHUNK = 1024
 SLACK = 1e-4
 
@@ -191,7 +191,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, width: int
     links = None
     for dims, n in sorted((r["dims"], r["count"]) for r in sizes):  # a length has a join of its own
         same = classes.where(F.size("vec") == dims)
-        sample = same.orderBy(F.xxhash64("k1"), "k1", "k2").limit(SAMPLE).select("vec").collect()
+        u = F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) / float(1 << 30)
+        sample = same.where(u < min(1.0, SAMPLE / n)).limit(2 * SAMPLE).select("vec").collect()
+        sample = sample or same.limit(1).select("vec").collect()
         plan = Plan(_unit(np.array([r.vec for r in sample], np.float64)), n, threshold, width, leaf)
         kind = dict(same.dtypes)["vec"]
         dealt = same.select("cls", "n", "vec").mapInArrow(_deal(plan), f"block int, a int, b int, home int, cls long, n long, vec {kind}")
