@@ -13,8 +13,9 @@ Sets with the same size and prefix are collapsed into one group; the
 prefix join works on groups:
 
 * neighbours: in each shingle's list of groups (by size, then in one of ``ORDERS`` random
-  orders) a group is paired with the one before it, and in each group a set with the group's first;
-  pairs that pass the length, positional and bitmap bounds are verified on the
+  orders) a group is paired with the one before it and with the list's centre (the group of which most
+  of the prefix is in lists, as it is with the text that others are copies of), and in each group a set
+  with the group's first; pairs that pass the length, positional and bitmap bounds are verified on the
   whole sets. This is linear in the lists, and its links already join most copies.
 * the rest: lists whose groups all lie in one component hold no link between
   components and are done. In the others, all pairs of groups with different components
@@ -341,14 +342,14 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     postings = written(postings.where("p_gid is not null or next is not null").drop("next"), "ngram-postings")
 
     # neighbours, and the centre of each list: the group with the largest share of its prefix in lists
-    shared_ = postings.groupBy("gid").agg((F.count("*") / F.first("n")).alias("shared"))
-    centred = postings.join(shared_, "gid")
+    shares = postings.groupBy("gid").agg((F.count("*") / F.first("n")).alias("shared"))
+    centred = postings.join(shares, "gid")
     centre = centred.groupBy("token").agg(F.max_by(F.struct("gid", "n", "pos"), F.struct("shared", "n", "gid")).alias("c")).select(
         "token", F.col("c.gid").alias("p_gid"), F.col("c.n").alias("p_n"), F.col("c.pos").alias("p_pos")
     )
     to_centre = postings.select("token", "gid", "n", "pos").join(centre, "token")
-    pairs_ = postings.where("p_gid is not null").select(to_centre.columns).unionByName(to_centre).where("p_gid <> gid")
-    beside = pairs_.where(_bounds("n", "pos", "p_n", "p_pos", percent))
+    near = postings.where("p_gid is not null").select(to_centre.columns).unionByName(to_centre).where("p_gid <> gid")
+    beside = near.where(_bounds("n", "pos", "p_n", "p_pos", percent))
     first = beside.select(F.least("gid", "p_gid").alias("a"), F.greatest("gid", "p_gid").alias("b")).distinct()
     inside = sets.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     tried = written(first.unionByName(inside).distinct(), "ngram-neighbours")
@@ -361,8 +362,8 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     )
     span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     lists = postings.select("token", "gid", "n", "pos").join(span, "gid")
-    open_ = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
-    lists = written(lists.join(open_, "token", "left_semi"), "ngram-open")
+    undone = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
+    lists = written(lists.join(undone, "token", "left_semi"), "ngram-open")
     a, b = lists.alias("a"), lists.alias("b")
     across = a.join(
         b,
