@@ -28,6 +28,7 @@ def text_of(page):
         ("<article>a < b and c</article>", "a < b and c"),
         ("<article><ul><li>1<li>2</ul><table><tr><td>3<td>4</table>", "1 2 3 4"),
         ("<article><style>p{}</style>t<noscript>n</noscript></article><article class='comment'>no</article>", "t"),
+        ("<main><div class='commentlist'>c</div><div class='header'>t</div><p>b</p><div id='ad1'>x</div><p class='adult shadow'>y", "t b y"),
         ("", ""),
         ("plain text without markup", ""),
     ],
