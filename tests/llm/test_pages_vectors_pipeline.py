@@ -2,6 +2,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -102,6 +103,27 @@ def test_vector_links_are_brute_force(spark, leaf, width):
     assert got == {i: (n, low[p], i == low[p]) for i, n, p in zip(ids, links, part)}
 
 
+def test_a_pair_at_the_edge_of_a_share_counts_once():
+    """Pairs whose part in a block is the share and a little more, or exactly the limit."""
+    rng = np.random.default_rng(8)
+    plan = embedding_join.Plan(embedding_join._unit(rng.normal(size=(500, 8))), 500, 0.9, 4, 16_384)
+    for over in (-5e-5, 0.0, 5e-7, 1e-6, 2e-6, 5e-5, 9e-5):
+        for full in (0, 1):
+            x, y = np.zeros((2, 8))
+            for block, (a, b) in enumerate(zip(plan.edges, plan.edges[1:])):
+                part = plan.shares[block] + over if block == full else plan.shares[block] - 1e-3
+                angle = np.arccos(1 - part)  # half of the square length lies in each block
+                x[a], y[a], y[a + 1] = np.sqrt(0.5), np.sqrt(0.5) * np.cos(angle), np.sqrt(0.5) * np.sin(angle)
+            vec = np.array([x, y]) @ plan.rotation.T
+            links = Counter()
+            for block in range(2):
+                table = pa.table({"block": pa.array([block] * 2, pa.int32()), "a": pa.array([0, 0], pa.int32()), "b": pa.array([0, 0], pa.int32()), "home": pa.array([0, 0], pa.int32()),
+                                  "cls": pa.array([3, 5]), "n": pa.array([1, 1]), "vec": pa.array(vec.tolist())})
+                for r in embedding_join._tile(plan)(table).to_pylist():
+                    links[r["cls"]] += r["links"]
+            assert links == {3: 1, 5: 1}, (over, full)
+
+
 def test_vectors_with_null_and_repeated_ids(spark):
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [0.99, 0.01]), (None, None), (11, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

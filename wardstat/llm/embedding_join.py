@@ -11,7 +11,7 @@ many as leave about ``LEAF`` vectors a box. A vector goes to the tile of its own
 other box that is within the block's share of it, to the tile of the two boxes.
 A tile compares the rows of one box with those of the other by matrix products,
 and verifies what is within the share exactly, on the whole vectors in double
-precision. A pair counts only in the first block whose share holds it, so
+precision. A pair counts only in the first block whose share, and ``EDGE`` more, holds it, so
 link counts add up. A tile returns a row per vector (weighted number of links and the
 smallest vector that its links reach in the tile), not its pairs.
 
@@ -41,6 +41,8 @@ LEAF = 16_384
 SAMPLE = 4096  # in expectation
 CHUNK = 1024
 SLACK = 1e-4
+#: what a block's share is exceeded by at most in a pair that it holds: over rounding in double, under SLACK
+EDGE = 1e-6
 
 
 class Plan:
@@ -118,6 +120,24 @@ def _deal(plan: Plan):
     return run
 
 
+def _first_holder(plan: Plan, turned: np.ndarray, unit: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first block that holds each pair, the same in every tile."""
+    limit = plan.shares + EDGE
+    parts = np.add.reduceat((turned[x] - turned[y]) ** 2, plan.edges[:-1], axis=1)
+    # matrix products may round otherwise in another tile: what is that near is summed in a fixed order
+    close = np.flatnonzero((np.abs(parts - limit) < 1e-9).any(axis=1))
+    if len(close):
+        d = unit[x[close]] - unit[y[close]]
+        along = np.zeros_like(d)
+        for k in range(plan.dims):
+            along += d[:, k : k + 1] * plan.rotation[k]
+        parts[close] = 0
+        for block, (a, b) in enumerate(zip(plan.edges, plan.edges[1:])):
+            for k in range(a, b):
+                parts[close, block] += along[:, k] ** 2
+    return (parts <= limit).argmax(axis=1)
+
+
 def _tile(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
         block, a, b = (table.column(c)[0].as_py() for c in ("block", "a", "b"))
@@ -128,7 +148,8 @@ def _tile(plan: Plan):
         node, weight = table.column("cls").to_numpy(), table.column("n").to_numpy()
         vec = _vectors(table.column("vec").combine_chunks(), plan.dims)
         norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
-        turned = (vec / norm[:, None]) @ plan.rotation
+        unit = vec / norm[:, None]
+        turned = unit @ plan.rotation
         s = turned[:, plan.edges[block] : plan.edges[block + 1]].astype(np.float32)
         square = (s * s).sum(axis=1)
         first = int(np.searchsorted(home, a, "right")) if a != b else len(home)
@@ -148,9 +169,8 @@ def _tile(plan: Plan):
                     x, y = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
                     ok = np.einsum("ij,ij->i", vec[x], vec[y]) / (norm[x] * norm[y]) >= plan.threshold
                     x, y = x[ok], y[ok]
-                    if block and len(x):  # counted in the first block whose share holds the pair
-                        parts = np.add.reduceat((turned[x] - turned[y]) ** 2, plan.edges[:-1], axis=1)
-                        ok = ~(parts[:, :block] <= plan.shares[:block]).any(axis=1)
+                    if len(x):  # counted in the first block that holds the pair
+                        ok = _first_holder(plan, turned, unit, x, y) == block
                         x, y = x[ok], y[ok]
                     left.append(x)
                     right.append(y)
