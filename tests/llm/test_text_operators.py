@@ -154,6 +154,18 @@ def test_tokens_of_no_documents_and_null_ids(spark, no_docs, tmp_path):
     assert (1, 3, 2) in got
 
 
+def test_an_added_token_in_a_text_is_its_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    mark, tok = "<|endoftext|>", Tokenizer.from_file(BPE)
+    texts = [f"one two{mark}three", mark, f"a {mark}{mark} b", "no mark <|endoftext| >", "<|endof", "text|> x", f"\u3000{mark}", "last one"] * 2
+    write = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_output.write_shards(write, str(tmp_path / "added"), BPE)
+    got = token_output.read_shards(spark, str(tmp_path / "added"), with_ids=True).orderBy("start").collect()
+    assert [r.ids for r in got] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert got[1].ids == [50256, 0] and [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+
+
 PIECES = [*"ab'stT.,!7 \n\t\r<|>", "\u00a0", "\u3000", "\u0085", "\u2028", "\x1c", "é", "ß", "漢", "🙂", "<|endoftext|>", " the", "'ll"]
 
 

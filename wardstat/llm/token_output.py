@@ -19,7 +19,8 @@ the documents, payload), which any executor reads without a local file.
 Encoding. A white space byte that follows another kind of byte always begins
 a pre-token, as does an ASCII mark or digit that follows an ASCII letter, so a text is cut there and each distinct piece is encoded by the tokenizers library
 once per worker; pieces' ids are gathered by fingerprint. Texts with white space
-outside ASCII are encoded whole.
+outside ASCII, and those that hold the string of a token added to the tokenizer's vocabulary
+(which becomes that token's id), are encoded whole.
 
 Defined cases: null and empty text give the end id alone; rows of one id are ordered by
 a hash of the text; a null id sorts first; an empty table gives no shards.
@@ -68,7 +69,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocab.values()) + 2, np.int64)
         for piece, i in vocab.items():
@@ -87,6 +88,8 @@ class Encoder:
     def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode pieces that are new."""
         joins = _SPACE[data[starts]] & ~_SPACE[data[ends - 1]]
+        if any(len(t.split()) != 1 or t.strip() != t for t in self.added):
+            joins[:] = False  # pieces put together could make such a token
         parts, counts = [], np.empty(len(keys), np.int64)
         order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
         joined = int(joins.sum())
@@ -115,7 +118,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of one block, one after the other with the end id, and each row's number."""
         n_docs = len(offsets) - 1
-        odd = odd_space(data, offsets)
+        odd = odd_space(data, offsets) | holding(self.added, data, offsets)
         space = _SPACE[data]
         begins = space.copy()
         begins[1:] &= ~space[:-1]
@@ -165,6 +168,18 @@ def odd_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def holding(strings: list[bytes], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows that hold one of the strings (or end in one that goes on in the next row)."""
+    out = np.zeros(len(offsets) - 1, bool)
+    raw = data.tobytes()
+    for string in filter(None, strings):
+        at = raw.find(string)
+        while at >= 0:
+            out[np.searchsorted(offsets, at, "right") - 1] = True
+            at = raw.find(string, at + 1)
+    return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
