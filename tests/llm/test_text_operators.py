@@ -201,6 +201,15 @@ def test_repair_makes_frequent_pairs_short():
     assert np.array_equal(out, ids) and set(n) == {6}
 
 
+def test_repair_goes_on_until_a_passage_is_one_symbol():
+    passage = np.random.default_rng(0).integers(1, 50_000, 500).astype(np.uint16)
+    ids, counts = np.tile(passage, 400), np.full(400, 500)
+    rules, seq, per_doc = token_output.repair(ids, counts)
+    assert len(seq) == 400 and set(per_doc) == {1} and len(rules) == 499
+    out, n = token_output.Shard(token_output.pack(ids, counts)).decode(0, 400)
+    assert np.array_equal(out, ids) and set(n) == {500}
+
+
 # ------------------------------------------------------------------ op7 ---
 
 

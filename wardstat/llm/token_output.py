@@ -4,7 +4,7 @@ Documents are range-partitioned by doc_id (and, within an id, by a hash of the t
 texts, appends the end id and cuts the stream into shards of whole documents.
 A shard is compressed by Re-Pair: round by round, the id pairs that
 occur most often are each replaced by a new symbol (a rule), never across a
-document's end, until no pair is frequent or the rounds are over. A shard file holds
+document's end, until no pair is frequent or the rules are used up. A shard file holds
 
     magic  n_rules  n_docs  n_symbols  width        (4 bytes, then 4 little-endian uint32)
     rules        n_rules x 2 uint32      the pair each rule stands for
@@ -46,7 +46,6 @@ TERMINALS = 50_257
 END = 0
 SHARD_IDS = 2 << 20
 MIN_COUNT = 16
-ROUNDS = 4
 #: symbols that 16 bits can hold beside the ids
 MAX_RULES = (1 << 16) - TERMINALS
 CACHE_PIECES = 1_500_000
@@ -190,16 +189,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def repair(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES):
+def repair(ids: np.ndarray, counts: np.ndarray, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES):
     """Rules (n x 2), symbols, and symbols of each document."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(counts) - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or n_rules >= max_rules:
-            break
+    while len(seq) > 1 and n_rules < max_rules:
         pairs = (seq[:-1] << np.uint32(16)) | seq[1:]
         free = ~last[:-1]
         ordered = np.sort(pairs[free])
@@ -214,13 +211,17 @@ def repair(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, min_count:
             break
         chosen = np.sort(ordered[edge[often]])
         table = np.zeros(1 << 20, np.int16)
-        table[_spot(chosen)] = np.arange(len(chosen))  # of pairs at one spot, the last is replaced now
+        table[_spot(chosen)] = np.arange(len(chosen))  # of pairs at one spot, the last is replaced now, others in a later round
         slot = table[_spot(pairs)]
         put = np.flatnonzero(free & (chosen[slot] == pairs))
         # of a run of neighbouring hits, every second one can be replaced
         begins = np.append(True, np.diff(put) > 1) if len(put) else np.empty(0, bool)
         run = np.maximum.accumulate(np.where(begins, put, 0))
         put = put[(put - run) % 2 == 0]
+        used = np.zeros(len(chosen), bool)
+        used[slot[put]] = True
+        nth = np.cumsum(used) - 1  # a pair that no place is left for is no rule
+        chosen, slot = chosen[used], nth[slot]
         seq[put] = TERMINALS + n_rules + slot[put].astype(np.uint32)
         last[put] = last[put + 1]
         keep = np.ones(len(seq), bool)
