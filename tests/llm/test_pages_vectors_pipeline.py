@@ -124,6 +124,26 @@ def test_a_pair_at_the_edge_of_a_share_counts_once():
             assert links == {3: 1, 5: 1}, (over, full)
 
 
+def test_a_box_of_too_many_vectors_is_dealt_into_pieces(spark):
+    """Near copies that no median parts: no tile holds more than about two pieces, and no link is lost."""
+    rng = np.random.default_rng(4)
+    hub = rng.normal(size=16)
+    vec = np.concatenate([hub + rng.normal(0, 1e-3, (1500, 16)), rng.normal(size=(100, 16))])
+    plan = embedding_join.Plan(embedding_join._unit(vec[-50:]), len(vec), 0.9, 16, 100)
+    batch = pa.RecordBatch.from_pydict({"cls": pa.array(np.arange(len(vec))), "n": pa.array(np.ones(len(vec), np.int64)), "vec": pa.array(vec.tolist())})
+    counts = [tuple(r.values()) for b in embedding_join._count(plan)(iter([batch])) for r in b.to_pylist()]
+    assert sum(n for _, _, n in counts) == len(vec)
+    plan.split([c for c in counts if c[2] > 100], 100)
+    tiles = Counter((r["block"], r["a"], r["b"]) for b in embedding_join._deal(plan)(iter([batch])) for r in b.select(["block", "a", "b"]).to_pylist())
+    assert max(tiles.values()) < 2 * 100 * 1.5
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vec.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_duplicates(df, leaf=100).collect()}
+    unit = embedding_join._unit(vec)
+    near = unit @ unit.T >= 0.9
+    assert {k: n for k, (n, _) in got.items()} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    assert all(got[k][1] == 0 for k in range(1500))
+
+
 def test_vectors_with_null_and_repeated_ids(spark):
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [0.99, 0.01]), (None, None), (11, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

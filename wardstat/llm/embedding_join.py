@@ -6,14 +6,17 @@ split into blocks of ``WIDTH`` coordinates; the squared-distance budget is share
 blocks in proportion to their variance. The block distances add up to the whole, so a pair within
 the budget is within the share of at least one block: the range join of each block finds it there.
 
-A block's space is cut into boxes by medians of the sample (k-d tree), as
-many as leave about ``LEAF`` vectors a box. A vector goes to the tile of its own box and, for each
-other box that is within the block's share of it, to the tile of the two boxes.
-A tile compares the rows of one box with those of the other by matrix products,
+A block's space is cut into boxes by medians of the sample (k-d tree, ``BOX_SAMPLE`` of the sample
+for each box as far as ``SAMPLE_BYTES`` go), as many as leave about ``LEAF`` vectors a box. The vectors of each box
+are counted, and a box of more than ``LEAF`` is dealt by a hash into pieces of about ``LEAF`` at most.
+A vector goes to the tile of its own piece and, for each
+other piece of a box that is within the block's share of it, to the tile of the two pieces.
+A tile compares the rows of one piece with those of the other by matrix products,
 and verifies what is within the share exactly, on the whole vectors in double
 precision. A pair counts only in the first block whose share, and ``EDGE`` more, holds it, so
 link counts add up. A tile returns a row per vector (weighted number of links and the
-smallest vector that its links reach in the tile), not its pairs.
+smallest vector that its links reach in the tile), not its pairs, which are added to counts and a
+union-find as they are found.
 
 Equal vectors are one class, compared once and weighted by their number.
 
@@ -32,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstat.llm import textbytes as tb
 from wardstat.llm.components import components
 from wardstat.llm.tables import written
 
 THRESHOLD = 0.9
 WIDTH = 16
 LEAF = 16_384
-SAMPLE = 4096  # in expectation
+SAMPLE = 4096  # in expectation, at least
+BOX_SAMPLE = 16
+SAMPLE_BYTES = 1 << 27
 CHUNK = 1024
 SLACK = 1e-4
 #: what a block's share is exceeded by at most in a pair that it holds: over rounding in double, under SLACK
@@ -62,9 +68,20 @@ class Plan:
         self.edges = np.append(0, np.cumsum(sizes))
         energy = np.array([max(values[order[k::blocks]].sum(), 1e-12) for k in range(blocks)])
         self.shares = (2 - 2 * threshold) * energy / energy.sum()
-        depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
         turned = sample @ self.rotation
-        self.trees = [_boxes(turned[:, a:b], depth) for a, b in zip(self.edges, self.edges[1:])]
+        self.trees = [_boxes(turned[:, a:b], _depth(n, leaf)) for a, b in zip(self.edges, self.edges[1:])]
+        self.split([], leaf)
+
+    def split(self, counts: list[tuple[int, int, int]], leaf: int) -> None:
+        """Number the boxes' pieces: one each, and more for those of ``counts`` (block, box, vectors)."""
+        self.pieces = [np.ones(len(lo), np.int64) for lo, _ in self.trees]
+        for block, box, n in counts:
+            self.pieces[block][box] = -(-n // leaf)
+        self.begins = [np.cumsum(p) - p for p in self.pieces]
+
+
+def _depth(n: int, leaf: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
 
 
 def _boxes(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,21 +117,50 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _parts(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Rows of a batch, as many as suit the number of boxes, and their squared distances to each block's boxes."""
+    step = max(1, (1 << 21) // len(plan.trees[0][0]))
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            some = batch.slice(i, step)
+            turned = _unit(_vectors(some.column("vec"), plan.dims)) @ plan.rotation
+            for block, (lo, hi) in enumerate(plan.trees):
+                yield some, block, _gaps(turned[:, plan.edges[block] : plan.edges[block + 1]], lo, hi)
+
+
+def _count(plan: Plan):
+    """Vectors of each box."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(len(lo), np.int64) for lo, _ in plan.trees]
+        for _, block, gaps in _parts(plan, batches):
+            held[block] += np.bincount(gaps.argmin(axis=1), minlength=len(held[block]))
+        for block, n in enumerate(held):
+            box = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(box), block, np.int32)), pa.array(box.astype(np.int32)), pa.array(n[box])], ["block", "box", "n"])
+
+    return run
+
+
 def _deal(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            turned = _unit(_vectors(batch.column("vec"), plan.dims)) @ plan.rotation
-            for block, (lo, hi) in enumerate(plan.trees):
-                gaps = _gaps(turned[:, plan.edges[block] : plan.edges[block + 1]], lo, hi)
-                home = gaps.argmin(axis=1)
-                row, box = np.nonzero(gaps <= plan.shares[block] + SLACK)
-                own = home[row]
-                out = batch.take(pa.array(row))
+        for some, block, gaps in _parts(plan, batches):
+            pieces, begins = plan.pieces[block], plan.begins[block]
+            home = gaps.argmin(axis=1)
+            mixed = tb.mix64(some.column("cls").to_numpy().view(np.uint64) + np.uint64(block))
+            mine = begins[home] + (mixed % pieces[home].astype(np.uint64)).astype(np.int64)
+            row, box = np.nonzero(gaps <= plan.shares[block] + SLACK)
+            times = pieces[box]
+            upto = np.cumsum(times)
+            for k in range(0, int(upto[-1]) if len(upto) else 0, 1 << 14):
+                nth = np.arange(k, min(k + (1 << 14), int(upto[-1])))
+                hit = np.searchsorted(upto, nth, "right")
+                at = row[hit]
+                own, other = mine[at], begins[box[hit]] + nth - (upto[hit] - times[hit])
+                out = some.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), block, np.int32)), pa.array(np.minimum(own, box).astype(np.int32)), pa.array(np.maximum(own, box).astype(np.int32)), pa.array(own.astype(np.int32)), *out.columns],
-                    ["block", "a", "b", "home", *batch.schema.names],
+                    [pa.array(np.full(len(nth), block, np.int32)), *(pa.array(c.astype(np.int32)) for c in (np.minimum(own, other), np.maximum(own, other), own)), *out.columns],
+                    ["block", "a", "b", "home", *some.schema.names],
                 )
 
     return run
@@ -154,7 +200,7 @@ def _tile(plan: Plan):
         square = (s * s).sum(axis=1)
         first = int(np.searchsorted(home, a, "right")) if a != b else len(home)
         share = np.float32(plan.shares[block] + SLACK)
-        left, right = [], []
+        links, parent = np.zeros(len(home), np.int64), np.arange(len(home))
         for i in range(0, first, CHUNK):
             top = min(i + CHUNK, first)
             begin = first if a != b else i
@@ -172,28 +218,29 @@ def _tile(plan: Plan):
                     if len(x):  # counted in the first block that holds the pair
                         ok = _first_holder(plan, turned, unit, x, y) == block
                         x, y = x[ok], y[ok]
-                    left.append(x)
-                    right.append(y)
-        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-        links = np.bincount(x, weight[y], len(home)) + np.bincount(y, weight[x], len(home))
-        root = _roots(x, y, node)
+                    np.add.at(links, x, weight[y])
+                    np.add.at(links, y, weight[x])
+                    parent = _united(parent, x, y)
+        low = node.copy()
+        np.minimum.at(low, parent, node)
         keep = links > 0
-        return pa.table({"cls": pa.array(node[keep]), "links": pa.array(links[keep].astype(np.int64)), "root": pa.array(root[keep])})
+        return pa.table({"cls": pa.array(node[keep]), "links": pa.array(links[keep]), "root": pa.array(low[parent][keep])})
 
     return run
 
 
-def _roots(x: np.ndarray, y: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Smallest node that links reach, for each row."""
-    low = node.copy()
-    while len(x):
-        new = low.copy()
-        np.minimum.at(new, x, low[y])
-        np.minimum.at(new, y, new[x])
-        if np.array_equal(new, low):
-            break
-        low = new
-    return low
+def _united(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``parent`` (every row's root) once the rows x and y are linked."""
+    while True:
+        p, q = parent[x], parent[y]
+        apart = p != q
+        if not apart.any():
+            return parent
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        parent = parent.copy()
+        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, leaf: int = LEAF) -> DataFrame:
@@ -212,10 +259,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, width: int
     for dims, n in sorted((r["dims"], r["count"]) for r in sizes):  # a length has a join of its own
         same = classes.where(F.size("vec") == dims)
         u = F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) / float(1 << 30)
-        sample = same.where(u < min(1.0, SAMPLE / n)).limit(2 * SAMPLE).select("vec").collect()
-        sample = sample or same.limit(1).select("vec").collect()
-        plan = Plan(_unit(np.array([r.vec for r in sample], np.float64)), n, threshold, width, leaf)
+        most = max(SAMPLE, min(BOX_SAMPLE << _depth(n, leaf), SAMPLE_BYTES // (8 * dims)))
+        sample = same.where(u < min(1.0, most / n)).limit(2 * most).select("vec").toArrow()
+        sample = sample if sample.num_rows else same.limit(1).select("vec").toArrow()
+        plan = Plan(_unit(_vectors(sample.column("vec").combine_chunks(), dims)), n, threshold, width, leaf)
         kind = dict(same.dtypes)["vec"]
+        counts = same.select("vec").mapInArrow(_count(plan), "block int, box int, n long").groupBy("block", "box").agg(F.sum("n").alias("n"))
+        plan.split([tuple(r) for r in counts.where(F.col("n") > leaf).collect()], leaf)
         dealt = same.select("cls", "n", "vec").mapInArrow(_deal(plan), f"block int, a int, b int, home int, cls long, n long, vec {kind}")
         found = dealt.groupBy("block", "a", "b").applyInArrow(_tile(plan), "cls long, links long, root long")
         links = found if links is None else links.unionByName(found)
