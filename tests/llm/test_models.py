@@ -116,6 +116,20 @@ def test_licence_model_on_new_wordings_and_odd_texts(spark, odd):
     assert license_scan.sample(odd.limit(0)) == [] and license_scan.train([]).names[-1] == "ordinary"
 
 
+def test_notices_within_long_lines(spark):
+    rng = np.random.default_rng(6)
+    words = "plain sentence about weather cooking and long walks by the river with rice bread old friends the work in a library".split()
+    text = lambda n: " ".join(rng.choice(words, n))
+    model = license_scan.train([text(int(rng.integers(5, 60))) + "." for _ in range(400)])
+    mit, gpl, bsd = "Released under the MIT License.", TEMPLATES["GPL"][1], TEMPLATES["BSD"][0]
+    lines = [(["MIT"], f"{text(300)}. {mit} {text(300)}"), (["GPL"], f"{text(40)} {gpl} {text(500)}"), ([], text(900)), (["MIT"], f"{text(20)} {mit}"), (["BSD", "GPL"], f"{bsd} {text(80)} {gpl} {text(9)}")]
+    df = spark.createDataFrame([(k, f"first\n{t}") for k, (_, t) in enumerate(lines)], "doc_id long, text string")
+    for r in license_scan.scan(df, model).collect():
+        want, line = lines[r.doc_id]
+        assert [f.family for f in r.found] == want, line
+        assert all((f.paragraph, f.start, f.end) == (1, 6, 6 + len(line)) for f in r.found)
+
+
 def test_templates_confirm_their_own_family_only():
     for family, texts in TEMPLATES.items():
         assert all(license_scan.confirmed(t, family) for t in texts)

@@ -16,6 +16,11 @@ and confirmed when that shares ``CONFIRM`` of the word triples of the shorter of
 second threshold, is ``unknown`` if ``TALK_PAIRS`` of its word pairs are those of
 licence texts, and nothing otherwise.
 
+A notice within a longer line is found by ``WINDOWS``: overlapping runs of words, each classified
+like a paragraph, of lines that nothing was found in and of all that are longer than the longest template.
+A window of licence talk counts for the families of whose template it holds ``CONFIRM`` of the word triples (a triple
+counts for one family), else for ``unknown`` by its word pairs; what is reported is the paragraph, once for each family.
+
 Defined cases: null, empty and blank texts have no paragraphs; repeated rows are scanned
 alike; an empty corpus trains on templates alone; a text of one very long line is one paragraph.
 """
@@ -46,6 +51,9 @@ LOST_SHARE = 0.02
 EPOCHS = 150
 SEED = 20240607
 PIECE_CHARS = 2000
+#: words and steps; the words less the step are the longest notice that surely lies within one window
+WINDOWS = ((8, 2), (12, 3), (18, 4), (27, 6), (40, 8), (64, 12))
+WINDOW_WORDS = 1 << 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -161,10 +169,13 @@ _PAIRS: set[int] = set()
 
 def licence_talk(line: str, least: float = TALK_PAIRS) -> bool:
     """Whether enough of the line's word pairs are those of licence texts of any kind."""
+    return licence_pairs(_pairs(line), least)
+
+
+def licence_pairs(own: list[int], least: float = TALK_PAIRS) -> bool:
     if not _PAIRS:
         for text in (*UNKNOWN, *(t for ts in TEMPLATES.values() for t in ts)):
             _PAIRS.update(_pairs(text))
-    own = _pairs(line)
     return len(own) > 0 and sum(p in _PAIRS for p in own) >= least * len(own)
 
 
@@ -173,6 +184,49 @@ def _pairs(line: str) -> list[int]:
     return tb.mix64(prints[:-1] * _ONE + prints[1:] * _TWO).tolist() if len(prints) > 1 else []
 
 
+def talk_windows(model: Model, prints: np.ndarray, owner: np.ndarray, look: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """``line, first word, end, probability`` of the windows of licence talk in the lines to ``look`` at."""
+    size = np.bincount(owner, minlength=len(look))
+    first = np.cumsum(size) - size
+    for c in range(0, len(prints), WINDOW_WORDS):
+        top = min(c + WINDOW_WORDS, len(prints))
+        own = owner[c:top]
+        if not look[own].any():
+            continue
+        some = prints[c : top + WINDOWS[-1][0]]
+        features = _features(some, np.arange(len(some) - 1))
+        one, two = (np.zeros((len(f) + 1, len(model.bias))) for f in (features[: len(some)], features[len(some) :]))
+        np.cumsum(model.weights[features[: len(some)]], axis=0, out=one[1:])
+        np.cumsum(model.weights[features[len(some) :]], axis=0, out=two[1:])
+        at = np.arange(c, top) - first[own]
+        left = size[own] - at
+        for words, step in WINDOWS:
+            a = np.flatnonzero(look[own] & (size[own] > words) & (left >= words) & ((at % step == 0) | (left == words)))
+            z = (one[a + words] - one[a] + two[a + words - 1] - two[a]) / np.sqrt(2 * words - 1) + model.bias
+            talk = 1 - _softmax(z)[:, -1]
+            for k in np.flatnonzero(talk >= model.talk):
+                yield int(own[a[k]]), int(c + a[k]), int(c + a[k] + words), float(talk[k])
+
+
+def held(windows: list[tuple[int, int, float]], prints: np.ndarray) -> list[tuple[str, float]]:
+    """Families, and their probabilities, of one line's windows of licence talk."""
+    template_share(frozenset(), "")  # so that the templates' triples are there
+    near, talk = [], []
+    for a, b, score in windows:
+        own = frozenset(tb.mix64(prints[a : b - 2] * _ONE + prints[a + 1 : b - 1] * _TWO + prints[a + 2 : b]).tolist())
+        hits = [(len(own & t), score, family, own & t, len(t)) for family, ts in _TEMPLATE_TRIPLES.items() for t in ts if t and len(own & t) >= CONFIRM * len(t)]
+        near += hits
+        if not hits and licence_pairs(tb.mix64(prints[a : b - 1] * _ONE + prints[a + 1 : b] * _TWO).tolist()):
+            talk.append(score)
+    used: set[int] = set()
+    out: dict[str, float] = {}
+    for _, score, family, hit, n in sorted(near, key=lambda x: (-x[0], -x[1], x[2])):
+        if family not in out and len(hit - used) >= CONFIRM * n:
+            out[family] = score
+            used |= hit
+    return sorted(out.items()) if out or not talk else [("unknown", max(talk))]
+
+
 def train(ordinary: list[str], seed: int = SEED) -> Model:
     """Fit and calibrate on the templates and ordinary paragraphs."""
     rng = np.random.default_rng(seed)
@@ -266,6 +320,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     (paragraph, start, end, family, score): bytes ``[start, end)`` of the text."""
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("score", pa.float64())]))
 
+    longest = max(len(_prints([t])[0]) for ts in (UNKNOWN, *TEMPLATES.values()) for t in ts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.texts(batch.column("text"))
@@ -281,14 +337,27 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 prints, owner = word_prints(own, start, end)
                 p = _softmax(logits(model.weights, model.bias, prints, owner, len(row)))
                 nth = np.arange(len(row)) - np.searchsorted(row, row)
+                said: dict[int, dict[str, float]] = {}
                 for k in np.flatnonzero(1 - p[:, -1] >= model.talk):
                     line = own[start[k] : end[k]].tobytes().decode()
                     best = confirm(line, model.names, p[k], model.sure)
-                    known = best is not None
-                    if not known and not licence_talk(line):
+                    if best is None and not licence_talk(line):
                         continue  # unlike ordinary text, and unlike licences too
+                    said[int(k)] = {model.names[best] if best is not None else "unknown": float(1 - p[k, -1])}
+                look = np.bincount(owner, minlength=len(row)) > longest
+                look |= ~np.isin(np.arange(len(row)), list(said))
+                inside: dict[int, list] = {}
+                for k, a, b, score in talk_windows(model, prints, owner, look):
+                    inside.setdefault(k, []).append((a, b, score))
+                for k, some in inside.items():
+                    families = dict(held(some, prints))
+                    if set(families) - {"unknown"}:
+                        said.get(k, {}).pop("unknown", None)
+                    if families:
+                        said[k] = families | said.get(k, {})
+                for k in sorted(said):
                     at = part[row[k]]
-                    found[i + row[k]].append((int(nth[k]), int(start[k] - at), int(end[k] - at), model.names[best] if known else "unknown", float(1 - p[k, -1])))
+                    found[i + row[k]] += [(int(nth[k]), int(start[k] - at), int(end[k] - at), family, score) for family, score in sorted(said[k].items())]
             lists = pa.array([[dict(zip(("paragraph", "start", "end", "family", "score"), f)) for f in fs] for fs in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), lists], ["doc_id", "n_paragraphs", "found"])
 
