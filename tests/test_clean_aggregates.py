@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from collected import rows
 from wardstat.functions.calendar import with_calendar
 from wardstat.operators import aggregates as A
 from wardstat.operators import clean as CL

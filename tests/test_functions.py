@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from collected import rows
 from wardstat.functions import calendar as C
 from wardstat.functions import numeric as N
 from wardstat.functions import text as T
