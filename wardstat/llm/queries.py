@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, suffix_dedup, token_output, toxicity
+from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, prefix_trie, suffix_dedup, token_output, toxicity
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_folder
 
@@ -189,3 +189,30 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(docs, license_scan.train(license_scan.sample(docs)))
     families = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["family"])))
     return out.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_licence"), F.array_join(families, ",").alias("families"))
+
+
+_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT conv_id, turn, md5(concat(strlen(role), ':', role, text)) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t),
+own AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS own FROM r GROUP BY conv_id),
+crc AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM own),
+b AS (SELECT c.conv_id, list_concat(coalesce(list_slice(f.own, 1, h), []), list_slice(c.own, h + 1, len(c.own))) AS seq
+      FROM crc c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 20),
+pre AS (SELECT conv_id, d, list_slice(list_transform(seq, lambda x: x.k), 1, d) AS p, coalesce(seq[d].w, 0) AS w, d = len(seq) AS ends
+        FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM b)),
+node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, max(w) AS w, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS e FROM pre GROUP BY p, d),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+every AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids USING (p)),
+below AS (SELECT list_slice(p, 1, a) AS p, sum(CAST(k = 0 AS INT)) AS leaves, sum((n - 1) * w) AS saved
+          FROM (SELECT p, k, n, w, unnest(range(0, d + 1)) AS a FROM every) GROUP BY 1)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(x.k AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.e, '')) AS ends_sha256
+FROM every x JOIN below USING (p) LEFT JOIN every u ON x.d > 0 AND u.p = list_slice(x.p, 1, x.d - 1)
+"""
+
+
+@query("op13_conversation_trie", _TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
