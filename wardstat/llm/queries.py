@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, prefix_trie, suffix_dedup, token_output, toxicity
+from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, prefix_trie, suffix_dedup, token_output, toxicity, whiten
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_folder
 
@@ -216,3 +216,9 @@ FROM every x JOIN below USING (p) LEFT JOIN every u ON x.d > 0 AND u.p = list_sl
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of the rebuilt conversations."""
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened components of every vector."""
+    return whiten.whitened(read(spark, sf_dir, "embeddings"))
