@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, prefix_trie, suffix_dedup, token_output, toxicity, whiten
+from wardstat.llm import decontaminate, embedding_join, html_extract, lang_id, license_scan, mixing, ngram_join, pii, prefix_trie, suffix_dedup, token_output, toxicity, whiten
 from wardstat.llm.tables import crc_mod, read
 from wardstat.session import scratch_folder
 
@@ -222,3 +222,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First four whitened components of every vector."""
     return whiten.whitened(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document: those of the expressions, and those that bootstrapping adds."""
+    out = pii.personal_data(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[f"n_{kind}" for kind in pii.KINDS], F.sha2("base_told", 256).alias("base_sha256"), "spans")
