@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import brute
@@ -274,6 +275,33 @@ def test_repeats_are_brute_force(docs, corpus, length, gram, hot):
     assert Counter(got) == Counter((i, *w) for (i, _), w in zip(some, want))
 
 
+@pytest.mark.parametrize("words,gram,hot", [(12, 4, 1 << 11), (51, 16, 1 << 11), (5, 5, 1), (30, 7, 2)])
+def test_shared_passages_are_brute_force(docs, corpus, words, gram, hot):
+    small = docs.where("text is null or length(text) < 3000")
+    some = [(i, t) for i, t in corpus if t is None or len(t) < 3000]
+    passages = suffix_dedup.shared_passages(small, words, gram, hot)
+    got = rows(suffix_dedup.remove_repeats(small, 60, keep_first=False, gram=20, passages=passages), "doc_id", "n_shared")
+    cut = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in some]
+    seen = Counter(tuple(w[p : p + words]) for w in cut for p in range(len(w) - words + 1))
+    want = []
+    for (i, _), w in zip(some, cut):
+        inside = {p + k for p in range(len(w) - words + 1) if seen[tuple(w[p : p + words])] > 1 for k in range(words)}
+        want.append((i, len(inside)))
+    assert Counter(got) == Counter(want)
+
+
+def test_words_of_texts_are_told_apart():
+    texts = ["", "a b  c", "\t a\n", "b", "a b", " ", "\x0bc\x0cd\re"]
+    raw = [t.encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(r) for r in raw]))
+    codes, upto = textbytes.words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    want = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    assert np.diff(upto).tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert {(a == b) for a, b in zip(codes, codes)} == {True}
+    assert all((codes[i] == codes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+
+
 def test_anchors_are_the_leftmost_smallest_pieces_in_any_segments(monkeypatch):
     rng = np.random.default_rng(8)
     pieces = (rng.integers(0, 12, 400).astype(np.uint64) << np.uint64(40)) | rng.integers(0, 1 << 20, 400).astype(np.uint64)

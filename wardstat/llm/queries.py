@@ -56,7 +56,7 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING (doc_id)
 """
 
-_REPEATS_SQL = """
+_REPEATS_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
 pos AS (SELECT doc_id, p, md5_number(substr(hx, 2 * p + 1, 800)) AS h FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 399)) AS p FROM d WHERE len(hx) >= 800)),
 twice AS (SELECT h FROM pos GROUP BY h HAVING count(*) > 1),
@@ -64,10 +64,14 @@ hit AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY
 span AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit) GROUP BY doc_id, k),
 piece AS (SELECT span.doc_id, a, b, substr(hx, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS before
           FROM span JOIN d USING (doc_id) WINDOW w AS (PARTITION BY span.doc_id ORDER BY a)),
+wd AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wp AS (SELECT doc_id, p, md5_number(array_to_string(list_slice(ws, p, p + 50), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 49)) AS p FROM wd WHERE len(ws) > 50)),
+wt AS (SELECT h FROM wp GROUP BY h HAVING count(*) > 1),
+shared AS (SELECT doc_id, count(DISTINCT p) AS n_shared FROM (SELECT doc_id, unnest(range(p, p + 51)) AS p FROM wp WHERE h IN (SELECT h FROM wt)) GROUP BY doc_id),
 cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(before, '' ORDER BY a) AS head, max(b) AS upto FROM piece GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+SELECT d.doc_id, CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared_words, CAST(len(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
        sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN cut USING (doc_id)
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN shared USING (doc_id)
 """
 
 _COSINE_SQL = """
@@ -178,8 +182,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_array_dedup", _REPEATS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document in strings of 400 bytes that recur."""
-    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_first=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = read(spark, sf_dir, "documents")
+    out = suffix_dedup.remove_repeats(docs, keep_first=False, passages=suffix_dedup.shared_passages(docs))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("n_shared").alias("n_shared_words"))
 
 
 @query("op3_license_scan")

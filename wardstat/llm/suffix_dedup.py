@@ -35,18 +35,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardstat.llm import textbytes as tb
+from wardstat.llm.mixing import n_words
 from wardstat.llm.tables import documents, small_enough, written
+from wardstat.session import drop_scratch, scratch_folder, scratch_mark, write_table
 
 LENGTH = 400
 GRAM = 96
+#: passages of over 50 words, and the words of their anchors
+PASSAGE, PASSAGE_GRAM = 51, 16
 BATCH_BYTES = 2 << 20
 BROADCAST_KEYS = 1 << 19
-#: contexts of one anchor that a task puts in suffix order (about 10 MB); beyond, strings are counted by name
-HOT_KINDS = 1 << 14
+#: contexts of one anchor that meet in one task (about 1 MB); beyond, strings are counted by name
+HOT_KINDS = 1 << 11
 _PLACE_BITS = np.uint64(23)
 SEGMENT = 1 << 20
 _KEYS = ["fp", "kind", "t1", "t2", "start", "n"]
@@ -94,14 +98,17 @@ def leftmost_smallest(pieces: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.texts(batch.column("text"))
             keys = [batch.column(c) for c in ("doc_id", "t1", "t2")]
             for i, j in tb.blocks(offsets):
-                row, start, n, fp, kind = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
-                inside = start - (offsets[i:j] - offsets[i])[row] if len(row) else start
+                part, upto = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                if words:
+                    part, upto = tb.words(part, upto)
+                row, start, n, fp, kind = runs(part, upto, length, gram)
+                inside = start - upto[row] if len(row) else start
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(fp.view(np.int64)), pa.array(kind.view(np.int64)), *(k.take(take) for k in keys), pa.array(inside.astype(np.int32)), pa.array(n.astype(np.int32))],
@@ -111,30 +118,38 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _contexts(length: int):
-    """Bytes of the wanted runs of each text."""
+def _contexts(length: int, words: bool):
+    """Bytes (or codes of words) of the wanted runs of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 raw = batch.column("text")[k].as_buffer().to_pybytes()
+                if words:
+                    raw = tb.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
                 want = batch.column("want")[k].values
                 start, n = want.field("start").to_numpy(), want.field("n").to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [want.field("fp"), want.field("place"), pa.repeat(batch.column("t1")[k], len(start)), pa.repeat(batch.column("t2")[k], len(start)),
-                     want.field("start"), want.field("n"), want.field("emit"), pa.array([raw[s : s + m + length - 1] for s, m in zip(start.tolist(), n.tolist())], pa.binary())],
+                     want.field("start"), want.field("n"), want.field("emit"), pa.array([bytes(raw[s : s + m + length - 1]) for s, m in zip(start.tolist(), n.tolist())], pa.binary())],
                     ["fp", "place", "t1", "t2", "start", "n", "emit", "bytes"],
                 )
 
     return run
 
 
-def _names(length: int):
+def _symbols(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts as bytes, or as codes of words, and their offsets."""
+    data, offsets = tb.texts(column)
+    return (data.view(np.uint64), offsets // 8) if words else (data, offsets)
+
+
+def _names(length: int, words: bool):
     """A row for each start position of a context, with the name of its string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tb.texts(batch.column("bytes"))
+            data, offsets = _symbols(batch.column("bytes"), words)
             n = batch.column("n").to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -160,12 +175,12 @@ def previous_factors(data: np.ndarray, at: np.ndarray, length: int, salt: np.nda
     return earlier, later
 
 
-def _factors(length: int, keep_first: bool):
+def _factors(length: int, keep_first: bool, words: bool):
     """Spans of repeated strings in contexts that arrive by anchor and corpus order."""
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        data, offsets = tb.texts(table.column("bytes"))
+        data, offsets = _symbols(table.column("bytes"), words)
         n = table.column("n").to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -228,17 +243,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, value in zip(out, (len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept)):
                 out[name].append(value)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [batch.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary()), batch.column("n_shared")],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_shared"],
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int = GRAM, hot_kinds: int = HOT_KINDS) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row; ``kept`` are the bytes left."""
+def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = documents(docs).select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    return documents(docs).select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
+def repeated(rows: DataFrame, length: int, keep_first: bool, gram: int, hot_kinds: int = HOT_KINDS, words: bool = False) -> DataFrame:
+    """``t1, t2, first, last``: repeated strings of ``length`` bytes (or words) and more in different texts' places."""
     gram = min(gram, length)
-    found = rows.where(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "fp long, kind long, doc_id long, t1 long, t2 long, start int, n int")
+    least = 2 * length - 1 if words else length
+    found = rows.where(F.octet_length("text") >= least).mapInArrow(_anchors(length, gram, words), "fp long, kind long, doc_id long, t1 long, t2 long, start int, n int")
     places = written(found.groupBy(*_KEYS).agg(F.min("doc_id").alias("doc_id")), "repeats-places")
     place = F.struct("doc_id", "t1", "t2", "start", "n")
     kinds = written(places.groupBy("fp", "kind").agg(F.count("*").alias("places"), F.min(place).alias("place")), "repeats-kinds")
@@ -257,48 +276,84 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     )
     wanted = written(wanted, "repeats-chosen")
     any_hot = wanted.where("hot").limit(1).count() > 0
-    partial = _in_order(rows, wanted.where("not hot"), length, keep_first)
+    partial = _in_order(rows, wanted.where("not hot"), length, keep_first, words)
     if any_hot:
-        partial = partial.unionByName(_by_name(rows, wanted.where("hot"), length, keep_first))
-    spans = whole.unionByName(partial).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = written(spans, "repeats-spans")
+        partial = partial.unionByName(_by_name(rows, wanted.where("hot"), length, keep_first, words))
+    return whole.unionByName(partial)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
     copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
-    copies = written(copies.where("copies > 1"), "repeats-copies")
-    changed = written(spans.select("t1", "t2").unionByName(copies.select("t1", "t2")).distinct(), "repeats-changed")
+    return written(copies.where("copies > 1"), "repeats-copies")
+
+
+def shared_passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM, hot_kinds: int = HOT_KINDS) -> DataFrame:
+    """``t1, t2, n_shared`` of the texts that hold some: words in passages of ``words`` words and more
+    that are also somewhere else (in another row, or again in the same text). White space doesn't count.
+    Written to the shared folder; what led to it is deleted."""
+    spark, rows = docs.sparkSession, _rows(docs)
+    mark, path = scratch_mark(spark), scratch_folder(spark, "llm-repeats-passages")
+    spans = repeated(rows, words, False, gram, hot_kinds, words=True)
+    # spans of a text in order: each adds what lies beyond the ones before
+    after = F.max("last").over(Window.partitionBy("t1", "t2").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("last") - F.greatest(F.col("first"), F.coalesce(after, F.lit(0))), F.lit(0))
+    told = spans.distinct().select("t1", "t2", fresh.alias("n")).groupBy("t1", "t2").agg(F.sum("n").alias("n_shared"))
+    copied = _copies(rows).select("t1", "t2").join(rows, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("t1", "t2", n_words(F.col("text")).alias("n_shared"))
+    out = told.unionByName(copied.where(F.col("n_shared") >= words)).groupBy("t1", "t2").agg(F.max("n_shared").alias("n_shared"))
+    out = write_table(out, "", path)
+    drop_scratch(spark, mark, keep=(path,))
+    return out
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int = GRAM, hot_kinds: int = HOT_KINDS, passages: DataFrame | None = None
+) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, n_shared`` of every row; ``kept`` are the bytes left.
+    ``passages`` (of ``shared_passages``) gives ``n_shared``; without them it is null."""
+    rows = _rows(docs)
+    spans = repeated(rows, length, keep_first, gram, hot_kinds)
+    spans = written(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeats-spans")
+    copies = _copies(rows)
+    changed = spans.select("t1", "t2").unionByName(copies.select("t1", "t2"))
+    if passages is not None:
+        changed = changed.unionByName(passages.select("t1", "t2"))
+    changed = written(changed.distinct(), "repeats-changed")
     same = rows.join(_keys(changed), ["t1", "t2"], "left_anti")
     other = rows.join(_keys(changed), ["t1", "t2"], "left_semi")
     joined = other.join(spans, ["t1", "t2"], "left").join(copies, ["t1", "t2"], "left")
+    none_shared = F.lit(None if passages is None else 0).cast("long")
+    joined = joined.withColumn("n_shared", none_shared) if passages is None else joined.join(passages, ["t1", "t2"], "left").fillna(0, ["n_shared"])
     long_enough = F.octet_length("text") >= length
     copied = F.col("copies").isNotNull() & long_enough
     if keep_first:
         copied = copied & ~F.col("doc_id").eqNullSafe(F.col("low"))
     all_of_it = F.array(F.struct(F.lit(0).alias("first"), F.octet_length("text").alias("last")))
-    cut = joined.select("doc_id", "text", F.when(copied, all_of_it).otherwise(F.col("spans")).alias("spans"))
+    cut = joined.select("doc_id", "text", F.when(copied, all_of_it).otherwise(F.col("spans")).alias("spans"), "n_shared")
     none = F.lit(None).cast("array<struct<first:int,last:int>>")
-    cut = cut.unionByName(same.select("doc_id", "text", none.alias("spans")))
-    return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = cut.unionByName(same.select("doc_id", "text", none.alias("spans"), none_shared.alias("n_shared")))
+    return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_shared long")
 
 
-def _chosen_contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _chosen_contexts(rows: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
     """The wanted contexts with their bytes: texts that have some, each once with its wanted runs."""
     wanted = written(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("fp", "place", "start", "n", "emit")).alias("want")), "repeats-wanted")
     chosen = rows.join(_keys(wanted), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     distinct = chosen.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "want")
     kind = "struct<doc_id:bigint,t1:bigint,t2:bigint,start:int,n:int>"
-    return distinct.mapInArrow(_contexts(length), f"fp long, place {kind}, t1 long, t2 long, start int, n int, emit boolean, bytes binary")
+    return distinct.mapInArrow(_contexts(length, words), f"fp long, place {kind}, t1 long, t2 long, start int, n int, emit boolean, bytes binary")
 
 
-def _in_order(rows: DataFrame, wanted: DataFrame, length: int, keep_first: bool) -> DataFrame:
+def _in_order(rows: DataFrame, wanted: DataFrame, length: int, keep_first: bool, words: bool) -> DataFrame:
     """Spans by suffix order: an anchor's contexts (``HOT_KINDS`` at most) meet in one task."""
-    ordered = _chosen_contexts(rows, wanted, length).repartition("fp").sortWithinPartitions("fp", "place").drop("place")
-    return ordered.mapInArrow(_factors(length, keep_first), "t1 long, t2 long, first int, last int")
+    ordered = _chosen_contexts(rows, wanted, length, words).repartition("fp").sortWithinPartitions("fp", "place").drop("place")
+    return ordered.mapInArrow(_factors(length, keep_first, words), "t1 long, t2 long, first int, last int")
 
 
-def _by_name(rows: DataFrame, wanted: DataFrame, length: int, keep_first: bool) -> DataFrame:
+def _by_name(rows: DataFrame, wanted: DataFrame, length: int, keep_first: bool, words: bool) -> DataFrame:
     """The same for anchors with more contexts than one task should hold: Spark counts the strings
     by name (partial counts first) and joins the names that recur."""
     kind = "struct<doc_id:bigint,t1:bigint,t2:bigint,start:int,n:int>"
-    named = _chosen_contexts(rows, wanted, length).mapInArrow(_names(length), f"fp long, place {kind}, t1 long, t2 long, emit boolean, name long, at int")
+    named = _chosen_contexts(rows, wanted, length, words).mapInArrow(_names(length, words), f"fp long, place {kind}, t1 long, t2 long, emit boolean, name long, at int")
     named = written(named, "repeats-named")
     here = F.struct("place", "at")
     same = named.groupBy("fp", "name").agg(F.count("*").alias("c"), F.min(here).alias("earliest")).where("c > 1")

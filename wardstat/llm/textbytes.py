@@ -36,11 +36,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def running(data: np.ndarray) -> np.ndarray:
-    """Running sums H with H[i] over data[:i]."""
+    """Running sums H with H[i] over data[:i]; data are bytes, or 64-bit codes of words."""
     up, _ = powers(len(data) + 1)
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(TABLE[data] * up[: len(data)], out=out[1:])
+    np.cumsum((TABLE[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=out[1:])
     return out
 
 
@@ -75,6 +75,22 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odd fingerprints of the words (``[^\\x20\\x09-\\x0D]+``) of each row's bytes, and the rows' offsets in them."""
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    letter = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    last = letter.copy()
+    last[:-1] &= ~letter[1:]
+    edge = offsets[(offsets > 0) & (offsets < len(data))]  # words end with their row
+    first[edge] = letter[edge]
+    last[edge - 1] = letter[edge - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return fingerprints(running(data), starts, ends) | np.uint64(1), np.searchsorted(starts, offsets)
+
+
 def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each, one row at least."""
     i, n = 0, len(offsets) - 1
