@@ -1,4 +1,4 @@
-"""Operator 8: repeated byte strings by longest-previous-factor flags in suffix order.
+"""Operator 8: repeated byte strings by longest previous factors in suffix order.
 
 A string of ``LENGTH`` bytes that begins in two places is found in three steps.
 
@@ -9,11 +9,11 @@ A string of ``LENGTH`` bytes that begins in two places is found in three steps.
    (the run's context). Only an anchor that has two places can have repeated strings.
 2. Whole contexts. Of contexts with one fingerprint, every string recurs.
 3. Suffix order. One context of each kind, of the anchors that have several kinds, is
-   read. The suffixes at their start positions are put in the order of their first
-   ``LENGTH`` bytes (named by fingerprints, as prefix doubling names prefixes, so that equal ones are
-   neighbours) and, among equals, of their place in the corpus. A position whose
-   previous neighbour is equal has a smaller earlier position, so its longest previous factor has
-   ``LENGTH`` bytes or more; its next neighbour tells the same of later ones.
+   read. The suffixes at their start positions are put in the order of their first ``LENGTH`` bytes (ranks
+   of 8-byte words, doubled) and, among equals, of their place in the corpus. A longest previous
+   factor is shared with the previous or the next smaller position in that order; factors are told up
+   to ``LENGTH`` bytes, as longer ones are removed alike. Strings of different anchors are different, so
+   a task may order the contexts of several anchors together.
 
 ``keep_first`` removes what has an earlier copy; without it, every copy is removed.
 The bytes covered by removed strings are joined into spans, and cut from the text.
@@ -24,6 +24,8 @@ passage in very many surroundings) is not put in order in one task: its strings
 by a Spark aggregate, with the same result. Anchors are spread by fingerprint, never by document, so
 a long document or a large group of copies does not meet in one task.
 
+``shared_passages`` does the same on words in place of bytes, each word one symbol.
+
 Defined cases: null counts as empty; texts under ``LENGTH`` bytes stay whole; repeated rows are
 copies of each other; a null doc_id comes first in corpus order; an empty table gives an empty result.
 """
@@ -164,11 +166,36 @@ def _names(length: int, words: bool):
     return run
 
 
-def previous_factors(data: np.ndarray, at: np.ndarray, length: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes at ``at`` (in corpus order): is there an earlier, a later suffix with the same first ``length`` bytes?"""
-    names = tb.mix64(tb.fingerprints(tb.running(data), at, at + length) ^ salt)
-    order = np.argsort(names, kind="stable")  # neighbours that are equal stay in corpus order
-    same = names[order[1:]] == names[order[:-1]]
+def suffix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the suffixes at ``at`` by their first ``length`` symbols; equal ones have equal ranks.
+
+    Bytes are first ranked as big-endian words of 8 (codes of words singly), then prefix doubling ranks
+    twice as long prefixes by pairs of ranks; the last pair overlaps where ``length`` asks for it."""
+    have = min(8, length) if data.dtype == np.uint8 else 1
+    n = len(data) - have + 1
+    if data.dtype == np.uint8:
+        key = np.zeros(max(n, 0), np.uint64)
+        for k in range(have):
+            key = (key << np.uint64(8)) | data[k : k + n]
+    else:
+        key = data
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    while have * 2 <= length:
+        key = (rank[:-have] << np.uint64(32)) | rank[have:]
+        rank, have = np.unique(key, return_inverse=True)[1].astype(np.uint64), have * 2
+    return np.unique((rank[at] << np.uint64(32)) | rank[at + length - have], return_inverse=True)[1]
+
+
+def previous_factors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes at ``at`` (in corpus order): does the longest previous factor, and the longest later one, have ``length`` symbols?
+
+    In suffix order (equal prefixes by place) the candidates for a suffix's longest previous factor are its
+    previous and its next smaller positions. Prefixes that are equal stand together by rising place, so the previous smaller
+    position is the neighbour before, if that has the same rank, and the next one is never equal; for later
+    factors it is the neighbour behind."""
+    rank = suffix_ranks(data, at, length)
+    order = np.argsort(rank, kind="stable")
+    same = rank[order[1:]] == rank[order[:-1]]
     earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
     earlier[order[1:]] = same
     later[order[:-1]] = same
@@ -184,8 +211,10 @@ def _factors(length: int, keep_first: bool, words: bool):
         n = table.column("n").to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        earlier, later = previous_factors(data, offsets[row] + step, length, fp[row])
+        if not len(row):
+            earlier = later = np.zeros(0, bool)
+        else:
+            earlier, later = previous_factors(data, offsets[row] + step, length)
         emit = table.column("emit").to_numpy(zero_copy_only=False)[row]
         hit = np.flatnonzero((earlier if keep_first else earlier | later) & emit)
         if not len(hit):
