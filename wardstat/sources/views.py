@@ -177,6 +177,8 @@ def with_views(body: str) -> str:
     """Prefix an oracle query with every fixture view as a CTE."""
     ctes = ",\n".join(f"{name} as ({sql.strip()})" for name, sql in VIEW_SQL.items())
     body = body.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
