@@ -290,17 +290,6 @@ def test_shared_passages_are_brute_force(docs, corpus, words, gram, hot):
     assert Counter(got) == Counter(want)
 
 
-def test_suffix_ranks_are_the_order_of_plain_prefixes():
-    rng = np.random.default_rng(3)
-    for length in (1, 3, 8, 9, 16, 21, 64):
-        for kind in (np.uint8, np.uint64):
-            data = rng.integers(0, 3, 300).astype(kind)
-            at = np.sort(rng.choice(300 - length, 80, replace=False))
-            cut = [tuple(data[p : p + length].tolist()) for p in at]
-            place = {c: i for i, c in enumerate(sorted(set(cut)))}
-            assert suffix_dedup.suffix_ranks(data, at, length).tolist() == [place[c] for c in cut]
-
-
 def test_words_of_texts_are_told_apart():
     texts = ["", "a b  c", "\t a\n", "b", "a b", " ", "\x0bc\x0cd\re"]
     raw = [t.encode() for t in texts]
