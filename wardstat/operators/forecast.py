@@ -7,7 +7,7 @@ with the original payload, but hold:
   form (``regr_slope``/``regr_intercept``) and projected k steps in closed form;
 * ``sarima`` — M2, AR(1) on 12-month differences, same primitives;
 * ``lstm``   — M3, one pooled gradient-boosted-tree regressor over the last 12
-  scaled months of every district, rolled forward step by step.
+  scaled months of every district, rolled forward inside one projection.
 
 M1/M2 fit every district in one ``groupBy('district')`` aggregate (no Python
 per series, no per-district loop); forecasts are generated by
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from wardstat import constants as K
 from wardstat.functions.payload import map_of, selection_note
 from wardstat.operators.series import eligible_series, lag_features, scale, split_series
+from wardstat.operators.trees import Ensemble, node_table
 from wardstat.session import materialize
 
 _NEAR_ONE = 1e-9
@@ -229,41 +230,26 @@ def forecast_lag_gbt(
     model: str = "lstm",
     max_iter: int = 20,
     seed: int = 42,
-    checkpoint_every: int = 6,
 ) -> DataFrame:
     """M3: the pooled lag model rolled forward (W4), feeding predictions back.
 
-    One row per district holds its window; step k adds the prediction as column
-    ``p<k>`` of that row, so the plan grows by one projection a step, and the frame is
-    checkpointed every ``checkpoint_every`` steps. The steps become rows once, at
-    the end."""
-    from pyspark.ml.feature import VectorAssembler
-
+    One row per district holds its window. The trees are constants of the plan, walked by
+    expressions, so the whole horizon is one projection (``Ensemble.rolled``): no model transform and
+    no driver step for a month, however long the horizon is."""
     fitted, lagged = fit_lag_gbt(s, look_back, max_iter, seed)
-    window = [f"l{i}" for i in range(1, look_back + 1)]
+    ensemble = Ensemble(node_table(s.sparkSession, fitted))
     # state at t = t_fit: the window that predicts t_fit + 1 (l1 = most recent value)
-    frame = lagged.where((F.col("t") == F.col("t_fit")) & F.col(window[-2]).isNotNull() & (F.col("h_steps") >= 1))
-    frame = frame.select(
-        "district", "t_fit", "h_steps", "month", "y_min", "y_max",
-        F.col("y_s").alias("l1"), *[F.col(f"l{i}").alias(f"l{i + 1}") for i in range(1, look_back)],
-    )
-    h_max = frame.agg(F.max("h_steps")).first()[0] or 0
-    for k in range(1, h_max + 1):
-        step = fitted.copy({fitted.predictionCol: f"p{k}"})
-        frame = step.transform(VectorAssembler(inputCols=window, outputCol="features").transform(frame)).drop("features")
-        window = [f"p{k}", *window[:-1]]
-        if checkpoint_every and k % checkpoint_every == 0:
-            frame = materialize(frame, "gbt-state")
-    points = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("p")) for k in range(1, h_max + 1)])
-    if not h_max:
-        points = F.array().cast("array<struct<k:int,p:double>>")
-    rows = frame.select("district", "t_fit", "h_steps", "month", "y_min", "y_max", F.inline(points)).where(F.col("k") <= F.col("h_steps"))
+    frame = lagged.where((F.col("t") == F.col("t_fit")) & F.col(f"l{look_back - 1}").isNotNull() & (F.col("h_steps") >= 1))
+    window = F.array(F.col("y_s"), *[F.col(f"l{i}") for i in range(1, look_back)])
+    rolled = ensemble.rolled(window, F.col("h_steps").cast("int"))
+    rows = frame.select("district", "t_fit", "month", "y_min", "y_max", F.posexplode(rolled).alias("i", "p"))
+    k = F.col("i") + 1
     return rows.select(
         "district",
         F.lit(model).alias("model"),
-        "k",
-        (F.col("t_fit") + F.col("k")).alias("t"),
-        F.add_months("month", F.col("k")).alias("month"),
+        k.alias("k"),
+        (F.col("t_fit") + k).alias("t"),
+        F.add_months("month", k).alias("month"),
         (F.col("p") * (F.col("y_max") - F.col("y_min")) + F.col("y_min")).alias("yhat"),
     )
 

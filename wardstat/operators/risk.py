@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wardstat import constants as K
 from wardstat.functions.calendar import is_weekend
 from wardstat.functions.numeric import clamp
+from wardstat.operators.trees import Ensemble
 from wardstat.session import materialize
 
 FEATURES = [name for name, _ in K.RISK_FEATURES]
@@ -252,6 +253,20 @@ def predict_risk(model, features: DataFrame, accuracy: float | None = None) -> D
     )
 
 
+def predict_risk_nodes(nodes: DataFrame, labels: list[str], features: DataFrame) -> DataFrame:
+    """M12 from the forest's node table (``trees.node_table``): level, confidence and probabilities as one
+    projection. The walk is a part of the caller's plan, and equals the model's own prediction."""
+    filled = with_feature_defaults(features)
+    probs = Ensemble(nodes).probabilities(F.array(*[F.col(f).cast("double") for f in FEATURES]))
+    told = filled.withColumn("_p", probs)
+    lab = F.array(*[F.lit(x) for x in labels])
+    top = F.array_max("_p")
+    return told.select(
+        "district", *FEATURES, F.element_at(lab, F.array_position("_p", top).cast("int")).alias("risk_level"),
+        top.alias("confidence"), F.map_from_arrays(lab, F.col("_p")).alias("probabilities"),
+    )
+
+
 def feature_importance(spark, model) -> DataFrame:
     """Forest importances as rows with their place, largest first.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from wardstat.operators import charts as CH
@@ -9,6 +10,7 @@ from wardstat.operators import forecast as FC
 from wardstat.operators import hotspot as HS
 from wardstat.operators import risk as RK
 from wardstat.operators import series as S
+from wardstat.operators import trees as TR
 from wardstat.operators.aggregates import type_by_district
 from wardstat.operators.ordering import head_per_district
 from wardstat.plans import flows
@@ -432,6 +434,17 @@ def m3_forecast_lag_gbt(spark, sf_dir):
     return FC.backtest(_monthly_series(spark, sf_dir), models=("lstm",), materialize_input=False)
 
 
+@register("m3_walk_from_nodes", "with " + _SERIES + "\nselect district, t, 0e0 as gap from bt where t > 12")
+def m3_walk_from_nodes(spark, sf_dir):
+    """M3 from the saved trees' nodes: on every row with a full window the walk gives MLlib's prediction."""
+    fitted, lagged = FC.fit_lag_gbt(FC.backtest_frame(_monthly_series(spark, sf_dir)))
+    lags = [f"l{i}" for i in range(1, 13)]
+    rows = lagged.where(F.col("l12").isNotNull())
+    walked = TR.Ensemble(TR.node_table(spark, fitted)).predict(F.array(*map(F.col, lags)))
+    rows = fitted.transform(VectorAssembler(inputCols=lags, outputCol="features").transform(rows))
+    return r6(rows.select("district", "t", F.abs(walked - F.col("prediction")).alias("gap")))
+
+
 # -------------------------------------------------------------------- risk ---
 _FEATURES_SQL = """
 feat as (
@@ -589,6 +602,32 @@ def m13_feature_importance(spark, sf_dir):
     return RK.feature_importance(spark, RK.train_risk(_features(spark, sf_dir)))
 
 
+@register("m12_forest_from_nodes", "with " + _FEATURES_SQL + "\nselect district, true as same_level, 0e0 as gap from featr")
+def m12_forest_from_nodes(spark, sf_dir):
+    """M12 from the saved forest's nodes: every district's level is MLlib's own, and the largest gap of a
+    probability is none (the oracle lists the districts and asks for that)."""
+    feats = materialize(_features(spark, sf_dir))
+    model = RK.train_risk(feats, materialize_input=False)
+    nodes = TR.node_table(spark, model.stages[-1])
+    cols = ["district", "risk_level", "probabilities"]
+    own = RK.predict_risk_nodes(nodes, list(model.stages[0].labels), feats).select(cols).alias("a")
+    both = own.join(RK.predict_risk(model, feats).select(cols).alias("b"), "district")
+    gap = F.zip_with(F.map_values("a.probabilities"), F.map_values("b.probabilities"), lambda x, y: F.abs(x - y))
+    return r6(both.select("district", (F.col("a.risk_level") == F.col("b.risk_level")).alias("same_level"), F.array_max(gap).alias("gap")))
+
+
+@register(
+    "m13_importance_from_nodes",
+    "select feature, 0e0 as gap from (select unnest([" + ", ".join(f"'{c}'" for c in RK.FEATURES) + "]) as feature)",
+)
+def m13_importance_from_nodes(spark, sf_dir):
+    """M13/L8 from the saved forest's nodes: no feature's importance differs from MLlib's."""
+    model = RK.train_risk(_features(spark, sf_dir))
+    own = TR.importances(TR.node_table(spark, model.stages[-1]), RK.FEATURES).alias("a")
+    both = own.join(RK.feature_importance(spark, model).alias("b"), "feature")
+    return r6(both.select("feature", F.abs(F.col("a.importance") - F.col("b.importance")).alias("gap")))
+
+
 @register("m14_cross_validate_risk")
 def m14_cross_validate_risk(spark, sf_dir):
     """M14 (rows-only): 3-fold cross-validated accuracy."""
