@@ -17,6 +17,10 @@ from wardstat.functions.calendar import parse_datetime
 from wardstat.functions.text import strip_title
 
 
+#: bits of the bitmap by which ``dedup_wide`` tells rows without a copy
+FILTER_BITS = 27
+
+
 def canonical_columns(df: DataFrame, aliases: dict[str, str] = K.HEADER_ALIASES) -> DataFrame:
     """Rename raw headers (``Date``, ``DISTRICT``, ``Crime Type``, ``LAT`` ...) to
     ``date, district, crime_type, latitude, longitude``.
@@ -120,6 +124,32 @@ def dedup(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def dedup_wide(df: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """E1 for wide rows that are mostly unique: only rows that may have a copy are exchanged.
+
+    128-bit fingerprints (two longs a row) are counted first; those that repeat set bits of a bitmap of
+    fixed size (2^27 bits are 16 MB, whatever the table holds), which is broadcast. A
+    row whose bit isn't set has no copy and stays where it is. The others, rows with copies and the few whose
+    bit another fingerprint set, are compared as whole rows. The result is exact: equal rows have equal
+    fingerprints, and unequal ones are never merged. With more repeated fingerprints than the
+    bitmap can tell apart, more rows are exchanged, at most all of them, as by ``dedup``."""
+    if not df.columns:
+        return df.dropDuplicates()
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    one, two = F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+    marks = df.select(one.alias("a"), two.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = lambda h: F.pmod(h, F.lit(1 << bits)) + 1
+    spots = marks.select(place(F.col("a")).alias("p"))
+    bitmap = spots.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    told = df.withColumn("_spot", place(one)).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    told = told.join(F.broadcast(bitmap), "_bucket", "left")  # 2^bits / 32768 rows of 4 kB at most
+    at = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    copied = F.col("_bits").isNotNull() & (F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1)
+    told = told.withColumn("_copied", copied).select(*cols, "_copied")
+    return told.where(~F.col("_copied")).select(*cols).unionByName(told.where("_copied").select(*cols).dropDuplicates())
+
+
 def new_values(new: DataFrame, old: DataFrame, col: str) -> DataFrame:
     """Distinct values of ``col`` in ``new`` that ``old`` lacks (``EXCEPT``).
 

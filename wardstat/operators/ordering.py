@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardstat.operators.aggregates import value_counts
+from wardstat.operators.series import numbered
 
 
 def by_time(df: DataFrame, ts_col: str = "ts", tie: str = "case_no") -> DataFrame:
@@ -68,6 +69,30 @@ def head_per_district(fc: DataFrame, n: int = 3, order: str = "k") -> DataFrame:
     return fc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+#: odd multipliers and additions of the rounds of ``permuted`` (fixed values)
+_ROUNDS = ((40503, 30011), (48271, 12289), (69621, 24593), (16807, 49157))
+
+
+def permuted(number: Column, seed: int = 42, half: int = 20) -> Column:
+    """A keyed bijection of the numbers below 2^(2 half): four Feistel rounds on two halves of
+    ``half`` bits (30 at most, so that no product leaves a long)."""
+    size = 1 << half
+    left, right = F.floor(number / size).cast("long"), F.pmod(number, F.lit(size)).cast("long")
+    for k, (times, plus) in enumerate(_ROUNDS):
+        mixed = F.pmod(right * times + plus + seed * (k + 1), F.lit(size * 1021)).cast("long")
+        mixed = F.pmod(F.floor(mixed / 509) + mixed * 31, F.lit(size)).cast("long")
+        left, right = right, F.pmod(left + mixed, F.lit(size)).cast("long")
+    return left * size + right
+
+
+def shuffle_by_key(df: DataFrame, *key, seed: int = 42, half: int = 20) -> DataFrame:
+    """L7 whose order is a function of the rows alone: rows are numbered by ``key`` (unique), and sorted by
+    a keyed bijection of the number, so the order is the same under any partitioning and any
+    number of tasks; another ``seed`` gives another one. Adds ``number``; ``half`` bits twice must hold the rows."""
+    told = numbered(df, *key, name="number")
+    return told.orderBy(permuted(F.col("number"), seed, half))
+
+
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     """Random row order (reproducible for a fixed seed and partitioning)."""
     return df.orderBy(F.rand(seed))

@@ -231,7 +231,9 @@ def train_risk(features: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42,
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label", featuresCol="features"),
     ]
-    return Pipeline(stages=stages).fit(data)
+    # A copy leaves the training summary behind. The summary refers to the session, so every task
+    # closure of a prediction would carry that along, and can't once the session observes metrics.
+    return Pipeline(stages=stages).fit(data).copy()
 
 
 def predict_risk(model, features: DataFrame, accuracy: float | None = None) -> DataFrame:
@@ -303,8 +305,12 @@ def cross_validate_risk(spark, features: DataFrame, folds: int = 3, num_trees: i
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
+    class Forest(RandomForestClassifier):
+        def _fit(self, dataset):
+            return super()._fit(dataset).copy()  # without its summary, as in train_risk
+
     data = in_fit_order(materialize(labelled(features).select("district", *FEATURES, "risk_level")))
-    rf = RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label", featuresCol="features")
+    rf = Forest(numTrees=num_trees, seed=seed, labelCol="label", featuresCol="features")
     pipe = Pipeline(
         stages=[
             StringIndexer(inputCol="risk_level", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),

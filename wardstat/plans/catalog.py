@@ -54,4 +54,4 @@ def r6(df: DataFrame) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from wardstat.plans import queries_core, queries_io, queries_model, queries_orders  # noqa: F401
+    from wardstat.plans import queries_core, queries_io, queries_model, queries_orders, queries_scale  # noqa: F401

@@ -14,8 +14,10 @@ gate row, not an exception.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wardstat import constants as K
@@ -58,6 +60,40 @@ def preprocess(
     return processed, aggs
 
 
+def preprocess_logged(raw: DataFrame, out_dir: str, ts_col: str = "ts") -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(a) with G7's log and G2's row count as by-products of the write: ``preprocess`` into ``out_dir``, and
+    ``step, step_no, rows_in, rows_out, changed`` of the six cleaning steps.
+
+    Rows are counted as they pass (``Observation``), so the raw table is read once for the processed table,
+    the log and everything after. A stage that runs again after a lost executor may be counted
+    again; ``quality.processing_log`` counts by an aggregate of its own. (A session that has observed can't
+    predict by a classifier that still holds its training summary; the library's forests are copies without it.)"""
+    loaded, dated, kept = Observation("loaded"), Observation("dated"), Observation("kept")
+    null = lambda d, c: F.count_if(F.col(c).isNull()) if c in d.columns else F.lit(0)
+    out = CL.canonical_columns(raw).observe(loaded, F.count(F.lit(1)).alias("n"))
+    out = CL.if_has(out, "date", lambda d: CL.parse_dates(d, "date", ts_col))
+    out = CL.if_has(CL.tidy_labels(out), ts_col, lambda d: CL.drop_undated(d, ts_col))
+    no_place = [F.col(c).isNull() for c in ("latitude", "longitude") if c in out.columns]
+    unplaced = F.count_if(reduce(or_, no_place)) if no_place else F.lit(0)
+    out = out.observe(dated, F.count(F.lit(1)).alias("n"), null(out, "district").alias("nd"), null(out, "crime_type").alias("nt"), unplaced.alias("np"))
+    out = CL.if_has(out, "district", CL.fill_district)
+    out = CL.if_has(out, "crime_type", CL.fill_type)
+    out = CL.dedup(out).observe(kept, F.count(F.lit(1)).alias("n"))
+    processed = with_calendar(out, ts_col)
+    path = f"{out_dir.rstrip('/')}/processed"
+    IO.write_processed(processed, path)
+    spark = raw.sparkSession
+    n, d, k = loaded.get["n"], dated.get, kept.get["n"]
+    steps = [
+        ("load", n, n, 0), ("drop_undated", n, d["n"], n - d["n"]), ("fill_district", d["n"], d["n"], d["nd"]),
+        ("fill_type", d["n"], d["n"], d["nt"]), ("flag_coordinates", d["n"], d["n"], d["np"]), ("deduplicate", d["n"], k, d["n"] - k),
+    ]
+    log = spark.createDataFrame([(s, i, a, b, c) for i, (s, a, b, c) in enumerate(steps, 1)], "step string, step_no int, rows_in long, rows_out long, changed long")
+    back = spark.read.schema(processed.schema).parquet(path).select(*processed.columns)
+    aggs = {"monthly_district": A.monthly_district(back), "daily": A.daily(back, ts_col), "crime_type_district": A.type_by_district(back)}
+    return back, aggs, log
+
+
 def monthly_series_for(df: DataFrame, district: str | None = "all", ts_col: str = "ts") -> DataFrame:
     """Dense monthly series of one district, of ``all`` districts pooled, or of
     every district (``district=None``), without an unfinished last month of the

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,17 +101,61 @@ def publish(df: DataFrame, root: str, version: str | None = None) -> str:
     """Write the dataset as ``version=<v>``; older versions stay as backups
     and nothing is overwritten (an existing version is an error). After the data is
     committed, one row (version, commit number, time) is appended to the
-    ``_versions`` table, so a reader never sees an unfinished version."""
+    ``_versions`` table, so a reader never sees an unfinished version.
+
+    Several publishers may work at once: a commit number is taken by creating its file under
+    ``_commits`` exclusively, and whoever finds it taken tries the next one. So no two
+    versions have the same number and the current one is that of the highest, whichever row was
+    appended last. A publisher that dies after taking a number leaves it unused. Exclusive creation is
+    the store's: the name node's on HDFS, the kernel's on a local folder; an object
+    store must have conditional writes on (for S3A, ``fs.s3a.create.conditional.enabled``)."""
     v = version or new_version()
     spark = df.sparkSession
     df.write.mode("errorifexists").parquet(version_path(root, v))
-    log = _version_log(spark, root)
-    last = 0 if log is None else log.agg(F.max("commit")).first()[0] or 0
-    row = spark.createDataFrame([(v, last + 1)], "version string, commit long").withColumn("committed_at", F.current_timestamp())
-    row.write.mode("append").parquet(_versions_path(root))
+    commit = _next_commit(spark, root)
+    while not claim(spark, f"{_commits_path(root)}/{commit:012d}", v):
+        commit += 1
+    row = spark.createDataFrame([(v,)], "version string").withColumn("committed_at", F.current_timestamp())
+    # a folder for each commit: two jobs that append to one folder would clear each other's temporary files
+    row.write.mode("errorifexists").parquet(f"{_versions_path(root)}/commit={commit}")
     return v
 
 
+def _commits_path(root: str) -> str:
+    return f"{root.rstrip('/')}/_commits"
+
+
+def _next_commit(spark: SparkSession, root: str) -> int:
+    """The number after the last one logged; it may be taken by the time it is claimed."""
+    log = _version_log(spark, root)
+    return 1 + (0 if log is None else log.agg(F.max("commit")).first()[0] or 0)
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create the file ``path`` with ``text``; False where it exists already. Of several callers one gets True."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where.getParent())
+    data = bytearray(text.encode())
+    try:
+        if store.getUri().getScheme() == "file":  # Hadoop's local create looks first and creates then
+            nio = spark._jvm.java.nio.file
+            options = spark.sparkContext._gateway.new_array(nio.OpenOption, 1)
+            options[0] = nio.StandardOpenOption.CREATE_NEW
+            nio.Files.write(spark._jvm.java.io.File(where.toUri().getPath()).toPath(), data, options)
+        else:
+            out = store.create(where, False)
+            try:
+                out.write(data)
+            finally:
+                out.close()
+    except Py4JJavaError as taken:
+        if not taken.java_exception.getClass().getSimpleName().startswith("FileAlreadyExists"):
+            raise
+        return False
+    return True
+
+
 def version_path(root: str, version: str) -> str:
     return f"{root.rstrip('/')}/version={version}"
 
