@@ -22,6 +22,32 @@ def parse_datetime(c) -> Column:
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
+def format_votes(df: DataFrame, *columns: str) -> DataFrame:
+    """R3 by column: ``column_name, n_text, n_iso, n_month_first, n_day_first, n_ambiguous, chosen``, in one pass.
+
+    A column is written one way, so its rows vote: each counts for every form that reads it. The slashed form
+    that reads more rows is chosen (month first if equal). Ambiguous rows are read by both, as
+    different days; a single row can't tell, the column can."""
+    both = [F.try_to_timestamp(F.col("v"), F.lit(f)) for f in DATE_FORMATS]
+    iso = F.try_to_timestamp(F.col("v"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("s")).select("s.*")
+    read = long.select("column_name", F.col("v").isNotNull().alias("text"), iso.isNotNull().alias("iso"), *[(iso.isNull() & b.isNotNull()).alias(n) for b, n in zip(both, "ab")], (iso.isNull() & (both[0] != both[1])).alias("odd"))
+    votes = read.groupBy("column_name").agg(
+        F.count_if("text").alias("n_text"), F.count_if("iso").alias("n_iso"), F.count_if("a").alias("n_month_first"),
+        F.count_if("b").alias("n_day_first"), F.count_if("odd").alias("n_ambiguous"),
+    )
+    return votes.withColumn("chosen", F.when(F.col("n_day_first") > F.col("n_month_first"), "day first").otherwise("month first"))
+
+
+def parse_by_vote(df: DataFrame, column: str, out: str) -> DataFrame:
+    """R3 with the form that the column's rows chose (``format_votes``; a scalar subquery, so the plan stays lazy):
+    ISO text, and slashed text in the chosen form alone. What only the other form reads becomes NULL."""
+    chosen = format_votes(df, column).select("chosen").scalar()
+    told = df.withColumn("_chosen", chosen)
+    slashed = F.when(F.col("_chosen") == "day first", F.try_to_timestamp(F.col(column), F.lit(DATE_FORMATS[1]))).otherwise(F.try_to_timestamp(F.col(column), F.lit(DATE_FORMATS[0])))
+    return told.withColumn(out, F.coalesce(F.try_to_timestamp(F.col(column)), slashed).cast("timestamp_ntz")).drop("_chosen")
+
+
 def parse_datetime_strict(c) -> Column:
     """Strict parse — raises on bad text under ANSI mode; run gate G3 first."""
     return F.to_timestamp_ntz(col_of(c))

@@ -10,6 +10,8 @@ pre-aggregates on (key, value) before shuffling. Null grouping keys are dropped
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +139,27 @@ def cardinalities(df: DataFrame, approx: bool = False) -> DataFrame:
     return df.agg(fn("district").alias("unique_districts"), fn("crime_type").alias("unique_crime_types"))
 
 
+#: log2 of a sketch's buckets, and the relative error that 3 of its standard errors make (1.04 / sqrt(buckets) each)
+SKETCH_LOG = 12
+SKETCH_BOUND = 3 * 1.04 / 2 ** (SKETCH_LOG / 2)
+
+
+def monthly_sketches(df: DataFrame, columns: Sequence[str], ts_col: str = "ts", log_buckets: int = SKETCH_LOG) -> DataFrame:
+    """A13/A3 in a form that adds up: ``month, column_name, sketch``, a HyperLogLog sketch of a few kB for each
+    month and column. Written next to a published version, sketches answer later questions without a scan of the rows."""
+    per = df.groupBy(F.trunc(ts_col, "MM").alias("month")).agg(*[F.hll_sketch_agg(c, log_buckets).alias(c) for c in columns])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("sketch")) for c in columns]))
+    return per.select("month", rows.alias("s")).select("month", "s.column_name", "s.sketch")
+
+
+def merged_cardinalities(sketches: DataFrame, *by: str) -> DataFrame:
+    """Distinct values (estimated) of each column over the months and versions that ``sketches`` hold, or for each
+    value of ``by``. Unions lose nothing: the estimate is that of one sketch over all rows, within
+    ``SKETCH_BOUND`` (3 standard errors), and exact for a few hundred values."""
+    merged = sketches.groupBy(*by, "column_name").agg(F.hll_union_agg("sketch", True).alias("s"))
+    return merged.select(*by, "column_name", F.hll_sketch_estimate("s").alias("estimate"))
+
+
 def missing_values(df: DataFrame) -> DataFrame:
     """Null count per column, one row per column, in one scan."""
     counts = df.select([F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

@@ -28,8 +28,8 @@ from wardstat.operators.trees import Ensemble, node_table
 from wardstat.session import materialize
 
 _NEAR_ONE = 1e-9
-#: training rows are dealt into so many partitions, whatever the session's number
-FIT_PARTITIONS = 8
+#: training rows of a partition: how many there are depends on the rows alone, not on the session
+FIT_ROWS = 20_000
 _RANK = {m: i for i, m in enumerate(K.MODELS)}
 
 
@@ -205,13 +205,18 @@ def forecast_seasonal(s: DataFrame, period: int = 12, model: str = "sarima") ->
     return _finish(st, model, yhat)
 
 
+def fit_partitions(train: DataFrame) -> int:
+    """Partitions for a fit: one for each ``FIT_ROWS`` rows. A small fit is many tiny jobs, and a task less in each counts."""
+    return 1 + train.count() // FIT_ROWS
+
+
 def fit_lag_gbt(s: DataFrame, look_back: int = K.LOOK_BACK, max_iter: int = 20, seed: int = 42):
     """M3's fit: one pooled GBT regressor on ``look_back`` lagged, per-series min-max
     scaled values (W3, W5) of every district's points ``t <= t_fit`` with a full window.
 
     Returns the fitted regressor and the lagged table. MLlib draws its samples by
-    partition, so the training rows are dealt into ``FIT_PARTITIONS`` by district and sorted:
-    the model does not depend on how the series was partitioned."""
+    partition, so the training rows are dealt out by district and sorted, into as many partitions
+    as their number asks for: the model does not depend on how the series was partitioned."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -219,7 +224,7 @@ def fit_lag_gbt(s: DataFrame, look_back: int = K.LOOK_BACK, max_iter: int = 20,
     sc = scale(s, "y", fit_rows=F.col("t") <= F.col("t_fit"))
     lagged = materialize(lag_features(sc, look_back, col="y_s"), "gbt-lags")  # read by every boosting pass and the roll-forward
     train = lagged.where((F.col("t") <= F.col("t_fit")) & F.col(lags[-1]).isNotNull())
-    train = train.repartition(FIT_PARTITIONS, "district").sortWithinPartitions("district", "t")
+    train = train.repartition(fit_partitions(train), "district").sortWithinPartitions("district", "t")
     regressor = GBTRegressor(labelCol="y_s", featuresCol="features", maxIter=max_iter, seed=seed)
     return regressor.fit(VectorAssembler(inputCols=lags, outputCol="features").transform(train)), lagged
 
