@@ -38,7 +38,7 @@ def test_main_text(page, want):
     assert text_of(page) == want
 
 
-def test_repeated_runs_are_brute_force():
+def test_runs_and_their_pages_are_brute_force():
     rng = np.random.default_rng(2)
     for trial in range(40):
         pages = [list(rng.integers(0, 4, rng.integers(0, 40))) for _ in range(4)]
@@ -46,19 +46,46 @@ def test_repeated_runs_are_brute_force():
             p[3:3] = pages[0][5 : 5 + int(rng.integers(0, 15))]
         run = int(rng.integers(2, 9))
         tokens, page = np.array(sum(pages, []), np.uint64), np.repeat(np.arange(4), [len(p) for p in pages])
-        got = html_extract.repeated(tokens, page, run)
-        want, at = [], 0
-        where = {}
+        at, pages_of = html_extract.runs(tokens, page, run)
+        where, first, begin = {}, {}, 0
         for k, p in enumerate(pages):
             for i in range(len(p) - run + 1):
                 where.setdefault(tuple(p[i : i + run]), set()).add(k)
-        for p in pages:
-            own = [False] * len(p)
-            for i in range(len(p) - run + 1):
-                if len(where[tuple(p[i : i + run])]) > 1:
-                    own[i : i + run] = [True] * run
-            want += own
-        assert got.tolist() == want
+                first.setdefault(tuple(p[i : i + run]), begin + i)
+            begin += len(p)
+        assert sorted(zip(at.tolist(), pages_of.tolist())) == sorted((first[w], len(on)) for w, on in where.items())
+
+
+@pytest.mark.parametrize("n,partitions,host_pages", [(60, 1, 512), (60, 5, 7), (300, 1, 20), (300, 5, 20)])
+def test_a_notice_on_some_pages_goes_however_the_host_is_grouped(spark, n, partitions, host_pages):
+    notice = "this site stores small files on your device to count visits"
+    own = lambda k: " ".join(f"p{k}x{i}" for i in range(15))
+    rows = [(k, f"http://h.org/{k}", f"<div>{own(k)}</div>" + (f"<div>{notice}</div>" if k % (n // 10) == 0 else "")) for k in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+    got = {r.page_id: r.text for r in html_extract.extract(df, host_pages=host_pages).collect()}
+    assert got == {k: own(k) for k in range(n)}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<div>" + " ".join(f"same{i}" for i in range(20)) + "</div>"
+    rows = [(k, f"http://h.org/{k}", page) for k in range(40)] + [(99, "http://h.org/99", "<div>quite another page with a few words of its own</div>")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), host_pages=2).collect()
+    assert len(got) == 41 and all(r.text == " ".join(f"same{i}" for i in range(20)) for r in got if r.page_id < 99)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p title=it's>Hello there world</p><p>second don't stop</p></article>", "Hello there world second don't stop"),
+        ("<article><div class='content has-sidebar'><p>one</p></div><div class=alert-text>two</div><div class='banner-story'>three</div><div id='side'>four</div></article>", "one two three four"),
+        ("<article><div class='sidebar'>no</div><div class='x comment-list'>no</div><div id=newsletter-signup>no</div><p class=\"ad-box\">no</p><p>yes</article>", "yes"),
+        ("<article><p title='class=\"sidebar\"'>kept</p><p data-x=\"a>b\" class = wide>too</p></article>", "kept too"),
+        ('<article>before<p title="never closed>lost</p></article>', "before"),
+        ("<article><a href=/x?q='y'>link</a><br/><p a==b c>end</article>", "link end"),
+    ],
+)
+def test_attributes_and_names_of_wrappers(page, want):
+    assert text_of(page) == want
 
 
 def test_pages_without_an_article_lose_what_their_host_repeats(spark):
