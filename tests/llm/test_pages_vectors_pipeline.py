@@ -130,6 +130,17 @@ def test_vector_links_are_brute_force(spark, leaf, width):
     assert got == {i: (n, low[p], i == low[p]) for i, n, p in zip(ids, links, part)}
 
 
+def test_tiny_and_huge_vectors(spark):
+    """Components whose squares leave the range of doubles link by their directions."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 16))
+    vectors = [list(map(float, v)) for v in base] + [[1e-170] * 16, [2e-170] * 16, list(map(float, base[0] * 1e-200)), list(map(float, base[1] * 1e200)), [5e-324] + [0.0] * 15]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_duplicates(df).collect()}
+    assert got[60] == got[61] == (1, 60) and got[62] == (1, 0) and got[63] == (1, 1) and got[0] == (1, 0)
+    assert got[64] == (0, 64) and len(got) == 65
+
+
 def test_a_pair_at_the_edge_of_a_share_counts_once():
     """Pairs whose part in a block is the share and a little more, or exactly the limit."""
     rng = np.random.default_rng(8)

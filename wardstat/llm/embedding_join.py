@@ -23,6 +23,7 @@ Equal vectors are one class, compared once and weighted by their number.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing (n_links 0, their own component); vectors of different length never link;
 a null vec_id takes part but never names a component; repeated rows count as vectors of their own;
+vectors of very small or large components are scaled by powers of two first, which changes no cosine;
 an empty table gives an empty result.
 """
 
@@ -113,7 +114,13 @@ def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two (exactly) to a largest component of about 1, so that no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -192,7 +199,7 @@ def _tile(plan: Plan):
         table = table.take(pa.array(order))
         home = home[order]
         node, weight = table.column("cls").to_numpy(), table.column("n").to_numpy()
-        vec = _vectors(table.column("vec").combine_chunks(), plan.dims)
+        vec = _scaled(_vectors(table.column("vec").combine_chunks(), plan.dims))
         norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
         unit = vec / norm[:, None]
         turned = unit @ plan.rotation
