@@ -142,12 +142,14 @@ def test_templates_confirm_their_own_family_only():
 def test_toxicity_on_held_out_documents(spark):
     rows = queries.QUERIES["op6_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
-    insults = re.compile(r"\b(idiot|moron|trash|scum|stupid|worthless|disgusting|clown|loser|pathetic)\b")
-    text = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    told = [r for r in rows if r.toxic == 1 and len(insults.findall(text[r.doc_id])) >= 3]
-    assert sum(r.score >= 0.5 for r in told) >= 0.9 * len(told) > 0
-    clean = [r for r in rows if r.toxic == 0]
-    assert sum(r.score >= 0.5 for r in clean) <= 0.1 * len(clean)
+
+
+def test_toxicity_tells_held_out_rows_of_the_large_table(spark):
+    """Every held-out labelled row counts, none is chosen."""
+    large = "/root/testdata/sf0.1"
+    rows = queries.QUERIES["op6_toxicity"](spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
 
 
 def _labelled(n, seed=3):

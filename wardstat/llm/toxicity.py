@@ -9,11 +9,11 @@ window's distance is its compressed size with the ordinary dictionary less that
 with the toxic one, so it is above 0 where only the toxic dictionary knows what
 is written. A text's score comes from a logistic fit, on texts that the dictionaries
 were not trained on, to the largest distance, the number of windows
-above the window threshold, and that number per window.
+above the window threshold, the sum of the distances and the number of windows.
 
 Defined cases: null and empty texts get the score of a text without windows;
 repeated rows score alike; null labels are not learned; a document with both labels
-is taken as it comes; with no labelled row of one class every score is 0.
+is taken as it comes; with no labelled row of one class every score is 0; a null doc_id is in no fold (held_out is null).
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ MIN_MATCH = 5
 PAD = b"\n0123456789-=+_)(*&^%$#@!~0123456789|/?.,<>;:[]{}9876543210 \n" * 2
 MIN_RATIO = 10
 MIN_DOCS = 4
-MIN_SHARE = 0.015
+CHANCE = 0.05
+#: part of the classes' weight in the fit that makes them even
+EVEN = 0.5
 MAX_PIECES = 400
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -120,12 +122,13 @@ class Distances:
 
 
 def features(row: np.ndarray, distance: np.ndarray, n_rows: int, edge: float) -> np.ndarray:
-    """Bias, largest distance, log of windows above the edge, and their share."""
+    """Bias, largest distance, logs of the windows above the edge, of the sum of the positive distances, and of the windows."""
     largest = np.zeros(n_rows)
     np.maximum.at(largest, row, distance)
     above = np.bincount(row, distance >= edge, n_rows)
+    gained = np.bincount(row, np.maximum(distance, 0), n_rows)
     n = np.bincount(row, minlength=n_rows)
-    return np.stack([np.ones(n_rows), largest, np.log1p(above), above / np.maximum(n, 1)], 1)
+    return np.stack([np.ones(n_rows), largest, np.log1p(above), np.log1p(gained), np.log(np.maximum(n, 1))], 1)
 
 
 def _fold_text(text: str) -> bytes:
@@ -178,18 +181,23 @@ def train(texts: list[tuple[str, int]]) -> Model:
 def _telling(df: dict[int, Counter], n: Counter) -> list[bytes]:
     """Word beginnings that toxic texts have far oftener than ordinary ones, most telling first.
 
-    Of beginnings that go on alike (nine in ten times) the longest is taken, and
-    none that only lengthens another one taken.
+    Only those whose log likelihood ratio chance would hardly reach among as many candidates (at a
+    level of ``CHANCE``): rare words that happen to stand in toxic texts only are
+    matched by ordinary texts as well. Of beginnings that go on alike (nine in ten times) the
+    longest is taken, and none that only lengthens another one taken.
     """
     begins = {0: Counter(), 1: Counter()}
     for label, words in df.items():
         for w, k in words.items():
             for m in range(4, min(len(w), 16) + 1):
                 begins[label][w[:m]] += k  # with the space before it, a match
+    candidates = [(w, k, begins[0][w]) for w, k in begins[1].items() if k >= MIN_DOCS]
+    share, need = n[1] / (n[0] + n[1]), np.log(max(len(candidates), 1) / CHANCE)
     worth = {}
-    for w, k in begins[1].items():
-        ratio = ((k + 0.5) / n[1]) / ((begins[0][w] + 0.5) / n[0])
-        if k >= max(MIN_DOCS, MIN_SHARE * n[1]) and ratio >= MIN_RATIO:
+    for w, k, other in candidates:
+        ratio = ((k + 0.5) / n[1]) / ((other + 0.5) / n[0])
+        likelihood = k * np.log(k / ((k + other) * share)) + (other * np.log(other / ((k + other) * (1 - share))) if other else 0)
+        if ratio >= MIN_RATIO and likelihood >= need:
             worth[w] = k * np.log(ratio)
     taken: list[bytes] = []
     for w in sorted(worth, key=lambda w: (-worth[w], len(w), w)):
@@ -214,12 +222,14 @@ def _content(words: list[bytes], size: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Newton steps of a lightly ridged logistic fit."""
+    """Newton steps of a lightly ridged logistic fit; the rarer class weighs more, by ``EVEN``."""
     w = np.zeros(x.shape[1])
+    rate = np.where(y == 1, y.mean(), 1 - y.mean())
+    c = EVEN / (2 * rate) + 1 - EVEN
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (c * (p - y)) + ridge * w
+        h = (x * (c * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -257,7 +267,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         distances = Distances(model) if model.weights is not None else None
         for batch in batches:
             data, offsets = tb.texts(batch.column("text"))
-            x = np.zeros((batch.num_rows, 4))
+            x = np.zeros((batch.num_rows, 5))
             s = np.zeros(batch.num_rows)
             for i, j in tb.blocks(offsets, 1 << 20) if distances else ():
                 row, dist = distances(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
