@@ -97,7 +97,6 @@ def tokens(texts, path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     start, out = 0, []
     for t in texts:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -135,3 +134,33 @@ def fill_targets(sizes: dict, weights=(1, 2, 3), ratio=3):
         if not over:
             return {**fixed, **share}
         fixed.update({s: ratio * sizes[s] for s in over})
+
+
+def language(model, text, window, letter):
+    """Mean of the positions' probabilities over letter bytes, a position and a unit at a time."""
+    raw, h_size = text.encode(), model.u[0].shape[1]
+    total, counted = [0.0] * len(model.langs), 0
+    for a in range(0, len(raw), window):
+        piece = raw[a : a + window].ljust(window, b"\0")
+        states = []
+        for x, u, order in ((model.x[0], model.u[0], range(window)), (model.x[1], model.u[1], range(window - 1, -1, -1))):
+            h, seen = [0.0] * h_size, {}
+            for t in order:
+                own = [float(x[k][piece[t]]) for k in range(3 * h_size)]
+                back = [sum(float(u[k][j]) * h[j] for j in range(h_size)) for k in range(3 * h_size)]
+                gate = [(own[k] + back[k]) / (2 + abs(own[k] + back[k])) * 0.5 + 0.5 for k in range(2 * h_size)]
+                new = []
+                for j in range(h_size):
+                    n = own[2 * h_size + j] + gate[h_size + j] * back[2 * h_size + j]
+                    n /= 1 + abs(n)
+                    new.append(gate[j] * h[j] + (1 - gate[j]) * n)
+                h = seen[t] = new
+            states.append(seen)
+        for t in range(min(window, len(raw) - a)):
+            if letter[piece[t]]:
+                both = states[0][t] + states[1][t] + [1.0]
+                z = [sum(float(w) * v for w, v in zip(row, both)) for row in model.out]
+                e = [np.exp(v - max(z)) for v in z]
+                total = [s + v / sum(e) for s, v in zip(total, e)]
+                counted += 1
+    return [v / max(counted, 1) for v in total]

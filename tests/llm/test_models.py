@@ -1,8 +1,8 @@
 """Trained operators (2, 3, 6): accuracy on rows that they did not learn from, and odd inputs."""
 
-import re
 import zlib
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -45,6 +45,16 @@ def test_language_of_odd_texts(spark, odd):
     assert carried.columns == [*odd.columns, "lang_pred", "score"] and carried.where("doc_id = 8 and text = 'one\nline'").count() == 1
 
 
+def test_language_scores_are_those_of_plain_loops():
+    pieces = [("the thing of that and this is it ".encode() * 4, "en"), ("le la des que les une est à ".encode() * 4, "fr"), ("der die und in ist für ".encode() * 4, "de")] * 20
+    model = lang_id.train(pieces, hidden=5, epochs=3)
+    texts = ["", "the", "Une thing, que 12 for that!", "für und " * 30, "漢字 and 🙂 le", "x" * 64, "y" * 65]
+    data, offsets = textbytes.texts(pa.array(texts))
+    got = lang_id.pooled(model, data, offsets)
+    for t, p in zip(texts, got):
+        assert p.tolist() == pytest.approx(brute.language(model, t, lang_id.WINDOW, lang_id._LETTER), abs=1e-4)
+
+
 def test_language_without_labels_or_rows(spark, odd):
     nothing = lang_id.learned(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in lang_id.identify(odd, nothing).collect()} == {("und", 0.0)}
