@@ -40,7 +40,9 @@ def test_matches_duckdb(spark, con, name):
     assert r["ok"], r
 
 
-@pytest.mark.parametrize("name", sorted(set(Q) - set(O) - SLOW))
+@pytest.mark.parametrize("name", ["m3_forecast_lag_gbt", "m13_feature_importance", "a25_forest_held_out"])
 def test_rows_only_queries_run(spark, name):
+    """The quicker ones of those that fit a model and have no oracle."""
+    assert name in set(Q) - set(O)
     df = Q[name](spark, SF)
-    assert df.count() >= 0 and len(df.columns) > 0
+    assert df.count() > 0 and all(c for c in df.columns)
