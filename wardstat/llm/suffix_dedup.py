@@ -1,4 +1,4 @@
-"""Operator 8: repeated byte strings by longest-previous-factor flags in suffix order.
+"""Operator 8: repeated byte strings, by a hash join of strings around anchors in place of the longest-previous-factor array.
 
 A string of ``LENGTH`` bytes that begins in two places is found in three steps.
 
@@ -8,12 +8,11 @@ A string of ``LENGTH`` bytes that begins in two places is found in three steps.
    cut into runs of start positions, one for each anchor, with the bytes that their strings span
    (the run's context). Only an anchor that has two places can have repeated strings.
 2. Whole contexts. Of contexts with one fingerprint, every string recurs.
-3. Suffix order. One context of each kind, of the anchors that have several kinds, is
-   read. The suffixes at their start positions are put in the order of their first
-   ``LENGTH`` bytes (named by fingerprints, as prefix doubling names prefixes, so that equal ones are
-   neighbours) and, among equals, of their place in the corpus. A position whose
-   previous neighbour is equal has a smaller earlier position, so its longest previous factor has
-   ``LENGTH`` bytes or more; its next neighbour tells the same of later ones.
+3. Names. One context of each kind, of the anchors that have several kinds, is read, and the
+   strings at its start positions are named by 64-bit fingerprints and sorted by name and, among equals, by place
+   in the corpus. A string whose neighbour before has the same name has an earlier copy (its longest
+   previous factor has ``LENGTH`` bytes or more), one whose neighbour behind has it a later one. This takes the
+   place of a suffix order of the bytes, which the README measures.
 
 ``keep_first`` removes what has an earlier copy; without it, every copy is removed.
 The bytes covered by removed strings are joined into spans, and cut from the text.
@@ -24,6 +23,8 @@ passage in very many surroundings) is not put in order in one task: its strings
 by a Spark aggregate, with the same result. Anchors are spread by fingerprint, never by document, so
 a long document or a large group of copies does not meet in one task.
 
+``shared_passages`` does the same on words in place of bytes, each word one symbol.
+
 Defined cases: null counts as empty; texts under ``LENGTH`` bytes stay whole; repeated rows are
 copies of each other; a null doc_id comes first in corpus order; an empty table gives an empty result.
 """
@@ -165,7 +166,7 @@ def _names(length: int, words: bool):
 
 
 def previous_factors(data: np.ndarray, at: np.ndarray, length: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes at ``at`` (in corpus order): is there an earlier, a later suffix with the same first ``length`` bytes?"""
+    """For strings of ``length`` symbols at ``at`` (in corpus order): is there an earlier, a later one of the same name?"""
     names = tb.mix64(tb.fingerprints(tb.running(data), at, at + length) ^ salt)
     order = np.argsort(names, kind="stable")  # neighbours that are equal stay in corpus order
     same = names[order[1:]] == names[order[:-1]]
@@ -344,7 +345,7 @@ def _chosen_contexts(rows: DataFrame, wanted: DataFrame, length: int, words: boo
 
 
 def _in_order(rows: DataFrame, wanted: DataFrame, length: int, keep_first: bool, words: bool) -> DataFrame:
-    """Spans by suffix order: an anchor's contexts (``HOT_KINDS`` at most) meet in one task."""
+    """Spans by order of names: an anchor's contexts (``HOT_KINDS`` at most) meet in one task."""
     ordered = _chosen_contexts(rows, wanted, length, words).repartition("fp").sortWithinPartitions("fp", "place").drop("place")
     return ordered.mapInArrow(_factors(length, keep_first, words), "t1 long, t2 long, first int, last int")
 
