@@ -12,7 +12,7 @@ Q = {k: v for k, v in E.queries().items() if k not in E.LLM_QUERIES}
 O = {k: v for k, v in E.oracle_sql().items() if k in Q}
 # Queries that fit M3 or the forest: their operators are tested in test_risk_hotspot, test_forecast
 # and test_flows; here only the fast ones run (M14 and the three-model rows run in the driver's check).
-SLOW = {"m3_forecast_lag_gbt", "m12_risk_forest", "m13_feature_importance", "m14_cross_validate_risk", "a25_forest_held_out", "m15_retrain", "m15_retrain_districts",
+SLOW = {"m3_forecast_lag_gbt", "m12_risk_forest", "m13_feature_importance", "m14_cross_validate_risk", "m14_out_of_fold", "m14_fold_metrics", "a25_forest_held_out", "m15_retrain", "m15_retrain_districts",
         "m6_forecast_three_models", "m3_walk_from_nodes", "m12_forest_from_nodes", "m13_importance_from_nodes", "a20_best_of_three", "a21_leaderboard_of_three", "m7_selection_of_three", "m16_performance_of_three"}
 
 

@@ -117,3 +117,47 @@ def test_single_leaf(spark):
     nodes = TR.node_table(spark, GBTRegressor(labelCol="y", maxIter=2).fit(data))
     assert spark.range(1).select(TR.Ensemble(nodes).predict(F.array(F.lit(5.0)))).first()[0] == pytest.approx(2.0)
     assert TR.importances(nodes, ["f0"]).collect()[0]["importance"] == 0.0
+
+
+def test_every_district_is_told_by_a_forest_that_has_not_seen_it(spark):
+    features = _features(spark)
+    data = RK.with_folds(features, 3)
+    fitted = RK.fold_forests(data, num_trees=6)
+    scored = {r["district"]: r for r in RK.out_of_fold(spark, data, fitted).collect()}
+    assert len(scored) == 60 and sorted(fitted) == sorted({r["fold"] for r in scored.values()}) == [0, 1, 2]
+    folds = {}
+    for fold, model in fitted.items():
+        for r in RK.predict_risk(model, data.where(F.col("fold") == fold)).collect():
+            folds[r["district"]] = fold
+            assert (scored[r["district"]]["prediction"], scored[r["district"]]["confidence"]) == (r["risk_level"], pytest.approx(r["confidence"]))
+    assert folds == {d: r["fold"] for d, r in scored.items()}
+    truth = {r["district"]: r["risk_level"] for r in RK.labelled(features).collect()}
+    assert {d: r["label"] for d, r in scored.items()} == truth
+    metrics = {r["fold"]: r for r in RK.fold_metrics(RK.out_of_fold(spark, data, fitted)).collect()}
+    for fold, m in metrics.items():
+        rows = [r for r in scored.values() if r["fold"] == fold]
+        right = [r for r in rows if r["prediction"] == r["label"]]
+        assert m["districts"] == len(rows) and m["accuracy"] == pytest.approx(len(right) / len(rows))
+        assert m["confidence_right"] == pytest.approx(sum(r["confidence"] for r in right) / len(right))
+
+
+def test_folds_do_not_depend_on_partitions(spark):
+    data = _features(spark)
+    told = [{r[0]: r[1] for r in data.repartition(n).select("district", RK.fold_of(5)).collect()} for n in (1, 7)]
+    assert told[0] == told[1] and set(told[0].values()) == set(range(5))
+
+
+def test_folds_without_a_choice(spark):
+    """One fold in all: nothing to learn from; one level in all others: that level; no rows: no rows."""
+    features = _features(spark)
+    alone = RK.with_folds(features, 1)
+    assert RK.fold_forests(alone) == {0: None}
+    scored = RK.out_of_fold(spark, alone, {0: None})
+    assert scored.where("prediction is null and confidence is null").count() == 60
+    assert RK.fold_metrics(scored).first()["accuracy"] is None
+    level = RK.with_folds(features).groupBy("label").count().orderBy("count").first()["label"]
+    same = RK.with_folds(features, 2).where(F.col("label") == level)
+    fitted = RK.fold_forests(same)
+    assert set(fitted.values()) <= {level, None}
+    none = same.where("false")
+    assert RK.fold_forests(none) == {} and RK.fold_metrics(RK.out_of_fold(spark, none, {})).count() == 0

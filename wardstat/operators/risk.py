@@ -7,13 +7,13 @@ that runs on one row per district. MLlib trains on that feature table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstat import constants as K
 from wardstat.functions.calendar import is_weekend
 from wardstat.functions.numeric import clamp
-from wardstat.operators.trees import Ensemble
+from wardstat.operators.trees import Ensemble, node_table
 from wardstat.session import materialize
 
 FEATURES = [name for name, _ in K.RISK_FEATURES]
@@ -269,6 +269,65 @@ def predict_risk_nodes(nodes: DataFrame, labels: list[str], features: DataFrame)
     )
 
 
+def fold_of(folds: int, seed: int = 42) -> Column:
+    """Fold of a district: a keyed hash of its name, so folds are the same under any partitioning, and SQL can tell them."""
+    named = F.md5(F.concat("district", F.lit(f":{seed}")))
+    return F.pmod(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def with_folds(features: DataFrame, folds: int = 3, seed: int = 42) -> DataFrame:
+    """Training rows of M14: ``district``, the features, their rule level as ``label``, and ``fold``."""
+    data = labelled(features).select("district", *FEATURES, F.col("risk_level").alias("label"))
+    return materialize(data.withColumn("fold", fold_of(folds, seed)))
+
+
+def fold_forests(data: DataFrame, num_trees: int = K.RF_TREES, seed: int = 42) -> dict:
+    """For each fold with districts, the forest fitted to all other folds. It is a level's name where
+    the others have that level only, and None where there are no others."""
+    levels = data.groupBy("fold").agg(F.collect_set("label").alias("levels")).collect()  # a row for each fold
+    fitted = {}
+    for row in sorted(levels, key=lambda r: r["fold"]):
+        seen = {level for r in levels if r["fold"] != row["fold"] for level in r["levels"]}
+        if len(seen) > 1:
+            others = data.where(F.col("fold") != row["fold"])
+            fitted[row["fold"]] = train_risk(others, num_trees, seed, materialize_input=False)
+        else:
+            fitted[row["fold"]] = next(iter(seen), None)
+    return fitted
+
+
+def out_of_fold(spark, data: DataFrame, fitted: dict) -> DataFrame:
+    """M14's predictions: ``district, fold, label, prediction, confidence`` of every row of ``with_folds``,
+    by the forest (its node table) that hasn't seen the fold. All folds are one plan: a district's fold
+    picks the forest that walks it. A fold without other rows has no prediction."""
+    level, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
+    x = F.array(*[F.col(f).cast("double") for f in FEATURES])
+    for fold, model in fitted.items():
+        if model is None:
+            continue
+        here = F.col("fold") == fold
+        if isinstance(model, str):
+            level, sure = F.when(here, F.lit(model)).otherwise(level), F.when(here, F.lit(1.0)).otherwise(sure)
+            continue
+        probs = Ensemble(node_table(spark, model.stages[-1])).probabilities(x)
+        top = F.array_max(probs)
+        names = F.array(*[F.lit(label) for label in model.stages[0].labels])
+        level = F.when(here, F.get(names, F.array_position(probs, top).cast("int") - 1)).otherwise(level)
+        sure = F.when(here, top).otherwise(sure)
+    filled = with_feature_defaults(data)
+    return filled.select("district", "fold", "label", level.alias("prediction"), sure.alias("confidence"))
+
+
+def fold_metrics(scored: DataFrame) -> DataFrame:
+    """Per fold of ``out_of_fold``: districts, accuracy (null where nothing is predicted) and the mean confidence
+    of right and of wrong predictions. The mean accuracy over the folds is M14."""
+    right = F.col("prediction") == F.col("label")
+    return scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("districts"), F.avg(right.cast("double")).alias("accuracy"),
+        F.avg(F.when(right, F.col("confidence"))).alias("confidence_right"), F.avg(F.when(~right, F.col("confidence"))).alias("confidence_wrong"),
+    )
+
+
 def feature_importance(spark, model) -> DataFrame:
     """Forest importances as rows with their place, largest first.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.operators import charts as CH
@@ -634,6 +637,47 @@ def m14_cross_validate_risk(spark, sf_dir):
     return RK.cross_validate_risk(spark, _features(spark, sf_dir), folds=3)
 
 
+_FOLDS_SQL = _FEATURES_SQL + """,
+folded as (select *, cast(cast('0x' || substr(md5(district || ':42'), 1, 8) as bigint) % 3 as bigint) as fold from lv where risk_level is not null)"""
+
+
+@register(
+    "m14_out_of_fold",
+    "with " + _FOLDS_SQL + """
+select f.district, f.fold, f.risk_level as label, (select count(*) from folded o where o.fold <> f.fold) as fitted_to, true as is_mllibs, 0e0 as gap from folded f""",
+)
+def m14_out_of_fold(spark, sf_dir):
+    """M14's folds by a keyed hash: every district's level by the forest of the other folds, as one plan over the node
+    tables, is the level that MLlib's own transform gives, and so is its confidence (the oracle knows
+    folds, labels and sizes, and asks for no difference)."""
+    data = RK.with_folds(_features(spark, sf_dir))
+    fitted = RK.fold_forests(data)
+    own = RK.out_of_fold(spark, data, fitted).alias("a")
+    told = []
+    for fold, model in fitted.items():
+        held = data.where(F.col("fold") == fold)
+        if model is None or isinstance(model, str):
+            level = F.lit(model).cast("string")
+            told.append(held.select("district", level.alias("risk_level"), F.when(level.isNotNull(), 1.0).alias("confidence")))
+        else:
+            told.append(RK.predict_risk(model, held).select("district", "risk_level", "confidence"))
+    if not told:
+        told = [data.select("district", F.col("label").alias("risk_level"), F.lit(1.0).alias("confidence"))]
+    sizes = data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    others = sizes.select("fold", (data.agg(F.count(F.lit(1))).scalar() - F.col("n")).alias("fitted_to"))
+    both = own.join(reduce(DataFrame.unionByName, told).alias("b"), "district").join(others, "fold")
+    same = F.col("a.prediction").eqNullSafe(F.col("b.risk_level"))
+    gap = F.abs(F.col("a.confidence") - F.col("b.confidence"))
+    return r6(both.select("district", "fold", "label", "fitted_to", same.alias("is_mllibs"), F.coalesce(gap, F.lit(0.0)).alias("gap")))
+
+
+@register("m14_fold_metrics")
+def m14_fold_metrics(spark, sf_dir):
+    """M14 (rows-only): accuracy of each fold and the confidence of right and wrong levels."""
+    data = RK.with_folds(_features(spark, sf_dir))
+    return r6(RK.fold_metrics(RK.out_of_fold(spark, data, RK.fold_forests(data))))
+
+
 @register(
     "a25_classification_metrics",
     "with "
