@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardstat.llm import decontaminate, mixing, ngram_join, suffix_dedup, textbytes, token_output
@@ -92,6 +93,42 @@ def test_parity_bound():
     assert ngram_join.differ_at_least(ngram_join.parity(a), ngram_join.parity(a)) == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_lists_over_tasks_have_the_same_neighbours(spark, parts):
+    """One shingle in a third of the places; ranges of any number, of one row too, give what a window over each list gives."""
+    rng = np.random.default_rng(5)
+    data = [(0 if i % 3 == 0 else int(rng.integers(1, 400)), i, int(rng.integers(5, 9)), int(rng.integers(0, 4))) for i in range(900)]
+    places = spark.createDataFrame(data, "token long, gid long, n int, pos int")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = Counter(rows(ngram_join.listed_places(places)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    listing = Window.partitionBy("token").orderBy("n", F.xxhash64("gid", F.pmod("token", F.lit(ngram_join.ORDERS))), "gid")
+    want = places.select("*", *[F.lag(c).over(listing).alias(f"p_{c}") for c in ("gid", "n", "pos")], F.lead("gid").over(listing).alias("next"))
+    assert got == Counter(rows(want.where("p_gid is not null or next is not null").drop("next")))
+    assert ngram_join.listed_places(places.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_ngram_join_of_sizes_far_apart(spark, percent):
+    """Texts that share all their rare shingles, of sizes on both sides of the bands' edges."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = [(i, " ".join(base[: int(rng.integers(20, 120))])) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts)}
+    part = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((part[a], part[b]))
+                part = {i: low if c == high else c for i, c in part.items()}
+    assert dict(rows(ngram_join.join(df, percent), "doc_id", "component_id")) == part
+
+
 # ------------------------------------------------------------------ op4 ---
 
 

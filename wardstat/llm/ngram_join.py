@@ -12,6 +12,8 @@ makes fewer candidates.
 Sets with the same size and prefix are collapsed into one group; the
 prefix join works on groups:
 
+* lists: the groups of a shingle, sorted end to end with all other lists into ranges of about equal
+  size, so that a shingle of very many groups is no task's alone.
 * neighbours: in each shingle's list of groups (by size, then in one of ``ORDERS`` random
   orders) a group is paired with the one before it and with the list's centre (the group of which most
   of the prefix is in lists, as it is with the text that others are copies of), and in each group a set
@@ -19,7 +21,7 @@ prefix join works on groups:
   whole sets. This is linear in the lists, and its links already join most copies.
 * the rest: lists whose groups all lie in one component hold no link between
   components and are done. In the others, all pairs of groups with different components
-  that pass the bounds are expanded to their sets and verified.
+  that pass the bounds (sizes meet by bands, within the join's key) are expanded to their sets and verified.
 
 Pairs inside a component are not needed for the result, so a group of many
 near copies costs as many pairs as it has copies, and no link between
@@ -33,10 +35,12 @@ through equal sets only and never names a component; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -313,6 +317,71 @@ def frequent(counts: DataFrame, most: int = LISTED) -> tuple[np.ndarray, np.ndar
     return got.column("id").to_numpy().view(np.uint64), np.minimum(got.column("level").to_numpy(), 120).astype(np.int8)
 
 
+_PLACE_COLUMNS = ("token", "gid", "n", "pos")
+_LISTED = "token long, gid long, n int, pos int, p_gid long, p_n int, p_pos int, more boolean, edge int, part int"
+
+
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each place with the one before it in its token's list, as far as this task's rows tell; ``more``: the list
+    goes on. ``edge`` is 1 for the task's first row, 2 for its last, 3 for an only one; these stay in any case."""
+    names = [f.split()[0] for f in _LISTED.split(", ")]
+    part = TaskContext.get().partitionId()
+    held: list[np.ndarray] | None = None  # the last row so far, after the one before it (if any)
+    first = True
+
+    def told(rows: list[np.ndarray], at: slice, edge: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        same = np.append(False, rows[0][1:] == rows[0][:-1])
+        same_here, place = same[at], np.arange(len(same))[at]
+        keep = same_here | more | (edge > 0)
+        own = [pa.array(x[at][keep]) for x in rows]
+        prior = [pa.array(x[place - 1][keep], mask=~same_here[keep]) for x in rows[1:]]
+        flags = [pa.array(more[keep]), pa.array(edge[keep].astype(np.int32)), pa.array(np.full(int(keep.sum()), part, np.int32))]
+        return pa.record_batch([*own, *prior, *flags], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in _PLACE_COLUMNS]
+        skip = 0
+        if held is not None:
+            skip = len(held[0]) - 1  # the held row's place
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows)]
+        size = len(rows[0])
+        if size - 1 > skip:
+            edge = np.zeros(size - 1 - skip, np.int32)
+            edge[0] = 1 if first else 0
+            more = rows[0][skip + 1 :] == rows[0][skip:-1]
+            yield told(rows, slice(skip, size - 1), edge, more)
+            first = False
+        held = [x[-2:] if size > 1 else x for x in rows]
+    if held is not None:
+        size = len(held[0])
+        yield told(held, slice(size - 1, size), np.array([3 if first else 2], np.int32), np.zeros(1, bool))
+
+
+def listed_places(places: DataFrame) -> DataFrame:
+    """``token, gid, n, pos`` of the lists of two groups or more, with the group before it in its list (``p_gid, p_n, p_pos``).
+
+    Lists are in order of size, then in one of a few random orders (so that lists with the same groups give
+    the same neighbours). They lie end to end in ranges, so one token's list may run over many tasks; what
+    meets at the ends of ranges is joined up from two rows for each."""
+    order = [F.col("token"), F.col("n"), F.xxhash64("gid", F.pmod("token", F.lit(ORDERS))), F.col("gid")]
+    ranged = places.select("token", "gid", "n", "pos").repartitionByRange(*order).sortWithinPartitions(*order)
+    seen = written(ranged.mapInArrow(_before, _LISTED), "ngram-listed")
+    out = ["token", "gid", "n", "pos", "p_gid", "p_n", "p_pos"]
+    ends = Window.orderBy("part", "edge")  # two rows for each task
+    begins, closes = F.col("edge") != 2, F.col("edge") != 1
+    met = begins & (F.lag("token").over(ends) == F.col("token"))
+    goes_on = F.when(closes, F.lead("token").over(ends) == F.col("token")).otherwise(F.col("more"))
+    edges = seen.where("edge > 0").select(
+        "token", "gid", "n", "pos",
+        *[F.when(met, F.lag(c).over(ends)).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in ("gid", "n", "pos")],
+        goes_on.alias("more"),
+    )
+    edges = edges.where("p_gid is not null or more").select(out)
+    return seen.where("edge = 0").select(out).unionByName(edges)
+
+
 def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataFrame:
     """``doc_id, row, n_shingles, component_id`` for every row of ``docs``; ``row`` is a hash of the text."""
     spark = docs.sparkSession
@@ -332,14 +401,7 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     sets = written(sets.join(groups.select("g1", "g2", "n", "gid"), ["g1", "g2", "n"]).select("k1", "k2", "n", "gid", "rep", "bits"), "ngram-sets")
 
     places = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    # a few random orders in all, so that lists with the same groups give the same neighbours
-    listing = Window.partitionBy("token").orderBy("n", F.xxhash64("gid", F.pmod("token", F.lit(ORDERS))), "gid")
-    postings = places.select(
-        "token", "gid", "n", "pos",
-        *[F.lag(c).over(listing).alias(f"p_{c}") for c in ("gid", "n", "pos")],
-        F.lead("gid").over(listing).alias("next"),
-    )
-    postings = written(postings.where("p_gid is not null or next is not null").drop("next"), "ngram-postings")
+    postings = written(listed_places(places), "ngram-postings")
 
     # neighbours, and the centre of each list: the group with the largest share of its prefix in lists
     shares = postings.groupBy("gid").agg((F.count("*") / F.first("n")).alias("shared"))
@@ -364,10 +426,13 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     lists = postings.select("token", "gid", "n", "pos").join(span, "gid")
     undone = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
     lists = written(lists.join(undone, "token", "left_semi"), "ngram-open")
-    a, b = lists.alias("a"), lists.alias("b")
+    # sets whose sizes allow a link lie in the same band of sizes or in adjacent ones
+    band = F.floor(F.log(F.col("n").cast("double")) / max(math.log(100 / percent) * (1 + 1e-9), 1e-9))
+    a = lists.withColumn("band", band).alias("a")
+    b = lists.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("b")
     across = a.join(
         b,
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid"))
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.gid") < F.col("b.gid"))
         & (F.least("a.low", "b.low") < F.greatest("a.high", "b.high"))
         & _bounds("a.n", "a.pos", "b.n", "b.pos", percent),
     ).select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct()
