@@ -378,7 +378,7 @@ def listed_places(places: DataFrame) -> DataFrame:
         *[F.when(met, F.lag(c).over(ends)).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in ("gid", "n", "pos")],
         goes_on.alias("more"),
     )
-    edges = edges.where("p_gid is not null or more").select(out)
+    edges = written(edges.where("p_gid is not null or more").select(out), "ngram-ends")
     return seen.where("edge = 0").select(out).unionByName(edges)
 
 
@@ -401,7 +401,7 @@ def join(docs: DataFrame, percent: int = PERCENT, listed: int = LISTED) -> DataF
     sets = written(sets.join(groups.select("g1", "g2", "n", "gid"), ["g1", "g2", "n"]).select("k1", "k2", "n", "gid", "rep", "bits"), "ngram-sets")
 
     places = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    postings = written(listed_places(places), "ngram-postings")
+    postings = listed_places(places)  # files already
 
     # neighbours, and the centre of each list: the group with the largest share of its prefix in lists
     shares = postings.groupBy("gid").agg((F.count("*") / F.first("n")).alias("shared"))
