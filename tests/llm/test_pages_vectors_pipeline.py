@@ -109,6 +109,21 @@ def test_large_hosts_are_split(spark, monkeypatch):
     assert {(r.page_id, r.text) for r in got} == {(k, f"text {k}") for k in range(95)}
 
 
+def test_a_box_that_the_host_repeats_goes_from_articles(spark):
+    box = "read more of our stories every morning in the new edition"
+    line = "the author has nothing else to say about this matter today"
+    own = lambda k, n: " ".join(f"p{k}x{i}" for i in range(n))
+    rows = [(k, f"http://h.org/{k}", f"<article><h1>{own(k, 3)}</h1><p class=text>{line}</p><p>{own(k, 30)}</p><div class='zz'>{box}</div></article>") for k in range(12)]
+    rows.append((50, "http://two.org/", rows[0][2].replace("zz", "yy")))  # this host doesn't repeat it
+    rows += [(60 + k, f"http://few.org/{k}", f"<article><h1>{k}</h1><div class='body'>{box}</div></article>") for k in range(5)]  # most of the page
+    rows.append((70, "http://h.org/70", f"<article><div>{box}</div><p>{own(70, 30)}</p></article>"))  # no name: prose
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(df, host_pages=5).collect()}
+    assert got == {k: f"{own(k, 3)} {line} {own(k, 30)}" for k in range(12)} | {
+        50: f"{own(0, 3)} {line} {own(0, 30)} {box}", 70: f"{box} {own(70, 30)}", **{60 + k: f"{k} {box}" for k in range(5)}
+    }
+
+
 # ------------------------------------------------------------------ op9 ---
 
 
