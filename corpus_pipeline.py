@@ -22,9 +22,11 @@ MIN_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; null texts, texts without a letter, and texts
     whose likeliest language has a score under ``MIN_SCORE`` go."""
-    told = keyed(docs).select("doc", F.col("doc.text").alias("text"))
-    out = lang_id.identify(told, lang_id.learned(docs), carry=["doc"])
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc.*")
+    # the text goes to Python and back once; the other columns beside it, whatever their names
+    other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("other")
+    out = lang_id.identify(docs.select(other, "text"), lang_id.learned(docs), carry=["other", "text"])
+    told = out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return told.select(*["text" if c == "text" else f"other.`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

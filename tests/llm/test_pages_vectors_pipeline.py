@@ -286,3 +286,16 @@ def test_queries_against_sql(spark):
 
 def test_one_query_for_each_operator(spark):
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
+
+
+def test_language_sends_each_text_to_python_once(spark, monkeypatch):
+    seen, real = [], corpus_pipeline.lang_id.identify
+    monkeypatch.setattr(corpus_pipeline.lang_id, "identify", lambda docs, *a, **k: seen.append(docs) or real(docs, *a, **k))
+    texts = ["the cat and the dog went to the house", "der Hund und die Katze gehen in das Haus", None, "12 34"]
+    rows = [(n, texts[k % 4], ("en", "de", "en", "de")[k % 4], k, str(n), None) for k, n in enumerate(range(5, 45))]
+    docs = spark.createDataFrame(rows, "score long, text string, lang string, doc_id long, lang_pred string, `other.x` string")
+    out = corpus_pipeline.language(spark, docs, "")
+    assert seen[0].schema.simpleString().count("text:") == 1
+    assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+    got = {tuple(r) for r in out.collect()}
+    assert got and got <= {r for r in rows if r[1] and r[1] != "12 34"}

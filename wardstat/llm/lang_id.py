@@ -264,6 +264,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(carry)], pa.array(langs[best], pa.string()), pa.array(score)], [*[f"c{k}" for k in range(len(carry))], "p", "s"]
             )
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     from pyspark.sql.types import StructType
 

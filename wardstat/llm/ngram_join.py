@@ -126,6 +126,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
         for i, j in tb.blocks(offsets):
             prints, counts = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield batch.slice(i, j - i), prints, counts
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +275,7 @@ def _verify(percent: int):
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()  # the worker lives on, without the whole sets
 
     return run
 
