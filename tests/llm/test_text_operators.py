@@ -218,6 +218,24 @@ def test_pieces_encode_as_the_library_does(texts):
     assert ids.tolist() == sum(want, [])
 
 
+def test_pieces_are_encoded_without_offsets():
+    enc = token_output.Encoder(BPE)
+    tok = enc.tok
+
+    class Fast:  # has no ``encode``, which tells offsets too
+        encode_batch_fast = staticmethod(tok.encode_batch_fast)
+
+    enc.tok = Fast()
+    rng = np.random.default_rng(4)
+    for _ in range(3):  # later blocks meet kept pieces and new ones
+        texts = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(1, 4)))) for _ in range(3000)) + ", x1\u00a0y" for _ in range(2)]
+        data, offsets = textbytes.texts(pa.array(texts))
+        ids, counts = enc.encode(data, offsets)
+        want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+        assert (enc.keys[1:] > enc.keys[:-1]).all()
+
+
 @given(st.lists(st.lists(st.integers(0, 3), max_size=60), min_size=1, max_size=12))
 @settings(max_examples=100, deadline=None)
 def test_repair_shards_decode_alone(lists):

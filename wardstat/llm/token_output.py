@@ -28,6 +28,7 @@ a hash of the text; a null id sorts first; an empty table gives no shards.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -49,6 +50,8 @@ MIN_COUNT = 16
 #: symbols that 16 bits can hold beside the ids
 MAX_RULES = (1 << 16) - TERMINALS
 CACHE_PIECES = 1_500_000
+#: pieces that are encoded as one string
+JOINED = 1_000
 SHARD_SCHEMA = "part int, shard int, n_ids long, doc_ids array<long>, payload binary"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
 
@@ -67,6 +70,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread its own memory
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=False)
@@ -82,18 +86,19 @@ class Encoder:
         self.ids = np.empty(0, np.uint16)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16)
+        # without offsets, which nobody reads
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
     def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encode pieces that are new."""
+        """Encode pieces that are new; ``keys`` are in order."""
         joins = _SPACE[data[starts]] & ~_SPACE[data[ends - 1]]
         if any(len(t.split()) != 1 or t.strip() != t for t in self.added):
             joins[:] = False  # pieces put together could make such a token
         parts, counts = [], np.empty(len(keys), np.int64)
         order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
         joined = int(joins.sum())
-        for i in range(0, joined, 20_000):
-            pick = order[i : min(i + 20_000, joined)]
+        for i in range(0, joined, JOINED):
+            pick = order[i : min(i + JOINED, joined)]
             sizes = ends[pick] - starts[pick]
             raw = data[np.repeat(starts[pick] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())]
             ids = self.whole(raw.tobytes().decode())
@@ -110,9 +115,8 @@ class Encoder:
         at = np.empty(len(keys), np.int64)
         at[order] = len(self.ids) + np.concatenate(([0], np.cumsum(counts[order])[:-1]))
         self.ids = np.concatenate([self.ids, *parts])
-        self.keys, self.at, self.n = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.n, counts)))
-        rank = np.argsort(self.keys)
-        self.keys, self.at, self.n = self.keys[rank], self.at[rank], self.n[rank]
+        place = np.searchsorted(self.keys, keys)  # both are in order
+        self.keys, self.at, self.n = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.at, at), (self.n, counts)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of one block, one after the other with the end id, and each row's number."""
@@ -130,7 +134,11 @@ class Encoder:
             keep = ~odd[doc]
             starts, ends, doc = starts[keep], ends[keep], doc[keep]
         prints = tb.fingerprints(tb.running(data), starts, ends)
-        keys, first, back = np.unique(prints, return_index=True, return_inverse=True)
+        rank = np.argsort(prints)
+        fresh = np.append(True, np.diff(prints[rank]) != 0) if len(rank) else np.zeros(0, bool)
+        first = rank[fresh]
+        keys, back = prints[first], np.empty(len(rank), np.int64)
+        back[rank] = np.cumsum(fresh) - 1
         if len(self.keys) > CACHE_PIECES:
             self.clear()
         slot = np.searchsorted(self.keys, keys)
@@ -210,19 +218,20 @@ def repair(ids: np.ndarray, counts: np.ndarray, min_count: int = MIN_COUNT, max_
         if not len(often):
             break
         chosen = np.sort(ordered[edge[often]])
-        table = np.zeros(1 << 20, np.int16)
-        table[_spot(chosen)] = np.arange(len(chosen))  # of pairs at one spot, the last is replaced now, others in a later round
-        slot = table[_spot(pairs)]
-        put = np.flatnonzero(free & (chosen[slot] == pairs))
+        table, nth_at = np.full(1 << 20, chosen[0], np.uint32), np.zeros(1 << 20, np.int16)
+        table[_spot(chosen)] = chosen  # of pairs at one spot, the last is replaced now, others in a later round
+        nth_at[_spot(chosen)] = np.arange(len(chosen))
+        put = np.flatnonzero((table.take(_spot(pairs), mode="clip") == pairs) & free)
         # of a run of neighbouring hits, every second one can be replaced
         begins = np.append(True, np.diff(put) > 1) if len(put) else np.empty(0, bool)
         run = np.maximum.accumulate(np.where(begins, put, 0))
         put = put[(put - run) % 2 == 0]
+        slot = nth_at[_spot(pairs[put])]
         used = np.zeros(len(chosen), bool)
-        used[slot[put]] = True
+        used[slot] = True
         nth = np.cumsum(used) - 1  # a pair that no place is left for is no rule
-        chosen, slot = chosen[used], nth[slot]
-        seq[put] = TERMINALS + n_rules + slot[put].astype(np.uint32)
+        chosen = chosen[used]
+        seq[put] = TERMINALS + n_rules + nth[slot].astype(np.uint32)
         last[put] = last[put + 1]
         keep = np.ones(len(seq), bool)
         keep[put + 1] = False
